@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries and ids a worker remembers; beyond that it starts anew. Bounds memory, not results.
-CACHE_WORDS = 1_000_000
-CACHE_IDS = 8_000_000
+CACHE_WORDS = 350_000
+CACHE_IDS = 3_000_000
 #: Bytes of text that one step works on.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 #: Latin-1 letters (beside ASCII) that are their own normal form.
 _UPPER, _LOWER = "\u00c0-\u00d6\u00d8-\u00de", "\u00df-\u00f6\u00f8-\u00ff"
