@@ -3,9 +3,9 @@
 Sizes are summed per source; the target shares are filled up to a multiple of each source's size, the excess
 going to the others by weight, in closed form over the sources; a source's repetition rate is target / size.
 A document is emitted floor(rate) times and once more with a probability equal to the fraction. That draw is
-seeded by hashes and stratified: within cells of like-sized documents of a source the draws are spread evenly
-(systematic sampling from a hash-seeded start), so each document's chance is exactly the fraction while the
-sums stay near the target. Cells are cut by hash, so a source with most of the rows is dealt to many tasks.
+seeded by hashes and stratified: within cells of a source's documents, in order of size, the draws are spread
+evenly (systematic sampling from a hash-seeded start), so each document's chance is exactly the fraction while
+the sums stay near the target. Cells are cut by hash, so a source with most of the rows is dealt to many tasks.
 
 Defined results: null text has size 0; a null source is a source of its own; a source without words has rate
 0; repeated rows are drawn each (rows of one doc_id are emitted as often as the luckiest of them); an empty table gives an empty table.
@@ -66,12 +66,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: f
     rates = store.saved(source_rates(sized, weights, most), "rates")
     held = sized.join(rates, sized["source"].eqNullSafe(rates["source"])).drop(rates["source"])
     draw = F.xxhash64("doc_id", "size", F.lit(seed))
-    octave = F.floor(F.log2(F.col("size") + 1)).cast("int")
     cell = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.ceil(F.col("n_docs") / CELL_ROWS))
-    held = held.withColumns({"draw": draw, "octave": octave, "cell": cell})
-    cells = Window.partitionBy("source", "octave", "cell")
-    start = F.pmod(F.xxhash64("source", "octave", "cell", F.lit(seed + 2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    at = F.row_number().over(cells.orderBy("draw", "doc_id"))
+    held = held.withColumns({"draw": draw, "cell": cell})
+    cells = Window.partitionBy("source", "cell")
+    start = F.pmod(F.xxhash64("source", "cell", F.lit(seed + 2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    at = F.row_number().over(cells.orderBy("size", "draw", "doc_id"))
     whole = F.floor("rate")
     part = F.col("rate") - whole
     extra = F.floor(at * part + start) - F.floor((at - 1) * part + start)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, shards, store, token_files, tokens, warc
+from . import jaccard, mixing, packing, shards, store, token_files, tokens, warc
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(store.table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(store.table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = store.new_path(spark, "warc")
     index = warc.write_archives(warc.with_revisits(store.table(spark, sf_dir, "pages")), directory)
@@ -46,7 +50,7 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_mix_sources, op4_best_fit_packing, op6_warc, op8_kd_shards)}
+    return {f.__name__: f for f in (op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op8_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,3 +46,11 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of tables that are no longer reachable."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
