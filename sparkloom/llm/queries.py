@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, shards, store, token_files, tokens, warc, winnowing
+from . import jaccard, language, mixing, packing, shards, store, token_files, tokens, warc, winnowing
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,20 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(language.learning_rows(docs))
+    found = language.identified(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprinted(store.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op8_kd_shards, op10_winnowing)}
+    return {f.__name__: f for f in (op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op8_kd_shards, op9_language_id, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
