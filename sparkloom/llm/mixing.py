@@ -79,6 +79,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: f
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document's rows as often as it is taken, with its columns as they were."""
-    rates = mixed(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(rates, docs["doc_id"].eqNullSafe(rates["doc_id"])).drop(rates["doc_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    held = mixed(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    joined = docs.join(held.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(1)))).select(docs.columns)

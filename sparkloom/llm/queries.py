@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, packing, shards, store, token_files, tokens, warc, winnowing
+from . import jaccard, language, media, mixing, packing, shards, store, token_files, tokens, warc, winnowing
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store.saved(media.as_media(store.table(spark, sf_dir, "documents")), "media", "none")
+    return media.digests(media.pcm_blocks(stored))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shards.sharded(store.table(spark, sf_dir, "documents"), 24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -62,7 +67,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op8_kd_shards, op9_language_id, op10_winnowing)}
+    return {f.__name__: f for f in (op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op7_flac, op8_kd_shards, op9_language_id, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
