@@ -9,7 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, media, mixing, packing, shards, store, token_files, tokens, warc, winnowing
+from . import jaccard, language, licenses, media, mixing, packing, shards, store, token_files, tokens, warc, winnowing
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of source/thousand/hundred directories."""
+    step = lambda n: F.coalesce(F.floor(F.col("doc_id") / n).cast("string"), F.lit("none"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), step(1000), step(100), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    files = store.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.inherited(licenses.scanned(files))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +75,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op7_flac, op8_kd_shards, op9_language_id, op10_winnowing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op7_flac, op8_kd_shards, op9_language_id, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
