@@ -24,7 +24,7 @@ from . import store
 from .winnowing import let
 
 WINDOW = 48
-THRESHOLD = 0.7
+THRESHOLD = 0.75
 LICENSE_FILE = "(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 #: Words that are in any prose, taken as anchors last.
 COMMON = set("a an and any are as at be by can for found free from has in into is it may met not of on or see that the this to use with you work 1 2 3 4".split())
@@ -36,7 +36,7 @@ TEMPLATES = [
     ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -67,8 +67,8 @@ class Templates:
         df = Counter(w for c in counts for w in c)
         self.unseen = math.log(1 + len(templates)) + 1
         self.idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in df.items()}
-        norms = [math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items())) for c in counts]
-        self.weights = {w: [c[w] * self.idf[w] / norm for c, norm in zip(counts, norms)] for w in self.idf}
+        norms = [math.sqrt(sum(((1 + math.log(n)) * self.idf[w]) ** 2 for w, n in c.items())) for c in counts]
+        self.weights = {w: [(1 + math.log(c[w])) * self.idf[w] / norm if c[w] else 0.0 for c, norm in zip(counts, norms)] for w in self.idf}
         # the most telling words of a template are anchors until the others alone stay below the threshold
         anchors: set[str] = set()
         for i, c in enumerate(counts):
@@ -96,7 +96,7 @@ def notices(text: Column, t: Templates, threshold: float = THRESHOLD) -> Column:
         zero = F.struct(F.array_repeat(F.lit(0.0), n).alias("dots"), F.lit(0.0).alias("square"))
 
         def add(acc: Column, w: Column) -> Column:
-            size = F.size(F.filter(window, lambda x: x == w)) * F.coalesce(F.try_element_at(idf, w), F.lit(t.unseen))
+            size = (1 + F.log(F.size(F.filter(window, lambda x: x == w)))) * F.coalesce(F.try_element_at(idf, w), F.lit(t.unseen))
             dots = F.coalesce(F.zip_with(acc["dots"], F.try_element_at(weights, w), lambda a, b: a + b * size), acc["dots"])
             return F.struct(dots.alias("dots"), (acc["square"] + size * size).alias("square"))
 
