@@ -14,7 +14,7 @@ has no link:
    whole, what remains is one entry per star with the range of its positions and sizes, joined by size block.
 6. A star's answers follow from its centre's: two centres further apart than the threshold and both radii have
    no linked members (Jaccard distance is a metric), linked centres join the components, and only in between
-   are members compared, on their own postings and bounds.
+   are members compared: with the other centre first, and with its members only where that leaves it open.
 
 So no group of near copies is ever expanded into its pairs, and no link between different texts is lost.
 
@@ -294,19 +294,31 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = pairs.select(F.col("star_a").alias("a"), F.col("star_b").alias("b")).distinct()
     centres = store.saved(compared(pairs, sets, percent), "centres")
     store.release(sets.sparkSession)
-    radius = placed.groupBy("star").agg(F.max("spoke").alias("radius"), F.max(F.when(F.col("rep") != F.col("star"), 1).otherwise(0)).alias("more"))
+    radius = placed.groupBy("star").agg(F.max("spoke").alias("radius"))
     between = centres.where("not linked")
     for side in ("a", "b"):
-        between = between.join(radius.select(F.col("star").alias(side), F.col("radius").alias(f"radius_{side}"), F.col("more").alias(f"more_{side}")), side, "left")
+        between = between.join(radius.select(F.col("star").alias(side), F.col("radius").alias(f"radius_{side}")), side, "left")
     limit = 1 - percent / 100 + 1e-9
-    between = between.where((F.col("more_a") + F.col("more_b") > 0) & (F.col("distance") <= limit + F.col("radius_a") + F.col("radius_b")))
-    between = store.saved(between.select("a", "b", "distance"), "between")
-    mine = lambda s: posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "star", "component", "spoke", "pos", "n")])
-    member = between.withColumnsRenamed({"a": "star_a", "b": "star_b"}).join(mine("a"), "star_a").join(mine("b"), ["token", "star_b"])
-    near = may("n_a", "n_a", "pos_a", "n_b", "n_b", "pos_b") & (F.col("distance") - F.col("spoke_a") - F.col("spoke_b") <= limit)
-    member = member.where((F.col("component_a") != F.col("component_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    last = compared(store.saved(member, "members"), sets, percent)
-    return spokes.union(centres.where("linked").select("a", "b")).union(last.where("linked").select("a", "b"))
+    between = between.na.fill(0.0, ["radius_a", "radius_b"])
+    between = between.where((F.col("radius_a") + F.col("radius_b") > 0) & (F.col("distance") <= limit + F.col("radius_a") + F.col("radius_b")))
+    between = store.saved(between.select("a", "b", "distance", "radius_a", "radius_b"), "between")
+    last = []
+    for own, other in (("a", "b"), ("b", "a")):
+        # members of one star against the other's centre, but those too near their own centre to reach over
+        member = placed.select(F.col("rep"), F.col("star").alias(own), F.col("spoke")).where("rep <> star")
+        reach = F.col("spoke") >= F.col("distance") - limit - F.col(f"radius_{other}")
+        pairs = between.join(member, own).where(reach)
+        pairs = pairs.select(F.col("rep").alias("a"), F.col(other).alias("b"), F.col(own).alias("own"), "spoke", F.col(f"radius_{other}").alias("radius"))
+        last.append(store.saved(compared(pairs, sets, percent), "members"))
+    # what neither shows: members of both, each near enough to the other's centre
+    x, y = (t.where((~F.col("linked")) & (F.col("radius") > 0) & (F.col("distance") <= limit + F.col("radius"))) for t in last)
+    x = x.select(F.col("a").alias("x"), F.col("own").alias("star_x"), F.col("b").alias("star_y"), F.col("spoke").alias("spoke_x"), F.col("distance").alias("far_x"))
+    y = y.select(F.col("a").alias("y"), F.col("own").alias("star_y"), F.col("b").alias("star_x"), F.col("spoke").alias("spoke_y"), F.col("distance").alias("far_y"))
+    near = (F.col("far_x") - F.col("spoke_y") <= limit) & (F.col("far_y") - F.col("spoke_x") <= limit)
+    pairs = store.saved(x.join(y, ["star_x", "star_y"]).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")), "member-pairs")
+    for found in (*last, compared(pairs, sets, percent)):
+        spokes = spokes.union(found.where("linked").select("a", "b"))
+    return spokes.union(centres.where("linked").select("a", "b"))
 
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
