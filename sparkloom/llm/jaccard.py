@@ -214,7 +214,8 @@ def document_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Da
 def shared_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(rep, n, tokens) of documents (doc_id, text): each set's size, and its elements that others have too by
     rising frequency. Sets with too few of them are left out."""
-    bits = max(8, int(np.ceil(np.log2(docs.count() / 100 + 1))))
+    # ranges of elements times groups of owners: both grow with the square root, their packs with the input
+    bits = max(6, int(np.ceil(np.log2(docs.count() + 1) / 2))) + 1
     groups = 1 << bits
 
     def spread(table: pa.Table) -> pa.Table:
