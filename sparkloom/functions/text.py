@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 FENCE = "```"
 
@@ -67,7 +68,7 @@ def missing_name(error: Column) -> Column:
     return F.regexp_extract(error, r"(?i)column [`\"]?(.*?)[`\"]? does not exist", 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_identifier(names: pd.Series) -> pd.Series:
     """Names without accents and cedillas."""
     return names.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)

@@ -136,7 +136,7 @@ def envelope(total: int, number: int, size: int) -> dict:
 
 def serialised(df: DataFrame) -> DataFrame:
     """Dates and money as the dashboard's grid shows them."""
-    return df.select(*[F.date_format(c, "dd/MM/yyyy").alias(c) if c == "movement_date" else F.format_string("%.2f", F.bround(c, 2)).alias(c) if c in MONEY else F.col(c) for c in df.columns])
+    return df.select(*[F.date_format(c, "dd/MM/yyyy").alias(c) if c == "movement_date" else F.bround(c, 2).cast("decimal(18,2)").cast("string").alias(c) if c in MONEY else F.col(c) for c in df.columns])
 
 
 def running_budget(df: DataFrame, line: str, order: str, max_chars: int) -> DataFrame:

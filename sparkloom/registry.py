@@ -2,10 +2,599 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from sparkloom.functions import text, vectors
+from sparkloom.operators import evaluation, feedback, movement, retrieval
+from sparkloom.plans import schema, sqlast, validate
+from sparkloom.sources import tables
+from sparkloom.sources.tables import table, views
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if oracle is not None:
+            _oracles[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def same_sql(name: str, sql: str, *names: str) -> None:
+    """A statement that means the same in both dialects."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, *names)
+        return spark.sql(sql)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+M = f"WITH m AS ({movement.MOVEMENT_SQL})"
+PAGE = "movement_id, movement_date, net_total, movement_type, customer, supplier"
+
+# --- dashboard -------------------------------------------------------------------------------------------------
+
+
+@query(f"{M} SELECT {PAGE} FROM m WHERE status = 'A' ORDER BY movement_id LIMIT 100")
+def active_movements(spark, sf_dir):
+    return movement.first_rows(movement.active(movement.movement(spark, sf_dir)))
+
+
+@query(f"{M} SELECT {PAGE}, (SELECT count(*) FROM m WHERE status = 'A') AS total FROM m WHERE status = 'A' ORDER BY movement_date DESC NULLS LAST, movement_id LIMIT 50 OFFSET 100")
+def movement_page(spark, sf_dir):
+    return movement.page(movement.active(movement.movement(spark, sf_dir)), 3, 50)
+
+
+KPIS = f"""{M}, k AS (SELECT
+  CAST(coalesce(sum(CASE WHEN movement_type = 2 THEN net_total END), 0) AS DOUBLE) AS net_revenue,
+  CAST(coalesce(sum(CASE WHEN movement_type = 2 THEN gross_total END), 0) AS DOUBLE) AS gross_revenue,
+  CAST(coalesce(sum(CASE WHEN movement_type = 2 THEN due_total END), 0) AS DOUBLE) AS receivable,
+  CAST(coalesce(sum(CASE WHEN movement_type = 1 THEN due_total END), 0) AS DOUBLE) AS payable
+  FROM m WHERE status = 'A'),
+ d AS (SELECT *, round(CASE WHEN net_revenue <> 0 THEN receivable / net_revenue * 100 ELSE 0 END, 6) AS delinquency FROM k)"""
+
+
+@query(f"{KPIS} SELECT * FROM d")
+def dashboard_kpis(spark, sf_dir):
+    return movement.kpis(movement.active(movement.movement(spark, sf_dir)))
+
+
+@query(f"""{KPIS} SELECT {', '.join(f"'R$ ' || translate(format('{{:,.2f}}', {c}), ',.', '.,') AS {c}" for c in ("net_revenue", "gross_revenue", "receivable", "payable"))},
+  translate(format('{{:.2f}}%', delinquency), '.', ',') AS delinquency FROM d""")
+def dashboard_kpis_formatted(spark, sf_dir):
+    return movement.formatted_kpis(movement.active(movement.movement(spark, sf_dir)))
+
+
+def _revenue(unit: str, label: str) -> str:
+    return f"""{M}, f AS (SELECT CAST(date_trunc('{unit}', movement_date) AS DATE) AS period, sum(net_total) AS s FROM m
+      WHERE status = 'A' AND movement_type = 2 AND movement_date IS NOT NULL GROUP BY 1),
+     spine AS (SELECT CAST(unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, INTERVAL 1 {unit})) AS DATE) AS period FROM f)
+    SELECT period, strftime(period, '{label}') AS label, CAST(coalesce(s, 0) AS DOUBLE) AS revenue FROM spine LEFT JOIN f USING (period)"""
+
+
+@query(_revenue("day", "%d/%m/%Y"))
+def revenue_by_day(spark, sf_dir):
+    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir)), "day")
+
+
+@query(_revenue("month", "%b %Y"))
+def revenue_by_month(spark, sf_dir):
+    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir)), "month")
+
+
+@query(_revenue("year", "%Y"))
+def revenue_by_year(spark, sf_dir):
+    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir)), "year")
+
+
+@query(f"{M} SELECT customer, CAST(sum(net_total) AS DOUBLE) AS revenue FROM m WHERE status = 'A' AND movement_type = 2 AND customer IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_customers(spark, sf_dir):
+    return movement.top_customers(movement.active(movement.movement(spark, sf_dir)))
+
+
+@query(f"{M} SELECT movement_type, count(*) AS n FROM m WHERE status = 'A' AND movement_type IS NOT NULL GROUP BY 1")
+def movements_by_type(spark, sf_dir):
+    return movement.by_type(movement.active(movement.movement(spark, sf_dir)))
+
+
+@query(f"{M} SELECT CASE movement_type WHEN 1 THEN 'Compra' WHEN 2 THEN 'Venda' ELSE 'Outro' END AS label, count(*) AS n FROM m WHERE status = 'A' GROUP BY 1")
+def movements_by_label(spark, sf_dir):
+    return movement.by_label(movement.active(movement.movement(spark, sf_dir)))
+
+
+@query(f"""{M} SELECT movement_id, strftime(movement_date, '%d/%m/%Y') AS movement_date, CAST(CAST(net_total AS DECIMAL(18,2)) AS VARCHAR) AS net_total,
+  CAST(gross_total AS VARCHAR) AS gross_total, CAST(due_total AS VARCHAR) AS due_total FROM m WHERE abs(net_total * 1000) % 10 <> 5""")
+def movement_serialised(spark, sf_dir):
+    rows = movement.as_rows(movement.movement(spark, sf_dir)).where("abs(net_total * 1000) % 10 <> 5")
+    return movement.serialised(rows.select("movement_id", "movement_date", "net_total", "gross_total", "due_total"))
+
+
+# --- the open SQL surface --------------------------------------------------------------------------------------
+
+same_sql("sql_inner_join", "SELECT n_name, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders INNER JOIN customer ON o_custkey = c_custkey INNER JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "orders", "customer", "nation")
+same_sql("sql_left_join", "SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus", "orders", "lineitem")
+same_sql("sql_join_on_date", "SELECT CAST(o.o_orderdate AS DATE) AS day, o.n AS n_orders, l.n AS n_lines FROM (SELECT CAST(o_orderdate AS DATE) AS o_orderdate, count(*) AS n FROM orders GROUP BY 1) o INNER JOIN (SELECT CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM lineitem GROUP BY 1) l ON o.o_orderdate = l.d", "orders", "lineitem")
+same_sql("sql_semi_in_having", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 12)", "customer", "orders")
+same_sql("sql_semi_exists", "SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s.s_suppkey AND l_quantity >= 50 AND l_discount >= 0.09)", "supplier", "lineitem")
+same_sql("sql_anti_join", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)", "orders", "lineitem")
+same_sql("sql_window_rank", "SELECT * FROM (SELECT c_custkey, c_nationkey, c_acctbal, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rk FROM customer) t WHERE rk <= 5", "customer")
+same_sql("sql_cte_nested", "WITH spend AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY o_custkey), mean AS (SELECT avg(CAST(total AS DOUBLE)) AS m FROM spend) SELECT c_mktsegment, count(*) AS n FROM spend JOIN customer ON c_custkey = o_custkey WHERE total > (SELECT m FROM mean) GROUP BY c_mktsegment", "orders", "customer")
+same_sql("sql_having", "SELECT l_returnflag, l_linestatus, min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 100", "lineitem")
+same_sql("sql_count_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM orders GROUP BY o_orderpriority", "orders")
+same_sql("sql_setops", "(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT (SELECT c_nationkey FROM customer INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", "customer", "supplier", "nation")
+same_sql("sql_filters", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE (o_orderdate BETWEEN TIMESTAMP '1997-03-01 00:00:00' AND TIMESTAMP '1997-06-30 23:59:59' OR o_orderpriority LIKE '1-%') AND o_orderstatus IN ('F', 'O') AND NOT o_totalprice <= 1000 AND o_custkey IS NOT NULL", "orders")
+same_sql("sql_contains", "SELECT s_suppkey, s_name FROM supplier WHERE lower(s_name) LIKE '%1%' AND s_acctbal > 0", "supplier")
+same_sql("sql_distinct_limit", "SELECT DISTINCT p_brand, p_type FROM part ORDER BY p_brand, p_type LIMIT 25", "part")
+same_sql("sql_scalar_functions", "SELECT lower(c_name) AS name, coalesce(c_mktsegment, 'none') AS segment, CAST(c_acctbal AS INTEGER) AS balance, abs(c_acctbal) AS size FROM customer WHERE abs(c_acctbal * 10) % 10 < 4", "customer")
+same_sql("adhoc_sql_capped", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", "orders")
+same_sql("answer_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "orders")
+
+
+@query("SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
+def string_agg_items(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name")))
+    return items.groupBy("l_orderkey").agg(F.array_join(F.transform(listed, lambda x: x["p_name"]), "; ").alias("items"))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2")
+def json_field(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return e.where("k is not null").groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------
+
+
+def _vector(spark, sf_dir, vec_id: int) -> list[float]:
+    row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()
+    return list(row["embedding"]) if row else []
+
+
+COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
+
+
+@query(f"SELECT a.vec_id AS node_id, round({COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY {COS} DESC, a.vec_id LIMIT 12")
+def cosine_topk(spark, sf_dir):
+    found = retrieval.dense(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), 12, node="vec_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT a.vec_id, round(1 - {COS}, 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 1 AND 1 - {COS} < 0.6")
+def cosine_threshold(spark, sf_dir):
+    q = F.array(*[F.lit(float(x)) for x in _vector(spark, sf_dir, 1)])
+    held = table(spark, sf_dir, "embeddings").select("vec_id", vectors.distance(F.col("embedding"), q).alias("distance"))
+    return held.where(F.col("distance") < 0.6).withColumn("distance", F.round("distance", 6))
+
+
+TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+@query(f"SELECT item_id, len({TOKENS.format('text')}) AS n_tokens, len(list_distinct({TOKENS.format('text')})) AS n_distinct, {TOKENS.format('text')}[1] AS first_token FROM benchmark")
+def tokenize_docs(spark, sf_dir):
+    held = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("ts"))
+    return held.select("item_id", F.size("ts").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("ts")).cast("bigint").alias("n_distinct"), F.get("ts", 0).alias("first_token"))
+
+
+QUESTION = "the of token"
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_all({TOKENS.format('text')}, ['the', 'of', 'token'])")
+def lexical_match(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ts"))
+    q = F.array_distinct(text.tokens(F.lit(QUESTION)))
+    return docs.where((F.size(q) > 0) & (F.size(F.array_except(q, "ts")) == 0)).select("doc_id")
+
+
+def _bm25(words: list[str]) -> str:
+    one = "(len(list_filter(ts, lambda t: t = '{0}')) * 2.2 / (len(list_filter(ts, lambda t: t = '{0}')) + 1.2 * (0.25 + 0.75 * len(ts) / 500)))"
+    return " + ".join(one.format(w) for w in words)
+
+
+LEXICAL = f"SELECT doc_id AS node_id, {_bm25(['the', 'of', 'token'])} AS score FROM (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents) WHERE list_has_all(ts, ['the', 'of', 'token']) ORDER BY score DESC, node_id LIMIT 12"
+
+
+@query(f"SELECT node_id, round(score, 6) AS score FROM ({LEXICAL})")
+def lexical_rank(spark, sf_dir):
+    found = retrieval.lexical(table(spark, sf_dir, "documents"), QUESTION, 12, node="doc_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
+DENSE = f"SELECT a.vec_id AS node_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY score DESC, node_id LIMIT 12"
+
+
+@query(f"""WITH l AS ({LEXICAL}), d AS ({DENSE}), u AS (
+  SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) AS rk FROM l UNION ALL SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) FROM d)
+ SELECT node_id, round(sum(1 / (60.0 + rk)), 9) AS rrf FROM u GROUP BY node_id""")
+def rrf_fusion(spark, sf_dir):
+    d = retrieval.dense(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), 12, node="vec_id")
+    x = retrieval.lexical(table(spark, sf_dir, "documents"), QUESTION, 12, node="doc_id")
+    return retrieval.fuse(d, x).withColumn("rrf", F.round("rrf", 9))
+
+
+RERANKED = f"SELECT node_id, len(list_intersect(['the', 'of', 'token', 'anstou'], {TOKENS.format('d.text')})) / 4.0 AS score FROM (HITS) h JOIN documents d ON d.doc_id = h.node_id ORDER BY score DESC, node_id LIMIT 3"
+RERANK_QUESTION = "the of token anstou"
+
+
+@query(RERANKED.replace("HITS", LEXICAL))
+def rerank_topk(spark, sf_dir):
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    return retrieval.rerank(retrieval.lexical(nodes, QUESTION), nodes, retrieval.overlap_score(RERANK_QUESTION))
+
+
+@query()
+def retrieve_pipeline(spark, sf_dir):
+    docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    nodes = docs.join(vecs, docs["doc_id"] == vecs["vec_id"]).select(F.col("doc_id").alias("node_id"), "text", "embedding")
+    return retrieval.retrieve(nodes, RERANK_QUESTION, _vector(spark, sf_dir, 0))
+
+
+WORDS = "regexp_split_to_array(trim(text, chr(9) || chr(10) || chr(13) || ' '), '\\s+')"
+CHUNKS = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE text IS NOT NULL),
+ roots AS (SELECT doc_id, n, list_slice(ws, n * 1968 + 1, n * 1968 + 2048) AS ws FROM (SELECT doc_id, ws, unnest(generate_series(0, greatest(0, CAST(ceil((len(ws) - 80) / 1968.0) AS BIGINT) - 1))) AS n FROM w)),
+ leaves AS (SELECT doc_id, p, n, list_slice(ws, n * 320 + 1, n * 320 + 400) AS ws FROM (SELECT doc_id, n AS p, ws, unnest(generate_series(0, greatest(0, CAST(ceil((len(ws) - 80) / 320.0) AS BIGINT) - 1))) AS n FROM roots))"""
+
+
+@query(f"{CHUNKS} SELECT 'd' || doc_id || '.' || n AS node_id, NULL AS parent_id, 0 AS level, md5(array_to_string(ws, ' ')) AS digest FROM roots UNION ALL SELECT 'd' || doc_id || '.' || p || '.' || n, 'd' || doc_id || '.' || p, 1, md5(array_to_string(ws, ' ')) FROM leaves")
+def chunk_hierarchy(spark, sf_dir):
+    return retrieval.chunks(table(spark, sf_dir, "documents").where("text is not null")).select("node_id", "parent_id", "level", F.md5("text").alias("digest"))
+
+
+@query(f"{CHUNKS} SELECT 'd' || l.doc_id || '.' || l.p || '.' || l.n AS node_id, CAST(h.score AS DOUBLE) AS score FROM leaves l JOIN (SELECT doc_id, doc_id % 7 AS score FROM documents WHERE doc_id < 50) h ON h.doc_id = l.doc_id WHERE l.p = 0")
+def expand_leaves(spark, sf_dir):
+    nodes = retrieval.chunks(table(spark, sf_dir, "documents").where("text is not null"))
+    hits = table(spark, sf_dir, "documents").where("doc_id < 50 and text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".0")).alias("node_id"), (F.col("doc_id") % 7).cast("double").alias("score"))
+    return retrieval.leaves(hits, nodes)
+
+
+# --- SQL as data -----------------------------------------------------------------------------------------------
+
+#: A small pool of statements: (id, class, question, SQL).
+POOL = [
+    (1, "EASY", "How many orders are there?", "SELECT COUNT(*) FROM orders"),
+    (2, "NON-NESTED", "Which customers spent more than 10?", "SELECT c.c_name, SUM(o.o_totalprice) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_name HAVING SUM(o.o_totalprice) > 10"),
+    (3, "NESTED", "Who ordered often?", "WITH t AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT c.c_name FROM customer c JOIN t ON t.o_custkey = c.c_custkey WHERE t.n > 3 AND c.c_acctbal BETWEEN 0 AND 100 ORDER BY c.c_name LIMIT 5"),
+    (4, "NESTED", "Suppliers of large lines", "SELECT s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 40)"),
+    (5, "NON-NESTED", "Orders with lines", "SELECT DISTINCT o.o_orderkey, MAX(l.l_quantity) FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'O' GROUP BY o.o_orderkey"),
+    (6, "FILTER_BI", "Active movements", "SELECT * FROM movement WHERE status = 'A' AND NOT customer LIKE '%X%'"),
+]
+
+
+def _skeletons(spark: SparkSession) -> DataFrame:
+    return sqlast.skeletons(spark, [(i, q) for i, _, _, q in POOL])
+
+
+SKELETONS = """SELECT * FROM (VALUES
+ (1, ['orders'], 0, false, false, false, false, ['count'], 4), (2, ['customer', 'orders'], 1, true, true, false, false, ['sum'], 19),
+ (3, ['customer', 'orders'], 1, true, false, false, true, ['count'], 20), (4, ['lineitem', 'supplier'], 0, false, false, true, false, CAST([] AS VARCHAR[]), 12),
+ (5, ['lineitem', 'orders'], 1, true, false, false, false, ['max'], 14), (6, ['movement'], 0, false, false, false, false, CAST([] AS VARCHAR[]), 2))
+ AS s(id, tables, n_joins, has_group_by, has_having, has_subquery, has_cte, aggregates, complexity)"""
+
+
+@query(f"SELECT CAST(id AS BIGINT) AS id, array_to_string(tables, ',') AS tables, n_joins, has_group_by, has_having, has_subquery, has_cte, array_to_string(aggregates, ',') AS aggregates, complexity FROM ({SKELETONS})")
+def sql_skeletons(spark, sf_dir):
+    return _skeletons(spark).select("id", F.array_join("tables", ",").alias("tables"), F.size("join_types").alias("n_joins"), "has_group_by", "has_having", "has_subquery", "has_cte", F.array_join("aggregates", ",").alias("aggregates"), "complexity")
+
+
+def _jaccard(c: str) -> str:
+    return f"(CASE WHEN len(a.{c}) + len(b.{c}) = 0 THEN 1.0 ELSE len(list_intersect(a.{c}, b.{c})) / CAST(len(list_distinct(list_concat(a.{c}, b.{c}))) AS DOUBLE) END)"
+
+
+SIMILARITY = f"""SELECT CAST(a.id AS BIGINT) AS a, CAST(b.id AS BIGINT) AS b, ((CASE WHEN a.has_group_by = b.has_group_by THEN 3 ELSE 0 END) + (CASE WHEN a.has_having = b.has_having THEN 3 ELSE 0 END)
+ + (CASE WHEN a.has_subquery = b.has_subquery THEN 3 ELSE 0 END) + (CASE WHEN a.has_cte = b.has_cte THEN 2 ELSE 0 END) + (CASE WHEN (a.n_joins > 0) = (b.n_joins > 0) THEN 2 ELSE 0 END)
+ + 4 * {_jaccard('tables')} + 2 * {_jaccard('aggregates')} + 1 - abs(a.complexity - b.complexity) / CAST(greatest(a.complexity, b.complexity) AS DOUBLE)) / 20.0 AS score
+ FROM ({SKELETONS}) a, ({SKELETONS}) b"""
+
+
+@query(f"SELECT a, b, round(score, 6) AS score FROM ({SIMILARITY})")
+def skeleton_similarity(spark, sf_dir):
+    s = _skeletons(spark)
+    # the pool is a short literal list
+    return s.alias("a").crossJoin(F.broadcast(s.alias("b"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(sqlast.similarity("a", "b"), 6).alias("score"))
+
+
+COOCCUR = f"SELECT a.t AS t1, b.t AS t2, count(*) AS n FROM (SELECT id, unnest(tables) AS t FROM ({SKELETONS})) a JOIN (SELECT id, unnest(tables) AS t FROM ({SKELETONS})) b ON a.id = b.id AND a.t <> b.t GROUP BY 1, 2"
+
+
+@query(COOCCUR)
+def table_cooccurrence(spark, sf_dir):
+    return sqlast.cooccurrence(_skeletons(spark))
+
+
+@query(f"SELECT t1, t2, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY t1 ORDER BY n DESC, t2) AS INTEGER) AS rank FROM ({COOCCUR})) WHERE rank <= 3")
+def related_tables(spark, sf_dir):
+    return sqlast.related(sqlast.cooccurrence(_skeletons(spark)))
+
+
+@query("SELECT * FROM (VALUES ('customer'), ('lineitem'), ('orders')) AS t(table_name)")
+def bridge_tables(spark, sf_dir):
+    edges = sqlast.cooccurrence(_skeletons(spark)).withColumn("n", F.col("n") * 3)
+    return spark.createDataFrame([(t,) for t in sqlast.bridges(edges, ["orders"], None)], "table_name string")
+
+
+@query("SELECT * FROM (VALUES (3, 'customer', 'c_acctbal'), (3, 'customer', 'c_custkey'), (4, 'lineitem', 'l_quantity'), (4, 'supplier', 's_suppkey')) AS t(id, table_name, column_name)")
+def protected_columns(spark, sf_dir):
+    held = {r["table_name"]: set(r["cs"]) for r in tables.catalog_columns(spark, sf_dir, ["customer", "supplier"]).groupBy("table_name").agg(F.collect_set("column_name").alias("cs")).collect()}
+    held["lineitem"] = {"l_quantity"}
+    rows = [(i, t, c) for i, _, _, q in POOL if i in (3, 4) for t, cs in sqlast.protected(spark, q, held).items() for c in cs]
+    return spark.createDataFrame(rows, "id int, table_name string, column_name string")
+
+
+@query()
+def em_components(spark, sf_dir):
+    rows = []
+    for i, _, _, q in POOL:
+        c = sqlast.components(spark, q)
+        rows.append((i, sorted(c["select"]), c["distinct"], sorted(c["from"]), sorted(map(" ".join, c["where"])), sorted(c["group_by"]), sorted(map(" ".join, c["having"])), list(c["order_by"]), c["limit"]))
+    return spark.createDataFrame(rows, "id int, sel array<string>, is_distinct boolean, frm array<string>, whr array<string>, grp array<string>, hav array<string>, ord array<string>, lim string")
+
+
+@query("SELECT * FROM (VALUES ('same', 1), ('bag', 0), ('columns', 0), ('broken', 0), ('match', 1), ('differs', 0)) AS t(test, score)")
+def ex_compare(spark, sf_dir):
+    views(spark, sf_dir, "orders", "nation")
+    a = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"
+    twice = spark.sql("SELECT n_name FROM nation UNION ALL SELECT n_name FROM nation")
+    rows = [
+        ("same", evaluation.execution_accuracy(spark, "SELECT n, upper(o_orderstatus) || ' ' AS o_orderstatus FROM (" + a + ") ORDER BY n", a)),
+        ("bag", int(evaluation.same_rows(twice, spark.table("nation").select("n_name"), bag=True))),
+        ("columns", evaluation.execution_accuracy(spark, "SELECT 1 AS x", a)),
+        ("broken", evaluation.execution_accuracy(spark, "SELECT nothing FROM nowhere", a)),
+        ("match", evaluation.exact_match(spark, "SELECT x.n_name FROM nation x WHERE x.n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = 2")),
+        ("differs", evaluation.exact_match(spark, "SELECT n_name FROM nation LIMIT 5", "SELECT n_name FROM nation LIMIT 6")),
+    ]
+    return spark.createDataFrame(rows, "test string, score int")
+
+
+@query("SELECT * FROM (VALUES (1, true, ''), (2, false, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'), (3, false, 'TABLE_OR_VIEW_NOT_FOUND'), (4, false, 'PARSE_SYNTAX_ERROR'), (5, false, 'NOT_A_QUERY')) AS t(id, valid, condition)")
+def validate_sql(spark, sf_dir):
+    views(spark, sf_dir, "nation")
+    statements = ["SELECT n_name FROM nation;", "SELECT nme FROM nation", "SELECT 1 FROM nationz", "SELECT (1 FROM nation", "DROP TABLE nation"]
+    rows = [(i, *validate.check(spark, q)[:2]) for i, q in enumerate(statements, 1)]
+    return spark.createDataFrame(rows, "id int, valid boolean, condition string")
+
+
+@query("SELECT * FROM (VALUES (1, false), (2, true)) AS t(attempt, valid)")
+def self_correct(spark, sf_dir):
+    views(spark, sf_dir, "nation")
+    replies = iter(["SELECT nme FROM nation", "SELECT n_name FROM nation"])
+    done = validate.correct(spark, lambda q, tried, ddl: next(replies), "names?", "nation(n_name)", "nation(n_nationkey, n_name)")
+    return spark.createDataFrame([(i, a.condition == "") for i, a in enumerate(done.attempts, 1)], "attempt int, valid boolean")
+
+
+# --- schema ----------------------------------------------------------------------------------------------------
+
+SMALL = ["region", "nation", "customer", "supplier"]
+CATALOG = """SELECT * FROM (VALUES ('region', 1, 'r_regionkey', 'INT', true, false), ('region', 2, 'r_name', 'STRING', false, false), ('nation', 1, 'n_nationkey', 'INT', true, false), ('nation', 2, 'n_name', 'STRING', false, false),
+ ('nation', 3, 'n_regionkey', 'INT', false, true), ('customer', 1, 'c_custkey', 'BIGINT', true, false), ('customer', 2, 'c_name', 'STRING', false, false), ('customer', 3, 'c_nationkey', 'INT', false, true), ('customer', 4, 'c_acctbal', 'DOUBLE', false, false),
+ ('customer', 5, 'c_mktsegment', 'STRING', false, false), ('supplier', 1, 's_suppkey', 'BIGINT', true, false), ('supplier', 2, 's_name', 'STRING', false, false), ('supplier', 3, 's_nationkey', 'INT', false, true), ('supplier', 4, 's_acctbal', 'DOUBLE', false, false))
+ AS c(table_name, ordinal, column_name, data_type, is_pk, is_fk)"""
+FKS = "SELECT * FROM (VALUES ('nation', 'n_regionkey', 'region', 'r_regionkey'), ('customer', 'c_nationkey', 'nation', 'n_nationkey'), ('supplier', 's_nationkey', 'nation', 'n_nationkey')) AS f(table_name, column_name, ref_table, ref_column)"
+
+
+@query(CATALOG)
+def catalog_columns(spark, sf_dir):
+    return tables.catalog_columns(spark, sf_dir, SMALL).select("table_name", "ordinal", "column_name", "data_type", "is_pk", "is_fk")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in tables.TABLES))
+def catalog_tables(spark, sf_dir):
+    return tables.visible(tables.row_counts(spark, sf_dir))
+
+
+@query("SELECT table_name FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in tables.TABLES) + ") WHERE n > 0 AND table_name NOT IN ('labels')")
+def nonempty_tables(spark, sf_dir):
+    return tables.row_counts(spark, sf_dir).where("row_count > 0").where(~F.col("table_name").isin("labels")).select("table_name")
+
+
+DDL = f"""SELECT c.table_name, 'CREATE TABLE public.' || c.table_name || ' (' || chr(10) || cols || chr(10) || ');' || chr(10) || coalesce(refs, '') AS ddl FROM
+ (SELECT table_name, string_agg('    ' || column_name || ' ' || data_type || CASE WHEN is_pk THEN ' PRIMARY KEY' ELSE '' END, ',' || chr(10) ORDER BY ordinal) AS cols FROM ({CATALOG}) GROUP BY 1) c
+ LEFT JOIN (SELECT table_name, string_agg('-- FOREIGN KEY (' || column_name || ') REFERENCES public.' || ref_table || '(' || ref_column || ')', chr(10) ORDER BY column_name) AS refs FROM ({FKS}) GROUP BY 1) r ON r.table_name = c.table_name"""
+
+
+@query(DDL)
+def schema_ddl(spark, sf_dir):
+    return schema.ddl(tables.catalog_columns(spark, sf_dir, SMALL), tables.catalog_fks(spark))
+
+
+@query(f"SELECT table_name, column_name FROM ({CATALOG}) WHERE is_pk OR is_fk OR (table_name = 'customer' AND column_name = 'c_acctbal')")
+def schema_pruned_columns(spark, sf_dir):
+    return schema.linked(schema.pruned(tables.catalog_columns(spark, sf_dir, SMALL)), [("customer", "c_acctbal")]).select("table_name", "column_name")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'region'), ('customer', 'supplier'), ('region', 'supplier')) AS t(t1, t2)")
+def missing_fk_pairs(spark, sf_dir):
+    return schema.missing_fks(spark.createDataFrame([(t,) for t in SMALL], "table_name string"), tables.catalog_fks(spark))
+
+
+@query(f"SELECT table_name, count(*) AS raw_columns, count(*) FILTER (is_pk OR is_fk) AS kept_columns, round(1 - count(*) FILTER (is_pk OR is_fk) / CAST(count(*) AS DOUBLE), 4) AS rate FROM ({CATALOG}) GROUP BY 1")
+def schema_shortening(spark, sf_dir):
+    raw = tables.catalog_columns(spark, sf_dir, SMALL)
+    text_ = schema.ddl(schema.linked(raw), tables.catalog_fks(spark)).select("table_name", schema.ddl_columns(F.col("ddl")).cast("bigint").alias("kept_columns"))
+    counts = raw.groupBy("table_name").agg(F.count("*").alias("raw_columns")).join(text_, "table_name")
+    return counts.withColumn("rate", evaluation.shortening(F.col("raw_columns"), F.col("kept_columns")))
+
+
+@query(f"SELECT table_name, sha256('pruning:true|no_table_comment|' || string_agg(column_name || ':' || data_type || ':None:' || is_pk || ':' || is_fk, '|' ORDER BY ordinal)) AS hash FROM ({CATALOG}) GROUP BY 1".replace("pruning:true", "pruning:True"))
+def schema_hashes(spark, sf_dir):
+    return text.schema_hash(tables.catalog_columns(spark, sf_dir, SMALL))
+
+
+# --- feedback and index ----------------------------------------------------------------------------------------
+
+STORE = "SELECT min(text) AS pergunta, 'SELECT ' || conv_id AS sql_gerado, 'old' AS resposta_final, CASE WHEN conv_id % 3 = 0 THEN 'VALIDADO' ELSE 'PENDENTE' END AS status_validacao, CAST(conv_id % 5 AS INTEGER) AS uso_count, CAST(conv_id AS BIGINT) AS data_criacao FROM conversations WHERE role = 'user' AND turn = 0 GROUP BY conv_id"
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first user turns as a feedback table: one row per question, the latest of equal ones."""
+    views(spark, sf_dir, "conversations")
+    latest = Window.partitionBy("pergunta").orderBy(F.desc("data_criacao"))
+    return spark.sql(STORE).withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn")
+
+
+STORED = f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY pergunta ORDER BY data_criacao DESC) AS rn FROM ({STORE})) WHERE rn = 1"
+ANSWERS = f"SELECT pergunta, 'SELECT new' AS sql_gerado, 'new' AS resposta_final, CAST(1000000 AS BIGINT) AS em FROM ({STORED}) WHERE data_criacao % 2 = 0 UNION ALL SELECT 'a new question', 'SELECT 1', 'one', CAST(1000001 AS BIGINT)"
+
+
+@query(f"""WITH s AS ({STORED}), a AS ({ANSWERS}) SELECT coalesce(s.pergunta, a.pergunta) AS pergunta, coalesce(s.sql_gerado, a.sql_gerado) AS sql_gerado, coalesce(a.resposta_final, s.resposta_final) AS resposta_final,
+ CASE WHEN a.pergunta IS NOT NULL THEN 'PENDENTE' ELSE s.status_validacao END AS status_validacao, CASE WHEN a.pergunta IS NULL THEN s.uso_count WHEN s.pergunta IS NULL THEN 0 ELSE s.uso_count + 1 END AS uso_count, coalesce(a.em, s.data_criacao) AS data_criacao
+ FROM s FULL JOIN a ON s.pergunta = a.pergunta""")
+def feedback_upsert(spark, sf_dir):
+    s = _store(spark, sf_dir)
+    known = s.where("data_criacao % 2 = 0").select("pergunta", F.lit("SELECT new").alias("sql_gerado"), F.lit("new").alias("resposta_final"), F.lit(1000000).cast("bigint").alias("em"))
+    fresh = spark.createDataFrame([("a new question", "SELECT 1", "one", 1000001)], "pergunta string, sql_gerado string, resposta_final string, em long")
+    return feedback.upsert(s, known.union(fresh))
+
+
+@query(f"SELECT pergunta, sql_gerado AS sql FROM ({STORED}) WHERE status_validacao = 'VALIDADO' ORDER BY data_criacao DESC NULLS LAST, uso_count DESC NULLS LAST, pergunta LIMIT 20")
+def feedback_top_validated(spark, sf_dir):
+    return feedback.validated(_store(spark, sf_dir))
+
+
+BEFORE = "SELECT 'doc' || doc_id AS file_name, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 0"
+NOW = "SELECT 'doc' || doc_id AS file_name, sha256(CASE WHEN doc_id % 10 = 1 THEN text || '.' ELSE text END) AS hash FROM documents WHERE doc_id % 10 <> 2"
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of a folder: some documents are new, some gone, some edited since."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_name"), "doc_id", "text")
+    edited = F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    before = docs.where("doc_id % 10 <> 0").select("file_name", F.sha2("text", 256).alias("hash"))
+    return before, docs.where("doc_id % 10 <> 2").select("file_name", F.sha2(edited, 256).alias("hash"))
+
+
+@query(f"SELECT coalesce(b.file_name, n.file_name) AS file_name, CASE WHEN b.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({BEFORE}) b FULL JOIN ({NOW}) n ON b.file_name = n.file_name WHERE b.hash IS DISTINCT FROM n.hash")
+def index_diff_files(spark, sf_dir):
+    before, now = _snapshots(spark, sf_dir)
+    return feedback.changes(before, now, "file_name")
+
+
+@query(NOW)
+def index_synced_files(spark, sf_dir):
+    before, now = _snapshots(spark, sf_dir)
+    return feedback.synced(before, feedback.changes(before, now, "file_name"), now, "file_name").select("file_name", "hash")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'changed'), ('region', 'removed'), ('part', 'added')) AS t(table_name, change)")
+def index_diff_tables(spark, sf_dir):
+    before = text.schema_hash(tables.catalog_columns(spark, sf_dir, ["region", "nation", "customer"]))
+    now = text.schema_hash(tables.catalog_columns(spark, sf_dir, ["nation", "customer", "part"]).where("column_name <> 'c_acctbal'"))
+    return feedback.changes(before, now, "table_name")
+
+
+# --- examples and evaluation -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT a AS id, score FROM ({SIMILARITY}) WHERE b = 2) SELECT id, round(0.5 * {COS} + 0.5 * s.score, 6) AS score
+ FROM s JOIN embeddings a ON a.vec_id = s.id, embeddings b WHERE b.vec_id = 0 ORDER BY 2 DESC, 1 LIMIT 4""")
+def fewshot_hybrid(spark, sf_dir):
+    s = _skeletons(spark)
+    scored = s.alias("a").crossJoin(F.broadcast(s.where("id = 2").alias("b"))).select(F.col("a.id").alias("id"), sqlast.similarity("a", "b").alias("struct"))
+    held = scored.join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), "id")
+    return retrieval.few_shots(held, _vector(spark, sf_dir, 0), F.col("struct"), 4).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT CAST(p.id AS BIGINT) AS id, p.dificuldade, round({COS}, 6) AS score FROM (VALUES {', '.join(f'({i}, {chr(39)}{d}{chr(39)})' for i, d, _, _ in POOL)}) AS p(id, dificuldade) JOIN embeddings a ON a.vec_id = p.id, embeddings b WHERE b.vec_id = 0 AND p.dificuldade = 'NESTED' ORDER BY 3 DESC, 1 LIMIT 3")
+def fewshot_classification(spark, sf_dir):
+    pool = spark.createDataFrame([(i, d) for i, d, _, _ in POOL], "id long, dificuldade string")
+    held = retrieval.of_class(pool.where("dificuldade is not null"), "NESTED").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), "id")
+    return retrieval.few_shots(held, _vector(spark, sf_dir, 0), None, 3, alpha=1.0).select("id", "dificuldade", F.round("score", 6).alias("score"))
+
+
+@query("SELECT quality, count(*) AS n, CAST(ceil(count(*) * 0.2) AS BIGINT) AS n_test FROM labels GROUP BY quality")
+def stratified_split(spark, sf_dir):
+    held = evaluation.stratified_split(table(spark, sf_dir, "labels"), "quality", "doc_id")
+    return held.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.when(F.col("part") == "test", 1).otherwise(0)).alias("n_test"))
+
+
+LINE = "c_custkey || ' | ' || c_name || ' | ' || coalesce(c_mktsegment, '')"
+
+
+@query(f"SELECT c_custkey, line, CAST(used AS BIGINT) AS used FROM (SELECT c_custkey, {LINE} AS line, sum(length({LINE}) + 1) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS used FROM customer WHERE c_custkey <= 200) WHERE used <= 3000")
+def rows_to_text_budget(spark, sf_dir):
+    line = F.concat_ws(" | ", F.col("c_custkey").cast("string"), "c_name", F.coalesce("c_mktsegment", F.lit("")))
+    held = table(spark, sf_dir, "customer").where("c_custkey <= 200").select("c_custkey", line.alias("line"))
+    return movement.running_budget(held, "line", "c_custkey", 3000)
+
+
+# --- text ------------------------------------------------------------------------------------------------------
+
+REPLIES = [
+    (1, "Here it is:\n```sql\nSELECT a FROM t;\n```\nDone.", "SELECT a FROM t;"),
+    (2, "with x as (select ';' as s) select s from x; drop table t", "with x as (select ';' as s) select s from x;"),
+    (3, "no query", "no query"),
+    (4, "SELECT 1", "SELECT 1;"),
+]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else "NULL" if v is None else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
+
+
+@query(_values([(i, b) for i, _, b in REPLIES], "id, sql"))
+def pure_sql(spark, sf_dir):
+    return spark.createDataFrame([r[:2] for r in REPLIES], "id int, reply string").select("id", text.pure_sql(F.col("reply")).alias("sql"))
+
+
+LONG = "SELECT customer, net_total FROM movement WHERE status = 'A'"
+CLEAN = [(1, f"{LONG} {LONG} ", f"{LONG};"), (2, f"{LONG} UNION ALL {LONG}", f"{LONG} UNION ALL {LONG};"), (3, "", ""), (4, "```sql\nSELECT 1;\n```", "SELECT 1;")]
+
+
+@query(_values([(i, b) for i, _, b in CLEAN], "id, sql"))
+def clean_sql(spark, sf_dir):
+    return spark.createDataFrame([r[:2] for r in CLEAN], "id int, reply string").select("id", text.clean_sql(F.col("reply")).alias("sql"))
+
+
+CLASSES = [(1, "It is NON-NESTED.", "NON-NESTED"), (2, "nested", "NESTED"), (3, "Easy one", "EASY"), (4, "?", "NON-NESTED"), (5, "non_nested", "NON-NESTED")]
+
+
+@query(_values([(i, b) for i, _, b in CLASSES], "id, difficulty"))
+def difficulty_parse(spark, sf_dir):
+    return spark.createDataFrame([r[:2] for r in CLASSES], "id int, reply string").select("id", text.difficulty(F.col("reply")).alias("difficulty"))
+
+
+RUNS = [(1, 200.0, "x", "SELECT 1", 1, "TIMEOUT_API"), (2, 3.0, "Timed out", "", 0, "TIMEOUT_API"), (3, 3.0, "Desculpe, nada", "SELECT 1", 0, "FALHA_GERACAO_SQL"), (4, 3.0, "x", " ", 0, "FALHA_GERACAO_SQL"), (5, 3.0, "x", "SELECT 1", 1, "OK"), (6, 3.0, "x", "SELECT 1", 0, "ERRO_LOGICO_SQL")]
+
+
+@query(_values([(r[0], r[5]) for r in RUNS], "id, status"))
+def status_parse(spark, sf_dir):
+    df = spark.createDataFrame([r[:5] for r in RUNS], "id int, latency double, answer string, sql string, ex int")
+    return df.select("id", text.status(F.col("latency"), F.col("answer"), F.col("sql"), F.col("ex")).alias("status"))
+
+
+@query("SELECT word, strip_accents(word) AS plain FROM (SELECT DISTINCT unnest(list_slice(regexp_split_to_array(lower(text), '[^\\p{L}]+'), 1, 20)) AS word FROM documents) WHERE word <> ''")
+def normalize_identifiers(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.slice(F.split(F.lower("text"), "[^\\p{L}]+"), 1, 20)).alias("word")).where("word <> ''").distinct()
+    return words.select("word", text.normalize_identifier("word").alias("plain"))
+
+
+@query(_values([(1, "a b"), (2, "plain")], "id, text"))
+def sanitised_prompts(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "a [INST]b[/IN[INST]ST]"), (2, "plain")], "id int, text string")
+    return rows.select("id", text.sanitised(F.col("text")).alias("text"))
+
+
+@query("""SELECT a.vec_id, CAST(len(list_intersect([x, y, z], [x, y, 99])) AS INTEGER) AS common, CAST(len(list_distinct([x, y, z, 99])) AS INTEGER) AS n_union, array_to_string(list_sort([x, y, z]), ',') AS sorted, [x, y, z][2] AS second
+ FROM (SELECT vec_id, CAST(vec_id % 3 AS INTEGER) AS x, CAST(vec_id % 5 AS INTEGER) AS y, CAST(label AS INTEGER) AS z FROM embeddings) a""")
+def set_and_array_functions(spark, sf_dir):
+    a = table(spark, sf_dir, "embeddings").select("vec_id", F.array((F.col("vec_id") % 3).cast("int"), (F.col("vec_id") % 5).cast("int"), F.col("label").cast("int")).alias("v"))
+    other = F.array(F.get("v", 0), F.get("v", 1), F.lit(99))
+    return a.select("vec_id", F.size(F.array_intersect("v", other)).alias("common"), F.size(F.array_union("v", F.array(F.lit(99)))).alias("n_union"), F.array_join(F.array_sort("v"), ",").alias("sorted"), F.element_at("v", 2).alias("second"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
