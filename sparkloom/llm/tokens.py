@@ -8,7 +8,7 @@ looked up once, and only words that a worker hasn't met go through the library.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,13 @@ _UPPER, _LOWER = "\u00c0-\u00d6\u00d8-\u00de", "\u00df-\u00f6\u00f8-\u00ff"
 ODD = f"[^\\x09-\\x0d\\x20-\\x7e{_UPPER}{_LOWER}]|<\\|"
 PIECES = f"('s|'t|'re|'ve|'m|'ll|'d|[a-z{_LOWER}]+|[0-9]|[^a-z0-9{_LOWER}\\x09-\\x0d\\x20]+)"
 
+#: Kinds of bytes in lower-case text that isn't odd: white space, letters, digits, others.
+DIGIT = 2
+KINDS = np.full(256, 3, np.uint8)
+KINDS[[9, 10, 11, 12, 13, 32]] = 0
+KINDS[np.r_[97:123, 128:256]] = 1
+KINDS[48:58] = DIGIT
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -63,8 +70,8 @@ class WordEncoder:
     def _reset(self) -> None:
         self.slots: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
+        self.starts = np.zeros(1 << 14, np.int32)
+        self.sizes = np.zeros(1 << 14, np.int32)
         self.n_words = self.n_ids = 0
 
     def _piece(self, piece: str) -> list[int]:
@@ -90,44 +97,73 @@ class WordEncoder:
         self.n_words += len(pieces)
         self.n_ids += total
 
-    def _ids(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        offsets = pieces.offsets.to_numpy().astype(np.int64)
-        coded = pieces.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        offsets = offsets - offsets[0]
+    def _ids(self, pieces: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in turn, and their number for each text; offsets: each text's first piece."""
+        coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
         if self.n_words > CACHE_WORDS or self.n_ids > CACHE_IDS:
             self._reset()
-        missing = [w for w in names if w not in self.slots and w not in ("", "\0")]
+        # slot -1: white space, without ids
+        slots = np.fromiter(map(self.slots.get, names, repeat(-1)), np.int32, len(names))
+        missing = [i for i in np.flatnonzero(slots < 0).tolist() if names[i].strip("\0 \t\n\v\f\r")]
         if missing:
-            self._learn(missing)
-        # slot -1: the empty piece, without ids
-        slots = np.fromiter((self.slots.get(w, -1) for w in names), np.int64, len(names))
-        at = slots[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
-        sizes = np.where(at < 0, 0, self.sizes[at])
-        ends = np.cumsum(sizes)
+            slots[missing] = np.arange(self.n_words, self.n_words + len(missing))
+            self._learn([names[i] for i in missing])
+        sizes, starts = np.where(slots < 0, 0, self.sizes[slots]), self.starts[slots]
+        at = coded.indices.to_numpy()
+        sizes, starts = sizes[at], starts[at]
+        ends = np.cumsum(sizes, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        return ids, np.diff(np.concatenate([[0], ends])[offsets])
+        starts -= ends
+        starts += sizes
+        where = np.repeat(starts, sizes)
+        where += np.arange(total, dtype=np.int32)
+        return self.flat[where], np.diff(np.concatenate([[0], ends])[offsets])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none), and the number of ids of each text."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "").cast(pa.string())
         odd = pc.match_substring_regex(texts, ODD)
-        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        plain = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(odd, "", texts)), PIECES, "\\1 ")
-        ids, sizes = self._ids(pc.ascii_split_whitespace(plain))
-        if not len(where):
-            return ids, sizes
-        marked = pc.replace_substring_regex(texts.take(where), "([^\\x09-\\x0d\\x20]+)", "\0\\1")
-        odd_ids, odd_sizes = self._ids(pc.ascii_split_whitespace(marked))
-        all_sizes = sizes.copy()
-        all_sizes[where] = odd_sizes
-        out = np.empty(int(all_sizes.sum()), np.uint32)
-        is_odd = np.zeros(len(sizes), bool)
-        is_odd[where] = True
-        mask = np.repeat(is_odd, all_sizes)
-        out[mask], out[~mask] = odd_ids, ids
-        return out, all_sizes
+        contracted = pc.and_not(pc.match_substring_regex(texts, "'[a-zA-Z]"), odd)
+        ids, sizes = self._ids(*runs(pc.utf8_lower(pc.if_else(pc.or_(odd, contracted), "", texts))))
+        for some, pattern, mark in ((contracted, PIECES, "\\1 "), (odd, "([^\\x09-\\x0d\\x20]+)", "\0\\1")):
+            where = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            if len(where):
+                held = texts.take(pa.array(where))
+                split = pc.ascii_split_whitespace(pc.replace_substring_regex(held if some is odd else pc.utf8_lower(held), pattern, mark))
+                offsets = split.offsets.to_numpy()
+                more, more_sizes = self._ids(split.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0])
+                ids, sizes = _merged(ids, sizes, where, more, more_sizes)
+        return ids, sizes
+
+
+def runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut into runs of letters, of white space and of other characters, and single digits; the number of
+    each text's first run. For lower-case text that isn't odd and has no contractions."""
+    held = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    buffer = texts.buffers()[2]
+    raw = np.frombuffer(buffer, np.uint8)[held[0] : held[-1]] if buffer is not None else np.zeros(0, np.uint8)
+    bounds = held - held[0]
+    kind = KINDS[raw]
+    first = np.empty(len(raw) + 1, bool)
+    first[1:-1] = kind[1:] != kind[:-1]
+    first[:-1] |= kind == DIGIT
+    first[bounds] = True
+    starts = np.flatnonzero(first).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw)])
+    return pieces, np.searchsorted(starts, bounds)
+
+
+def _merged(ids: np.ndarray, sizes: np.ndarray, where: np.ndarray, more: np.ndarray, more_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids and sizes with those of the texts at where, which had none so far, put in."""
+    sizes = sizes.copy()
+    sizes[where] = more_sizes
+    is_more = np.zeros(len(sizes), bool)
+    is_more[where] = True
+    mask = np.repeat(is_more, sizes)
+    out = np.empty(len(mask), np.uint32)
+    out[mask], out[~mask] = more, ids
+    return out, sizes
 
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES):
