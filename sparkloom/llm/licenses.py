@@ -102,7 +102,7 @@ def notices(text: Column, t: Templates, threshold: float = THRESHOLD) -> Column:
 
         def best(acc: Column) -> Column:
             top = F.array_max(acc["dots"])
-            return F.struct(F.element_at(F.array(*[F.lit(x) for x in t.names]), F.array_position(acc["dots"], top).cast("int")).alias("license"), (top / F.sqrt(acc["square"])).alias("score"), line.alias("line"), F.size(window).alias("words"))
+            return F.struct(F.element_at(F.array(*[F.lit(x) for x in t.names]), F.array_position(acc["dots"], top).cast("int")).alias("license"), F.round(top / F.sqrt(acc["square"]), 9).alias("score"), line.alias("line"), F.size(window).alias("words"))
 
         return let(F.aggregate(F.array_distinct(window), zero, add), best)
 

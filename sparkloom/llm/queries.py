@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, licenses, media, mixing, packing, shards, store, token_files, tokens, warc, winnowing
+from . import jaccard, language, licenses, media, mixing, oracles, packing, shards, store, token_files, tokens, warc, winnowing
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda n: F.coalesce(F.floor(F.col("doc_id") / n).cast("string"), F.lit("none"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), step(1000), step(100), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     files = store.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    return licenses.inherited(licenses.scanned(files))
+    return licenses.inherited(licenses.scanned(files)).withColumn("own_score", F.round("own_score", 6))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": oracles.op1(), "op5_jaccard_join": oracles.OP5, "op6_warc": oracles.OP6}
