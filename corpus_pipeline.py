@@ -13,7 +13,7 @@ from sparkloom.llm import jaccard, language, mixing, packing, store
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one known language; those without letters, or without a language of half their letters, go."""
+    """Documents in one known language; those without letters, or of which no language has two fifths of the letters, go."""
     return language.kept(docs)
 
 

@@ -212,7 +212,7 @@ def identified(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFra
     return docs.select(F.struct("*").alias("row"), "text").mapInArrow(run, schema)
 
 
-def kept(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def kept(docs: DataFrame, least: float = 0.4, sample: int = SAMPLE) -> DataFrame:
     """The documents, their columns as they were, that have a language: those without letters and those of
     which no language has at least this share are rejected."""
     found = identified(docs, fit(learning_rows(docs), sample))
