@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.shipping import ship
+
 from . import tokens
 
 FEATURES = 1 << 16
@@ -101,6 +103,7 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of labelled rows (doc_id, text, lang)."""
+    ship(rows.sparkSession)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     languages = sorted(counts)
     n = len(languages)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.shipping import ship
+
 _own: dict[str, str] = {}
 
 
@@ -21,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    ship(spark)
     return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
@@ -45,6 +48,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
