@@ -57,6 +57,13 @@ def status(latency: Column, answer: Column, sql: Column, ex: Column, limit: floa
     return F.when((latency >= limit) | answer.contains("Timed out"), "TIMEOUT_API").when(failed, "FALHA_GERACAO_SQL").when(ex == 1, "OK").otherwise("ERRO_LOGICO_SQL")
 
 
+def json_list(reply: Column, schema: str) -> Column:
+    """The list in a reply, fenced or not; an empty one if there is none."""
+    fenced = F.regexp_extract(reply, r"(?is)```(?:json)?\s*(.*?)```", 1)
+    found = F.from_json(F.when(fenced != "", fenced).otherwise(reply), f"array<{schema}>", {"mode": "PERMISSIVE"})
+    return F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast(f"array<{schema}>"))
+
+
 def choice(reply: Column) -> Column:
     """struct<choice, reason> of a selector's free text."""
     n = F.regexp_extract(reply, r"(?i)Choice\D*(\d+)", 1)

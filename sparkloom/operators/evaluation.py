@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from sparkloom.functions import text
 from sparkloom.plans import sqlast
+from sparkloom.sources import files
 
 
 def normalised(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,3 +82,53 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float = 0.2,
     per = Window.partitionBy(stratum)
     rn = F.row_number().over(per.orderBy(F.xxhash64(key, F.lit(seed)), key))
     return df.withColumn("part", F.when(rn <= F.ceil(F.count("*").over(per) * share), "test").otherwise("pool"))
+
+
+def evaluate(spark: SparkSession, ask, cases: list[dict], path: str | None = None, limit: float = 180.0, ves_runs: int = 5) -> list[dict]:
+    """One record per case (id, pergunta, sql_esperado, dificuldade); ask gives a response with metadata.
+
+    The records are rewritten to path after every case, so a run that is broken off keeps what it has. A case
+    that takes longer than limit, or whose asking fails, is recorded and the next one is asked.
+    """
+    records: list[dict] = []
+    for case in cases:
+        began = time.perf_counter()
+        answer, sql, metadata = "", "", {}
+        try:
+            r = ask(case["pergunta"])
+            answer, metadata = r.response, r.metadata
+            sql = metadata.get("sql") or ""
+        except TimeoutError:
+            answer = "Timed out"
+        latency = time.perf_counter() - began
+        expected = case.get("sql_esperado") or ""
+        ex = execution_accuracy(spark, sql, expected) if sql and expected else 0
+        row = spark.range(1).select(text.status(F.lit(latency), F.lit(answer), F.lit(sql), F.lit(ex), limit).alias("s")).first()
+        records.append(
+            {
+                "id": case["id"],
+                "pergunta": case["pergunta"],
+                "dificuldade": case.get("dificuldade"),
+                "latencia_segundos": round(latency, 3),
+                "execution_accuracy": ex,
+                "exact_match": exact_match(spark, sql, expected) if sql and expected else 0,
+                "valid_efficiency_score": valid_efficiency(spark, sql, expected, ex, ves_runs),
+                "selected_tool": metadata.get("tool"),
+                "status_avaliacao": row["s"],
+                "sql_gerado": sql,
+                "resposta_texto_gerada": answer,
+            }
+        )
+        if path:
+            files.write_json(records, path)
+    return records
+
+
+def generated_cases(spark: SparkSession, counts: DataFrame, ddls: DataFrame, write, skip: tuple[str, ...] = (), per_table: int = 3) -> list[dict]:
+    """Questions that a model writes for each table with rows: write(ddl) gives [{dificuldade, pergunta, sql}]."""
+    wanted = ddls.join(counts.where("row_count > 0").where(~F.col("table_name").isin(*skip) if skip else F.lit(True)), "table_name").orderBy("table_name")
+    out: list[dict] = []
+    for r in wanted.select("ddl").collect():  # one row per table
+        for case in write(r["ddl"])[:per_table]:
+            out.append({"id": len(out) + 1, **case})
+    return out

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sparkloom.functions.text import tokens
 from sparkloom.functions.vectors import cosine, dot, jaccard, norm
@@ -108,6 +111,21 @@ def of_class(examples: DataFrame, difficulty: str) -> DataFrame:
     return examples.crossJoin(F.broadcast(any_)).where((F.col("dificuldade") == difficulty) | (F.col("any_match") == 0)).drop("any_match")  # one row
 
 
+def embedded(rows: DataFrame, text: str, embed: Callable[[str], list[float]]) -> DataFrame:
+    """rows with an embedding of a text column; a text that the model fails on has none."""
+
+    def batch(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[float] | None:
+            try:
+                return None if t is None else embed(t)
+            except Exception:  # noqa: BLE001  one bad text must not lose the batch
+                return None
+
+        return texts.map(one)
+
+    return rows.withColumn("embedding", F.pandas_udf(batch, ArrayType(DoubleType()), PandasUDFType.SCALAR)(F.col(text)))
+
+
 def cached_answer(feedback: DataFrame, query: list[float], threshold: float = 0.98) -> DataFrame:
     """The nearest validated question, if it is closer than 1 - threshold."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -115,4 +133,4 @@ def cached_answer(feedback: DataFrame, query: list[float], threshold: float = 0.
     return held.where(F.col("distance") < 1 - threshold).orderBy("distance", "pergunta").limit(1)
 
 
-__all__ = ["cached_answer", "chunks", "dense", "dot", "few_shots", "fuse", "jaccard", "leaves", "lexical", "norm", "of_class", "ranked", "rerank", "retrieve"]
+__all__ = ["cached_answer", "chunks", "dense", "dot", "embedded", "few_shots", "fuse", "jaccard", "leaves", "lexical", "norm", "of_class", "ranked", "rerank", "retrieve"]

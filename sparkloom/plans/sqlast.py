@@ -131,6 +131,17 @@ def skeletons(spark: SparkSession, statements: list[tuple[int, str]]) -> DataFra
     return spark.createDataFrame(rows, SKELETON)
 
 
+_pools: dict[tuple, DataFrame] = {}
+
+
+def pool_skeletons(spark: SparkSession, statements: list[tuple[int, str]]) -> DataFrame:
+    """skeletons() of a pool, worked out once for the same statements: other pools have their own."""
+    key = (spark.sparkContext.applicationId, *statements)
+    if key not in _pools:
+        _pools[key] = skeletons(spark, statements)
+    return _pools[key]
+
+
 def similarity(a: str, b: str, compat: bool = False) -> Column:
     """Structural similarity of skeletons in columns a.* and b.*; identical ones have 1.
 

@@ -189,3 +189,40 @@ def test_agent_paths(spark):
     a.generate = late
     assert a.ask("sum?").response == "Timed out"
     assert agent.combined([r, r]).response.count("SELECT") == 2 and agent.prompt(agent.FILTER_TOOL, "?") == agent.RULES["filter", ""]
+
+
+def test_json_replies(spark):
+    rows = [(1, 'x ```json\n[{"a": 1}, {"a": 2}]\n``` y'), (2, '[{"a": 3}]'), (3, "nothing")]
+    got = spark.createDataFrame(rows, "id int, t string").select("id", text.json_list(F.col("t"), "struct<a:int>").alias("l")).collect()
+    assert {r["id"]: [x["a"] for x in r["l"]] for r in got} == {1: [1, 2], 2: [3], 3: []}
+
+
+def test_evaluation_loop(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("three")
+    cases = [{"id": 1, "pergunta": "n?", "sql_esperado": "SELECT count(*) AS n FROM three"}, {"id": 2, "pergunta": "late?", "sql_esperado": "SELECT 1"}, {"id": 3, "pergunta": "wrong?", "sql_esperado": "SELECT 2 AS n"}]
+
+    def ask(q):
+        if q == "late?":
+            raise TimeoutError
+        return agent.Response("3", {"sql": "SELECT count(id) AS n FROM three", "tool": "t"})
+
+    out = tmp_path / "r.json"
+    got = evaluation.evaluate(spark, ask, cases, str(out), ves_runs=1)
+    assert [r["status_avaliacao"] for r in got] == ["OK", "TIMEOUT_API", "ERRO_LOGICO_SQL"] and json.loads(out.read_text()) == got
+    counts = spark.createDataFrame([("a", 1), ("b", 0), ("c", 2)], "table_name string, row_count long")
+    ddls = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "table_name string, ddl string")
+    made = evaluation.generated_cases(spark, counts, ddls, lambda d: [{"pergunta": d}] * 5, skip=("c",))
+    assert [m["id"] for m in made] == [1, 2, 3] and {m["pergunta"] for m in made} == {"A"}
+
+
+def test_embedding_survives_bad_texts(spark):
+    def embed(t):
+        return [float(len(t)), 1 / len(t)]
+
+    df = spark.createDataFrame([("ab",), ("",), (None,)], "t string")
+    assert [r["embedding"] for r in retrieval.embedded(df, "t", embed).collect()] == [[2.0, 0.5], None, None]
+
+
+def test_pools_are_kept_apart(spark):
+    a = sqlast.pool_skeletons(spark, [(1, "SELECT 1")])
+    assert sqlast.pool_skeletons(spark, [(1, "SELECT 1")]) is a and sqlast.pool_skeletons(spark, [(2, TWO)]).first()["complexity"] == 19
