@@ -19,6 +19,8 @@ from . import store
 BINS = 256
 #: A cut is good when the bin that it falls into holds no more than this share of the node.
 SLACK = 0.0005
+#: A cut further off than this share of its node is tried along the next dimension too; the nearest is taken.
+TOLERANCE = 0.002
 
 
 def _name(c: Column) -> Column:
@@ -52,6 +54,34 @@ def _of(node: Column, values: dict) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), node)
 
 
+def _refined(inner: DataFrame, dims: list[str], cuts: dict[int, dict]) -> dict[int, dict]:
+    """cuts (by node: dim, lo, hi, want, below, size) with the key to cut at, and how far off that is."""
+    node, open_ = F.col("shard"), dict(cuts)
+    while open_:
+        for c in open_.values():
+            c["width"] = (c["hi"] - c["lo"]) // BINS + 1
+        key = F.element_at(F.array(*dims), _of(node, {a: c["dim"] for a, c in open_.items()}))
+        lo, hi, width = (_of(node, {a: c[x] for a, c in open_.items()}) for x in ("lo", "hi", "width"))
+        near = inner.where(node.isin(list(open_))).select(node, "size", key.alias("k"), lo.alias("lo"), hi.alias("hi"), width.alias("width"))
+        near = near.where("k between lo and hi").groupBy("shard", F.expr("(k - lo) div width").alias("bin"))
+        found = near.agg(F.sum("size").alias("size")).collect()
+        for a, c in list(open_.items()):
+            b = size = 0
+            for b, size in sorted((r["bin"], r["size"]) for r in found if r["shard"] == a):
+                if c["below"] + size >= c["want"]:
+                    break
+                c["below"] += size
+            c["lo"] += b * c["width"]
+            c["hi"] = min(c["hi"], c["lo"] + c["width"] - 1)
+            if size <= SLACK * c["size"] or c["width"] == 1:
+                # cut before or after the bin, whichever is nearer
+                after = c["below"] + size - c["want"] < c["want"] - c["below"]
+                c["cut"] = c["hi"] + 1 if after else c["lo"]
+                c["off"] = abs(c["below"] + size * after - c["want"]) / c["size"]
+                del open_[a]
+    return cuts
+
+
 def tree(rows: DataFrame, leaves: int, dims: list[str]) -> DataFrame:
     """rows (columns size and dims, which hold keys) with the shard, from 0, that the tree gives each.
 
@@ -62,36 +92,24 @@ def tree(rows: DataFrame, leaves: int, dims: list[str]) -> DataFrame:
         split = {a: m for a, m in nodes.items() if m > 1}
         inner = rows.where(F.col("shard").isin(list(split)))
         spans = inner.groupBy("shard").agg(F.sum("size").alias("size"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        cuts = {}
-        for r in spans:
-            # extents count by the coordinate alone
-            widest = max(dims, key=lambda d: ((r[f"hi_{d}"] >> 32) - (r[f"lo_{d}"] >> 32), -dims.index(d)))
-            share = (split[r["shard"]] // 2) / split[r["shard"]]
-            cuts[r["shard"]] = {"dim": dims.index(widest) + 1, "lo": r[f"lo_{widest}"], "hi": r[f"hi_{widest}"], "want": r["size"] * share, "below": 0, "size": r["size"]}
+        cuts: dict[int, dict] = {}
+        node = F.col("shard")
+        # the widest dimension first; the next ones only where a document too large to share lies on the cut
+        for attempt in range(len(dims)):
+            open_ = {}
+            for r in spans:
+                a = r["shard"]
+                if a not in cuts or cuts[a]["off"] > TOLERANCE:
+                    # extents count by the coordinate alone
+                    d = sorted(dims, key=lambda d: ((r[f"lo_{d}"] >> 32) - (r[f"hi_{d}"] >> 32), dims.index(d)))[attempt]
+                    share = (split[a] // 2) / split[a]
+                    open_[a] = {"dim": dims.index(d) + 1, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"], "want": r["size"] * share, "below": 0, "size": r["size"]}
+            for a, c in _refined(inner, dims, open_).items():
+                if a not in cuts or c["off"] < cuts[a]["off"]:
+                    cuts[a] = c
         if not cuts:
             break
-        node = F.col("shard")
         key = F.element_at(F.array(*dims), _of(node, {a: c["dim"] for a, c in cuts.items()}))
-        open_ = dict(cuts)
-        while open_:
-            for c in open_.values():
-                c["width"] = (c["hi"] - c["lo"]) // BINS + 1
-            lo, hi, width = (_of(node, {a: c[x] for a, c in open_.items()}) for x in ("lo", "hi", "width"))
-            near = inner.where(node.isin(list(open_))).select(node, "size", key.alias("k"), lo.alias("lo"), hi.alias("hi"), width.alias("width"))
-            near = near.where("k between lo and hi").groupBy("shard", F.expr("(k - lo) div width").alias("bin"))
-            found = near.agg(F.sum("size").alias("size")).collect()
-            for a, c in list(open_.items()):
-                b = size = 0
-                for b, size in sorted((r["bin"], r["size"]) for r in found if r["shard"] == a):
-                    if c["below"] + size >= c["want"]:
-                        break
-                    c["below"] += size
-                c["lo"] += b * c["width"]
-                c["hi"] = min(c["hi"], c["lo"] + c["width"] - 1)
-                if size <= SLACK * c["size"] or c["width"] == 1:
-                    # cut before or after the bin, whichever is nearer
-                    c["cut"] = c["hi"] + 1 if c["below"] + size - c["want"] < c["want"] - c["below"] else c["lo"]
-                    del open_[a]
         right = {a: a + m // 2 for a, m in split.items() if a in cuts}
         moved = _of(node, {a: c["cut"] for a, c in cuts.items()}) <= key
         rows = store.saved(rows.withColumn("shard", F.when(node.isin(list(right)) & moved, _of(node, right)).otherwise(node)), "shard-level")
