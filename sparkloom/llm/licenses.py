@@ -1,11 +1,13 @@
 """License scans with DataFrame functions alone: TF-IDF cosine of notices to templates, then inheritance.
 
-A text's lines are cut into windows of WINDOW words (half overlapping; most lines are one window). Windows that
-hold an anchor word are compared with every template by cosine over sparse TF-IDF weights. Anchors are chosen
-from the templates so that no window without one can reach the threshold, so skipping the others loses
-nothing; all of this is per row, without a shuffle. A file is a licence file if its name says so or half of its
-words stand in matching windows. Files without a notice of their own take the licence of the nearest directory
-upwards that has a licence file: directories, not files, are joined with their ancestors.
+A text is its words in order, whatever lines and comment marks they stand in. A template is looked for only if the
+text has words that could reach the threshold at all. It is then laid on each of its anchors in the text, so that
+the anchor stands where the template first has it, and the words under it, as many as the template has, are
+compared by cosine over sparse TF-IDF weights. Anchors are chosen so that no words without one can reach the
+threshold; all of this is per row, without a shuffle. Of overlapping matches a template that is part of another
+gives way to it; matches that overlap are one notice. A file is a licence file if its name says so or half of its
+words stand in matches. Files without a notice of their own take the licence of the nearest directory upwards that
+has a licence file: directories, not files, are joined with their ancestors.
 
 Defined results: null and empty texts have no notice; null paths lie in the root; of equally good templates
 and licence files the first by name counts; repeated rows get equal results; an empty table gives an empty table.
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from . import store
 from .winnowing import let
 
+#: Words of a line window in the DuckDB twin.
 WINDOW = 48
 THRESHOLD = 0.75
 LICENSE_FILE = "(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
@@ -53,6 +56,58 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:"""
+MIT_REST = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_GRANT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+BSD_REST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+limitations under the License."""
+GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public
+License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version."""
+GNU_ONLY = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General
+Public License version {n} as published by the Free Software Foundation."""
+GNU_REST = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You
+should have received a copy of the GNU {kind}General Public License along with this program. If not, see
+https://www.gnu.org/licenses/."""
+GNU_HEAD = """GNU {kind}GENERAL PUBLIC LICENSE Version {n}, {day} Copyright (C) {year} Free Software Foundation, Inc. Everyone is
+permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."""
+GNU_KINDS = [("GPL-3.0", "", "3", "29 June 2007"), ("GPL-2.0", "", "2", "June 1991"), ("LGPL-3.0", "Lesser ", "3", "29 June 2007"), ("LGPL-2.1", "Lesser ", "2.1", "February 1999"), ("AGPL-3.0", "Affero ", "3", "19 November 2007")]
+#: The short notices, and the headers and whole texts that files carry.
+TEXTS = [
+    *TEMPLATES,
+    ("MIT", MIT_GRANT),
+    ("MIT", f"{MIT_GRANT} {MIT_REST}"),
+    ("BSD-2-Clause", f"{BSD_GRANT} {BSD_REST}"),
+    ("BSD-3-Clause", f"{BSD_GRANT} {BSD_NAMES} {BSD_REST}"),
+    ("Apache-2.0", APACHE),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    *((name, text.format(kind=kind, n=n, day=day, year=day[-4:])) for name, kind, n, day in GNU_KINDS for text in (GNU, GNU_ONLY, f"{GNU} {GNU_REST}", GNU_HEAD)),
+    *((name, f"You should have received a copy of the GNU {kind}General Public License") for name, kind, n, _ in GNU_KINDS if n == "3"),
+]
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
@@ -69,6 +124,10 @@ class Templates:
         self.idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in df.items()}
         norms = [math.sqrt(sum(((1 + math.log(n)) * self.idf[w]) ** 2 for w, n in c.items())) for c in counts]
         self.weights = {w: [(1 + math.log(c[w])) * self.idf[w] / norm if c[w] else 0.0 for c, norm in zip(counts, norms)] for w in self.idf}
+        self.words = [words_of(text) for _, text in templates]
+        held = [" ".join(["", *ws, ""]) for ws in self.words]
+        self.wholes = [[j for j, other in enumerate(held) if len(other) > len(x) and x in other] for x in held]
+        self.own_anchors: list[list[str]] = []
         # the most telling words of a template are anchors until the others alone stay below the threshold
         anchors: set[str] = set()
         for i, c in enumerate(counts):
@@ -77,6 +136,12 @@ class Templates:
                 if math.sqrt(sum(x for v, x in left.items() if v not in anchors)) < threshold - 0.01:
                     break
                 anchors.add(w)
+            left, own = {w: self.weights[w][i] ** 2 for w in c}, []
+            for w in sorted(left, key=lambda w: (w in COMMON, -left[w], w)):
+                if math.sqrt(sum(x for v, x in left.items() if v not in own)) < threshold - 0.01:
+                    break
+                own.append(w)
+            self.own_anchors.append(own)
         self.anchors = sorted(anchors)
 
 
@@ -84,56 +149,68 @@ def _map(values: dict, of) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), of(v))])
 
 
+def words_in(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def notices(text: Column, t: Templates, threshold: float = THRESHOLD) -> Column:
-    """array<struct<license, score, line, words>>: the best template of each window that reaches the threshold."""
+    """array<struct<license, score, template, start, end>>: where a template laid on its anchors reaches the threshold."""
     n = len(t.names)
     idf = _map(t.idf, F.lit)
     weights = _map(t.weights, lambda v: F.array(*[F.lit(float(x)) for x in v]))
-    anchors = F.array(*[F.lit(a) for a in t.anchors])
+    squares = _map(t.weights, lambda v: F.array(*[F.lit(float(x) ** 2) for x in v]))
+    vocabulary = F.array(*[F.lit(w) for w in t.idf])
+    names, sizes = F.array(*[F.lit(x) for x in t.names]), F.array(*[F.lit(len(ws)) for ws in t.words])
+    anchors = F.array(*[F.array(*[F.lit(w) for w in own]) for own in t.own_anchors])
+    places = F.array(*[F.array(*[F.lit(ws.index(w)) for w in own]) for ws, own in zip(t.words, t.own_anchors)])
     pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(t.anchors) + ")(?![a-z0-9])"
 
-    def scored(window: Column, line: Column) -> Column:
-        zero = F.struct(F.array_repeat(F.lit(0.0), n).alias("dots"), F.lit(0.0).alias("square"))
+    def possible(words: Column) -> Column:
+        # a cosine is at most the root of the squared weights of the words that are there
+        sums = F.aggregate(F.array_intersect(words, vocabulary), F.array_repeat(F.lit(0.0), n), lambda acc, w: F.zip_with(acc, F.element_at(squares, w), lambda a, b: a + b))
+        return F.filter(F.transform(sums, lambda x, i: F.when(x >= threshold**2 - 1e-6, i)), lambda i: i.isNotNull())
 
+    def scored(window: Column, i: Column, start: Column) -> Column:
         def add(acc: Column, w: Column) -> Column:
-            size = (1 + F.log(F.size(F.filter(window, lambda x: x == w)))) * F.coalesce(F.try_element_at(idf, w), F.lit(t.unseen))
-            dots = F.coalesce(F.zip_with(acc["dots"], F.try_element_at(weights, w), lambda a, b: a + b * size), acc["dots"])
-            return F.struct(dots.alias("dots"), (acc["square"] + size * size).alias("square"))
+            size = (1 + F.log(F.size(window) - F.size(F.array_remove(window, w)))) * F.coalesce(F.try_element_at(idf, w), F.lit(t.unseen))
+            return let(size, lambda x: F.struct((acc["dot"] + x * F.coalesce(F.get(F.try_element_at(weights, w), i), F.lit(0.0))).alias("dot"), (acc["square"] + x * x).alias("square")))
+
+        total = F.aggregate(F.array_distinct(window), F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square")), add)
+        return let(total, lambda x: F.struct(F.get(names, i).alias("license"), F.round(x["dot"] / F.sqrt(x["square"]), 9).alias("score"), i.alias("template"), start.alias("start"), (start + F.size(window)).alias("end")))
+
+    def laid(words: Column, i: Column) -> Column:
+        own = lambda w: F.array_position(F.get(anchors, i), w).cast("int")
+        starts = F.array_distinct(F.filter(F.transform(words, lambda w, p: F.when(own(w) > 0, p - F.get(F.get(places, i), own(w) - 1))), lambda x: x.isNotNull()))
+        return F.transform(starts, lambda at: let(F.slice(words, F.greatest(at, F.lit(0)) + 1, F.get(sizes, i) + F.least(at, F.lit(0))), lambda window: scored(window, i, F.greatest(at, F.lit(0)))))
 
-        def best(acc: Column) -> Column:
-            top = F.array_max(acc["dots"])
-            return F.struct(F.element_at(F.array(*[F.lit(x) for x in t.names]), F.array_position(acc["dots"], top).cast("int")).alias("license"), F.round(top / F.sqrt(acc["square"]), 9).alias("score"), line.alias("line"), F.size(window).alias("words"))
+    found = let(words_in(text), lambda words: F.flatten(F.transform(possible(words), lambda i: F.filter(laid(words, i), lambda x: x["score"] >= threshold))))
+    none = F.array().cast("array<struct<license:string,score:double,template:int,start:int,end:int>>")
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
-        return let(F.aggregate(F.array_distinct(window), zero, add), best)
 
-    def windows(line: Column, i: Column) -> Column:
-        half = WINDOW // 2
-        cut = lambda ws: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(ws) - WINDOW) / half).cast("int"))), lambda k: F.slice(ws, k * half + 1, F.lit(WINDOW)))
-        words = F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
-        held = let(words, lambda ws: F.filter(cut(ws), lambda x: F.arrays_overlap(x, anchors)))
-        return F.transform(held, lambda w: scored(w, i))
+def covered(found: Column) -> Column:
+    """struct<reach, words, n>: words that stand in matches, and runs of overlapping matches."""
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct(F.greatest(acc["reach"], x["end"]).alias("reach"), (acc["words"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["reach"]))).alias("words"), (acc["n"] + (x["start"] >= acc["reach"]).cast("int")).alias("n"))
 
-    lines = F.split(text, "\n")
-    none = F.array().cast("array<struct<license:string,score:double,line:int,words:int>>")
-    found = F.flatten(F.transform(lines, lambda line, i: F.when(line.rlike(pattern), windows(line, i)).otherwise(none)))
-    return F.when(text.rlike(pattern), F.filter(found, lambda x: x["score"] >= threshold)).otherwise(none)
+    return F.aggregate(F.array_sort(F.transform(found, lambda x: F.struct(x["start"], x["end"]))), F.struct(*[F.lit(0).alias(c) for c in ("reach", "words", "n")]), add)
 
 
 def scanned(files: DataFrame, templates: Templates | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """files (path, text, ...) without text, with dir, own_license, own_score, n_notices and is_license_file."""
-    t = templates or Templates(threshold=threshold)
+    t = templates or Templates(TEXTS, threshold)
     text = F.coalesce("text", F.lit(""))
     path = F.coalesce("path", F.lit(""))
-    held = files.withColumn("_found", notices(text, t, threshold))
+    wholes = F.array(*[F.array(*[F.lit(j) for j in js]).cast("array<int>") for js in t.wholes])
+    held = files.withColumn("_found", notices(text, t, threshold)).withColumn("_covered", covered(F.col("_found")))
+    part = lambda x: F.exists("_found", lambda y: F.array_contains(F.get(wholes, x["template"]), y["template"]) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
     # the best score, then the first name
-    order = F.array_sort("_found", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0))
-    best = F.get(order, 0)
-    covered = F.aggregate("_found", F.lit(0), lambda a, x: a + x["words"])
-    n_words = F.when(F.size("_found") > 0, F.size(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")))
+    best = F.array_min(F.transform(F.filter("_found", lambda x: ~part(x)), lambda x: F.struct((-x["score"]).alias("less"), x["license"].alias("license"))))
+    n_words = F.when(F.size("_found") > 0, F.size(words_in(text)))
     named = F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE)
-    is_file = (F.size("_found") > 0) & (named | (covered * 2 >= n_words))
-    out = held.select(*[c for c in files.columns if c != "text"], best.alias("_best"), F.size("_found").alias("n_notices"), is_file.alias("is_license_file"), F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("").alias("dir"))
-    return out.select(*[c for c in out.columns if c != "_best"], F.col("_best.license").alias("own_license"), F.col("_best.score").alias("own_score"))
+    is_file = (F.size("_found") > 0) & (named | (F.col("_covered.words") * 2 >= n_words))
+    out = held.select(*[c for c in files.columns if c != "text"], best.alias("_best"), F.col("_covered.n").alias("n_notices"), is_file.alias("is_license_file"), F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("").alias("dir"))
+    return out.select(*[c for c in out.columns if c != "_best"], F.col("_best.license").alias("own_license"), (-F.col("_best.less")).alias("own_score"))
 
 
 def ancestors(path: Column) -> Column:
