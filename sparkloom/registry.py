@@ -574,7 +574,8 @@ def status_parse(spark, sf_dir):
 
 @query("SELECT word, strip_accents(word) AS plain FROM (SELECT DISTINCT unnest(list_slice(regexp_split_to_array(lower(text), '[^\\p{L}]+'), 1, 20)) AS word FROM documents) WHERE word <> ''")
 def normalize_identifiers(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.slice(F.split(F.lower("text"), "[^\\p{L}]+"), 1, 20)).alias("word")).where("word <> ''").distinct()
+    # the words of whole texts; the twin takes the first 20 words of each
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("word")).where("word <> ''").distinct()
     return words.select("word", text.normalize_identifier("word").alias("plain"))
 
 
