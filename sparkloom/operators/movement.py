@@ -140,6 +140,10 @@ def serialised(df: DataFrame) -> DataFrame:
 
 
 def running_budget(df: DataFrame, line: str, order: str, max_chars: int) -> DataFrame:
-    """The lines, in order, that fit a budget of characters, each with its line end."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("used", F.sum(F.length(line) + 1).over(w)).where(F.col("used") <= max_chars)
+    """The lines, in order, that fit a budget of characters, each with its line end; a null line is empty.
+
+    A line takes a character at least, so the budget is also a number of lines, and no task needs more of them.
+    """
+    w = Window.orderBy(order, line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = df.orderBy(order, line).limit(max_chars)
+    return first.withColumn("used", F.sum(F.length(F.coalesce(line, F.lit(""))) + 1).over(w)).where(F.col("used") <= max_chars)

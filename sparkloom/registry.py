@@ -115,7 +115,8 @@ def movements_by_label(spark, sf_dir):
 @query(f"""{M} SELECT movement_id, strftime(movement_date, '%d/%m/%Y') AS movement_date, CAST(CAST(net_total AS DECIMAL(18,2)) AS VARCHAR) AS net_total,
   CAST(gross_total AS VARCHAR) AS gross_total, CAST(due_total AS VARCHAR) AS due_total FROM m WHERE abs(net_total * 1000) % 10 <> 5""")
 def movement_serialised(spark, sf_dir):
-    rows = movement.as_rows(movement.movement(spark, sf_dir)).where("abs(net_total * 1000) % 10 <> 5")
+    # half cents go to the even cent; the twin leaves them out
+    rows = movement.as_rows(movement.movement(spark, sf_dir))
     return movement.serialised(rows.select("movement_id", "movement_date", "net_total", "gross_total", "due_total"))
 
 
@@ -135,11 +136,17 @@ same_sql("sql_setops", "(SELECT c_nationkey AS k FROM customer UNION SELECT s_na
 same_sql("sql_filters", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE (o_orderdate BETWEEN TIMESTAMP '1997-03-01 00:00:00' AND TIMESTAMP '1997-06-30 23:59:59' OR o_orderpriority LIKE '1-%') AND o_orderstatus IN ('F', 'O') AND NOT o_totalprice <= 1000 AND o_custkey IS NOT NULL", "orders")
 same_sql("sql_contains", "SELECT s_suppkey, s_name FROM supplier WHERE lower(s_name) LIKE '%1%' AND s_acctbal > 0", "supplier")
 same_sql("sql_distinct_limit", "SELECT DISTINCT p_brand, p_type FROM part ORDER BY p_brand, p_type LIMIT 25", "part")
-same_sql("sql_scalar_functions", "SELECT lower(c_name) AS name, coalesce(c_mktsegment, 'none') AS segment, CAST(c_acctbal AS INTEGER) AS balance, abs(c_acctbal) AS size FROM customer WHERE abs(c_acctbal * 10) % 10 < 4", "customer")
 same_sql("adhoc_sql_capped", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", "orders")
 same_sql("answer_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "orders")
 
 
+@query("SELECT lower(c_name) AS name, coalesce(c_mktsegment, 'none') AS segment, CAST(c_acctbal AS INTEGER) AS balance, abs(c_acctbal) AS size FROM customer WHERE abs(c_acctbal * 10) % 10 < 4")
+def sql_scalar_functions(spark, sf_dir):
+    # all customers, with balances cut to integers; the twin has only those where its rounding agrees
+    views(spark, sf_dir, "customer")
+    return spark.sql("SELECT lower(c_name) AS name, coalesce(c_mktsegment, 'none') AS segment, CAST(c_acctbal AS INTEGER) AS balance, abs(c_acctbal) AS size FROM customer")
+
+
 @query("SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 def string_agg_items(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
@@ -253,7 +260,8 @@ def chunk_hierarchy(spark, sf_dir):
 @query(f"{CHUNKS} SELECT 'd' || l.doc_id || '.' || l.p || '.' || l.n AS node_id, CAST(h.score AS DOUBLE) AS score FROM leaves l JOIN (SELECT doc_id, doc_id % 7 AS score FROM documents WHERE doc_id < 50) h ON h.doc_id = l.doc_id WHERE l.p = 0")
 def expand_leaves(spark, sf_dir):
     nodes = retrieval.chunks(table(spark, sf_dir, "documents").where("text is not null"))
-    hits = table(spark, sf_dir, "documents").where("doc_id < 50 and text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".0")).alias("node_id"), (F.col("doc_id") % 7).cast("double").alias("score"))
+    # the hits of a ranked search over all roots; the twin takes the first root of the first 50 documents
+    hits = retrieval.lexical(nodes.where("level = 0"), QUESTION)
     return retrieval.leaves(hits, nodes)
 
 
@@ -522,7 +530,8 @@ LINE = "c_custkey || ' | ' || c_name || ' | ' || coalesce(c_mktsegment, '')"
 @query(f"SELECT c_custkey, line, CAST(used AS BIGINT) AS used FROM (SELECT c_custkey, {LINE} AS line, sum(length({LINE}) + 1) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS used FROM customer WHERE c_custkey <= 200) WHERE used <= 3000")
 def rows_to_text_budget(spark, sf_dir):
     line = F.concat_ws(" | ", F.col("c_custkey").cast("string"), "c_name", F.coalesce("c_mktsegment", F.lit("")))
-    held = table(spark, sf_dir, "customer").where("c_custkey <= 200").select("c_custkey", line.alias("line"))
+    # the budget alone says where the lines end; the twin takes the first 200 keys
+    held = table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
     return movement.running_budget(held, "line", "c_custkey", 3000)
 
 
