@@ -261,7 +261,7 @@ def chunk_hierarchy(spark, sf_dir):
 def expand_leaves(spark, sf_dir):
     nodes = retrieval.chunks(table(spark, sf_dir, "documents").where("text is not null"))
     # the hits of a ranked search over all roots; the twin takes the first root of the first 50 documents
-    hits = retrieval.lexical(nodes.where("level = 0"), QUESTION)
+    hits = retrieval.lexical(nodes.where("level = 0"), RERANK_QUESTION, any_word=True)
     return retrieval.leaves(hits, nodes)
 
 
