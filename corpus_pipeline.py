@@ -36,8 +36,8 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place."""
-    return packing.packed(docs, keep_ids=False)
+    """Token pieces with their ids, sequence and place."""
+    return packing.packed(docs)
 
 
 STAGES = [

@@ -25,8 +25,10 @@ from . import store, tokens
 CAPACITY = 2048
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): the texts' ids, cut only where longer than capacity."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = True, narrow: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]): the texts' ids, cut only where longer than capacity.
+
+    narrow: ids in two bytes each where all of a step fit; wide() undoes it."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,12 +41,27 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 length = np.minimum(sizes[doc] - piece * capacity, capacity)
                 out = [part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), tokens.crc32s(ids, length)]
-                yield pa.RecordBatch.from_arrays(out + [tokens.as_binary(ids, length)] * keep_ids, names)
+                if keep_ids:
+                    out.append(_binary(ids.astype("<u2"), length) if narrow and ids.max(initial=0) < 1 << 16 else tokens.as_binary(ids, length))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes) * ids.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def wide(ids: pa.Array, length: np.ndarray) -> pa.Array:
+    """ids in four bytes each, whichever of the rows have them in two."""
+    if pa.types.is_large_binary(ids.type):
+        ids = ids.cast(pa.binary())
+    rows = [np.frombuffer(x.as_buffer(), "<u2" if 2 * n == len(x.as_buffer()) else "<u4") for x, n in zip(ids, length.tolist())]
+    return tokens.as_binary(np.concatenate(rows), length) if rows else ids
+
+
 def _exact(left: np.ndarray, gap: int) -> list[int] | None:
     """Lengths that fill the gap: one, else two, else three, the longest first; left: counts by length."""
     if left[gap]:
@@ -137,10 +154,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, at = table.value
-        for batch in batches:
-            key = batch.column("length").to_numpy() << 48 | batch.column("rank").to_numpy()
+        for batch in (part for b in batches for part in (tokens.steps(b, "ids") if "ids" in columns else [b])):
+            lengths = batch.column("length").to_numpy()
+            key = lengths << 48 | batch.column("rank").to_numpy()
             k = np.searchsorted(keys, key, side="right") - 1
-            kept = [batch.column(c) for c in columns]
+            kept = [wide(batch.column(c), lengths) if c == "ids" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(first[k] + key - keys[k], pa.int64()), pa.array(at[k], pa.int64())], names)
 
     return ranked.mapInArrow(placed, schema)
@@ -148,4 +166,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
     """Documents to placed pieces. Without ids only their digests are carried."""
-    return pack(store.saved(pieces(docs, capacity, end_id, tokenizer, keep_ids), "pieces"), capacity)
+    return pack(store.saved(pieces(docs, capacity, end_id, tokenizer, keep_ids, narrow=True), "pieces"), capacity)
+
+
+def digests(placed: DataFrame) -> DataFrame:
+    """Placed pieces without their ids; length and ids_crc32 are worked out from the ids themselves."""
+    found = {"length": F.floor(F.octet_length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")}
+    return placed.select(*[found[c].alias(c) if c in found else F.col(c) for c in placed.columns if c != "ids"])

@@ -38,7 +38,8 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(store.table(spark, sf_dir, "documents"), keep_ids=False)
+    placed = store.saved(packing.packed(store.table(spark, sf_dir, "documents")), "packed")
+    return packing.digests(placed)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
