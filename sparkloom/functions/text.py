@@ -33,11 +33,23 @@ def clean_sql(text: Column) -> Column:
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "").otherwise(F.concat(out, F.lit(";")))
 
 
-def sanitised(text: Column, rounds: int = 4) -> Column:
-    """Without prompt tokens, also those that form when others are removed."""
-    for _ in range(rounds):
-        text = F.regexp_replace(text, r"\[/?INST\]", "")
-    return text
+@F.pandas_udf(StringType())
+def sanitised(texts: pd.Series) -> pd.Series:
+    """Texts without prompt tokens, also those that form when others are removed, however deep."""
+
+    def clean(text: str | None) -> str | None:
+        # one pass: what is kept never ends with a token, so a token can only form at its end
+        kept: list[str] = []
+        for c in text or "":
+            kept.append(c)
+            if c == "]":
+                for token in ("[INST]", "[/INST]"):
+                    if "".join(kept[-len(token) :]) == token:
+                        del kept[-len(token) :]
+                        break
+        return text if text is None else "".join(kept)
+
+    return texts.map(clean)
 
 
 def table_names(ddl: Column) -> Column:

@@ -4,7 +4,10 @@ import re
 import unicodedata
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from sparkloom import registry
+from sparkloom.functions import text
 
 
 def run(spark, path, name, **frames):
@@ -63,3 +66,11 @@ def test_leaves_of_ranked_roots(spark, tmp_path):
     texts = [" ".join(f"w{i}" for i in range(30))] * 60 + [" ".join(["pad"] * 2500 + ["the", "of", "token"])]
     got = run(spark, tmp_path, "expand_leaves", documents=documents(spark, texts))
     assert sorted(r["node_id"] for r in got) == ["d60.1.0", "d60.1.1"] and all(r["score"] > 0 for r in got)
+
+
+def test_tokens_are_removed_however_deep(spark):
+    deep = "a" + "[IN" * 50 + "[INST]" + "ST]" * 50 + "b"
+    mixed = "[/IN[/IN[IN[IN[IN[INST]ST]ST]ST]ST]ST]x"
+    rows = [(0, deep), (1, mixed), (2, None), (3, ""), (4, "[INST plain]")]
+    got = spark.createDataFrame(rows, "id int, t string").select("id", text.sanitised(F.col("t")).alias("t")).collect()
+    assert {r["id"]: r["t"] for r in got} == {0: "ab", 1: "x", 2: None, 3: "", 4: "[INST plain]"}
