@@ -23,7 +23,7 @@ RRF_K = 60
 def dense(nodes: DataFrame, query: list[float], k: int = 12, vector: str = "embedding", node: str = "node_id") -> DataFrame:
     """(node_id, score): the k nearest by cosine."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return nodes.select(F.col(node).alias("node_id"), cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
+    return nodes.where(F.col(vector).isNotNull()).select(F.col(node).alias("node_id"), cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
 def lexical(nodes: DataFrame, question: str, k: int = 12, any_word: bool = False, node: str = "node_id") -> DataFrame:
@@ -66,25 +66,40 @@ def rerank(hits: DataFrame, nodes: DataFrame, score: Callable[[Column], Column],
     return held.select("node_id", score(F.col("text")).alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
-def retrieve(nodes: DataFrame, question: str, query: list[float], k: int = 12, top: int = 3, scorer: Callable[[str], Callable[[Column], Column]] = overlap_score) -> DataFrame:
+def retrieve(nodes: DataFrame, question: str, query: list[float], k: int = 12, top: int = 3, scorer: Callable[[str], Callable[[Column], Column]] = overlap_score, any_word: bool = False) -> DataFrame:
     """Dense and lexical search, fused and reranked. The dense query may be of another text (a hypothetical
-    answer); words and reranking use the question itself."""
-    return rerank(fuse(dense(nodes, query, k), lexical(nodes, question, k, any_word=True)), nodes, scorer(question), top)
+    answer); words (all of them, unless any_word) and reranking use the question itself. Nodes without a vector
+    are found by their words alone."""
+    return rerank(fuse(dense(nodes, query, k), lexical(nodes, question, k, any_word)), nodes, scorer(question), top)
 
 
 def chunks(docs: DataFrame, sizes: tuple[int, ...] = (2048, 400), overlap: int = 80) -> DataFrame:
-    """(node_id, parent_id, level, doc_id, text): windows of words, those of a level cut from the one above."""
-    level = docs.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("parent_id"), F.split(F.trim("text"), r"\s+").alias("ws"))
-    out = None
-    for i, size in enumerate(sizes):
+    """(node_id, parent_id, level, doc_id, text): windows of words, those of a level cut from the one above.
+
+    Windows are cut before rows are made of them, so no row carries more than its own root; all nodes of a root
+    come from one pass over it. A null text is empty: one root and one leaf below it, of no words.
+    """
+
+    def windows(ws: Column, size: int) -> Column:
         step = size - overlap
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("ws") - overlap) / step).cast("int") - 1))
-        cut = level.select("doc_id", "parent_id", "ws", F.posexplode(starts).alias("n", "at"))
-        level = cut.select("doc_id", "parent_id", F.concat_ws(".", "parent_id", F.col("n").cast("string")).alias("node_id"), F.slice("ws", F.col("at") * step + 1, F.lit(size)).alias("ws"))
-        held = level.select("node_id", F.when(F.lit(i > 0), F.col("parent_id")).alias("parent_id"), F.lit(i).alias("level"), "doc_id", F.array_join("ws", " ").alias("text"))
-        out = held if out is None else out.unionByName(held)
-        level = level.select("doc_id", F.col("node_id").alias("parent_id"), "ws")
-    return out
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(ws) - overlap) / step).cast("int") - 1))
+        return F.transform(starts, lambda at: F.slice(ws, at * step + 1, F.lit(size)))
+
+    def node(name: Column, parent: Column, level: int, ws: Column) -> Column:
+        return F.struct(name.alias("node_id"), parent.alias("parent_id"), F.lit(level).alias("level"), F.array_join(ws, " ").alias("text"))
+
+    def nodes(ws: Column, name: Column, parent: Column, level: int) -> Column:
+        own = F.array(node(name, parent, level, ws))
+        if level + 1 == len(sizes):
+            return own
+        below = F.transform(windows(ws, sizes[level + 1]), lambda w, n: nodes(w, F.concat_ws(".", name, n.cast("string")), name, level + 1))
+        return F.concat(own, F.flatten(below))
+
+    words = F.split(F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r")), r"\s+")
+    roots = docs.select("doc_id", words.alias("ws")).select("doc_id", F.posexplode(windows(F.col("ws"), sizes[0])).alias("n", "ws"))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), F.col("n").cast("string"))
+    held = roots.select("doc_id", F.explode(nodes(F.col("ws"), name, F.lit(None).cast("string"), 0)).alias("node"))
+    return held.select("node.node_id", "node.parent_id", "node.level", "doc_id", "node.text")
 
 
 def leaves(hits: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:

@@ -112,10 +112,13 @@ def movements_by_label(spark, sf_dir):
     return movement.by_label(movement.active(movement.movement(spark, sf_dir)))
 
 
-@query(f"""{M} SELECT movement_id, strftime(movement_date, '%d/%m/%Y') AS movement_date, CAST(CAST(net_total AS DECIMAL(18,2)) AS VARCHAR) AS net_total,
-  CAST(gross_total AS VARCHAR) AS gross_total, CAST(due_total AS VARCHAR) AS due_total FROM m WHERE abs(net_total * 1000) % 10 <> 5""")
+# half cents go to the even cent
+CENTS = "sign(u) * (abs(u) // 100 + CASE WHEN abs(u) % 100 > 50 OR (abs(u) % 100 = 50 AND abs(u) // 100 % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+@query(f"""{M} SELECT movement_id, strftime(movement_date, '%d/%m/%Y') AS movement_date, CAST(CAST(CAST({CENTS} AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS VARCHAR) AS net_total,
+  CAST(gross_total AS VARCHAR) AS gross_total, CAST(due_total AS VARCHAR) AS due_total FROM (SELECT *, CAST(net_total * 10000 AS BIGINT) AS u FROM m)""")
 def movement_serialised(spark, sf_dir):
-    # half cents go to the even cent; the twin leaves them out
     rows = movement.as_rows(movement.movement(spark, sf_dir))
     return movement.serialised(rows.select("movement_id", "movement_date", "net_total", "gross_total", "due_total"))
 
@@ -140,9 +143,9 @@ same_sql("adhoc_sql_capped", "SELECT o_orderkey, o_custkey, o_totalprice FROM or
 same_sql("answer_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "orders")
 
 
-@query("SELECT lower(c_name) AS name, coalesce(c_mktsegment, 'none') AS segment, CAST(c_acctbal AS INTEGER) AS balance, abs(c_acctbal) AS size FROM customer WHERE abs(c_acctbal * 10) % 10 < 4")
+@query("SELECT lower(c_name) AS name, coalesce(c_mktsegment, 'none') AS segment, CAST(trunc(c_acctbal) AS INTEGER) AS balance, abs(c_acctbal) AS size FROM customer")
 def sql_scalar_functions(spark, sf_dir):
-    # all customers, with balances cut to integers; the twin has only those where its rounding agrees
+    # a cast cuts the balance to an integer, which the other dialect would round
     views(spark, sf_dir, "customer")
     return spark.sql("SELECT lower(c_name) AS name, coalesce(c_mktsegment, 'none') AS segment, CAST(c_acctbal AS INTEGER) AS balance, abs(c_acctbal) AS size FROM customer")
 
@@ -239,30 +242,38 @@ def rerank_topk(spark, sf_dir):
     return retrieval.rerank(retrieval.lexical(nodes, QUESTION), nodes, retrieval.overlap_score(RERANK_QUESTION))
 
 
-@query()
+FUSED = f"""SELECT node_id FROM ({LEXICAL}) UNION SELECT node_id FROM (SELECT d.doc_id AS node_id, {COS} AS score FROM documents d JOIN embeddings a ON a.vec_id = d.doc_id, embeddings b WHERE b.vec_id = 0 ORDER BY score DESC, node_id LIMIT 12)"""
+
+
+@query(f"SELECT node_id, len(list_intersect(['the', 'of', 'token'], {TOKENS.format('d.text')})) / 3.0 AS score FROM ({FUSED}) h JOIN documents d ON d.doc_id = h.node_id ORDER BY score DESC, node_id LIMIT 3")
 def retrieve_pipeline(spark, sf_dir):
     docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    nodes = docs.join(vecs, docs["doc_id"] == vecs["vec_id"]).select(F.col("doc_id").alias("node_id"), "text", "embedding")
-    return retrieval.retrieve(nodes, RERANK_QUESTION, _vector(spark, sf_dir, 0))
+    # a document without a vector is still found by its words
+    nodes = docs.join(vecs, docs["doc_id"] == vecs["vec_id"], "left").select(F.col("doc_id").alias("node_id"), "text", "embedding")
+    return retrieval.retrieve(nodes, QUESTION, _vector(spark, sf_dir, 0))
 
 
-WORDS = "regexp_split_to_array(trim(text, chr(9) || chr(10) || chr(13) || ' '), '\\s+')"
-CHUNKS = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE text IS NOT NULL),
+WORDS = "regexp_split_to_array(trim(coalesce(text, ''), chr(9) || chr(10) || chr(13) || ' '), '\\s+')"
+CHUNKS = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
  roots AS (SELECT doc_id, n, list_slice(ws, n * 1968 + 1, n * 1968 + 2048) AS ws FROM (SELECT doc_id, ws, unnest(generate_series(0, greatest(0, CAST(ceil((len(ws) - 80) / 1968.0) AS BIGINT) - 1))) AS n FROM w)),
  leaves AS (SELECT doc_id, p, n, list_slice(ws, n * 320 + 1, n * 320 + 400) AS ws FROM (SELECT doc_id, n AS p, ws, unnest(generate_series(0, greatest(0, CAST(ceil((len(ws) - 80) / 320.0) AS BIGINT) - 1))) AS n FROM roots))"""
 
 
 @query(f"{CHUNKS} SELECT 'd' || doc_id || '.' || n AS node_id, NULL AS parent_id, 0 AS level, md5(array_to_string(ws, ' ')) AS digest FROM roots UNION ALL SELECT 'd' || doc_id || '.' || p || '.' || n, 'd' || doc_id || '.' || p, 1, md5(array_to_string(ws, ' ')) FROM leaves")
 def chunk_hierarchy(spark, sf_dir):
-    return retrieval.chunks(table(spark, sf_dir, "documents").where("text is not null")).select("node_id", "parent_id", "level", F.md5("text").alias("digest"))
+    return retrieval.chunks(table(spark, sf_dir, "documents")).select("node_id", "parent_id", "level", F.md5("text").alias("digest"))
+
+
+# the hits of a ranked search over all roots
+ROOT_HITS = f"""r AS (SELECT 'd' || doc_id || '.' || n AS node_id, {TOKENS.format("array_to_string(ws, ' ')")} AS ts FROM roots),
+ h AS (SELECT node_id, {_bm25(['the', 'of', 'token', 'anstou'])} AS score FROM r WHERE len(list_intersect(ts, ['the', 'of', 'token', 'anstou'])) > 0 ORDER BY score DESC, node_id LIMIT 12)"""
 
 
-@query(f"{CHUNKS} SELECT 'd' || l.doc_id || '.' || l.p || '.' || l.n AS node_id, CAST(h.score AS DOUBLE) AS score FROM leaves l JOIN (SELECT doc_id, doc_id % 7 AS score FROM documents WHERE doc_id < 50) h ON h.doc_id = l.doc_id WHERE l.p = 0")
+@query(f"{CHUNKS}, {ROOT_HITS} SELECT h.node_id || '.' || l.n AS node_id, round(h.score, 6) AS score FROM leaves l JOIN h ON h.node_id = 'd' || l.doc_id || '.' || l.p")
 def expand_leaves(spark, sf_dir):
-    nodes = retrieval.chunks(table(spark, sf_dir, "documents").where("text is not null"))
-    # the hits of a ranked search over all roots; the twin takes the first root of the first 50 documents
+    nodes = retrieval.chunks(table(spark, sf_dir, "documents"))
     hits = retrieval.lexical(nodes.where("level = 0"), RERANK_QUESTION, any_word=True)
-    return retrieval.leaves(hits, nodes)
+    return retrieval.leaves(hits, nodes).withColumn("score", F.round("score", 6))
 
 
 # --- SQL as data -----------------------------------------------------------------------------------------------
@@ -527,10 +538,9 @@ def stratified_split(spark, sf_dir):
 LINE = "c_custkey || ' | ' || c_name || ' | ' || coalesce(c_mktsegment, '')"
 
 
-@query(f"SELECT c_custkey, line, CAST(used AS BIGINT) AS used FROM (SELECT c_custkey, {LINE} AS line, sum(length({LINE}) + 1) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS used FROM customer WHERE c_custkey <= 200) WHERE used <= 3000")
+@query(f"SELECT c_custkey, line, CAST(used AS BIGINT) AS used FROM (SELECT c_custkey, {LINE} AS line, sum(length({LINE}) + 1) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS used FROM customer) WHERE used <= 3000")
 def rows_to_text_budget(spark, sf_dir):
     line = F.concat_ws(" | ", F.col("c_custkey").cast("string"), "c_name", F.coalesce("c_mktsegment", F.lit("")))
-    # the budget alone says where the lines end; the twin takes the first 200 keys
     held = table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
     return movement.running_budget(held, "line", "c_custkey", 3000)
 
@@ -581,9 +591,8 @@ def status_parse(spark, sf_dir):
     return df.select("id", text.status(F.col("latency"), F.col("answer"), F.col("sql"), F.col("ex")).alias("status"))
 
 
-@query("SELECT word, strip_accents(word) AS plain FROM (SELECT DISTINCT unnest(list_slice(regexp_split_to_array(lower(text), '[^\\p{L}]+'), 1, 20)) AS word FROM documents) WHERE word <> ''")
+@query("SELECT word, strip_accents(word) AS plain FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM documents) WHERE word <> ''")
 def normalize_identifiers(spark, sf_dir):
-    # the words of whole texts; the twin takes the first 20 words of each
     words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("word")).where("word <> ''").distinct()
     return words.select("word", text.normalize_identifier("word").alias("plain"))
 
