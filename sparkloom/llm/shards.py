@@ -1,17 +1,19 @@
 """Sharding by a k-d tree: nodes are split at weighted medians along their widest metadata dimension.
 
 Coordinates are scaled to the whole table's range; a node that is to become m shards is cut so that the lower
-side gets floor(m / 2) / m of its bytes. The cut is found on a 63-bit key (31 bits of the coordinate, then 32
-bits of a row hash, so that any number of equal coordinates can be cut) by refining a histogram of 256 bins:
-every round sends at most nodes x 256 sums to the driver. Rows move only once, to be numbered within a shard.
+side gets floor(m / 2) / m of its bytes. The cut is found on a 63-bit key (25 bits of the coordinate, 24 bits of a
+hash of the row, 14 bits of its place in the table, so that any number of equal coordinates and of equal rows can
+be cut) by refining a histogram of 256 bins: every round sends at most nodes x 256 sums to the driver. The tree is
+an expression with one case per node, meant for up to some thousands of shards. Rows move once, into their
+shards' files; slots follow from what was written.
 
 Defined results: null text has 8 bytes (an empty document's share), null coordinates count as the least,
-repeated rows fall wherever their equal keys fall, an empty table gives an empty table.
+repeated rows are cut like others, an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -19,8 +21,10 @@ from . import store
 BINS = 256
 #: A cut is good when the bin that it falls into holds no more than this share of the node.
 SLACK = 0.0005
-#: A cut further off than this share of its node is tried along the next dimension too; the nearest is taken.
-TOLERANCE = 0.002
+COORDINATE_BITS, HASH_BITS, PLACE_BITS = 25, 24, 14
+#: Rows of a cell: what is ranked together within a shard.
+CELL_ROWS = 200_000
+DIMENSIONS = ["d0", "d1", "d2", "d3"]
 
 
 def _name(c: Column) -> Column:
@@ -29,24 +33,32 @@ def _name(c: Column) -> Column:
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, d0 ...): what the tree needs to know of documents."""
+    """(row, place, doc_id, size, text_crc32, d0 ...): what the tree needs to know of documents; row has their
+    columns, place tells equal rows apart."""
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long") + 8
     dims = [F.log2(size), F.col("doc_id").cast("double"), _name(F.col("source")), _name(F.col("lang"))]
-    return docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[d.alias(f"d{i}") for i, d in enumerate(dims)])
+    facts = [F.monotonically_increasing_id().alias("place"), "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    return docs.select(F.struct("*").alias("row"), *facts, *[d.alias(n) for d, n in zip(dims, DIMENSIONS)])
 
 
-def keyed(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """rows with a 63-bit key in place of each dimension: the coordinate over the table's range, then a row hash."""
+def spans(rows: DataFrame, dims: list[str] = DIMENSIONS) -> dict[str, tuple]:
+    """The least and the largest coordinate by dimension."""
     ends = rows.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    tie = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(1 << 32))
+    return {d: (ends[f"lo_{d}"], ends[f"hi_{d}"]) for d in dims}
+
+
+def keyed(rows: DataFrame, ends: dict[str, tuple]) -> DataFrame:
+    """rows with a 63-bit key in place of each dimension: the coordinate over the table's range, a row hash, a place."""
+    mod = lambda c, bits: F.pmod(c, F.lit(1 << bits))
+    tie = mod(F.xxhash64("doc_id", "size", "text_crc32"), HASH_BITS) * (1 << PLACE_BITS) + mod(F.xxhash64("place"), PLACE_BITS)
 
     def key(d: str) -> Column:
-        lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
+        lo, hi = ends[d]
         share = F.coalesce((F.col(d) - lo) / (hi - lo), F.lit(0.0)) if lo is not None and hi > lo else F.lit(0.0)
-        return F.floor(share * float((1 << 31) - 1)).cast("long") * (1 << 32) + tie
+        return F.floor(share * float((1 << COORDINATE_BITS) - 1)).cast("long") * (1 << HASH_BITS + PLACE_BITS) + tie
 
-    return rows.select("*", *[key(d).alias(f"k_{d}") for d in dims]).drop(*dims).withColumnsRenamed({f"k_{d}": d for d in dims})
+    return rows.withColumns({d: key(d) for d in ends})
 
 
 def _of(node: Column, values: dict) -> Column:
@@ -55,7 +67,8 @@ def _of(node: Column, values: dict) -> Column:
 
 
 def _refined(inner: DataFrame, dims: list[str], cuts: dict[int, dict]) -> dict[int, dict]:
-    """cuts (by node: dim, lo, hi, want, below, size) with the key to cut at, and how far off that is."""
+    """cuts (by node: dim, lo, hi, want, below, size) with the key to cut at, and how far off that is. inner has
+    the rows of the nodes, with a column shard."""
     node, open_ = F.col("shard"), dict(cuts)
     while open_:
         for c in open_.values():
@@ -82,53 +95,78 @@ def _refined(inner: DataFrame, dims: list[str], cuts: dict[int, dict]) -> dict[i
     return cuts
 
 
-def tree(rows: DataFrame, leaves: int, dims: list[str]) -> DataFrame:
-    """rows (columns size and dims, which hold keys) with the shard, from 0, that the tree gives each.
+def tree(rows: DataFrame, leaves: int, dims: list[str] = DIMENSIONS, tolerance: float | None = None) -> dict[int, tuple]:
+    """{node: (dimension, key to cut at, right node)} for rows (size and dims, which hold keys). A node is known by
+    its first leaf at each level: what lies below the key keeps the number, the rest goes to the right node.
 
-    A node is known by its first leaf. Each level is written, so its plan stays small.
+    tolerance: where a document too large to share lies on the cut, so that it is off by more than this share of the
+    node, the other dimensions are tried too, and the nearest cut is taken. None: always the widest dimension.
     """
-    rows, nodes = rows.withColumn("shard", F.lit(0)), {0: leaves}
+    made: list[dict[int, tuple]] = []
+    nodes = {0: leaves}
     while any(m > 1 for m in nodes.values()):
         split = {a: m for a, m in nodes.items() if m > 1}
-        inner = rows.where(F.col("shard").isin(list(split)))
-        spans = inner.groupBy("shard").agg(F.sum("size").alias("size"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        cuts: dict[int, dict] = {}
         node = F.col("shard")
-        # the widest dimension first; the next ones only where a document too large to share lies on the cut
-        for attempt in range(len(dims)):
+        inner = rows.withColumn("shard", shard_of(made)).where(node.isin(list(split)))
+        found = inner.groupBy("shard").agg(F.sum("size").alias("size"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+        cuts: dict[int, dict] = {}
+        for attempt in range(len(dims) if tolerance is not None else 1):
             open_ = {}
-            for r in spans:
+            for r in found:
                 a = r["shard"]
-                if a not in cuts or cuts[a]["off"] > TOLERANCE:
+                if a not in cuts or cuts[a]["off"] > tolerance:
                     # extents count by the coordinate alone
-                    d = sorted(dims, key=lambda d: ((r[f"lo_{d}"] >> 32) - (r[f"hi_{d}"] >> 32), dims.index(d)))[attempt]
+                    width = lambda d: (r[f"lo_{d}"] >> HASH_BITS + PLACE_BITS) - (r[f"hi_{d}"] >> HASH_BITS + PLACE_BITS)
+                    d = sorted(dims, key=lambda d: (width(d), dims.index(d)))[attempt]
                     share = (split[a] // 2) / split[a]
                     open_[a] = {"dim": dims.index(d) + 1, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"], "want": r["size"] * share, "below": 0, "size": r["size"]}
             for a, c in _refined(inner, dims, open_).items():
                 if a not in cuts or c["off"] < cuts[a]["off"]:
                     cuts[a] = c
+        made.append({a: (dims[c["dim"] - 1], c["cut"], a + split[a] // 2) for a, c in cuts.items()})
         if not cuts:
             break
-        key = F.element_at(F.array(*dims), _of(node, {a: c["dim"] for a, c in cuts.items()}))
-        right = {a: a + m // 2 for a, m in split.items() if a in cuts}
-        moved = _of(node, {a: c["cut"] for a, c in cuts.items()}) <= key
-        rows = store.saved(rows.withColumn("shard", F.when(node.isin(list(right)) & moved, _of(node, right)).otherwise(node)), "shard-level")
         nodes = {a: m for a, m in nodes.items() if m == 1} | {b: n for a, m in split.items() for b, n in ((a, m // 2), (a + m // 2, m - m // 2))}
-    return rows
-
-
-def numbered(rows: DataFrame, n: int) -> DataFrame:
-    """Adds slot, gapless from 0 within each shard: ranks within hashed cells, plus the cells before."""
-    cells = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(16, n // 200_000))).cast("int"))
+    return made
+
+
+def shard_of(levels: list[dict[int, tuple]], node: int = 0, level: int = 0) -> Column:
+    """The node that the levels of tree() made so far give a row."""
+    if level == len(levels):
+        return F.lit(node)
+    if node not in levels[level]:
+        return shard_of(levels, node, level + 1)
+    d, cut, right = levels[level][node]
+    return F.when(F.col(d) >= cut, shard_of(levels, right, level + 1)).otherwise(shard_of(levels, node, level + 1))
+
+
+def write_shards(docs: DataFrame, leaves: int = 24, tolerance: float | None = None) -> str:
+    """Writes the documents into shards, one folder each, and returns the path. A row lies in a cell of its shard
+    and has a rank there."""
+    facts = document_rows(docs)
+    slim = store.saved(facts.drop("row"), "shard-rows")
+    ends = spans(slim)
+    levels = tree(keyed(slim, ends), leaves, tolerance=tolerance)
+    cells = max(16, slim.count() // CELL_ROWS)
+    held = keyed(facts, ends).select("row", "place", shard_of(levels).alias("shard"), F.pmod(F.xxhash64("place"), F.lit(cells)).cast("int").alias("cell"))
+    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("place")) - 1
+    path = store.new_path(docs.sparkSession, "shards")
+    held.select("row", "shard", "cell", rank.alias("rank")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return path
+
+
+def read_shards(spark: SparkSession, path: str, columns: DataFrame) -> DataFrame:
+    """(row, shard, slot): slots count gapless from 0 within each shard. columns: a table with the documents' columns."""
+    kept = columns.select(F.struct("*").alias("row")).schema
+    table = spark.read.schema(f"row {kept['row'].dataType.simpleString()}, cell int, rank int, shard int").parquet(path)
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = cells.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32")) - 1
-    return cells.withColumn("rank", rank).join(ahead, ["shard", "cell"]).withColumn("slot", (F.col("rank") + F.col("ahead")).cast("long")).drop("rank", "ahead", "cell")
+    ahead = table.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return table.join(ahead, ["shard", "cell"]).select("row", "shard", (F.col("rank") + F.col("ahead")).cast("long").alias("slot"))
 
 
-def sharded(docs: DataFrame, leaves: int = 24) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every document, the shards' bytes near equal."""
-    raw = store.saved(document_rows(docs), "shard-rows")
-    dims = [c for c in raw.columns if c.startswith("d") and c[1:].isdigit()]
-    rows = store.saved(keyed(raw, dims), "shard-keys")
-    return numbered(tree(rows, leaves, dims).drop(*dims), rows.count())
+def sharded(docs: DataFrame, leaves: int = 24, tolerance: float | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of every document, read back from the shards, whose bytes are near equal."""
+    held = read_shards(docs.sparkSession, write_shards(docs, leaves, tolerance), docs)
+    text = F.coalesce("row.text", F.lit(""))
+    size = F.octet_length(text).cast("long") + 8
+    return held.select("row.doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "slot")
