@@ -2,13 +2,17 @@
 
 Sizes are summed per source; the target shares are filled up to a multiple of each source's size, the excess
 going to the others by weight, in closed form over the sources; a source's repetition rate is target / size.
-A document is emitted floor(rate) times and once more with a probability equal to the fraction. That draw is
-seeded by hashes and stratified: within cells of a source's documents, in order of size, the draws are spread
-evenly (systematic sampling from a hash-seeded start), so each document's chance is exactly the fraction while
-the sums stay near the target. Cells are cut by hash, so a source with most of the rows is dealt to many tasks.
+A document is emitted floor(rate) times and once more if its own draw, a number in [0, 1) hashed from the seed
+and its doc_id, lies below the rate's fraction. Draws are independent: another document never changes a draw, only
+the rate that it is held against. So a source's sum strays from its target by about the root of the sum of its
+squared sizes; the README has figures. Rates are one row per source, joined by a broadcast where they are small;
+documents are never shuffled.
+
+The rates are worked out by one task that ranks the sources: 100 bytes each, so some ten million sources fit.
 
 Defined results: null text has size 0; a null source is a source of its own; a source without words has rate
-0; repeated rows are drawn each (rows of one doc_id are emitted as often as the luckiest of them); an empty table gives an empty table.
+0; rows that repeat a doc_id share its draw; rows without doc_id draw by their text; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: Rows that a cell holds about, at most.
-CELL_ROWS = 2048
+#: Hexadecimal digits of a digest that make a draw: 52 bits, all that a double holds exactly.
+DRAW_DIGITS = 13
 SEPARATORS = "[\\x20\\x09-\\x0D]"
 
 
@@ -59,26 +63,31 @@ def source_rates(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     return per.select("source", "source_size", "n_docs", "weight", target.alias("target"), rate.alias("rate"))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies): how often each document is emitted."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) from the seed and the document."""
+    key = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, DRAW_DIGITS)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(16**DRAW_DIGITS))
+
+
+def drawn(docs: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """(row, source, size, source_size, target, copies): row has the columns of docs, whatever their names."""
+    held = docs.select(F.struct("*").alias("row"), "source", n_words(F.col("text")).alias("size"))
     # written first, so that the planner knows their size: a handful is broadcast, many are sort-merged
-    rates = store.saved(source_rates(sized, weights, most), "rates")
-    held = sized.join(rates, sized["source"].eqNullSafe(rates["source"])).drop(rates["source"])
-    draw = F.xxhash64("doc_id", "size", F.lit(seed))
-    cell = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.ceil(F.col("n_docs") / CELL_ROWS))
-    held = held.withColumns({"draw": draw, "cell": cell})
-    cells = Window.partitionBy("source", "cell")
-    start = F.pmod(F.xxhash64("source", "cell", F.lit(seed + 2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    at = F.row_number().over(cells.orderBy("size", "draw", "doc_id"))
+    rates = store.saved(source_rates(docs.select("source", n_words(F.col("text")).alias("size")), weights, most), "rates")
+    held = held.join(rates, held["source"].eqNullSafe(rates["source"])).drop(rates["source"])
     whole = F.floor("rate")
-    part = F.col("rate") - whole
-    extra = F.floor(at * part + start) - F.floor((at - 1) * part + start)
-    return held.select("doc_id", "size", "source", "source_size", "target", (whole + extra).cast("long").alias("copies"))
+    extra = F.when(draw(F.col("row.doc_id"), F.col("row.text"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    return held.select("row", "source", "size", "source_size", "target", (whole + extra).cast("long").alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies): how often each document is emitted."""
+    docs = docs.select("doc_id", "text", "source")
+    return drawn(docs, weights, most, seed).select("row.doc_id", "size", "source", "source_size", "target", "copies")
 
 
-def emitted(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document's rows as often as it is taken, with its columns as they were."""
-    held = mixed(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(held.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(1)))).select(docs.columns)
+def emitted(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with its columns as they were."""
+    held = drawn(docs, weights, most, seed).where("copies > 0")
+    return held.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"), F.lit(1))).alias("copy")).select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import DRAW_DIGITS
 from .licenses import LICENSE_FILE, THRESHOLD, WINDOW, Templates
 
 OP6 = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
@@ -9,6 +10,17 @@ OP6 = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f ON f.d = p.d"""
 
+OP3 = f"""WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size,
+  CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, {DRAW_DIGITS}) AS BIGINT) / {float(16**DRAW_DIGITS)!r} AS draw FROM documents),
+ p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+ w AS (SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS most FROM p),
+ f AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(most) OVER below, 0) AS full_before, sum(weight) OVER () - coalesce(sum(weight) OVER below, 0) AS weight_from FROM w
+   WINDOW below AS (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT source, source_size, least(most, max((total - full_before) / weight_from) OVER () * weight) AS target FROM f),
+ r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM t),
+ c AS (SELECT doc_id, size, d.source, source_size, target, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, copies * size AS taken, source, copies FROM c"""
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
  s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
