@@ -1,13 +1,13 @@
-"""Exact n-gram Jaccard join by set-relation skipping, for sets of word shingles.
+"""N-gram Jaccard join by set-relation skipping, for sets of word shingles; exact up to collisions of hashes.
 
-Sets are held as 64-bit hashes of shingles. The work goes down in steps, each of which only loses what provably
+Sets are held as 64-bit hashes of shingles; sets are equal if size and two 64-bit sums over them are. The work goes down in steps, each of which only loses what provably
 has no link:
 
 1. Equal sets become one class, known by its smallest doc_id. Copies within a batch send their elements once.
 2. Of each set the elements lowest in hash order are counted over the corpus (extended prefix: a linked pair
-   shares at least as many of them as `need` says), packed by hash range so that a row moves thousands.
-3. For the classes left all elements are counted; elements of one set alone are dropped, the others are sorted
-   by rising frequency. A set with too few shared elements has no link.
+   shares at least as many of them as `need` says), by hash range. A slice of documents sends an element once.
+3. For the classes left all elements are counted in the same way; elements of one set alone are dropped, the others
+   are sorted by rising frequency. A set with too few shared elements has no link.
 4. The index has the sets' prefixes by element, with positions and sizes. Each set is first compared with one
    centre, a set it meets in most of its lists; linked ones form stars around centres, and components.
 5. Index lists are then read by block, not by posting: a list whose sets are all of one component is skipped
@@ -80,75 +80,95 @@ def least_shared(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers with their bytes transposed: empty high bytes stand together and compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys start, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])), [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
 
 
-def _unplaned(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """values cut at bounds, one run of raw bytes a row."""
+    offsets = pa.py_buffer((bounds * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
 
 
-PACKED = "bucket int, tokens binary, counts binary, owners binary, doc_ids binary, sizes binary, sigs binary"
-PACKED_NAMES = ["bucket", "tokens", "counts", "owners", "doc_ids", "sizes", "sigs"]
+def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """All rows' bytes of a binary column as one array."""
+    out = []
+    for chunk in column.chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, 4 * chunk.offset)
+        if at[-1] > at[0]:
+            out.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]])
+    return np.concatenate(out).view(dtype) if out else np.zeros(0, dtype)
+
+
+def _rows_of(column: pa.ChunkedArray, itemsize: int) -> np.ndarray:
+    """How many values each row of a binary column has."""
+    return pc.binary_length(column).to_numpy().astype(np.int64) // itemsize
+
+
+PACKED = "bucket int, tokens binary, counts binary, owners binary, doc_ids binary, sizes binary, sigs binary, settled binary"
+PACKED_NAMES = ["bucket", "tokens", "counts", "owners", "doc_ids", "sizes", "sigs", "settled"]
 
 
-def _packs(ids: np.ndarray, sets: list[np.ndarray], sent: list[int], bits: int) -> pa.RecordBatch:
-    """One row per hash range: elements, how many sets hold each, whose they are; and what is known of the
-    sets whose lowest element lies in the range (those without elements: in the first range)."""
-    known: dict[tuple, bool] = {}
+def _packed(bucket: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+    none = pa.nulls(len(bucket), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[none if c is None else c for c in columns]], PACKED_NAMES)
+
+
+def _packs(ids: np.ndarray, sets: list[np.ndarray], sent: list[int], bits: int) -> Iterator[pa.RecordBatch]:
+    """What a slice of documents sends: a row per hash range that it has elements in, and a row on its documents.
+
+    An element that several sets of the slice hold is settled here: its owners know that it is shared, and the
+    range is told once, without owners, so what a range gets of an element is one entry per slice, however many
+    sets hold it. The work is that of sorting the slice's elements, however many ranges there are.
+    """
+    known: set[tuple] = set()
     sigs = [(int(s.sum(dtype=np.uint64)), int(_mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))) for s in sets]
-    owners, parts = [], []
+    mine, parts = [], []
     for i, (s, k) in enumerate(zip(sets, sent)):
-        if len(s) and not known.get((len(s), sigs[i])):
-            known[len(s), sigs[i]] = True
-            owners.append(np.full(k, ids[i], np.int64))
+        if len(s) and (len(s), sigs[i]) not in known:
+            known.add((len(s), sigs[i]))
+            mine.append(np.full(k, i, np.int64))
             parts.append(s[:k])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    owner = np.concatenate(mine) if mine else np.zeros(0, np.int64)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    shift = np.uint64(64 - bits)
-    home = np.array([int(s[0]) >> (64 - bits) if len(s) else 0 for s in sets], np.int64)
-    by_home = np.argsort(home, kind="stable")
-    edges = np.arange((1 << bits) + 1)
-    at = np.searchsorted((flat >> shift).astype(np.int64), edges)
-    doc_at = np.searchsorted(home[by_home], edges)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    sig = np.array(sigs, np.uint64).reshape(-1, 2)
-    rows: list[tuple] = []
-    for b in np.flatnonzero((np.diff(at) > 0) | (np.diff(doc_at) > 0)).tolist():
-        part = slice(at[b], at[b + 1])
-        found, counts = np.unique(flat[part], return_counts=True)
-        mine = by_home[doc_at[b] : doc_at[b + 1]]
-        rows.append((b, found.tobytes(), _planes(counts.astype(np.uint32)), _planes(owner[part]), _planes(ids[mine]), _planes(sizes[mine]), sig[mine].tobytes()))
-    columns = list(zip(*rows)) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], PACKED_NAMES)
-
-
-def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(element, frequency, owner) of the postings of a range whose elements several sets hold."""
-    held = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-    counts = [_unplaned(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()]
-    flat = np.repeat(np.concatenate(held), np.concatenate(counts)) if held else np.zeros(0, np.uint64)
-    owner = np.concatenate([_unplaned(x, np.int64) for x in table.column("owners").to_pylist()])
-    found, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-    df = n[back]
-    keep = df > 1
-    return flat[keep], df[keep], owner[keep]
-
-
-def _postings(docs: DataFrame, n: int, bits: int, share) -> DataFrame:
-    """Packed postings of documents (doc_id, text); share(size): elements sent of a set of that size."""
+    starts = _runs(flat)
+    counts = np.diff(starts)
+    found = flat[starts[:-1]]
+    alone = counts == 1
+    settled = np.bincount(owner[np.repeat(~alone, counts)], minlength=len(sets)).astype(np.int64)
+    bucket = (found >> np.uint64(64 - bits)).astype(np.int64)
+    bounds = _runs(bucket)
+    owner_bounds = np.concatenate([[0], np.cumsum(alone)])[bounds]
+    if len(found):
+        yield _packed(bucket[bounds[:-1]], _binary(found, bounds), _binary(counts.astype(np.uint32), bounds), _binary(ids[owner[starts[:-1][alone]]], owner_bounds), None, None, None, None)
+    if len(sets):
+        one = np.array([0, len(sets)])
+        sig = np.array(sigs, np.uint64).reshape(-1, 2)
+        home = np.array([int(_mix(ids[:1].view(np.uint64))[0]) & (1 << bits) - 1])
+        yield _packed(home, None, None, None, _binary(ids, one), _binary(np.array([len(x) for x in sets], np.int64), one), _binary(sig.ravel(), one * 2), _binary(settled, one))
+
+
+def _slices(docs: DataFrame, n: int) -> Iterator:
+    """Documents (doc_id, text) as one row per slice of some MiB of text: (slice, doc_ids, sizes, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in tokens.steps(batch, "text", 8 << 20):
                 sets = shingle_sets(part.column("text"), n)
-                yield _packs(part.column("doc_id").to_numpy(), sets, [share(len(s)) for s in sets], bits)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                ids = part.column("doc_id").to_numpy()
+                columns = [_binary(x, np.array([0, len(x)])) for x in (ids, sizes, flat)]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *columns], ["slice", "doc_ids", "sizes", "tokens"])
+                k += 1
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(run, "slice long, doc_ids binary, sizes binary, tokens binary")
 
 
 def _link(a: str, b: str, percent: int) -> tuple[Column, Column]:
@@ -193,17 +213,25 @@ def document_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Da
     def share(size: int) -> int:
         return min(size, size - least_shared(size, percent) + extra(size))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.steps(batch, "text", 8 << 20):
+                sets = shingle_sets(part.column("text"), n)
+                yield from _packs(part.column("doc_id").to_numpy(), sets, [share(len(x)) for x in sets], bits)
+
     def reduce(table: pa.Table) -> pa.Table:
-        _, _, owner = _counted(table)
+        flat, counts = _joined(table.column("tokens"), np.uint64), _joined(table.column("counts"), np.uint32).astype(np.int64)
+        _, back = np.unique(flat, return_inverse=True)
+        total = np.bincount(back, counts)[back] if len(flat) else np.zeros(0)
+        owner = _joined(table.column("owners"), np.int64)[total[counts == 1] > 1]
         ids, shared = np.unique(owner, return_counts=True)
-        doc = np.concatenate([_unplaned(x, np.int64) for x in table.column("doc_ids").to_pylist()])
-        size = np.concatenate([_unplaned(x, np.int64) for x in table.column("sizes").to_pylist()])
-        sig = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("sigs").to_pylist()])
+        doc, size, settled = (_joined(table.column(c), np.int64) for c in ("doc_ids", "sizes", "settled"))
+        sig = _joined(table.column("sigs"), np.int64).reshape(-1, 2)
         none = pa.nulls(len(ids), pa.int64())
-        columns = [(ids, doc), (none, size), (none, sig[:, 0]), (none, sig[:, 1]), (shared, np.zeros(len(doc), np.int64))]
+        columns = [(ids, doc), (none, size), (none, sig[:, 0]), (none, sig[:, 1]), (shared, settled)]
         return pa.table([pa.chunked_array([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for x, y in columns], ["doc_id", "size", "s1", "s2", "shared"])
 
-    found = _postings(known, n, bits, share).groupBy("bucket").applyInArrow(reduce, "doc_id long, size long, s1 long, s2 long, shared long")
+    found = known.mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(reduce, "doc_id long, size long, s1 long, s2 long, shared long")
     # rows that repeat a doc_id: the larger set stands for it
     best = F.max(F.when(F.col("size").isNotNull(), F.struct("size", "s1", "s2"))).alias("set")
     held = found.groupBy("doc_id").agg(best, F.sum("shared").alias("shared"))
@@ -213,44 +241,56 @@ def document_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Da
 
 def shared_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(rep, n, tokens) of documents (doc_id, text): each set's size, and its elements that others have too by
-    rising frequency. Sets with too few of them are left out."""
-    # ranges of elements times groups of owners: both grow with the square root, their packs with the input
-    bits = max(6, int(np.ceil(np.log2(docs.count() + 1) / 2))) + 1
-    groups = 1 << bits
-
-    def spread(table: pa.Table) -> pa.Table:
-        flat, df, owner = _counted(table)
-        doc = np.concatenate([_unplaned(x, np.int64) for x in table.column("doc_ids").to_pylist()])
-        size = np.concatenate([_unplaned(x, np.int64) for x in table.column("sizes").to_pylist()])
-        group = (_mix(owner.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-        home = (_mix(doc.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-        order, doc_order = np.argsort(group, kind="stable"), np.argsort(home, kind="stable")
-        edges = np.arange(groups + 1)
-        at, doc_at = np.searchsorted(group[order], edges), np.searchsorted(home[doc_order], edges)
-        rows = []
-        for g in np.flatnonzero((np.diff(at) > 0) | (np.diff(doc_at) > 0)).tolist():
-            part, mine = order[at[g] : at[g + 1]], doc_order[doc_at[g] : doc_at[g + 1]]
-            rows.append((g, flat[part].tobytes(), _planes(df[part].astype(np.uint32)), _planes(owner[part]), _planes(doc[mine]), _planes(size[mine])))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        return pa.table([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["owner_group", "tokens", "dfs", "owners", "doc_ids", "sizes"])
-
-    def gather(table: pa.Table) -> pa.Table:
-        join = lambda c, f: np.concatenate([f(x) for x in table.column(c).to_pylist()])
-        flat, df, owner = join("tokens", lambda x: np.frombuffer(x, np.int64)), join("dfs", lambda x: _unplaned(x, np.uint32)), join("owners", lambda x: _unplaned(x, np.int64))
-        doc, size = join("doc_ids", lambda x: _unplaned(x, np.int64)), join("sizes", lambda x: _unplaned(x, np.int64))
-        order = np.lexsort((flat, df, owner))
-        flat, owner = flat[order], owner[order]
-        by = np.argsort(doc)
-        doc, size = doc[by], size[by]
-        starts, ends = np.searchsorted(owner, doc), np.searchsorted(owner, doc, side="right")
-        keep = np.flatnonzero((ends - starts >= least_shared(size, percent)) & (size > 0))
-        lengths = (ends - starts)[keep]
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        values = flat[np.repeat(starts[keep] - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    rising frequency. Sets with too few of them are left out.
+
+    Sets stay in their slices; what travels is each slice's distinct elements, to be counted by hash range, and
+    back come the frequencies. A range gets an element once per slice, however many sets hold it.
+    """
+    held = store.saved(_slices(docs, n), "slices", "lz4")
+    elements = held.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    bits = max(6, int(np.ceil(np.log2(elements / 8 / 100_000 + 1))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                found, counts = np.unique(_joined(pa.chunked_array([row.column("tokens")]), np.uint64), return_counts=True)
+                bucket = (found >> np.uint64(64 - bits)).astype(np.int64)
+                bounds = _runs(bucket)
+                slices = pa.array(np.full(len(bounds) - 1, row.column("slice")[0].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]], pa.int32()), slices, _binary(found, bounds), _binary(counts.astype(np.uint32), bounds)], ["bucket", "slice", "tokens", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        flat, counts = _joined(table.column("tokens"), np.uint64), _joined(table.column("counts"), np.uint32).astype(np.int64)
+        home = np.repeat(table.column("slice").to_numpy(), _rows_of(table.column("tokens"), 8))
+        _, back = np.unique(flat, return_inverse=True)
+        total = np.bincount(back, counts)[back].astype(np.uint32) if len(flat) else np.zeros(0, np.uint32)
+        keep = np.flatnonzero(total > 1)
+        keep = keep[np.argsort(home[keep], kind="stable")]
+        bounds = _runs(home[keep])
+        return pa.table([pa.array(home[keep][bounds[:-1]], pa.int64()), _binary(flat[keep], bounds), _binary(total[keep], bounds)], ["slice", "tokens", "dfs"])
+
+    def gather(mine: pa.Table, counted: pa.Table) -> pa.Table:
+        doc, size = _joined(mine.column("doc_ids"), np.int64), _joined(mine.column("sizes"), np.int64)
+        flat = _joined(mine.column("tokens"), np.uint64)
+        known, df = _joined(counted.column("tokens"), np.uint64), _joined(counted.column("dfs"), np.uint32)
+        order = np.argsort(known)
+        known, df = known[order], df[order]
+        at = np.searchsorted(known, flat)
+        shared = np.concatenate([known, [0]])[at] == flat if len(known) else np.zeros(len(flat), bool)
+        shared &= at < len(known)
+        owner = np.repeat(np.arange(len(doc)), size)[shared]
+        flat, freq = flat[shared], df[at[shared]]
+        order = np.lexsort((flat.view(np.int64), freq, owner))
+        lengths = np.bincount(owner, minlength=len(doc))
+        keep = (lengths >= least_shared(size, percent)) & (size > 0)
+        values = flat[order][np.repeat(keep, lengths)].view(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths[keep])])
         return pa.table([pa.array(doc[keep]), pa.array(size[keep]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))], ["rep", "n", "tokens"])
 
-    packed = _postings(docs, n, bits, lambda size: size).groupBy("bucket").applyInArrow(spread, "owner_group int, tokens binary, dfs binary, owners binary, doc_ids binary, sizes binary")
-    return packed.groupBy("owner_group").applyInArrow(gather, "rep long, n long, tokens array<long>")
+    dealt = held.select("slice", "tokens").mapInArrow(deal, "bucket int, slice long, tokens binary, counts binary")
+    counted = dealt.groupBy("bucket").applyInArrow(count, "slice long, tokens binary, dfs binary")
+    return held.groupBy("slice").cogroup(counted.groupBy("slice")).applyInArrow(gather, "rep long, n long, tokens array<long>")
 
 
 def _size_block(n: Column, percent: int) -> Column:

@@ -1,6 +1,10 @@
 import random
+import time
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+
 from sparkloom.llm import jaccard
 
 
@@ -62,3 +66,44 @@ def test_repeated_and_nameless_rows(spark):
     found = sorted(map(tuple, jaccard.classes(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert found == [(1, 2, 1), (1, 2, 1), (None, 1, None)]
     assert jaccard.classes(docs.limit(0)).count() == 0
+
+
+def test_a_slice_costs_the_same_however_many_ranges_there_are():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2)) for _ in range(500)]
+    shared = sets[0][5]
+    sets = [np.unique(np.append(s, shared)) for s in sets]
+    ids = np.arange(500, dtype=np.int64)
+    seconds = {}
+    for bits in (10, 24):
+        began = time.perf_counter()
+        elements, about = list(jaccard._packs(ids, sets, [len(s) for s in sets], bits))
+        seconds[bits] = time.perf_counter() - began
+        distinct = np.unique(np.concatenate(sets))
+        assert elements.num_rows == len(np.unique(distinct >> np.uint64(64 - bits))) and about.num_rows == 1
+        tables = pa.Table.from_batches([elements])
+        assert jaccard._joined(tables.column("tokens"), np.uint64).tolist() == distinct.tolist()
+        counts = jaccard._joined(tables.column("counts"), np.uint32)
+        # the element that all hold is sent once, without owners
+        assert counts.sum() == sum(map(len, sets)) and len(jaccard._joined(tables.column("owners"), np.int64)) == (counts == 1).sum()
+        settled = jaccard._joined(pa.Table.from_batches([about]).column("settled"), np.int64)
+        assert (settled >= 1).all()
+    assert seconds[24] < 10 * seconds[10] + 0.5
+
+
+def test_an_element_that_a_third_of_the_sets_hold(spark):
+    rng = random.Random(5)
+    word = lambda: str(rng.randrange(10**6))
+    passage = [word() for _ in range(20)]
+    rows = [(i, " ".join((passage if i % 3 == 0 else []) + [word() for _ in range(rng.randrange(4, 40))])) for i in range(120)]
+    rows += [(1000 + i, " ".join(passage + [word() for _ in range(rng.randrange(0, 5))])) for i in range(60)]
+    check(spark, rows)
+
+
+def test_a_long_chain_is_one_component(spark):
+    # each text is linked with the next alone: a window that moves by a tenth of its shingles
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[i * 10 : i * 10 + 104])) for i in range(150)]
+    check(spark, rows)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long")
+    assert {r["component"] for r in jaccard.components(edges).collect()} == {0}
