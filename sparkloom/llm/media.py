@@ -1,13 +1,14 @@
 """FLAC media columns: texts as 8-bit mono samples, and a decoder that works on many frames at a time.
 
+A byte less 128 is a sample. Each frame is stored as a constant, verbatim, with a fixed predictor of order 0 to 4
+or with a linear predictor of order LPC_ORDER fitted to it, whichever takes fewest bits.
+
 Decoding takes all streams of a batch together: a lane per seek point (a stream without seek table is one
 lane), and every step reads the next Rice residual of each lane, so numpy does the bit work for thousands of
 frames at once. Constant, verbatim, fixed and linear-predictor subframes of one 8-bit channel are understood,
 with any partition order; frame numbers, header and frame checksums and the stream's MD5 are verified. What comes out
-are PCM blocks with the offset of their first sample.
-
-A byte is stored as the sample that its place in BYTE_ORDER folds to (0, -1, 1, -2, ...): common bytes are
-quiet samples, which Rice codes hold in few bits.
+are PCM blocks with the offset of their first sample, which are written; any of them can be read alone, and a
+stretch of samples is decoded from the seek point before it.
 
 Defined results: null text counts as empty; the payload of an empty text is one frame of padding; repeated rows
 give equal media; an empty table gives an empty table.
@@ -34,10 +35,10 @@ RATE = 8000
 SEEK_FRAMES = 8
 #: Bytes of streams decoded together: enough lanes to keep numpy busy.
 DECODE_BYTES = 6 << 20
-#: Bytes by falling frequency in European prose; the others follow by number. The padding byte comes third.
-_COMMON = b" e\xffntiaorshdulcmg.fpbwv,ykzjxq\xc3\nETAISDLOUNCRMPHBGFWVKQJZYX\xa9\xa8\xa4\xbc\xb1\xad\xb3\xaa\xa1"
-BYTE_ORDER = np.array(list(dict.fromkeys([*_COMMON, *range(256)])), np.uint8)
-PLACE = np.argsort(BYTE_ORDER).astype(np.uint8)
+#: Order of the linear predictors that the encoder fits, and bits of their factors.
+LPC_ORDER, PRECISION = 4, 12
+#: Kinds of subframe that the encoder tells apart: FIXED + order, or these.
+CONSTANT, VERBATIM, LPC = 5, 6, 7
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -98,23 +99,100 @@ def _frame_header(number: int) -> bytes:
 _headers: list[bytes] = []
 
 
+def linear_predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised factors [frame, order] and shifts of each frame's best linear predictor (Levinson-Durbin)."""
+    p, f = LPC_ORDER, x.astype(np.float64)
+    r = np.stack([(f[:, : f.shape[1] - lag] * f[:, lag:]).sum(axis=1) for lag in range(p + 1)], axis=1)
+    a, error = np.zeros((len(x), p)), r[:, 0] + 1e-9
+    for i in range(p):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    most = np.abs(a).max(axis=1)
+    shift = np.clip(PRECISION - 1 - np.ceil(np.log2(np.maximum(most, 1e-9))).astype(np.int64), 0, 15)
+    top = (1 << PRECISION - 1) - 1
+    return np.clip(np.round(a * (1 << shift)[:, None]), -top - 1, top).astype(np.int64), shift
+
+
+def _residuals(x: np.ndarray, kind: int, factors: np.ndarray | None = None, shift: np.ndarray | None = None) -> np.ndarray:
+    """What the predictor leaves of the samples [frame, sample] after the warm-up ones."""
+    if kind == LPC:
+        n = x.shape[1] - LPC_ORDER
+        guess = sum(x[:, LPC_ORDER - 1 - j : LPC_ORDER - 1 - j + n] * factors[:, j, None] for j in range(LPC_ORDER))
+        return x[:, LPC_ORDER:] - (guess >> shift[:, None])
+    return np.diff(x, kind, axis=1) if kind else x
+
+
+def _folded(r: np.ndarray) -> np.ndarray:
+    return np.where(r >= 0, r << 1, ~r << 1 | 1)
+
+
+def _spread(value: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers [frame] or [frame, k] as bits, most significant first."""
+    held = value.reshape(len(value), -1)
+    return (held[:, :, None] >> np.arange(bits - 1, -1, -1) & 1).reshape(len(value), -1).astype(np.uint8)
+
+
+def _coded(x: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subframes after their type byte, end to end, and the bytes of each; all frames have one kind of predictor."""
+    order = LPC_ORDER if kind == LPC else kind
+    head = [_spread(x[:, :order] & 255, 8)]
+    factors = shift = None
+    if kind == LPC:
+        factors, shift = linear_predictors(x)
+        head += [_spread(np.full(len(x), PRECISION - 1), 4), _spread(shift, 5), _spread(factors & (1 << PRECISION) - 1, PRECISION)]
+    u = _folded(_residuals(x, kind, factors, shift))
+    costs = np.stack([(u >> k).sum(axis=1) + u.shape[1] * (1 + k) for k in range(12)])
+    k = costs.argmin(axis=0)
+    # Rice coding in one partition: its parameter, then the codes
+    bits = np.concatenate([*head, np.zeros((len(x), 6), np.uint8), _spread(k, 4)], axis=1)
+    body = -(-(bits.shape[1] + costs[k, np.arange(len(x))]) // 8)
+    local = (np.cumsum(body) - body) * 8
+    stream = np.zeros(int(body.sum()) * 8, np.uint8)
+    stream[local[:, None] + np.arange(bits.shape[1])] = bits
+    kk = k[:, None]
+    length = (u >> kk) + 1 + kk
+    stop = local[:, None] + bits.shape[1] + np.cumsum(length, axis=1) - length + (u >> kk)
+    stream[stop.ravel()] = 1
+    for j in range(int(k.max(initial=0))):
+        rows = k > j
+        # bit j from below lies at the stop bit's place + k - j
+        stream[(stop[rows] + kk[rows] - j).ravel()] = (u[rows] >> j & 1).ravel()
+    return np.packbits(stream), body
+
+
+def _chosen(x: np.ndarray) -> np.ndarray:
+    """The kind of each frame, by the bits that its residuals take about."""
+    factors, shift = linear_predictors(x)
+    costs = np.full((8, len(x)), np.inf)
+    for kind in (*range(5), LPC):
+        u = _folded(_residuals(x, kind, factors, shift))
+        n, total = u.shape[1], u.sum(axis=1)
+        k = np.maximum(np.log2(np.maximum(total / n, 1e-9) * np.log(2)).round(), 0)
+        costs[kind] = n * (1 + k) + np.maximum(total - n * (2**k - 1) / 2, 0) / 2**k + 8 * (FRAME - n)
+    costs[LPC] += 9 + PRECISION * LPC_ORDER
+    costs[VERBATIM] = 8 * FRAME - 10
+    costs[CONSTANT] = np.where((x == x[:, :1]).all(axis=1), 0, np.inf)
+    return costs.argmin(axis=0)
+
+
 def encode(payload: np.ndarray, frames: np.ndarray) -> list[bytes]:
     """FLAC streams of byte payloads laid end to end; frames: the number of 576-byte frames of each."""
-    place = PLACE[payload].reshape(-1, FRAME)
-    # the fold of residuals: even places are samples from 0 up, odd ones from -1 down
-    samples = (place >> 1).astype(np.int8) ^ -(place & 1).astype(np.int8)
-    n = len(place)
-    bits = np.stack([(place >> k).sum(axis=1, dtype=np.int64) + FRAME * (1 + k) for k in range(8)])
-    k = bits.argmin(axis=0)
-    bits = bits[k, np.arange(n)] + 10
-    constant = (place == place[:, :1]).all(axis=1)
-    verbatim = ~constant & (bits >= 8 * FRAME)
-    rice = ~constant & ~verbatim
+    raw = (payload ^ 128).view(np.int8)
+    x = raw.reshape(-1, FRAME).astype(np.int64)
+    n = len(x)
+    kind = _chosen(x) if n else np.zeros(0, np.int64)
     number = np.arange(n) - np.repeat(np.cumsum(frames) - frames, frames)
     while len(_headers) <= (int(number.max()) if n else -1):
         _headers.append(_frame_header(len(_headers)))
     heads = np.array([len(_headers[i]) for i in number.tolist()], np.int64)
-    body = np.where(constant, 1, np.where(verbatim, FRAME, -(-bits // 8)))
+    body = np.where(kind == CONSTANT, 1, FRAME)
+    coded = {}
+    for c in np.unique(kind).tolist():
+        if c not in (CONSTANT, VERBATIM):
+            rows = np.flatnonzero(kind == c)
+            coded[c] = (rows, *_coded(x[rows], c))
+            body[rows] = coded[c][2]
     sizes = heads + 1 + body + 2
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -122,32 +200,19 @@ def encode(payload: np.ndarray, frames: np.ndarray) -> list[bytes]:
     joined = np.frombuffer(b"".join(_headers[i] for i in number.tolist()), np.uint8)
     out[np.repeat(starts - (np.cumsum(heads) - heads), heads) + np.arange(len(joined))] = joined
     at = starts + heads
-    out[at] = np.where(constant, 0, np.where(verbatim, 2, 16))
-    out[at[constant] + 1] = samples[constant, 0].view(np.uint8)
-    out[(at[verbatim, None] + 1 + np.arange(FRAME))] = samples[verbatim].view(np.uint8)
-    # Rice codes: places of their stop bits, then the low bits after each
-    u, kk = place[rice].astype(np.int64), k[rice, None]
-    length = (u >> kk) + 1 + kk
-    local = np.cumsum(body[rice]) - body[rice]
-    stream = np.zeros(int(body[rice].sum()) * 8, np.uint8)
-    first = local[:, None] * 8 + 10 + np.cumsum(length, axis=1) - length
-    for j in range(4):
-        stream[local * 8 + 6 + j] = kk[:, 0] >> 3 - j & 1
-    stop = first + (u >> kk)
-    stream[stop.ravel()] = 1
-    for j in range(int(kk.max(initial=0))):
-        rows = kk[:, 0] > j
-        # bit j from below lies at the stop bit's place + k - j
-        stream[(stop[rows] + kk[rows] - j).ravel()] = (u[rows] >> j & 1).ravel()
-    packed = np.packbits(stream)
-    out[np.repeat(at[rice] + 1 - local, body[rice]) + np.arange(len(packed))] = packed
+    out[at] = np.array([16, 18, 20, 22, 24, 0, 2, 2 * (31 + LPC_ORDER)])[kind]
+    constant, verbatim = kind == CONSTANT, kind == VERBATIM
+    out[at[constant] + 1] = x[constant, 0] & 255
+    out[at[verbatim, None] + 1 + np.arange(FRAME)] = x[verbatim] & 255
+    for rows, data, size in coded.values():
+        out[np.repeat(at[rows] + 1 - (np.cumsum(size) - size), size) + np.arange(len(data))] = data
     crc = crc16s(out, starts, sizes - 2)
     out[ends - 2], out[ends - 1] = crc >> 8, crc & 0xFF
     streams, f = [], 0
-    held = memoryview(out)
+    held, samples = memoryview(out), memoryview(raw)
     for m in frames.tolist():
-        raw = samples[f : f + m].tobytes()
-        info = struct.pack(">HH", FRAME, FRAME) + bytes(6) + (RATE << 44 | 7 << 36 | m * FRAME).to_bytes(8, "big") + hashlib.md5(raw).digest()
+        md5 = hashlib.md5(samples[f * FRAME : (f + m) * FRAME]).digest()
+        info = struct.pack(">HH", FRAME, FRAME) + bytes(6) + (RATE << 44 | 7 << 36 | m * FRAME).to_bytes(8, "big") + md5
         points = [struct.pack(">QQH", j * FRAME, int(starts[f + j] - starts[f]), FRAME) for j in range(0, m, SEEK_FRAMES)]
         blocks = b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + (18 * len(points)).to_bytes(3, "big") + b"".join(points)
         streams.append(b"fLaC" + blocks + bytes(held[starts[f] : ends[f + m - 1]]))
@@ -159,9 +224,16 @@ class Bits:
     """Bit readers over one buffer, one per lane."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        self.windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(16, np.uint8)]), 8)
+        self.data = np.concatenate([data, np.zeros(16, np.uint8)])
+        self.windows = np.lib.stride_tricks.sliding_window_view(self.data, 8)
         self.at = at * 8
 
+    def part(self, lanes: np.ndarray) -> "Bits":
+        """Readers of these lanes alone, at their places."""
+        out = object.__new__(Bits)
+        out.data, out.windows, out.at = self.data, self.windows, self.at[lanes]
+        return out
+
     def window(self, lanes) -> np.ndarray:
         """The next 57 bits at least, from the top."""
         at = self.at[lanes]
@@ -188,7 +260,7 @@ class Bits:
             dry = np.flatnonzero(top == 0)
             q = q.copy()
             q[dry] = 0
-            mine = lanes[dry]
+            mine = dry if isinstance(lanes, slice) else lanes[dry]
             while len(dry):
                 t = (self.window(mine) >> np.uint64(32)).astype(np.int64)
                 more = t == 0
@@ -214,82 +286,90 @@ FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
 def _subframes(bits: Bits, lanes: np.ndarray, size: int) -> np.ndarray:
     """The next subframe of each lane: [lane, sample]."""
-    n = len(lanes)
     head = bits.read(lanes, 8)
     kind = head >> 1 & 63
-    if (head & 0x81).any():
-        raise ValueError("FLAC: wasted bits or a bad subframe")
     fixed, lpc = (kind >= 8) & (kind <= 12), kind >= 32
-    order = np.where(fixed, kind - 8, np.where(lpc, kind - 31, 0))
-    if not (fixed | lpc | (kind < 2)).all() or (order > size).any():
-        raise ValueError("FLAC: a reserved subframe type")
-    out = np.zeros((n, size), np.int64)
-    top = int(order.max(initial=0))
+    if (head & 0x81).any() or not (fixed | lpc | (kind < 2)).all():
+        raise ValueError("FLAC: wasted bits or a subframe of a reserved type")
+    out = np.zeros((len(lanes), size), np.int64)
+    some = np.flatnonzero(kind == 0)
+    out[some] = bits.signed(lanes[some], 8)[:, None]
+    some = np.flatnonzero(kind == 1)
+    out[some] = bits.data[(bits.at[lanes[some]] >> 3)[:, None] + np.arange(size)].view(np.int8)
+    bits.at[lanes[some]] += 8 * size
+    some = np.flatnonzero(fixed | lpc)
+    if len(some):
+        mine = bits.part(lanes[some])
+        order = np.where(fixed, kind - 8, kind - 31)[some]
+        if (order > size).any():
+            raise ValueError("FLAC: a predictor longer than its frame")
+        out[some] = _predicted(mine, order, lpc[some], size).T
+        bits.at[lanes[some]] = mine.at
+    return out
+
+
+def _predicted(bits: Bits, order: np.ndarray, lpc: np.ndarray, size: int) -> np.ndarray:
+    """Subframes with predictors of all lanes of the readers: [sample, lane]."""
+    n, top = len(order), int(order.max())
+    every, lanes = slice(None), np.arange(n)
+    out = np.zeros((size, n), np.int64)
     for i in range(top):
         rows = np.flatnonzero(order > i)
-        out[rows, i] = bits.signed(lanes[rows], 8)
-    factors, shift = np.zeros((n, max(top, 4)), np.int64), np.zeros(n, np.int64)
+        out[i, rows] = bits.signed(rows, 8)
+    factors, shift = np.zeros((max(top, 4), n), np.int64), np.zeros(n, np.int64)
     for o in range(1, 5):
-        factors[fixed & (order == o), :o] = FIXED[o]
+        factors[:o, ~lpc & (order == o)] = np.array(FIXED[o])[:, None]
     rows = np.flatnonzero(lpc)
     if len(rows):
-        precision = bits.read(lanes[rows], 4) + 1
-        shift[rows] = bits.signed(lanes[rows], 5)
+        precision = bits.read(rows, 4) + 1
+        shift[rows] = bits.signed(rows, 5)
         for i in range(int(order[rows].max())):
             some = order[rows] > i
-            factors[rows[some], i] = bits.signed(lanes[rows[some]], precision[some])
-    coded = np.flatnonzero(fixed | lpc)
-    parts, wide = np.ones(n, np.int64), np.full(n, 4)
-    if len(coded):
-        method = bits.read(lanes[coded], 2)
-        if (method > 1).any():
-            raise ValueError("FLAC: a reserved residual coding")
-        wide[coded] = 4 + method
-        parts[coded] = 1 << bits.read(lanes[coded], 4)
-    span = size // parts
-    k, raw = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    raw[kind == 1] = 8
-    constant = np.flatnonzero(kind == 0)
-    out[constant] = bits.signed(lanes[constant], 8)[:, None]
-    is_coded = fixed | lpc
-    boundaries = {int(x) for s in np.unique(span[coded]) for x in range(0, size, int(s))} | {int(o) for o in np.unique(order[coded])}
-    mixed = top > 0 or len(constant) > 0 or (raw >= 0).any()
+            factors[i, rows[some]] = bits.signed(rows[some], precision[some])
+    method = bits.read(lanes, 2)
+    if (method > 1).any():
+        raise ValueError("FLAC: a reserved residual coding")
+    wide, span = 4 + method, size // (1 << bits.read(lanes, 4))
+    k, raw, some_raw = np.zeros(n, np.int64), np.full(n, -1, np.int64), False
+    boundaries = {int(x) for s in np.unique(span) for x in range(0, size, int(s))} | {int(o) for o in np.unique(order)}
     for i in range(size):
         if i in boundaries:
-            fresh = np.flatnonzero(is_coded & (i >= order) & ((i % span == 0) | (i == order)))
-            k[fresh] = bits.read(lanes[fresh], wide[fresh])
+            fresh = np.flatnonzero((i >= order) & ((i % span == 0) | (i == order)))
+            k[fresh] = bits.read(fresh, wide[fresh])
             escaped = fresh[k[fresh] == (1 << wide[fresh]) - 1]
             raw[fresh] = -1
-            raw[escaped] = bits.read(lanes[escaped], 5)
+            raw[escaped] = bits.read(escaped, 5)
             k[escaped] = 0
-            mixed |= len(escaped) > 0
-        if not mixed:
-            out[:, i] = bits.rice(lanes, k)
+            some_raw = bool((raw >= 0).any())
+        # samples before the first are 0, and so are factors beyond a lane's order
+        guess = sum((out[i - 1 - j] * factors[j] for j in range(min(top, i))), np.zeros(n, np.int64)) >> shift
+        if i >= top and not some_raw:
+            out[i] = bits.rice(every, k) + guess
             continue
-        live = is_coded & (i >= order)
+        live = i >= order
         rows = np.flatnonzero(live & (raw < 0))
-        out[rows, i] = bits.rice(lanes[rows], k[rows])
-        rows = np.flatnonzero((live | (kind == 1)) & (raw >= 0))
-        out[rows, i] = bits.signed(lanes[rows], raw[rows])
-        if top:  # earlier samples times the predictor's factors
-            rows = np.flatnonzero(live & (order > 0))
-            past = out[rows, max(0, i - top) : i][:, ::-1]
-            out[rows, i] += (past * factors[rows, : past.shape[1]]).sum(axis=1) >> shift[rows]
+        out[i, rows] = bits.rice(rows, k[rows]) + guess[rows]
+        rows = np.flatnonzero(live & (raw >= 0))
+        out[i, rows] = bits.signed(rows, raw[rows]) + guess[rows]
     return out
 
 
-def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples of FLAC streams of one 8-bit channel and one block size."""
+def decode(streams: list[bytes], first: int = 0, last: int | None = None) -> list[np.ndarray]:
+    """The samples of FLAC streams of one 8-bit channel and one block size.
+
+    first, last: only these samples (last not included) are given, and only what lies between the seek points
+    around them is read; the stream's MD5 is verified where all of it is.
+    """
     data = np.frombuffer(b"".join(streams), np.uint8)
     base, lanes, totals, sums, sizes = 0, [], [], [], set()
     for s, stream in enumerate(streams):
         if stream[:4] != b"fLaC":
             raise ValueError("FLAC: no stream")
-        at, points, last, info = 4, [(0, 0)], False, b""
-        while not last:
+        at, points, final, info = 4, [(0, 0)], False, b""
+        while not final:
             head, size = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
             block = stream[at + 4 : at + 4 + size]
-            last, kind, at = bool(head & 128), head & 127, at + 4 + size
+            final, kind, at = bool(head & 128), head & 127, at + 4 + size
             if kind == 0:
                 info = block
             elif kind == 3:
@@ -301,7 +381,8 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         totals.append(rest & (1 << 36) - 1)
         sums.append(info[18:34])
         stops = [a for a, _ in points[1:]] + [totals[-1]]
-        lanes += [(s, base + at + b, a, stop) for (a, b), stop in zip(points, stops) if stop > a]
+        end = totals[-1] if last is None else last
+        lanes += [(s, base + at + b, a, stop) for (a, b), stop in zip(points, stops) if stop > max(a, first) and a < end]
         base += len(stream)
     if len(sizes) > 1:
         raise ValueError("FLAC: streams of one block size are expected")
@@ -344,9 +425,11 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
             outs[s][a : a + size] = row
         sample[live] += size
     for out, md5 in zip(outs, sums):
+        if (first or last is not None) and (first > 0 or last < len(out)):
+            continue
         if md5 != bytes(16) and hashlib.md5(out.tobytes()).digest() != md5:
             raise ValueError("FLAC: stream checksum")
-    return outs
+    return [x[first:last] for x in outs]
 
 
 def payloads(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,25 +463,34 @@ BLOCK_SQL = "array<struct<sample_offset:bigint,pcm:binary>>"
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """Adds blocks to rows with a column media: signed 8-bit PCM with the offset of each block's first sample."""
-    names = [*media.columns, "blocks"]
+    """Rows with a column media, and in its place media_bytes, media_sha256 and blocks: signed 8-bit PCM with the
+    offset of each block's first sample."""
+    kept = [f for f in media.schema if f.name != "media"]
+    names = [*(f.name for f in kept), "media_bytes", "media_sha256", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = SEEK_FRAMES * FRAME
         for batch in batches:
             for part in tokens.steps(batch, "media", DECODE_BYTES):
-                found = [[(i, x[i : i + step].tobytes()) for i in range(0, len(x), step)] for x in decode(part.column("media").to_pylist())]
+                streams = part.column("media").to_pylist()
+                found = [[(i, x[i : i + step].tobytes()) for i in range(0, len(x), step)] for x in decode(streams)]
                 blocks = pa.array([[{"sample_offset": i, "pcm": b} for i, b in x] for x in found], BLOCK)
-                yield pa.RecordBatch.from_arrays([*part.columns, blocks], names)
+                facts = [pa.array([len(x) for x in streams], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in streams], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *facts, blocks], names)
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return media.mapInArrow(run, f"{schema}media_bytes long, media_sha256 string, blocks {BLOCK_SQL}")
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{schema}, blocks {BLOCK_SQL}")
+def samples_between(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """(doc_id, sample_offset, pcm) of the blocks of written PCM rows that hold samples first to last (not included)."""
+    wanted = F.filter("blocks", lambda b: (b["sample_offset"] < last) & (b["sample_offset"] + F.octet_length(b["pcm"]) > first))
+    return rows.select("doc_id", F.explode(wanted).alias("block")).select("doc_id", "block.sample_offset", "block.pcm")
 
 
 def payload_of(pcm: bytes) -> bytes:
     """The bytes that samples stand for."""
-    s = np.frombuffer(pcm, np.int8).astype(np.int16)
-    return BYTE_ORDER[np.where(s < 0, -2 * s - 1, 2 * s)].tobytes()
+    return (np.frombuffer(pcm, np.uint8) ^ 128).tobytes()
 
 
 def features_of(pcm: bytes) -> str:
@@ -414,11 +506,11 @@ def digests(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, n, media, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "blocks"))):
+            for doc_id, n, size, sha, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"))):
                 pcm = b"".join(b["pcm"] for b in held)
                 payload = payload_of(pcm)
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features_of(pcm)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*rows)], names) if rows else pa.RecordBatch.from_pylist([], schema=DIGESTS)
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), size, sha, features_of(pcm)))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=DIGESTS)
 
     return blocks.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 

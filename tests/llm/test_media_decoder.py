@@ -2,11 +2,13 @@
 
 import hashlib
 import struct
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sparkloom.llm import media
+from sparkloom.llm import media, queries, store
 
 
 class Writer:
@@ -92,6 +94,72 @@ def test_round_trips_and_seek_points():
         at += n * 576
 
 
+def kinds(stream):
+    """The types of the frames' subframes, by the seek table and one frame per point."""
+    return media._chosen((np.frombuffer(stream, np.uint8) ^ 128).view(np.int8).reshape(-1, media.FRAME).astype(np.int64))
+
+
+def test_each_frame_takes_the_cheapest_predictor():
+    rng = np.random.default_rng(8)
+    t = np.arange(576)
+    waves = [np.full(576, 7), rng.integers(-128, 128, 576), np.cumsum(rng.integers(-1, 2, 576)) % 100 - 50, (100 * np.sin(t / 7)).astype(int) + rng.integers(-2, 3, 576)]
+    payload = np.concatenate([(w.astype(np.int64) & 255).astype(np.uint8) ^ 128 for w in waves])
+    found = kinds(payload.tobytes()).tolist()
+    assert found[:2] == [media.CONSTANT, media.VERBATIM] and found[2] in (1, media.LPC) and found[3] == media.LPC
+    streams = media.encode(payload, np.array([4]))
+    assert media.payload_of(media.decode(streams)[0].tobytes()) == payload.tobytes()
+    whole = len(media.encode(payload[576 * 3 :], np.array([1]))[0])
+    assert whole < 576 * 0.7 + 100
+
+
+def test_text_is_stored_with_predictors():
+    text = "The predictors of a frame of prose leave less than the letters themselves. " * 40
+    payload, frames, _ = media.payloads(pa.array([text]))
+    assert (np.isin(kinds(payload.tobytes()), [1, 2, 3, 4, media.LPC])).mean() > 0.5
+
+
+def test_samples_are_the_payload_and_stretches_are_decoded_alone():
+    rng = np.random.default_rng(9)
+    payload = rng.choice(np.frombuffer(b"some words and letters", np.uint8), 576 * 50)
+    (stream,) = media.encode(payload, np.array([50]))
+    assert media.decode([stream])[0].astype(int).tolist() == (payload.astype(int) - 128).tolist()
+    # damage at the end does not matter for samples before it: the rest is not read
+    broken = stream[:-40] + bytes(40)
+    with pytest.raises(ValueError):
+        media.decode([broken])
+    for first, last in ((0, 1), (576 * 20 + 5, 576 * 21), (4600, 9300)):
+        (got,) = media.decode([broken], first, last)
+        assert media.payload_of(got.tobytes()) == payload[first:last].tobytes()
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    texts = ["", None, "Hello world", "é漢字 " * 400, "x" * 576, "y" * 577, "Some prose that repeats itself. " * 300]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op7_flac(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        (stream,) = media.encode(np.frombuffer(payload, np.uint8), np.array([len(payload) // 576]))
+        s = [b - 128 for b in payload]
+        feature = f"energy={sum(x * x for x in s)} peak={max(map(abs, s))} crossings={sum((a < 0) != (b < 0) for a, b in zip(s, s[1:]))}"
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"], r["feature"]) == (zlib.crc32(payload[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature)
+
+
+def test_written_blocks_are_read_from_an_offset(spark):
+    text = "abcdefghij" * 3000
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    pcm = store.saved(media.pcm_blocks(media.as_media(docs)), "pcm")
+    found = media.samples_between(pcm, 20000, 20010).collect()
+    (one,) = [r for r in found if r["doc_id"] == 1]
+    assert {r["doc_id"] for r in found} == {1} and one["sample_offset"] % media.FRAME == 0
+    at = 20000 - one["sample_offset"]
+    assert media.payload_of(bytes(one["pcm"]))[at : at + 10].decode() == text[20000:20010]
+
+
 @pytest.mark.parametrize("at", [60, 100, -1])
 def test_damage_is_found(at):
     payload = np.random.default_rng(7).choice(np.frombuffer(b"some text of letters", np.uint8), 576 * 3)
