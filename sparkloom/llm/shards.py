@@ -3,7 +3,7 @@
 Coordinates are scaled to the whole table's range; a node that is to become m shards is cut so that the lower
 side gets floor(m / 2) / m of its bytes. The cut is found on a 63-bit key (25 bits of the coordinate, 24 bits of a
 hash of the row, 14 bits of its place in the table, so that any number of equal coordinates and of equal rows can
-be cut) by refining a histogram of 256 bins: every round sends at most nodes x 256 sums to the driver. The tree is
+be cut) by refining a histogram of 1024 bins: every round sends at most nodes x 1024 sums to the driver. The tree is
 an expression with one case per node, meant for up to some thousands of shards. Rows move once, into their
 shards' files; slots follow from what was written.
 
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from . import store
 
-BINS = 256
+BINS = 1024
 #: A cut is good when the bin that it falls into holds no more than this share of the node.
 SLACK = 0.0005
 COORDINATE_BITS, HASH_BITS, PLACE_BITS = 25, 24, 14
-#: Rows of a cell: what is ranked together within a shard.
-CELL_ROWS = 200_000
+#: Bytes of documents that a file of a shard holds about, and the least number of files of one.
+FILE_BYTES, FILES = 128 << 20, 4
 DIMENSIONS = ["d0", "d1", "d2", "d3"]
 
 
@@ -95,19 +95,21 @@ def _refined(inner: DataFrame, dims: list[str], cuts: dict[int, dict]) -> dict[i
     return cuts
 
 
-def tree(rows: DataFrame, leaves: int, dims: list[str] = DIMENSIONS, tolerance: float | None = None) -> dict[int, tuple]:
-    """{node: (dimension, key to cut at, right node)} for rows (size and dims, which hold keys). A node is known by
+def tree(rows: DataFrame, leaves: int, dims: list[str] = DIMENSIONS, tolerance: float | None = None) -> list[dict[int, tuple]]:
+    """By level, {node: (dimension, key to cut at, right node)} for rows (size and dims, which hold keys). A node is known by
     its first leaf at each level: what lies below the key keeps the number, the rest goes to the right node.
 
     tolerance: where a document too large to share lies on the cut, so that it is off by more than this share of the
     node, the other dimensions are tried too, and the nearest cut is taken. None: always the widest dimension.
+    Each level of rows is written, so its plan stays small.
     """
+    rows = rows.withColumn("shard", F.lit(0))
     made: list[dict[int, tuple]] = []
     nodes = {0: leaves}
     while any(m > 1 for m in nodes.values()):
         split = {a: m for a, m in nodes.items() if m > 1}
         node = F.col("shard")
-        inner = rows.withColumn("shard", shard_of(made)).where(node.isin(list(split)))
+        inner = rows.where(node.isin(list(split)))
         found = inner.groupBy("shard").agg(F.sum("size").alias("size"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
         cuts: dict[int, dict] = {}
         for attempt in range(len(dims) if tolerance is not None else 1):
@@ -126,12 +128,23 @@ def tree(rows: DataFrame, leaves: int, dims: list[str] = DIMENSIONS, tolerance:
         made.append({a: (dims[c["dim"] - 1], c["cut"], a + split[a] // 2) for a, c in cuts.items()})
         if not cuts:
             break
+        rows = store.saved(rows.withColumn("shard", _moved(made[-1])), "shard-level")
         nodes = {a: m for a, m in nodes.items() if m == 1} | {b: n for a, m in split.items() for b, n in ((a, m // 2), (a + m // 2, m - m // 2))}
     return made
 
 
+def _moved(cuts: dict[int, tuple]) -> Column:
+    """The node of the next level for rows that know theirs."""
+    node, out = F.col("shard"), F.col("shard")
+    for d in sorted({d for d, _, _ in cuts.values()}):
+        mine = {a: c for a, c in cuts.items() if c[0] == d}
+        beyond = node.isin(list(mine)) & (F.col(d) >= _of(node, {a: c[1] for a, c in mine.items()}))
+        out = F.when(beyond, _of(node, {a: c[2] for a, c in mine.items()})).otherwise(out)
+    return out
+
+
 def shard_of(levels: list[dict[int, tuple]], node: int = 0, level: int = 0) -> Column:
-    """The node that the levels of tree() made so far give a row."""
+    """The shard that the levels of tree() give a row."""
     if level == len(levels):
         return F.lit(node)
     if node not in levels[level]:
@@ -141,27 +154,31 @@ def shard_of(levels: list[dict[int, tuple]], node: int = 0, level: int = 0) -> C
 
 
 def write_shards(docs: DataFrame, leaves: int = 24, tolerance: float | None = None) -> str:
-    """Writes the documents into shards, one folder each, and returns the path. A row lies in a cell of its shard
-    and has a rank there."""
+    """Writes the documents into shards, a folder of some files for each, and returns the path."""
     facts = document_rows(docs)
     slim = store.saved(facts.drop("row"), "shard-rows")
     ends = spans(slim)
-    levels = tree(keyed(slim, ends), leaves, tolerance=tolerance)
-    cells = max(16, slim.count() // CELL_ROWS)
-    held = keyed(facts, ends).select("row", "place", shard_of(levels).alias("shard"), F.pmod(F.xxhash64("place"), F.lit(cells)).cast("int").alias("cell"))
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("place")) - 1
+    keys = store.saved(keyed(slim, ends).select("size", *ends), "shard-keys")
+    levels = tree(keys, leaves, tolerance=tolerance)
+    total = slim.agg(F.sum("size")).first()[0] or 0
+    files = max(FILES, total // leaves // FILE_BYTES)
+    # a task for each file, so that the hottest shard is as many tasks as it has files
+    at = F.col("shard") * files + F.pmod(F.xxhash64("place"), F.lit(files)).cast("int")
+    held = keyed(facts, ends).select("row", "place", shard_of(levels).alias("shard")).select("row", "shard", at.cast("int").alias("file"))
     path = store.new_path(docs.sparkSession, "shards")
-    held.select("row", "shard", "cell", rank.alias("rank")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    held.repartitionById(leaves * files, F.col("file")).drop("file").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path
 
 
 def read_shards(spark: SparkSession, path: str, columns: DataFrame) -> DataFrame:
-    """(row, shard, slot): slots count gapless from 0 within each shard. columns: a table with the documents' columns."""
+    """(row, shard, slot): slots count gapless from 0 within each shard, through its files in order of name.
+    columns: a table with the documents' columns."""
     kept = columns.select(F.struct("*").alias("row")).schema
-    table = spark.read.schema(f"row {kept['row'].dataType.simpleString()}, cell int, rank int, shard int").parquet(path)
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = table.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    return table.join(ahead, ["shard", "cell"]).select("row", "shard", (F.col("rank") + F.col("ahead")).cast("long").alias("slot"))
+    table = spark.read.schema(f"row {kept['row'].dataType.simpleString()}, shard int").parquet(path)
+    table = table.select("row", "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = table.groupBy("shard", "file").agg(F.count("*").alias("n")).select("shard", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return table.join(ahead, ["shard", "file"]).select("row", "shard", (F.col("at") + F.col("ahead")).cast("long").alias("slot"))
 
 
 def sharded(docs: DataFrame, leaves: int = 24, tolerance: float | None = None) -> DataFrame:
