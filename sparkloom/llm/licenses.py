@@ -1,6 +1,8 @@
 """License scans with DataFrame functions alone: TF-IDF cosine of notices to templates, then inheritance.
 
-A text is its words in order, whatever lines and comment marks they stand in. A template is looked for only if the
+Templates are notices, headers, licence texts and SPDX tags; the collection that idf counts over is theirs, so a
+template's weights do not change with the files that are scanned, and words that no template has weigh most. A text
+is its words in order, whatever lines and comment marks they stand in. A template is looked for only if the
 text has words that could reach the threshold at all. It is then laid on each of its anchors in the text, so that
 the anchor stands where the template first has it, and the words under it, as many as the template has, are
 compared by cosine over sparse TF-IDF weights. Anchors are chosen so that no words without one can reach the
@@ -15,6 +17,7 @@ and licence files the first by name counts; repeated rows get equal results; an
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -25,8 +28,6 @@ from pyspark.sql import functions as F
 from . import store
 from .winnowing import let
 
-#: Words of a line window in the DuckDB twin.
-WINDOW = 48
 THRESHOLD = 0.75
 LICENSE_FILE = "(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 #: Words that are in any prose, taken as anchors last.
@@ -108,6 +109,8 @@ TEXTS = [
     *((name, text.format(kind=kind, n=n, day=day, year=day[-4:])) for name, kind, n, day in GNU_KINDS for text in (GNU, GNU_ONLY, f"{GNU} {GNU_REST}", GNU_HEAD)),
     *((name, f"You should have received a copy of the GNU {kind}General Public License") for name, kind, n, _ in GNU_KINDS if n == "3"),
 ]
+TEXTS += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEXTS)]
+
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
@@ -145,8 +148,9 @@ class Templates:
         self.anchors = sorted(anchors)
 
 
-def _map(values: dict, of) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), of(v))])
+def _fixed(value, kind: str) -> Column:
+    """A constant of a nested type, told to Spark in one piece and worked out once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def words_in(text: Column) -> Column:
@@ -156,13 +160,13 @@ def words_in(text: Column) -> Column:
 def notices(text: Column, t: Templates, threshold: float = THRESHOLD) -> Column:
     """array<struct<license, score, template, start, end>>: where a template laid on its anchors reaches the threshold."""
     n = len(t.names)
-    idf = _map(t.idf, F.lit)
-    weights = _map(t.weights, lambda v: F.array(*[F.lit(float(x)) for x in v]))
-    squares = _map(t.weights, lambda v: F.array(*[F.lit(float(x) ** 2) for x in v]))
-    vocabulary = F.array(*[F.lit(w) for w in t.idf])
-    names, sizes = F.array(*[F.lit(x) for x in t.names]), F.array(*[F.lit(len(ws)) for ws in t.words])
-    anchors = F.array(*[F.array(*[F.lit(w) for w in own]) for own in t.own_anchors])
-    places = F.array(*[F.array(*[F.lit(ws.index(w)) for w in own]) for ws, own in zip(t.words, t.own_anchors)])
+    idf = _fixed(t.idf, "map<string,double>")
+    weights = _fixed(t.weights, "map<string,array<double>>")
+    squares = _fixed({w: [x * x for x in xs] for w, xs in t.weights.items()}, "map<string,array<double>>")
+    vocabulary = _fixed(list(t.idf), "array<string>")
+    names, sizes = _fixed(t.names, "array<string>"), _fixed([len(ws) for ws in t.words], "array<int>")
+    anchors = _fixed(t.own_anchors, "array<array<string>>")
+    places = _fixed([[ws.index(w) for w in own] for ws, own in zip(t.words, t.own_anchors)], "array<array<int>>")
     pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(t.anchors) + ")(?![a-z0-9])"
 
     def possible(words: Column) -> Column:
@@ -201,7 +205,7 @@ def scanned(files: DataFrame, templates: Templates | None = None, threshold: flo
     t = templates or Templates(TEXTS, threshold)
     text = F.coalesce("text", F.lit(""))
     path = F.coalesce("path", F.lit(""))
-    wholes = F.array(*[F.array(*[F.lit(j) for j in js]).cast("array<int>") for js in t.wholes])
+    wholes = _fixed(t.wholes, "array<array<int>>")
     held = files.withColumn("_found", notices(text, t, threshold)).withColumn("_covered", covered(F.col("_found")))
     part = lambda x: F.exists("_found", lambda y: F.array_contains(F.get(wholes, x["template"]), y["template"]) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
     # the best score, then the first name

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .mixing import DRAW_DIGITS
-from .licenses import LICENSE_FILE, THRESHOLD, WINDOW, Templates
+from .licenses import LICENSE_FILE, TEXTS, THRESHOLD, Templates
 
 OP6 = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
  f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
@@ -36,29 +36,31 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(q.clas
 
 
 def op1() -> str:
-    t = Templates()
-    weights = ", ".join(f"('{w}', {i}, {x!r})" for w, xs in t.weights.items() for i, x in enumerate(xs) if x)
-    idf = ", ".join(f"('{w}', {x!r})" for w, x in t.idf.items())
-    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(t.names))
-    words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
-    half = WINDOW // 2
-    return f"""WITH f AS (SELECT row_number() OVER () AS id, doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(CAST(doc_id // 1000 AS VARCHAR), 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none'), coalesce(CAST(doc_id AS VARCHAR), 'none')) AS path, coalesce(text, '') AS text FROM documents),
- lines AS (SELECT id, i - 1 AS line, ls[i] AS l FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT id, string_split(text, chr(10)) AS ls FROM f))),
- toks AS (SELECT id, line, {words.format('l')} AS ws FROM lines),
- wins AS (SELECT id, line, k, list_slice(ws, k * {half} + 1, k * {half} + {WINDOW}) AS ws FROM (SELECT id, line, ws, unnest(range(0, greatest(0, CAST(ceil((len(ws) - {WINDOW}) / {half}.0) AS BIGINT)) + 1)) AS k FROM toks)),
- anchored AS (SELECT * FROM wins WHERE list_has_any(ws, {t.anchors})),
- tf AS (SELECT id, line, k, w, 1 + ln(count(*)) AS tf FROM (SELECT id, line, k, unnest(ws) AS w FROM anchored) GROUP BY ALL),
- idf AS (SELECT * FROM (VALUES {idf}) AS t(w, idf)), weight AS (SELECT * FROM (VALUES {weights}) AS t(w, i, x)), nm AS (SELECT * FROM (VALUES {names}) AS t(i, license)),
- norm AS (SELECT id, line, k, sqrt(sum((tf * coalesce(idf, {t.unseen!r})) ** 2)) AS norm FROM tf LEFT JOIN idf USING (w) GROUP BY ALL),
- dots AS (SELECT id, line, k, i, sum(tf * idf * x) AS dot FROM tf JOIN idf USING (w) JOIN weight USING (w) GROUP BY ALL),
- best AS (SELECT id, line, k, i, dot / norm AS score FROM dots JOIN norm USING (id, line, k) QUALIFY row_number() OVER (PARTITION BY id, line, k ORDER BY dot DESC, i) = 1),
- hit AS (SELECT b.id, license, score, len(a.ws) AS words FROM best b JOIN nm USING (i) JOIN anchored a USING (id, line, k) WHERE score >= {THRESHOLD}),
- per AS (SELECT id, count(*) AS n, sum(words) AS covered FROM hit GROUP BY 1),
- top AS (SELECT id, license, score FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, license) = 1),
- rows_ AS (SELECT f.id, f.doc_id, f.path, regexp_replace(f.path, '/[^/]*$', '') AS dir, coalesce(n, 0) AS n_notices, coalesce(n > 0 AND (regexp_matches(string_split(f.path, '/')[-1], '{LICENSE_FILE}') OR covered * 2 >= len({words.format('f.text')})), false) AS is_license_file, license AS own_license, score AS own_score
+    t = Templates(TEXTS)
+    quoted = lambda w: "'" + w + "'"
+    weights = ", ".join(f"({quoted(w)}, {i}, {x!r})" for w, xs in t.weights.items() for i, x in enumerate(xs) if x)
+    idf = ", ".join(f"({quoted(w)}, {x!r})" for w, x in t.idf.items())
+    names = ", ".join(f"({i}, {quoted(n)}, {len(ws)})" for i, (n, ws) in enumerate(zip(t.names, t.words)))
+    anchors = ", ".join(f"({i}, {quoted(w)}, {ws.index(w)})" for i, (ws, own) in enumerate(zip(t.words, t.own_anchors)) for w in own)
+    wholes = ", ".join(f"({i}, {j})" for i, js in enumerate(t.wholes) for j in js)
+    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"""WITH f AS (SELECT row_number() OVER () AS id, doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(CAST(doc_id // 1000 AS VARCHAR), 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none'), coalesce(CAST(doc_id AS VARCHAR), 'none')) AS path, {words} AS ws FROM documents),
+ idf AS (SELECT * FROM (VALUES {idf}) AS t(w, idf)), weight AS (SELECT * FROM (VALUES {weights}) AS t(w, i, x)), nm AS (SELECT * FROM (VALUES {names}) AS t(i, license, size)),
+ anchor AS (SELECT * FROM (VALUES {anchors}) AS t(i, w, place)), whole AS (SELECT * FROM (VALUES {wholes}) AS t(i, j)),
+ pos AS (SELECT id, p, ws[p + 1] AS w FROM (SELECT id, ws, unnest(range(0, len(ws))) AS p FROM f)),
+ laid AS (SELECT DISTINCT id, i, p - place AS a0 FROM pos JOIN anchor USING (w)),
+ win AS (SELECT id, i, greatest(a0, 0) AS s, list_slice(ws, greatest(a0, 0) + 1, a0 + size) AS ws FROM laid JOIN nm USING (i) JOIN f USING (id)),
+ tf AS (SELECT id, i, s, e, w, 1 + ln(count(*)) AS tf FROM (SELECT id, i, s, s + len(ws) AS e, unnest(ws) AS w FROM win) GROUP BY ALL),
+ sc AS (SELECT id, i, s, e, round(coalesce(sum(tf * idf * x), 0) / sqrt(sum((tf * coalesce(idf, {t.unseen!r})) ** 2)), 9) AS score FROM tf LEFT JOIN idf USING (w) LEFT JOIN weight USING (w, i) GROUP BY ALL),
+ hit AS (SELECT id, i, s, e, score FROM sc WHERE score >= {THRESHOLD}),
+ run AS (SELECT id, s, e, coalesce(max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM hit),
+ per AS (SELECT id, CAST(sum(CASE WHEN s >= reach THEN 1 ELSE 0 END) AS INTEGER) AS n, sum(greatest(0, e - greatest(s, reach))) AS covered FROM run GROUP BY 1),
+ top AS (SELECT h.id, license, score FROM hit h JOIN nm USING (i) WHERE NOT EXISTS (SELECT 1 FROM whole JOIN hit y ON y.i = whole.j WHERE whole.i = h.i AND y.id = h.id AND y.s < h.e AND h.s < y.e)
+   QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY score DESC, license) = 1),
+ rows_ AS (SELECT f.id, f.doc_id, f.path, regexp_replace(f.path, '/[^/]*$', '') AS dir, coalesce(n, 0) AS n_notices, coalesce(n > 0 AND (regexp_matches(string_split(f.path, '/')[-1], '{LICENSE_FILE}') OR covered * 2 >= len(ws)), false) AS is_license_file, license AS own_license, score AS own_score
    FROM f LEFT JOIN per ON per.id = f.id LEFT JOIN top ON top.id = f.id),
- dirs AS (SELECT dir AS licensed_dir, own_license AS dir_license FROM rows_ WHERE is_license_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY round(own_score, 9) DESC, own_license) = 1),
+ dirs AS (SELECT dir AS licensed_dir, own_license AS dir_license FROM rows_ WHERE is_license_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license) = 1),
  up AS (SELECT DISTINCT dir, s, array_to_string(list_slice(string_split(dir, '/'), 1, len(string_split(dir, '/')) - s), '/') AS licensed_dir FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS s FROM rows_)),
  near AS (SELECT dir, licensed_dir, dir_license FROM up JOIN dirs USING (licensed_dir) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY s) = 1)
-SELECT doc_id, path, r.dir, CAST(n_notices AS INTEGER) AS n_notices, is_license_file, own_license, round(own_score, 6) AS own_score, coalesce(own_license, dir_license) AS license,
+SELECT doc_id, path, r.dir, n_notices, is_license_file, own_license, round(own_score, 6) AS own_score, coalesce(own_license, dir_license) AS license,
  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN own_license IS NULL THEN licensed_dir END AS licensed_dir FROM rows_ r LEFT JOIN near ON near.dir = r.dir"""

@@ -39,3 +39,35 @@ def test_every_text_is_found_in_prose(spark):
     rows = [(str(i), f"{PROSE}\n{wrapped(t, ' * ')}\n{PROSE}") for i, (_, t) in enumerate(licenses.TEXTS)]
     got = {int(r["path"]): r["own_license"] for r in licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert {i: got[i] for i in got if got[i] != licenses.TEXTS[i][0]} == {}
+
+
+def altered(text, k):
+    """A header as a project has it: another spelling of a word, a name or a year put in, a word left out."""
+    ws = text.split()
+    if len(ws) > 12:
+        ws[len(ws) // 2] = ("program", "file", "package")[k % 3]
+        ws.insert(len(ws) // 3, ("Acme", "2021", "et")[k % 3])
+    return " ".join(ws)
+
+
+def test_planted_headers_are_recalled(spark):
+    marks = ["# ", "// ", " * ", "; ", "-- "]
+    planted, k = [], 0
+    for name, text in licenses.TEXTS:
+        for mark in marks:
+            k += 1
+            planted.append((name, f"{PROSE}\n{wrapped(altered(text, k), mark, 7 + k % 6)}\n{PROSE}"))
+    clean = [" ".join(f"word{(i * 7 + j) % 911}" for j in range(200)) + " the license of this software file is free to use" for i in range(50)]
+    rows = [(str(i), t) for i, (_, t) in enumerate(planted)] + [(f"c{i}", t) for i, t in enumerate(clean)]
+    got = {r["path"]: r["own_license"] for r in licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
+    found = sum(got[str(i)] is not None for i in range(len(planted))) / len(planted)
+    right = sum(got[str(i)] == n for i, (n, _) in enumerate(planted)) / len(planted)
+    print("recall", found, "right", right)
+    assert len(planted) >= 250 and found >= 0.95 and right >= 0.9
+    assert not any(got[f"c{i}"] for i in range(50))
+
+
+def test_tags_of_unknown_licences_are_not_taken_for_known_ones(spark):
+    rows = [("a", f"// SPDX-License-Identifier: Apache-2.0\n{PROSE}"), ("b", f"# SPDX-License-Identifier: Zlib\n{PROSE}"), ("c", f"SPDX-License-Identifier: GPL-2.0-or-later\n{PROSE}")]
+    got = {r["path"]: r["own_license"] for r in licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a": "Apache-2.0", "b": None, "c": "GPL-2.0"}
