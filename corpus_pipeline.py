@@ -18,16 +18,20 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle Jaccard of 0.8 or more, the one with the smallest doc_id stays. Documents
-    without words and rows without doc_id have no group and stay; of rows that repeat a doc_id one stays."""
-    found = jaccard.classes(docs)
-    gone = store.saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return left
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.union(left.where("doc_id is null"))
+    """Of documents linked by shingle Jaccard of 0.8 or more, the one with the smallest doc_id stays. Rows without
+    words have no group and stay. Rows that repeat a doc_id, or have none, are documents of their own: of a group
+    the first of the smallest doc_id stays, or the first if none has one."""
+    unnamed = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if unnamed.isEmpty():
+        found = jaccard.classes(docs)
+        gone = store.saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows get numbers of their own, and are written with them so that these hold
+    rows = store.saved(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
+    found = jaccard.classes(rows.select(F.col("number").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("number"), "component_id")
+    rank = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "number")
+    first = rows.join(found, "number").groupBy("component_id").agg(F.min(rank).alias("first")).select(F.col("first.number").alias("number"))
+    return rows.join(store.saved(first, "firsts"), "number", "left_semi").select("row.*")
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
