@@ -32,3 +32,37 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed} == set(got)
     again = corpus_pipeline.one_of_each_group(spark, seen[1].union(seen[1]), "")
     assert again.count() == seen[2].count()
+
+
+def rows(spark, held):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in held], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    held = [(5, a), (5, b), (3, a), (None, b + " more"), (None, c), (None, c), (7, None), (7, ""), (9, "short")]
+    got = corpus_pipeline.one_of_each_group(spark, rows(spark, held), "").collect()
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted([(3, a), (5, b), (None, c), (7, None), (7, ""), (9, "short")], key=key)
+
+
+def test_stages_take_empty_tables_and_very_long_texts(spark):
+    long = " ".join(f"the word{k % 5000}" for k in range(60000))
+    empty = rows(spark, [(1, "x")]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+    docs = rows(spark, [(1, long), (2, long + " end"), (3, "the few words")])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = store.saved(stage(spark, docs, ""), name)
+    assert {r["doc_id"] for r in docs.collect()} <= {1, 3}
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = store.saved(stage(spark, docs, str(tmp_path)), "stage")
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    got = corpus_pipeline.run(spark, str(tmp_path)).select(key)
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.select(key).collect())) and got.count() > 0
