@@ -6,7 +6,8 @@ per id). What is coded is an id's rank by corpus frequency, so common ids take o
 Spark's committer, so a lost executor leaves no half file, and any store that Spark writes to will do.
 
 Defined results: null text counts as empty and has the end id alone; rows with equal doc_id are kept apart and
-ordered by their coded bytes; null doc_ids come first; an empty table gives an empty file set.
+ordered by their coded bytes; null doc_ids come first, spread over parts by a checksum of their ids; an empty table
+gives an empty file set.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def frequency_ranks(ids: DataFrame) -> np.ndarray:
 def range_bounds(df: DataFrame, key: str, n: int) -> np.ndarray:
     """At most n - 1 bounds that cut the keys into ranges of about as many rows, from a sketch of the key column."""
     shares = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first()["b"] if shares else None
+    found = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * n)).alias("b")).first()["b"] if shares else None
     return np.unique(np.array(found or [], np.int64))
 
 
@@ -114,6 +115,9 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
     rank = frequency_ranks(ids)
     ranks = spark.sparkContext.broadcast(rank)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, named = ids.agg(F.count("*"), F.count("doc_id")).first()
+    # parts of rows without doc_id, before those of the others
+    nameless = -(-n * (rows - named) // max(1, rows))
     bounds = range_bounds(ids, "doc_id", n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,8 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
                 flat, sizes = tokens.from_binary(part.column("ids"))
                 controls, datas = encode_streams(ranks.value[flat], sizes)
                 keys = part.column("doc_id")
-                at = np.where(pc.is_null(keys).to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, pc.fill_null(keys, 0).to_numpy()))
+                spread = tokens.crc32s(flat, sizes).to_numpy() * nameless >> 32
+                at = np.where(pc.is_null(keys).to_numpy(zero_copy_only=False), spread, nameless + np.searchsorted(bounds, pc.fill_null(keys, 0).to_numpy()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.int32()), pa.array(sizes, pa.int64()), pa.array(controls, pa.binary()), pa.array(datas, pa.binary())], ["doc_id", "part", "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +157,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
 
     # coded before it is dealt: what crosses the network is the compact form
     coded = ids.mapInArrow(encode, "doc_id long, part int, n long, control binary, data binary")
-    dealt = coded.repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", "n", "control", "data")
+    dealt = coded.repartitionById(n + nameless, F.col("part")).sortWithinPartitions("doc_id", "n", "control", "data")
     dealt.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
     vocabulary = np.argsort(rank).astype(np.uint32)
     spark.createDataFrame([(vocabulary.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}-vocabulary")

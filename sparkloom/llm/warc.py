@@ -1,13 +1,14 @@
 """WARC archives, index first.
 
-Writers lay records down one gzip member each, so a record can be read alone, and return an index row (file,
+Each archive starts with a warcinfo record. Writers lay records down one gzip member each, so a record can be read alone, and return an index row (file,
 offset, length, URL, digest) per record. Readers sort the selected index rows by place, join neighbouring byte
 ranges and read each range once. File names hold a token of the task attempt; only files that the committed
 index names are read, so an attempt that was lost leaves nothing that counts.
 
 Defined results: null html is an empty payload, null urls are written as urn:page, equal payloads below
 MIN_BYTES are stored again, rows that repeat the smallest page_id of a payload are responses all, null
-page_ids are never referred to unless no other holds the payload, an empty table gives an empty archive.
+page_ids are never referred to unless no other holds the payload, an empty table gives an empty archive. A record's
+id is made of page_id, digest and place, so it is unique; a revisit refers to page_id and digest.
 """
 
 from __future__ import annotations
@@ -51,21 +52,42 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return full.join(keyed, full["page_id"].eqNullSafe(keyed["p"]) & (full["digest"] == keyed["d"]), "left").drop("p", "d")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+#: Schemes that Spark and pyarrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfs", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs", "file": "file", "s3": "s3"}
+
+
+def store_of(directory: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it of a directory that Spark names."""
+    scheme, found, rest = directory.partition(":")
+    if scheme == "dbfs" and found:
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if found and scheme not in SCHEMES:
+        raise ValueError(f"archives can't be written to {scheme}: none of {sorted([*SCHEMES, 'dbfs'])}")
+    return fs.FileSystem.from_uri(SCHEMES[scheme] + found + rest if found else directory)
+
+
+def info(name: str) -> bytes:
+    """The warcinfo record that an archive starts with."""
+    body = b"software: sparkloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
     """A WARC/1.1 response or revisit record."""
     target = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{page_id}:{digest[:16]}:{place}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http;msgtype=response",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <urn:page:{refers_to}:{digest[:16]}>", f"WARC-Profile: {PROFILE}"]
     body = http if refers_to is not None else http + payload
     return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
 
@@ -81,7 +103,7 @@ def parse(data: bytes) -> dict:
     http, _, payload = rest[:size].partition(b"\r\n\r\n")
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError(f"record of the wrong length: {fields['WARC-Record-ID']}")
-    name = lambda x: None if x is None or x[10:-1] == "None" else int(x[10:-1])
+    name = lambda x: None if x is None or x.split(":")[2] == "None" else int(x.split(":")[2])
     out = {"page_id": name(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": name(fields.get("WARC-Refers-To")), "digest": fields["WARC-Payload-Digest"].removeprefix("sha256:")}
     out["payload_bytes"] = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
     out["payload"] = None if out["record_type"] == "revisit" else payload
@@ -96,7 +118,7 @@ def write_archives(pages: DataFrame, directory: str, file_bytes: int = FILE_BYTE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        where, base = fs.FileSystem.from_uri(directory)
+        where, base = store_of(directory)
         where.create_dir(base, recursive=True)
         sink, name, at = None, "", 0
         for batch in batches:
@@ -105,9 +127,12 @@ def write_archives(pages: DataFrame, directory: str, file_bytes: int = FILE_BYTE
                 if sink is None or at >= file_bytes:
                     if sink is not None:
                         sink.close()
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     sink = where.open_output_stream(f"{base}/{name}", compression=None)
-                data = gzip.compress(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"]), 3, mtime=0)
+                    head = gzip.compress(info(name), 3, mtime=0)
+                    sink.write(head)
+                    at = len(head)
+                data = gzip.compress(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"], f"{name[:16]}:{at}"), 3, mtime=0)
                 sink.write(data)
                 index.append((name, at, len(data), row["url"], row["digest"], row["page_id"], "response" if row["refers_to"] is None else "revisit"))
                 at += len(data)
@@ -141,7 +166,7 @@ def read_records(index: DataFrame, directory: str) -> DataFrame:
     """The records that index rows name, each parsed and its payload's digest verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = fs.FileSystem.from_uri(directory)
+        where, base = store_of(directory)
         opened: dict = {}
         for batch in batches:
             places = list(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))))

@@ -1,5 +1,6 @@
 """Null, empty, repeated and very long rows, empty tables and clashing columns, for every operator."""
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -212,6 +213,24 @@ def test_warc(spark):
     assert warc.read_records(warc.write_archives(warc.with_revisits(pages.limit(0)), empty), empty).count() == 0
 
 
+def test_records_of_archives_have_ids_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(i % 3 or None, "u", "same html " * 20) for i in range(9)], "page_id long, url string, html string").repartition(2)
+    index = warc.write_archives(warc.with_revisits(pages), f"file://{tmp_path}/w")
+    ids = []
+    for name in (tmp_path / "w").iterdir():
+        records = gzip.decompress(name.read_bytes()).split(b"WARC/1.1\r\n")[1:]
+        assert b"WARC-Type: warcinfo" in records[0]
+        ids += [re.search(rb"WARC-Record-ID: (\S+)", r)[1] for r in records]
+    assert index.count() == 9 and len(ids) == len(set(ids)) == 9 + len(list((tmp_path / "w").iterdir()))
+
+
+def test_directories_as_spark_names_them():
+    assert warc.store_of("file:///a/b")[1] == "/a/b" and warc.store_of("dbfs:/a/b")[1] == "/dbfs/a/b"
+    assert warc.store_of("s3a://bucket/a?region=us-east-1")[1] == "bucket/a"
+    with pytest.raises(ValueError):
+        warc.store_of("viewfs://x/y")
+
+
 def test_ranges_are_joined_up_to_a_limit():
     near, far = warc.GAP_BYTES, warc.READ_BYTES
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 20 + near + 1, 5), ("a", far + near, 9), ("b", 0, far * 2)]

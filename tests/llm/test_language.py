@@ -1,3 +1,5 @@
+import re
+import zlib
 from itertools import product
 
 import numpy as np
@@ -59,3 +61,25 @@ def test_spans_and_odd_rows(spark):
     none = language.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r["lang_pred"] for r in language.identified(docs, none).collect()} == {"und"}
     assert language.identified(docs.limit(0), model).count() == 0
+
+
+def test_shares_count_letters_and_the_query_is_as_by_hand(spark, tmp_path):
+    rows = [(i, t, l, "s") for i, (t, l) in enumerate([("the house and the garden are old", "en"), ("der Hund und die Katze sind alt", "de"), ("кошка и собака живут дома", "ru")] * 8)]
+    rows += [(100, "the house кошка", None, "s"), (101, None, None, "s"), (102, "12 34", None, "s"), (103, "und die кошка и собака and the garden", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, str(tmp_path)).collect()}
+    model = language.fit(language.learning_rows(docs))
+    for i, t, _, _ in rows:
+        ws = re.findall(r"[^\W\d_]+", (t or "").lower())
+        held_out = zlib.crc32(str(i).encode()) % 3 == 1
+        if not ws:
+            expected = ("und", 0.0)
+        else:
+            scores, _ = language.word_scores(pa.array(ws), model)
+            best = max(product(range(len(model.languages)), repeat=len(ws)), key=lambda p: sum(scores[k][s] for k, s in enumerate(p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:])))
+            letters = [sum(len(w) for w, s in zip(ws, best) if s == k) for k in range(len(model.languages))]
+            top = max(range(len(letters)), key=lambda k: letters[k])
+            expected = (model.languages[top], letters[top] / sum(letters))
+        assert (got[i]["lang_pred"], got[i]["held_out"]) == (expected[0], held_out) and abs(got[i]["score"] - expected[1]) < 1e-9
+    assert abs(got[100]["score"] - 8 / 13) < 1e-9
