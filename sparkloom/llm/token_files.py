@@ -126,7 +126,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
                 flat, sizes = tokens.from_binary(part.column("ids"))
                 controls, datas = encode_streams(ranks.value[flat], sizes)
                 keys = part.column("doc_id")
-                spread = tokens.crc32s(flat, sizes).to_numpy() * nameless >> 32
+                spread = tokens.crc32s(flat, sizes).to_numpy() * nameless >> 32 if nameless else 0
                 at = np.where(pc.is_null(keys).to_numpy(zero_copy_only=False), spread, nameless + np.searchsorted(bounds, pc.fill_null(keys, 0).to_numpy()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.int32()), pa.array(sizes, pa.int64()), pa.array(controls, pa.binary()), pa.array(datas, pa.binary())], ["doc_id", "part", "n", "control", "data"])
 
