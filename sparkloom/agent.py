@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import retrieval
-from sparkloom.plans import validate
+from sparkloom.operators import evaluation, movement, retrieval
+from sparkloom.plans import schema, sqlast, validate
+from sparkloom.sources import files
 
+#: The tools' names.
 FILTER_TOOL, QUERY_TOOL, MANUAL_TOOL = "gerador_script_filtro_bi", "executor_consultas_informativas", "manuais_e_procedimentos"
 #: Words by which the rule-based selector tells the tools apart.
 FILTER_WORDS = ("filtr", "dashboard", "painel", "filter")
 MANUAL_WORDS = ("como ", "manual", "procediment", "how do", "how to")
+#: Fixed value: what is said where no statement could be made.
+APOLOGY = "Desculpe, não consegui gerar a consulta."
 #: Prompts by (tool kind, class); a class without one takes the general text.
 RULES = {
     ("query", "EASY"): "One table, filters and sorting; no JOIN, WITH, subqueries or OVER. Start with SELECT.",
@@ -45,6 +49,8 @@ class Settings:
     top_tables: int = 12
     top_k: int = 3
     few_shots: int = 4
+    class_shots: int = 3
+    top_roots: int = 15
     attempts: int = 3
     answer_rows: int = 10
     answer_chars: int = 1000
@@ -95,11 +101,22 @@ class Agent:
         settings: Settings | None = None,
         remember: Callable[[str, str, str], None] | None = None,
         cached: Callable[[list[float]], DataFrame] | None = None,
+        examples: DataFrame | None = None,
+        filter_examples: DataFrame | None = None,
+        feedback: DataFrame | None = None,
+        catalog: DataFrame | None = None,
+        fks: DataFrame | None = None,
+        documents: DataFrame | None = None,
     ):
-        """nodes: (node_id, text, embedding) of tables' schema text; generate: (question, tried, context) to SQL."""
+        """nodes: (node_id, text, embedding) of tables' schema text, node_id being the table; generate: (question,
+        tried, context) to SQL. examples and filter_examples: pools (files.few_shot_pool) for the two tools; feedback:
+        validated answers (pergunta, sql). catalog and fks: with them the schema text is pruned to what is linked.
+        documents: chunks with an embedding of each root, for questions on manuals."""
         self.spark, self.nodes, self.generate, self.embed = spark, nodes, generate, embed
         self.hypothesise, self.classify, self.select, self.synthesise = hypothesise, classify, select, synthesise
         self.settings, self.remember, self.cached = settings or Settings(), remember, cached
+        self.examples, self.filter_examples, self.feedback = examples, filter_examples, feedback
+        self.catalog, self.fks, self.documents = catalog, fks, documents
 
     def tool(self, question: str) -> str:
         if self.select:
@@ -107,20 +124,91 @@ class Agent:
         low = question.lower()
         return FILTER_TOOL if any(w in low for w in FILTER_WORDS) else MANUAL_TOOL if any(w in low for w in MANUAL_WORDS) else QUERY_TOOL
 
-    def difficulty(self, question: str) -> str:
+    def pool(self, tool: str) -> DataFrame | None:
+        """The tool's examples (id, pergunta, sql, dificuldade) that have a question and a statement."""
+        found = self.filter_examples if tool == FILTER_TOOL else self.examples
+        if found is None:
+            return None
+        return retrieval.usable(found.select("id", "pergunta", files.example_sql(*files.PROMPT_ORDER).alias("sql"), "dificuldade"))
+
+    def difficulty(self, question: str, tool: str = QUERY_TOOL) -> str:
+        """The class of the question; the classifier sees the nearest classified examples."""
         if not (self.settings.classification and self.classify):
             return "NON-NESTED"
-        return self.spark.range(1).select(text.difficulty(F.lit(self.classify(question)))).first()[0]
+        shown, pool = "", self.pool(tool)
+        if pool is not None:
+            near = retrieval.few_shots(self.with_vectors(pool.where("dificuldade is not null")), self.embed(question), None, self.settings.class_shots, alpha=1.0)
+            shown = text.classification_block(near, F.desc("score"), "id", n=self.settings.class_shots)
+        asked = f"{shown}\n{question}" if shown else question
+        return self.spark.range(1).select(text.difficulty(F.lit(self.classify(asked)))).first()[0]
+
+    def with_vectors(self, rows: DataFrame) -> DataFrame:
+        return retrieval.embedded(rows, "pergunta", self.embed)
+
+    def shots(self, question: str, guess: str, tool: str, level: str) -> str:
+        """The examples most like the question, and like the hypothetical statement in structure: of its class, or of
+        all classes if the pool has none of it; and of the answers that were found right."""
+        pool = self.pool(tool)
+        if pool is None:
+            return ""
+        held = retrieval.of_class(pool, level).select("id", "pergunta", "sql")
+        if self.feedback is not None:
+            held = held.unionByName(retrieval.usable(self.feedback.select(F.lit(-1).cast("long").alias("id"), "pergunta", "sql")))
+        held = self.with_vectors(held)
+        like = None
+        mine = sqlast.skeleton(self.spark, guess) if guess else None
+        if mine is not None:
+            # a pool is a short file: its statements are parsed on the driver, once
+            statements = [(i, r["sql"]) for i, r in enumerate(held.select("sql").distinct().collect())]
+            named = self.spark.createDataFrame(statements, "id long, sql string")
+            known = sqlast.pool_skeletons(self.spark, statements).join(named, "id").drop("id")
+            one = sqlast.skeletons(self.spark, [(0, guess)])
+            scored = known.alias("a").crossJoin(F.broadcast(one.alias("b"))).select("a.sql", sqlast.similarity("a", "b").alias("like"))  # one row
+            held, like = held.join(scored, "sql", "left"), F.col("like")
+        alpha = 0.5 if like is not None else 1.0
+        best = retrieval.few_shots(held, self.embed(question), like, self.settings.few_shots, alpha)
+        return text.few_shot_block(best, F.desc("score"), "id", n=self.settings.few_shots)
 
-    def context(self, question: str) -> str:
-        """Schema text of the best tables: dense by the hypothetical statement, words by the question."""
+    def guess(self, question: str) -> str:
         try:
-            guess = self.hypothesise(question) if self.settings.hyde and self.hypothesise else ""
+            return self.hypothesise(question) if self.settings.hyde and self.hypothesise else ""
         except Exception:  # noqa: BLE001  without a guess the question alone is searched
-            guess = ""
-        found = retrieval.retrieve(self.nodes, question, self.embed(f"/* {question} */\n{guess}"), self.settings.top_tables, self.settings.top_k)
-        held = self.nodes.join(found.select("node_id"), "node_id").orderBy("node_id").select("text")
-        return "\n".join(r["text"] for r in held.collect())  # top_k rows
+            return ""
+
+    def tables(self, question: str, guess: str) -> DataFrame:
+        """The best tables: dense by the hypothetical statement, words by the question."""
+        return retrieval.retrieve(self.nodes, question, self.embed(f"/* {question} */\n{guess}"), self.settings.top_tables, self.settings.top_k)
+
+    def context(self, question: str, guess: str | None = None) -> tuple[str, str, str, dict]:
+        """(schema text, the whole schema text, what corrections are told of foreign keys, rates of pruning)."""
+        guess = self.guess(question) if guess is None else guess
+        found = self.tables(question, guess).select("node_id")
+        whole = "\n".join(r["text"] for r in self.nodes.join(found, "node_id").orderBy("node_id").select("text").collect())  # top_k rows
+        if self.catalog is None or self.fks is None:
+            return whole, "", "", {}
+        names = sorted(r["node_id"] for r in found.collect())
+        columns = self.catalog.where(F.col("table_name").isin(names))
+        whole = "\n".join(r["ddl"] for r in schema.ddl(columns, self.fks, prune=False).orderBy("table_name").collect())
+        missing = schema.missing_fks(columns.select("table_name").distinct(), self.fks).orderBy("t1", "t2").collect()
+        hint = "".join(f"\nThere is no foreign key between {r['t1']} and {r['t2']}: join them by a shared date or attribute." for r in missing)
+        if not self.settings.pruning:
+            return whole, "", hint, {}
+        held: dict[str, set[str]] = {}
+        for r in columns.select("table_name", "column_name").collect():  # the columns of top_k tables
+            held.setdefault(r["table_name"], set()).add(r["column_name"])
+        wanted = [(t, c) for t, cs in sqlast.protected(self.spark, guess, held).items() for c in cs] if guess else []
+        pruned = schema.ddl(schema.linked(columns, wanted), self.fks).orderBy("table_name")
+        kept = pruned.select("ddl", schema.ddl_columns(F.col("ddl")).alias("n")).collect()
+        raw = sum(map(len, held.values()))
+        return "\n".join(r["ddl"] for r in kept), whole, hint, evaluation.pruning_rates(len(names), len(names), raw, raw, sum(r["n"] for r in kept))
+
+    def manual(self, question: str) -> str:
+        """What the documents say: the best leaves below the nearest roots; without documents, the tables' texts."""
+        if self.documents is None:
+            return self.context(question)[0]
+        best = retrieval.answer_nodes(self.documents, question, self.embed(question), k=self.settings.top_roots, top=self.settings.top_k)
+        held = best.join(self.documents.select("node_id", "text"), "node_id").orderBy(F.desc("score"), "node_id").select("text")
+        return "\n\n".join(r["text"] for r in held.collect())  # top_k rows
 
     def ask(self, question: str) -> Response:
         question = self.spark.range(1).select(text.sanitised(F.lit(question))).first()[0]
@@ -132,16 +220,20 @@ class Agent:
         tool = self.tool(question)
         bundle.metadata["tool"] = tool
         if tool == MANUAL_TOOL:
-            found = self.context(question)
+            found = self.manual(question)
             return Response(self.synthesise(question, found) if self.synthesise else found, bundle.metadata)
-        bundle.metadata["difficulty"] = level = self.difficulty(question)
-        schema = self.settings.base_query if tool == FILTER_TOOL else self.context(question)
+        bundle.metadata["difficulty"] = level = self.difficulty(question, tool)
+        bundle.metadata["hyde_sql"] = guess = self.guess(question)
+        known, whole, hint, rates = (self.settings.base_query, "", "", {}) if tool == FILTER_TOOL else self.context(question, guess)
+        bundle.metadata |= rates
+        shots = self.shots(question, guess, tool, level)
+        rules = f"{prompt(tool, level)}\n{shots}\n" if shots else f"{prompt(tool, level)}\n"
         most = self.settings.attempts if self.settings.self_correction else 1
-        done = validate.correct(self.spark, self.generate, question, f"{prompt(tool, level)}\n{schema}", most=most)
+        done = validate.correct(self.spark, self.generate, question, rules + known, rules + whole if whole else "", hint, most)
         bundle.metadata |= {"attempts": len(done.attempts), "sql": done.sql, "valid": done.valid}
         if not done.valid:
             timeout = bool(done.attempts) and done.attempts[-1].condition == "TIMEOUT"
-            return Response("Timed out" if timeout else "Desculpe, não consegui gerar a consulta.", bundle.metadata)
+            return Response("Timed out" if timeout else APOLOGY, bundle.metadata)
         rows = self.spark.sql(done.sql.strip().rstrip(";"))
         if tool == FILTER_TOOL:
             return Response(done.sql, bundle.metadata, rows)
@@ -152,6 +244,60 @@ class Agent:
         return Response(answer, bundle.metadata, rows)
 
 
+_engines: dict[str, Agent] = {}
+
+
+def engine(spark: SparkSession, build: Callable[[], Agent]) -> Agent:
+    """The application's agent, built once."""
+    key = spark.sparkContext.applicationId
+    if key not in _engines:
+        _engines[key] = build()
+    return _engines[key]
+
+
+class Dashboard:
+    """What the dashboard shows of one statement's rows; a new statement from the chat replaces all of it."""
+
+    def __init__(self, spark: SparkSession, base_query: str):
+        self.spark, self.sql = spark, base_query
+
+    def refresh(self, response: Response) -> bool:
+        """Takes the statement of a filter tool's response; any other leaves the dashboard as it is."""
+        fits = response.metadata.get("tool") == FILTER_TOOL and bool(response.metadata.get("valid"))
+        if fits:
+            self.sql = response.metadata["sql"].strip().rstrip(";")
+        return fits
+
+    def rows(self) -> DataFrame:
+        return movement.as_rows(self.spark.sql(self.sql))
+
+    def kpis(self) -> DataFrame:
+        return movement.formatted_kpis(self.rows())
+
+    def charts(self, unit: str = "month") -> dict[str, DataFrame]:
+        rows = self.rows()
+        return {"revenue": movement.revenue_by(rows, unit), "customers": movement.top_customers(rows), "types": movement.by_label(rows)}
+
+
+class Movements:
+    """Movements for callers that know no plans: all of them (capped), a page of them, one by id."""
+
+    def __init__(self, rows: DataFrame):
+        self.held = rows
+
+    def find_all(self, n: int = 100) -> list[dict]:
+        return [r.asDict() for r in movement.first_rows(self.held, n).collect()]
+
+    def page(self, number: int, size: int) -> dict:
+        found = movement.page(self.held, number, size).collect()
+        total = found[0]["total"] if found else self.held.count()
+        return movement.envelope(total, number, size) | {"items": [{k: v for k, v in r.asDict().items() if k != "total"} for r in found]}
+
+    def find(self, movement_id: int) -> dict | None:
+        found = self.held.where(F.col("movement_id") == movement_id).first()
+        return found.asDict() if found else None
+
+
 def combined(responses: list[Response], merge: Callable[[list[str]], str] | None = None) -> Response:
     """Several tools' answers as one."""
     texts = [r.response for r in responses]

@@ -93,16 +93,27 @@ def normalize_identifier(names: pd.Series) -> pd.Series:
     return names.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
 
 
+def stamp(c: Column) -> Column:
+    """A time as the grid shows it; null stays null."""
+    return F.date_format(c, "dd/MM/yyyy HH:mm:ss")
+
+
+def parsed_date(c: Column) -> Column:
+    """A date written dd/mm/yyyy; what is none is null."""
+    return F.try_to_timestamp(c.cast("string"), F.lit("dd/MM/yyyy")).cast("date")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def schema_hash(columns: DataFrame, pruning: bool = True) -> DataFrame:
-    """(table_name, hash) over names, types, keys and comments in order."""
+    """(table_name, hash) over names, types, keys and comments in order, and the table's comment where there is one."""
     one = F.concat_ws(":", "column_name", "data_type", F.coalesce("comment", F.lit("None")), F.col("is_pk").cast("string"), F.col("is_fk").cast("string"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", one.alias("c")))), lambda x: x["c"])
-    head = F.lit(f"pruning:{pruning}|no_table_comment")
+    about = F.coalesce(F.max("table_comment"), F.lit("no_table_comment")) if "table_comment" in columns.columns else F.lit("no_table_comment")
+    head = F.concat(F.lit(f"pruning:{pruning}|"), about)
     return columns.groupBy("table_name").agg(F.sha2(F.concat_ws("|", head, F.array_join(listed, "|")), 256).alias("hash"))
 
 
@@ -129,6 +140,12 @@ def rows_to_text(df: DataFrame, max_chars: int = 3000) -> str:
     return "\n".join(out + [NOTE] * cut)
 
 
-def few_shot_block(examples: DataFrame, order: str, n: int = 4) -> str:
-    rows = examples.orderBy(order).limit(n).collect()
+def classification_block(examples: DataFrame, *order: str | Column, n: int = 3) -> str:
+    """Examples (pergunta, dificuldade) as lines for a classifier."""
+    rows = examples.orderBy(*order).limit(n).collect()
+    return "\n".join(f"- Pergunta: '{r['pergunta']}' | Classificação Correta: {r['dificuldade']}" for r in rows)
+
+
+def few_shot_block(examples: DataFrame, *order: str | Column, n: int = 4) -> str:
+    rows = examples.orderBy(*order).limit(n).collect()
     return "\n\n".join(f"Exemplo {i}:\nPergunta: {r['pergunta']}\n{r['sql']}" for i, r in enumerate(rows, 1))

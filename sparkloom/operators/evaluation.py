@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import queue
+import threading
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from sparkloom.functions import text
-from sparkloom.plans import sqlast
+from sparkloom.plans import sqlast, validate
 from sparkloom.sources import files
 
 
@@ -40,7 +43,9 @@ def same_rows(generated: DataFrame, expected: DataFrame, bag: bool = False) -> b
 
 
 def execution_accuracy(spark: SparkSession, generated: str, expected: str) -> int:
-    """1 if both statements give the same rows; any error counts as 0."""
+    """1 if both statements are queries and give the same rows; any error counts as 0."""
+    if not (validate.check(spark, generated)[0] and validate.check(spark, expected)[0]):
+        return 0
     try:
         return int(same_rows(spark.sql(generated.rstrip("; \n")), spark.sql(expected.rstrip("; \n"))))
     except Exception:  # noqa: BLE001  any failure of a generated statement is a wrong answer
@@ -55,7 +60,7 @@ def exact_match(spark: SparkSession, generated: str, expected: str) -> int:
 
 def valid_efficiency(spark: SparkSession, generated: str, expected: str, ex: int, n: int = 5) -> float:
     """min(sqrt(reference time / generated time), 1) over means of n runs after one to warm up; 0 if ex is 0."""
-    if not ex:
+    if not ex or not (validate.check(spark, generated)[0] and validate.check(spark, expected)[0]):
         return 0.0
 
     def mean(sql: str) -> float:
@@ -73,6 +78,12 @@ def efficiency(reference: float, generated: float) -> float:
     return round(min(math.sqrt(reference / generated), 1.0), 4)
 
 
+def pruning_rates(candidates: int, linked: int, raw_candidates: int, raw_linked: int, kept: int) -> dict[str, float]:
+    """Rates of tables left out, of columns left out of all candidates' and of the linked tables'."""
+    rate = lambda part, whole: round(1 - part / whole, 4) if whole > 0 else 0.0
+    return {"table_pruning_rate": rate(linked, candidates), "schema_shortening_rate": rate(kept, raw_candidates), "column_pruning_rate": rate(kept, raw_linked)}
+
+
 def shortening(raw: Column, kept: Column) -> Column:
     return F.when(raw > 0, F.round(1 - kept / raw, 4)).otherwise(0.0)
 
@@ -84,6 +95,37 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float = 0.2,
     return df.withColumn("part", F.when(rn <= F.ceil(F.count("*").over(per) * share), "test").otherwise("pool"))
 
 
+def asked(spark: SparkSession, ask, question: str, limit: float):
+    """ask(question), in a thread that is given up after limit seconds: its Spark jobs are stopped then."""
+    tag, held = f"question-{uuid.uuid4().hex}", queue.Queue()
+
+    def run() -> None:
+        spark.addTag(tag)
+        try:
+            held.put((ask(question), None))
+        except BaseException as e:  # noqa: BLE001  raised again where the answer is waited for
+            held.put((None, e))
+        finally:
+            spark.removeTag(tag)
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        answer, error = held.get(timeout=limit)
+    except queue.Empty:
+        spark.interruptTag(tag)
+        raise TimeoutError(f"no answer within {limit} s") from None
+    if error is not None:
+        raise error
+    return answer
+
+
+def peak_memory(spark: SparkSession) -> int:
+    """The largest JVM heap that an executor has held so far, in MB; 0 where Spark has no figure yet."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    peaks = [executors.apply(i).peakMemoryMetrics() for i in range(executors.size())]
+    return max((p.get().getMetricValue("JVMHeapMemory") for p in peaks if p.isDefined()), default=0) >> 20
+
+
 def evaluate(spark: SparkSession, ask, cases: list[dict], path: str | None = None, limit: float = 180.0, ves_runs: int = 5) -> list[dict]:
     """One record per case (id, pergunta, sql_esperado, dificuldade); ask gives a response with metadata.
 
@@ -95,11 +137,13 @@ def evaluate(spark: SparkSession, ask, cases: list[dict], path: str | None = Non
         began = time.perf_counter()
         answer, sql, metadata = "", "", {}
         try:
-            r = ask(case["pergunta"])
+            r = asked(spark, ask, case["pergunta"], limit)
             answer, metadata = r.response, r.metadata
             sql = metadata.get("sql") or ""
         except TimeoutError:
             answer = "Timed out"
+        except Exception as e:  # noqa: BLE001  one question that fails must not end the run
+            answer = f"Desculpe: {e}"
         latency = time.perf_counter() - began
         expected = case.get("sql_esperado") or ""
         ex = execution_accuracy(spark, sql, expected) if sql and expected else 0
@@ -117,6 +161,7 @@ def evaluate(spark: SparkSession, ask, cases: list[dict], path: str | None = Non
                 "status_avaliacao": row["s"],
                 "sql_gerado": sql,
                 "resposta_texto_gerada": answer,
+                "pico_memoria_mb": peak_memory(spark),
             }
         )
         if path:

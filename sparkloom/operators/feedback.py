@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import tokens
+from sparkloom.operators.retrieval import embedded
+from sparkloom.sources import files
+
 
 def upsert(store: DataFrame, answers: DataFrame) -> DataFrame:
     """store with answers (pergunta, sql_gerado, resposta_final, em) merged by question.
@@ -46,3 +52,36 @@ def synced(index: DataFrame, diff: DataFrame, fresh: DataFrame, key: str) -> Dat
     """The index after a diff: rows of removed and changed keys go, fresh rows of added and changed ones come."""
     kept = without(index, diff.where("change <> 'added'"), key)
     return kept.unionByName(fresh.join(diff.where("change <> 'removed'").select(key), key, "left_semi"), allowMissingColumns=True)
+
+
+def answered(spark: SparkSession, question: str, sql: str, answer: str) -> DataFrame:
+    """One answer, as upsert() takes it, of this moment."""
+    return spark.createDataFrame([(question, sql, answer)], "pergunta string, sql_gerado string, resposta_final string").withColumn("em", F.current_timestamp())
+
+
+def write_index(nodes: DataFrame, state: DataFrame, path: str, key: str = "table_name", embed: Callable[[str], list[float]] | None = None) -> bool:
+    """Writes nodes (node_id, parent_id, level, text, ...) and their state (key, hash) as a new version of the index
+    at path, unless the state is as it was; says whether it did.
+
+    All nodes go to the node table, with their tokens; the vector table has the roots alone, embedded if they aren't.
+    Readers see a version once its state, which is written last, is there.
+    """
+    spark = state.sparkSession
+    before = read_index(spark, path)
+    if before is not None and changes(before["state"], state, key).isEmpty():
+        return False
+    version = f"{path}/{(files.versions(spark, path) or [0])[-1] + 1:010d}"
+    held = nodes.withColumn("tokens", tokens(F.col("text")))
+    held.drop("embedding").write.mode("overwrite").parquet(f"{version}/nodes")
+    roots = held.where("level = 0")
+    if "embedding" not in roots.columns and embed is not None:
+        roots = embedded(roots, "text", embed)
+    roots.write.mode("overwrite").parquet(f"{version}/vectors")
+    state.select(key, "hash").write.mode("overwrite").parquet(f"{version}/state")
+    return True
+
+
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """The nodes, vectors and state of the last version that was written whole; None if there is none."""
+    found = files.versions(spark, path)
+    return {x: spark.read.parquet(f"{path}/{found[-1]:010d}/{x}") for x in ("nodes", "vectors", "state")} if found else None

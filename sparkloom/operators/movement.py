@@ -123,7 +123,7 @@ def first_rows(df: DataFrame, n: int = 100) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
-    """One page, latest first, with the total of rows; one pass counts and picks."""
+    """One page, latest first, with the total of rows: one pass picks, one that reads no more than it must counts."""
     ordered = df.select("movement_id", "movement_date", "net_total", "movement_type", "customer", "supplier").orderBy(F.desc_nulls_last("movement_date"), "movement_id")
     total = df.agg(F.count("*").alias("total"))
     return ordered.offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))  # one row

@@ -32,7 +32,9 @@ def lexical(nodes: DataFrame, question: str, k: int = 12, any_word: bool = False
     An empty question matches nothing.
     """
     words = F.array_distinct(tokens(F.lit(question)))
-    held = nodes.select(F.col(node).alias("node_id"), tokens(F.col("text")).alias("ts")).withColumn("q", words)
+    # an index has its tokens already
+    ts = F.col("tokens") if "tokens" in nodes.columns else tokens(F.col("text"))
+    held = nodes.select(F.col(node).alias("node_id"), ts.alias("ts")).withColumn("q", words)
     there = F.size(F.array_intersect("q", "ts"))
     match = (there > 0) if any_word else (there == F.size("q")) & (F.size("q") > 0)
     tf = lambda w: F.size(F.filter("ts", lambda t: t == w)).cast("double")
@@ -120,6 +122,18 @@ def few_shots(examples: DataFrame, query: list[float], struct: Column | None, k:
     return examples.withColumn("score", score).orderBy(F.desc("score"), "id").limit(k)
 
 
+def usable(examples: DataFrame, question: str = "pergunta", sql: str = "sql") -> DataFrame:
+    """Examples that have both a question and a statement."""
+    return examples.where((F.trim(F.coalesce(question, F.lit(""))) != "") & (F.trim(F.coalesce(sql, F.lit(""))) != ""))
+
+
+def answer_nodes(nodes: DataFrame, question: str, query: list[float], scorer: Callable[[str], Callable[[Column], Column]] = overlap_score, k: int = 15, top: int = 3) -> DataFrame:
+    """(node_id, score) of the best leaves for a question on documents: the k nearest roots, replaced by their leaves,
+    reranked. nodes: chunks() with an embedding of each root."""
+    roots = dense(nodes.where("level = 0"), query, k)
+    return rerank(leaves(roots, nodes), nodes, scorer(question), top)
+
+
 def of_class(examples: DataFrame, difficulty: str) -> DataFrame:
     """Examples of a class, or all if none is of it."""
     any_ = examples.agg(F.max(F.when(F.col("dificuldade") == difficulty, 1).otherwise(0)).alias("any_match"))

@@ -45,6 +45,22 @@ def ddl(columns: DataFrame, fks: DataFrame, prune: bool = True) -> DataFrame:
     return heads.join(tails, "table_name", "left").select("table_name", text.alias("ddl"))
 
 
+def simple_ddl(columns: DataFrame, fks: DataFrame) -> DataFrame:
+    """(table_name, ddl): every column, with its comment, and the foreign keys within the parentheses; a comment of
+    the table (column table_comment, if there is one) stands last."""
+    flat = lambda c: F.trim(F.regexp_replace(c, "\n", " "))
+    line = F.concat_ws(" -- ", F.concat_ws(" ", "column_name", "data_type"), flat(F.col("comment")))
+    about = F.max("table_comment") if "table_comment" in columns.columns else F.lit(None).cast("string")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("l")))), lambda x: x["l"])
+    heads = columns.groupBy("table_name").agg(lines.alias("lines"), about.alias("about"))
+    one = F.format_string("FOREIGN KEY (%s) REFERENCES %s(%s)", "column_name", "ref_table", "ref_column")
+    tails = fks.groupBy("table_name").agg(F.array_sort(F.collect_list(one)).alias("refs"))
+    body = F.array_join(F.concat("lines", F.coalesce("refs", F.array().cast("array<string>"))), ",\n    ")
+    end = F.coalesce(F.concat(F.lit("\n/* TABLE COMMENT: "), flat(F.col("about")), F.lit(" */")), F.lit(""))
+    ddl = F.concat(F.lit("CREATE TABLE "), "table_name", F.lit(" (\n    "), body, F.lit("\n);"), end)
+    return heads.join(tails, "table_name", "left").select("table_name", ddl.alias("ddl"))
+
+
 def ddl_columns(text: Column) -> Column:
     """Column lines of DDL text."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))

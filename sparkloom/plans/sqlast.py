@@ -6,6 +6,7 @@ The parser's unresolved plan is read once as JSON; all else is a walk over it on
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -179,16 +180,29 @@ def bridges(edges: DataFrame, selected: list[str], named: list[str] | None, per:
     return sorted({*selected, *(r["t2"] for r in top.where(ok).select("t2").distinct().collect())})
 
 
+def _folded(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def _plain(name: str) -> str:
+    """A name in lower case without accents."""
+    return _folded(name).lower()
+
+
 def protected(spark: SparkSession, sql: str, catalog: dict[str, set[str]]) -> dict[str, set[str]]:
-    """{table: columns} that the first WHERE and all join conditions name; catalog: columns by table."""
-    root = parse(spark, sql)
+    """{table: columns} that the first WHERE and all join conditions name; catalog: columns by table. Names meet
+    without accents. A column without qualifier is of the first table that has it, those first whose name begins like it."""
+    # the parser takes no accents in bare names
+    root = parse(spark, _folded(sql))
     if root is None:
         return {}
+    real = {_plain(t): t for t in catalog}
+    catalog = {_plain(t): {_plain(c): c for c in cs} for t, cs in catalog.items()}
     alias = {}
     for n in root.walk():
         if n.name == "SubqueryAlias" and n.children and n.children[0].name == "UnresolvedRelation":
-            alias[str(n.fields["identifier"]["name"]).lower()] = n.children[0].parts("multipartIdentifier")[-1].lower()
-    tables = [t for t in _relations(root) if t in catalog]
+            alias[_plain(str(n.fields["identifier"]["name"]))] = _plain(n.children[0].parts("multipartIdentifier")[-1])
+    tables = [t for t in map(_plain, _relations(root)) if t in catalog]
     conditions = [c for n in root.walk() if n.name == "Join" for c in n.held.get("condition", [])]
     first = next((n for n in root.walk() if n.name == "Filter"), None)
     conditions += first.held.get("condition", []) if first else []
@@ -196,11 +210,12 @@ def protected(spark: SparkSession, sql: str, catalog: dict[str, set[str]]) -> di
     for n in (x for c in conditions for x in c.walk()):
         if n.name != "UnresolvedAttribute":
             continue
-        *owner, column = [p.lower() for p in n.parts("nameParts")]
-        near = [alias.get(owner[-1], owner[-1])] if owner else tables
+        *owner, column = [_plain(p) for p in n.parts("nameParts")]
+        begins = lambda t: not column.startswith(t.replace("tb_", "").replace("vw_", "")[:4])
+        near = [alias.get(owner[-1], owner[-1])] if owner else sorted(tables, key=begins)
         for t in near:
             if column in catalog.get(t, ()):
-                out.setdefault(t, set()).add(column)
+                out.setdefault(real[t], set()).add(catalog[t][column])
                 break
     return out
 
@@ -217,10 +232,10 @@ def _expr(n: Node) -> str:
     if n.name == "Literal":
         return "value"
     if n.name == "UnresolvedFunction":
-        args = [_expr(c) for c in n.children[:1]] or [""]
+        args = [_expr(c) for c in n.children]
         if _function(n) == "count" and n.children and n.children[0].name == "Literal":
             args = ["*"]
-        return f"{_function(n)}({'distinct ' if n.fields.get('isDistinct') else ''}{args[0]})"
+        return f"{_function(n)}({'distinct ' if n.fields.get('isDistinct') else ''}{', '.join(args)})"
     return f"{n.name.lower()}({', '.join(_expr(c) for c in n.children)})"
 
 
@@ -235,13 +250,20 @@ def predicates(n: Node, negated: bool = False) -> list[tuple[str, str]]:
 
 
 def components(spark: SparkSession, sql: str) -> dict | None:
-    """Clauses of the outer statement as sets: select, distinct, from, where, group_by, having, order_by, limit."""
+    """Clauses of the outer statement as sets: select, distinct, from, where, group_by, having, order_by, limit;
+    set: the operator and both sides' clauses of a set operation, in any order but for EXCEPT."""
     root = parse(spark, sql)
-    if root is None:
-        return None
-    out = {"select": frozenset(), "distinct": False, "from": frozenset(), "where": frozenset(), "group_by": frozenset(), "having": frozenset(), "order_by": (), "limit": None}
+    return None if root is None else _clauses(root)
+
+
+def _clauses(root: Node) -> dict:
+    out = {"set": None, "select": frozenset(), "distinct": False, "from": frozenset(), "where": frozenset(), "group_by": frozenset(), "having": frozenset(), "order_by": (), "limit": None}
     n: Node | None = root
     while n is not None:
+        if n.name in ("Union", "Intersect", "Except"):
+            sides = [_clauses(c) for c in n.children]
+            out["set"] = (n.name, n.fields.get("isAll"), sides if n.name == "Except" else sorted(sides, key=_in_order))
+            break
         if n.name == "GlobalLimit":
             out["limit"] = n.held["limitExpr"][0].fields.get("value")
         elif n.name == "Sort":
@@ -264,6 +286,10 @@ def components(spark: SparkSession, sql: str) -> dict | None:
     return out
 
 
+def _in_order(clauses: dict) -> str:
+    return str([(k, sorted(map(str, v)) if isinstance(v, frozenset) else str(v)) for k, v in clauses.items()])
+
+
 def _from(n: Node) -> list[str]:
     """Relations named right in the FROM clause: not those inside subqueries."""
     if n.name == "UnresolvedRelation":

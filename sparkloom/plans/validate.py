@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,11 +17,11 @@ QUERY_ROOTS = {"UnresolvedWith", "Project", "Aggregate", "Filter", "Sort", "Glob
 def check(spark: SparkSession, sql: str) -> tuple[bool, str, str]:
     """(valid, condition, message): the statement is a query, parses and resolves. Nothing is run."""
     text = sql.strip().rstrip(";")
-    if text[:6].upper() != "SELECT" and text[:4].upper() != "WITH":
-        return False, "NOT_A_QUERY", "only SELECT and WITH are allowed"
-    root = sqlast.parse(spark, text)
+    root = sqlast.parse(spark, text) if text else None
     if root is None:
         return False, "PARSE_SYNTAX_ERROR", "the statement does not parse"
+    while root.name == "UnresolvedWith":
+        root = root.children[0]
     if root.name not in QUERY_ROOTS:
         return False, "NOT_A_QUERY", f"{root.name} is not a query"
     try:
@@ -35,6 +36,12 @@ def missing(condition: str) -> bool:
     return condition.startswith(("UNRESOLVED_COLUMN", "TABLE_OR_VIEW_NOT_FOUND"))
 
 
+def banned(message: str) -> str:
+    """What a correction is told of a column that isn't there, by name; nothing of other errors."""
+    found = re.search(r"column (.*?) does not exist|with name (`.*?`) cannot be resolved", message)
+    return f"\nThe column {found[1] or found[2]} does not exist: do not use it." if found else ""
+
+
 @dataclass
 class Attempt:
     sql: str
@@ -51,12 +58,13 @@ class Corrected:
 
 def correct(spark: SparkSession, generate: Callable[[str, list[Attempt], str], str], question: str, schema: str, full_schema: str = "", hint: str = "", most: int = 3) -> Corrected:
     """Generates SQL until it is valid, most times; later attempts see all earlier errors, and after a missing
-    name the full schema. A timeout of the generator ends it at once."""
+    name the full schema. hint: what corrections are told besides the error. A timeout of the generator ends it at once."""
     out = Corrected(None, False)
     text = schema
     for _ in range(most):
         try:
-            sql = generate(question, out.attempts, text + hint)
+            told = banned(out.attempts[-1].message) + hint if out.attempts else ""
+            sql = generate(question, out.attempts, text + told)
         except TimeoutError as e:
             out.attempts.append(Attempt("", "TIMEOUT", str(e)))
             return out

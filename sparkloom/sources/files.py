@@ -20,6 +20,11 @@ def few_shot_pool(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
+#: Where an example's statement may stand, in order: for pools of examples, and in prompts.
+POOL_ORDER = ("sql_esperado", "sql", "query", "sql_gerado")
+PROMPT_ORDER = ("sql", "query", "sql_gerado", "sql_esperado")
+
+
 def example_sql(*columns: str) -> Column:
     """The first of the columns that holds SQL; empty text doesn't."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
@@ -42,6 +47,13 @@ def index_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of an index that were written whole, the last one last."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/state/_SUCCESS")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(x.getPath().getParent().getParent().getName()) for x in found or [])
+
+
 def write_json(records: list[dict], path: str) -> None:
     """A small result list, rewritten whole: readable, not escaped."""
     Path(path).write_text(json.dumps(records, ensure_ascii=False, indent=4), encoding="utf-8")

@@ -35,7 +35,7 @@ def base_view(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def catalog_columns(spark: SparkSession, sf_dir: str, names: list[str] | None = None, views_too: bool = True) -> DataFrame:
+def catalog_columns(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
     """(table_name, ordinal, column_name, data_type, nullable, is_pk, is_fk, comment), from the files' schemas."""
     fks = {(t, c) for t, c, _, _ in FOREIGN_KEYS}
     rows = [
@@ -46,6 +46,13 @@ def catalog_columns(spark: SparkSession, sf_dir: str, names: list[str] | None =
     return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, data_type string, nullable boolean, is_pk boolean, is_fk boolean, comment string")
 
 
+def reflected(spark: SparkSession, views_too: bool = True) -> DataFrame:
+    """(table_name, ordinal, column_name, data_type, nullable) of what the session's catalog has, with or without views."""
+    known = [t for t in spark.catalog.listTables() if views_too or t.tableType not in ("VIEW", "TEMPORARY")]
+    rows = [(t.name, i, c.name, c.dataType.upper(), c.nullable) for t in known for i, c in enumerate(spark.catalog.listColumns(t.name), 1)]
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, data_type string, nullable boolean")
+
+
 def catalog_fks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FOREIGN_KEYS, "table_name string, column_name string, ref_table string, ref_column string")
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 from decimal import Decimal
 
 import pytest
@@ -226,3 +227,120 @@ def test_embedding_survives_bad_texts(spark):
 def test_pools_are_kept_apart(spark):
     a = sqlast.pool_skeletons(spark, [(1, "SELECT 1")])
     assert sqlast.pool_skeletons(spark, [(1, "SELECT 1")]) is a and sqlast.pool_skeletons(spark, [(2, TWO)]).first()["complexity"] == 19
+
+
+def examples(spark):
+    rows = [(1, "EASY", "how many movements are there", "SELECT count(*) FROM movement"), (2, "NESTED", "movements in subqueries", "SELECT id FROM movement WHERE id IN (SELECT id FROM movement)"), (3, "EASY", None, "SELECT 1"), (4, "EASY", "empty one", " "), (5, None, "no class", "SELECT 2")]
+    return spark.createDataFrame([(i, d, q, None, x, None, None, None) for i, d, q, x in rows], files.POOL)
+
+
+def test_prompts_hold_what_the_agent_knows(spark, tmp_path):
+    spark.sql("SELECT 1 AS id, 'A' AS status, 2 AS hr_modificacao, DATE'2020-01-01' AS day").createOrReplaceTempView("movement")
+    nodes = spark.createDataFrame([(t, f"CREATE TABLE {t}", agent.hashed_vector(t)) for t in ("movement", "region")], "node_id string, text string, embedding array<double>")
+    columns = [("movement", 1, "id", "INT", False, True, False, None), ("movement", 2, "status", "STRING", True, False, False, "state"), ("movement", 3, "hr_modificacao", "INT", True, False, False, None), ("movement", 4, "day", "DATE", True, False, False, None), ("region", 1, "r_id", "INT", False, True, False, None), ("region", 2, "r_name", "STRING", True, False, False, None)]
+    catalog = spark.createDataFrame(columns, "table_name string, ordinal int, column_name string, data_type string, nullable boolean, is_pk boolean, is_fk boolean, comment string")
+    fks = spark.createDataFrame([], "table_name string, column_name string, ref_table string, ref_column string")
+    seen, asked = [], []
+
+    def ask(settings=None, replies=("SELECT nope FROM movement", "SELECT id FROM movement"), **kw):
+        seen.clear()
+        it = iter(replies)
+
+        def generate(question, tried, context):
+            seen.append(context)
+            return next(it)
+
+        a = agent.Agent(spark, nodes, generate, hypothesise=lambda q: "SELECT id FROM movement WHERE status = 'A'", classify=lambda q: asked.append(q) or "EASY", examples=examples(spark), catalog=catalog, fks=fks, settings=settings, **kw)
+        return a.ask("which movement is there?")
+
+    validated = spark.createDataFrame([("what was asked before", "SELECT 7")], "pergunta string, sql string")
+    r = ask(feedback=validated)
+    assert "Classificação Correta: EASY" in asked[0] and "no class" not in asked[0] and "empty one" not in asked[0]
+    first, second = seen
+    # examples of the class and of the answers, linked columns alone; then all columns, the column that isn't there, and the missing keys
+    assert "how many movements" in first and "what was asked before" in first and "in subqueries" not in first
+    assert "status STRING" in first and "day DATE" in first and "hr_modificacao" not in first and "r_name" not in first and "no foreign key" not in first
+    assert "hr_modificacao" in second and "r_name" in second and "`nope` does not exist" in second and "between movement and region" in second
+    assert r.metadata["attempts"] == 2 and 0 < r.metadata["schema_shortening_rate"] < 1
+    ask(agent.Settings(pruning=False, few_shots=1, self_correction=False))
+    assert len(seen) == 1 and "r_name" in seen[0] and seen[0].count("Exemplo") == 1
+    docs = spark.createDataFrame([(1, "manual of orders: press the button to close an order " * 60), (2, "something else entirely")], "doc_id long, text string")
+    chunks = retrieval.chunks(docs, (100, 20), 5)
+    chunks = retrieval.embedded(chunks, "text", agent.hashed_vector)
+    a = agent.Agent(spark, nodes, lambda *x: "", documents=chunks)
+    assert "press the button" in a.ask("how to close an order").response
+    assert agent.engine(spark, lambda: a) is agent.engine(spark, lambda: None)
+
+
+def test_dashboard_and_movements(spark):
+    held = spark.sql("SELECT id AS movement_id, 2 AS movement_type, date_add(DATE'2020-01-01', CAST(id AS INT)) AS movement_date, 'A' AS status, CAST(id AS DECIMAL(18,4)) AS net_total, CAST(1 AS DECIMAL(18,2)) AS gross_total, CAST(0 AS DECIMAL(18,2)) AS due_total, id AS customer_id, 'c' AS customer, id AS supplier_id, 's' AS supplier FROM range(10)")
+    held.createOrReplaceTempView("movement")
+    board = agent.Dashboard(spark, "SELECT * FROM movement")
+    assert board.kpis().first()["net_revenue"] == "R$ 45,00" and not board.refresh(agent.Response("x", {"tool": agent.QUERY_TOOL, "valid": True, "sql": "SELECT 1"}))
+    assert board.refresh(agent.Response("x", {"tool": agent.FILTER_TOOL, "valid": True, "sql": "SELECT * FROM movement WHERE net_total > 8;"}))
+    assert board.kpis().first()["net_revenue"] == "R$ 9,00" and board.charts()["customers"].first()["revenue"] == 9.0
+    m = agent.Movements(held)
+    assert len(m.find_all(3)) == 3 and m.find(4)["net_total"] == 4 and m.find(99) is None
+    page = m.page(2, 4)
+    assert page["total"] == 10 and page["total_pages"] == 3 and [r["movement_id"] for r in page["items"]] == [5, 4, 3, 2] and m.page(9, 4)["items"] == []
+
+
+def test_statements_that_are_no_queries_are_not_run(spark):
+    spark.range(2).createOrReplaceTempView("two")
+    assert evaluation.execution_accuracy(spark, "DROP VIEW two", "SELECT 1") == 0 and evaluation.valid_efficiency(spark, "DROP VIEW two", "SELECT 1", 1) == 0.0
+    assert spark.table("two").count() == 2
+    assert validate.check(spark, "(SELECT id FROM two) UNION (SELECT 1)")[0] and validate.check(spark, "-- c\nSELECT 1")[0]
+    assert validate.check(spark, "WITH a AS (SELECT 1) SELECT * FROM a")[0] and not validate.check(spark, "")[0] and not validate.check(spark, "SHOW TABLES")[0]
+
+
+def test_both_sides_of_set_operations_count(spark):
+    em = evaluation.exact_match
+    assert em(spark, "SELECT a FROM t UNION SELECT b FROM u", "SELECT b FROM u UNION SELECT a FROM t") == 1
+    assert em(spark, "SELECT a FROM t UNION SELECT b FROM u", "SELECT a FROM t UNION SELECT c FROM u") == 0
+    assert em(spark, "SELECT a FROM t EXCEPT SELECT b FROM u", "SELECT b FROM u EXCEPT SELECT a FROM t") == 0
+    assert em(spark, "SELECT coalesce(a, b) FROM t", "SELECT coalesce(a, c) FROM t") == 0
+
+
+def test_evaluation_is_bounded_and_goes_on(spark):
+    spark.range(3).createOrReplaceTempView("three")
+
+    def ask(q):
+        if q == "slow?":
+            time.sleep(30)
+        if q == "fails?":
+            raise ValueError("no")
+        return agent.Response("3", {"sql": "SELECT count(id) AS n FROM three"})
+
+    cases = [{"id": i, "pergunta": q, "sql_esperado": "SELECT count(*) AS n FROM three"} for i, q in enumerate(["slow?", "fails?", "n?"])]
+    began = time.time()
+    got = evaluation.evaluate(spark, ask, cases, limit=3, ves_runs=1)
+    assert time.time() - began < 25 and [r["status_avaliacao"] for r in got] == ["TIMEOUT_API", "FALHA_GERACAO_SQL", "OK"]
+    assert all(r["pico_memoria_mb"] >= 0 for r in got)
+
+
+def test_index_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+    nodes = retrieval.chunks(spark.createDataFrame([(1, "words of a first text " * 40), (2, "others")], "doc_id long, text string"), (50, 20), 5)
+    state = spark.createDataFrame([("t1", "h1"), ("t2", "h2")], "table_name string, hash string")
+    assert feedback.read_index(spark, path) is None and feedback.write_index(nodes, state, path, embed=agent.hashed_vector)
+    held = feedback.read_index(spark, path)
+    assert held["nodes"].count() == nodes.count() and held["vectors"].count() == nodes.where("level = 0").count() and held["vectors"].where("embedding is null").count() == 0
+    assert not feedback.write_index(nodes, state, path) and files.versions(spark, path) == [1]
+    assert [r["node_id"] for r in retrieval.lexical(held["nodes"].drop("text"), "others").orderBy("node_id").collect()] == ["d2.0", "d2.0.0"]
+    assert feedback.write_index(nodes.where("doc_id = 2"), state.where("hash = 'h2'"), path, embed=agent.hashed_vector) and files.versions(spark, path) == [1, 2]
+    gone = feedback.changes(held["state"], feedback.read_index(spark, path)["state"], "table_name").collect()
+    assert [(r["table_name"], r["change"]) for r in gone] == [("t1", "removed")]
+
+
+def test_small_texts(spark):
+    row = spark.sql("SELECT TIMESTAMP'2024-02-03 04:05:06' AS t, '03/02/2024' AS d, '2024' AS bad").select(text.stamp(F.col("t")), text.parsed_date(F.col("d")).cast("string"), text.parsed_date(F.col("bad"))).first()
+    assert tuple(row) == ("03/02/2024 04:05:06", "2024-02-03", None)
+    columns = spark.createDataFrame([("t", 1, "a", "INT", "the\nkey", "about"), ("t", 2, "b", "TEXT", None, "about")], "table_name string, ordinal int, column_name string, data_type string, comment string, table_comment string")
+    fks = spark.createDataFrame([("t", "b", "u", "c")], "table_name string, column_name string, ref_table string, ref_column string")
+    assert schema.simple_ddl(columns, fks).first()["ddl"] == "CREATE TABLE t (\n    a INT -- the key,\n    b TEXT,\n    FOREIGN KEY (b) REFERENCES u(c)\n);\n/* TABLE COMMENT: about */"
+    assert sqlast.protected(spark, "SELECT 1 FROM tb_ação x JOIN tb_item i ON x.código = i.k WHERE item_q > 1", {"tb_acao": {"codigo"}, "tb_item": {"k", "item_q"}}) == {"tb_acao": {"codigo"}, "tb_item": {"k", "item_q"}}
+    assert evaluation.pruning_rates(4, 3, 20, 10, 5) == {"table_pruning_rate": 0.25, "schema_shortening_rate": 0.75, "column_pruning_rate": 0.5}
+    one = feedback.answered(spark, "q", "SELECT 1", "a").first()
+    assert one["em"] is not None
+    spark.range(1).createOrReplaceTempView("seen_view")
+    assert tables.reflected(spark).where("table_name = 'seen_view'").count() == 1 and tables.reflected(spark, False).where("table_name = 'seen_view'").count() == 0
