@@ -66,13 +66,13 @@ KPIS = f"""{M}, k AS (SELECT
 
 @query(f"{KPIS} SELECT * FROM d")
 def dashboard_kpis(spark, sf_dir):
-    return movement.kpis(movement.active(movement.movement(spark, sf_dir)))
+    return movement.kpis(movement.active(movement.movement(spark, sf_dir, names=False)))
 
 
 @query(f"""{KPIS} SELECT {', '.join(f"'R$ ' || translate(format('{{:,.2f}}', {c}), ',.', '.,') AS {c}" for c in ("net_revenue", "gross_revenue", "receivable", "payable"))},
   translate(format('{{:.2f}}%', delinquency), '.', ',') AS delinquency FROM d""")
 def dashboard_kpis_formatted(spark, sf_dir):
-    return movement.formatted_kpis(movement.active(movement.movement(spark, sf_dir)))
+    return movement.formatted_kpis(movement.active(movement.movement(spark, sf_dir, names=False)))
 
 
 def _revenue(unit: str, label: str) -> str:
@@ -84,17 +84,17 @@ def _revenue(unit: str, label: str) -> str:
 
 @query(_revenue("day", "%d/%m/%Y"))
 def revenue_by_day(spark, sf_dir):
-    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir)), "day")
+    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir, names=False)), "day")
 
 
 @query(_revenue("month", "%b %Y"))
 def revenue_by_month(spark, sf_dir):
-    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir)), "month")
+    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir, names=False)), "month")
 
 
 @query(_revenue("year", "%Y"))
 def revenue_by_year(spark, sf_dir):
-    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir)), "year")
+    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir, names=False)), "year")
 
 
 @query(f"{M} SELECT customer, CAST(sum(net_total) AS DOUBLE) AS revenue FROM m WHERE status = 'A' AND movement_type = 2 AND customer IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -104,12 +104,12 @@ def top_customers(spark, sf_dir):
 
 @query(f"{M} SELECT movement_type, count(*) AS n FROM m WHERE status = 'A' AND movement_type IS NOT NULL GROUP BY 1")
 def movements_by_type(spark, sf_dir):
-    return movement.by_type(movement.active(movement.movement(spark, sf_dir)))
+    return movement.by_type(movement.active(movement.movement(spark, sf_dir, names=False)))
 
 
 @query(f"{M} SELECT CASE movement_type WHEN 1 THEN 'Compra' WHEN 2 THEN 'Venda' ELSE 'Outro' END AS label, count(*) AS n FROM m WHERE status = 'A' GROUP BY 1")
 def movements_by_label(spark, sf_dir):
-    return movement.by_label(movement.active(movement.movement(spark, sf_dir)))
+    return movement.by_label(movement.active(movement.movement(spark, sf_dir, names=False)))
 
 
 # half cents go to the even cent
@@ -349,13 +349,18 @@ def protected_columns(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, table_name string, column_name string")
 
 
-@query()
+@query("""SELECT * FROM (VALUES
+ (1, 'count(*)', false, 'orders', '', '', '', '', NULL), (2, 'c_name|sum(o_totalprice)', false, 'customer|orders', '', 'c_name', 'sum(o_totalprice) >', '', NULL),
+ (3, 'c_name', false, 'customer|t', 'c_acctbal between|n >', '', '', 'c_name', '5'), (4, 's_name', false, 'supplier', 's_suppkey in', '', '', '', NULL),
+ (5, 'max(l_quantity)|o_orderkey', true, 'lineitem|orders', 'o_orderstatus =', 'o_orderkey', '', '', NULL), (6, '*', false, 'movement', 'customer not_like|status =', '', '', '', NULL))
+ AS c(id, sel, is_distinct, frm, whr, grp, hav, ord, lim)""")
 def em_components(spark, sf_dir):
     rows = []
     for i, _, _, q in POOL:
         c = sqlast.components(spark, q)
-        rows.append((i, sorted(c["select"]), c["distinct"], sorted(c["from"]), sorted(map(" ".join, c["where"])), sorted(c["group_by"]), sorted(map(" ".join, c["having"])), list(c["order_by"]), c["limit"]))
-    return spark.createDataFrame(rows, "id int, sel array<string>, is_distinct boolean, frm array<string>, whr array<string>, grp array<string>, hav array<string>, ord array<string>, lim string")
+        parts = [sorted(c["select"]), c["distinct"], sorted(c["from"]), sorted(map(" ".join, c["where"])), sorted(c["group_by"]), sorted(map(" ".join, c["having"])), list(c["order_by"]), c["limit"]]
+        rows.append((i, *["|".join(x) if isinstance(x, list) else x for x in parts]))
+    return spark.createDataFrame(rows, "id int, sel string, is_distinct boolean, frm string, whr string, grp string, hav string, ord string, lim string")
 
 
 @query("SELECT * FROM (VALUES ('same', 1), ('bag', 0), ('columns', 0), ('broken', 0), ('match', 1), ('differs', 0)) AS t(test, score)")
@@ -547,48 +552,52 @@ def rows_to_text_budget(spark, sf_dir):
 
 # --- text ------------------------------------------------------------------------------------------------------
 
-REPLIES = [
-    (1, "Here it is:\n```sql\nSELECT a FROM t;\n```\nDone.", "SELECT a FROM t;"),
-    (2, "with x as (select ';' as s) select s from x; drop table t", "with x as (select ';' as s) select s from x;"),
-    (3, "no query", "no query"),
-    (4, "SELECT 1", "SELECT 1;"),
-]
+#: Replies of a model, made of every turn of the conversations: prose with a statement in some form, or without.
+REPLY = """CASE (conv_id + turn) % 5 WHEN 0 THEN 'Here: ```sql' || chr(10) || 'SELECT a' || conv_id || ' FROM t;' || chr(10) || '``` ' || coalesce(text, '')
+ WHEN 1 THEN 'with x as (select ' || chr(39) || ';' || chr(39) || ' as s) select s from x' || turn || '; drop table t'
+ WHEN 2 THEN coalesce(text, '')
+ WHEN 3 THEN 'SELECT customer, net_total, a' || conv_id || ' FROM movement WHERE status = 1 SELECT customer, net_total, a' || conv_id || ' FROM movement WHERE status = 1'
+ ELSE 'SELECT customer, net_total, a' || conv_id || ' FROM movement UNION ALL SELECT customer, net_total, a' || conv_id || ' FROM movement' END"""
+REPLIES = f"SELECT conv_id, turn, {REPLY} AS reply FROM conversations"
+PLAIN = "trim(regexp_replace(reply, '```(?:sql)?', '', 'gi'))"
+FOUND = f"regexp_extract({PLAIN}, '(?is)\\b((?:SELECT|WITH)\\b(?:[^;'']|''[^'']*'')*)', 1)"
+PURE = f"CASE WHEN {FOUND} = '' THEN {PLAIN} ELSE rtrim({FOUND}) || ';' END"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else "NULL" if v is None else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "conversations")
+    return spark.sql(REPLIES)
 
 
-@query(_values([(i, b) for i, _, b in REPLIES], "id, sql"))
+@query(f"SELECT conv_id, turn, {PURE} AS sql FROM ({REPLIES})")
 def pure_sql(spark, sf_dir):
-    return spark.createDataFrame([r[:2] for r in REPLIES], "id int, reply string").select("id", text.pure_sql(F.col("reply")).alias("sql"))
-
-
-LONG = "SELECT customer, net_total FROM movement WHERE status = 'A'"
-CLEAN = [(1, f"{LONG} {LONG} ", f"{LONG};"), (2, f"{LONG} UNION ALL {LONG}", f"{LONG} UNION ALL {LONG};"), (3, "", ""), (4, "```sql\nSELECT 1;\n```", "SELECT 1;")]
+    return _replies(spark, sf_dir).select("conv_id", "turn", text.pure_sql(F.col("reply")).alias("sql"))
 
 
-@query(_values([(i, b) for i, _, b in CLEAN], "id, sql"))
+@query(f"""WITH p AS (SELECT conv_id, turn, reply, regexp_replace({PURE}, ';$', '') AS s FROM ({REPLIES})),
+ a AS (SELECT *, CASE WHEN length(s) > 40 THEN instr(substr(s, 41), substr(s, 1, 40)) ELSE 0 END AS again FROM p),
+ b AS (SELECT *, rtrim(substr(s, 1, 40 + again - 1)) AS before FROM a)
+SELECT conv_id, turn, CASE WHEN trim(reply) = '' THEN '' WHEN again > 0 AND NOT regexp_matches(before, '(?i)\\b(UNION|INTERSECT|EXCEPT|ALL)$') THEN before || ';' ELSE s || ';' END AS sql FROM b""")
 def clean_sql(spark, sf_dir):
-    return spark.createDataFrame([r[:2] for r in CLEAN], "id int, reply string").select("id", text.clean_sql(F.col("reply")).alias("sql"))
+    return _replies(spark, sf_dir).select("conv_id", "turn", text.clean_sql(F.col("reply")).alias("sql"))
 
 
-CLASSES = [(1, "It is NON-NESTED.", "NON-NESTED"), (2, "nested", "NESTED"), (3, "Easy one", "EASY"), (4, "?", "NON-NESTED"), (5, "non_nested", "NON-NESTED")]
+CLASS = "coalesce(text, '') || CASE (conv_id + turn) % 5 WHEN 0 THEN ' It is NON-NESTED.' WHEN 1 THEN ' nested' WHEN 2 THEN ' Easy one' WHEN 3 THEN ' ?' ELSE ' non_nested' END"
 
 
-@query(_values([(i, b) for i, _, b in CLASSES], "id, difficulty"))
+@query(f"SELECT conv_id, turn, CASE WHEN contains(u, 'NON-NESTED') OR contains(u, 'NON_NESTED') THEN 'NON-NESTED' WHEN contains(u, 'NESTED') THEN 'NESTED' WHEN contains(u, 'EASY') THEN 'EASY' ELSE 'NON-NESTED' END AS difficulty FROM (SELECT conv_id, turn, upper({CLASS}) AS u FROM conversations)")
 def difficulty_parse(spark, sf_dir):
-    return spark.createDataFrame([r[:2] for r in CLASSES], "id int, reply string").select("id", text.difficulty(F.col("reply")).alias("difficulty"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.difficulty(F.expr(CLASS)).alias("difficulty"))
 
 
-RUNS = [(1, 200.0, "x", "SELECT 1", 1, "TIMEOUT_API"), (2, 3.0, "Timed out", "", 0, "TIMEOUT_API"), (3, 3.0, "Desculpe, nada", "SELECT 1", 0, "FALHA_GERACAO_SQL"), (4, 3.0, "x", " ", 0, "FALHA_GERACAO_SQL"), (5, 3.0, "x", "SELECT 1", 1, "OK"), (6, 3.0, "x", "SELECT 1", 0, "ERRO_LOGICO_SQL")]
+RUN = "CAST((conv_id * 37 + turn) % 300 AS DOUBLE) AS latency, CASE conv_id % 7 WHEN 0 THEN 'Timed out' WHEN 1 THEN 'Desculpe, nada' ELSE coalesce(text, '') END AS answer, CASE (conv_id + turn) % 4 WHEN 0 THEN ' ' ELSE 'SELECT 1' END AS sql, CAST((conv_id + turn) % 2 AS INTEGER) AS ex"
 
 
-@query(_values([(r[0], r[5]) for r in RUNS], "id, status"))
+@query(f"SELECT conv_id, turn, CASE WHEN latency >= 180 OR contains(answer, 'Timed out') THEN 'TIMEOUT_API' WHEN contains(lower(answer), 'desculpe') OR trim(sql) = '' THEN 'FALHA_GERACAO_SQL' WHEN ex = 1 THEN 'OK' ELSE 'ERRO_LOGICO_SQL' END AS status FROM (SELECT conv_id, turn, {RUN} FROM conversations)")
 def status_parse(spark, sf_dir):
-    df = spark.createDataFrame([r[:5] for r in RUNS], "id int, latency double, answer string, sql string, ex int")
-    return df.select("id", text.status(F.col("latency"), F.col("answer"), F.col("sql"), F.col("ex")).alias("status"))
+    views(spark, sf_dir, "conversations")
+    runs = spark.sql(f"SELECT conv_id, turn, {RUN} FROM conversations")
+    return runs.select("conv_id", "turn", text.status(F.col("latency"), F.col("answer"), F.col("sql"), F.col("ex")).alias("status"))
 
 
 @query("SELECT word, strip_accents(word) AS plain FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM documents) WHERE word <> ''")
@@ -597,10 +606,12 @@ def normalize_identifiers(spark, sf_dir):
     return words.select("word", text.normalize_identifier("word").alias("plain"))
 
 
-@query(_values([(1, "a b"), (2, "plain")], "id, text"))
+PROMPT = "'[INST]' || coalesce(text, '') || '[/IN[INST]ST]' || role || '[/IN[/INST]ST]'"
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') || role AS text FROM conversations")
 def sanitised_prompts(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "a [INST]b[/IN[INST]ST]"), (2, "plain")], "id int, text string")
-    return rows.select("id", text.sanitised(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.sanitised(F.expr(PROMPT)).alias("text"))
 
 
 @query("""SELECT a.vec_id, CAST(len(list_intersect([x, y, z], [x, y, 99])) AS INTEGER) AS common, CAST(len(list_distinct([x, y, z, 99])) AS INTEGER) AS n_union, array_to_string(list_sort([x, y, z]), ',') AS sorted, [x, y, z][2] AS second
