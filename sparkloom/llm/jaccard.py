@@ -369,11 +369,12 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     store.release(spark)
     same = known.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.max("shared").alias("shared"), F.max("need").alias("need"), F.count("*").alias("copies"))
     same = store.saved(same, "classes")
-    reps = store.saved(same.where("shared >= need").select(F.col("class_id").alias("doc_id")), "candidates")
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(reps, "doc_id", "left_semi")
-    sets = store.saved(shared_sets(wanted, n, percent), "shared-sets")
-    store.release(spark)
-    found = components(store.saved(links(sets, percent), "links"))
+    with store.scratch(spark):
+        reps = store.saved(same.where("shared >= need").select(F.col("class_id").alias("doc_id")), "candidates")
+        wanted = docs.select(F.col("doc_id").cast("long"), "text").join(reps, "doc_id", "left_semi")
+        sets = store.saved(shared_sets(wanted, n, percent), "shared-sets")
+        store.release(spark)
+        found = store.saved(components(store.saved(links(sets, percent), "links")), "components", keep=True)
     many = store.saved(same.where("copies > 1").select("size", "s1", "s2", "class_id"), "copied")
     held = known.join(many, ["size", "s1", "s2"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     held = held.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")

@@ -38,7 +38,8 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = store.saved(packing.packed(store.table(spark, sf_dir, "documents")), "packed")
+    with store.scratch(spark):
+        placed = store.saved(packing.packed(store.table(spark, sf_dir, "documents")), "packed", keep=True)
     return packing.digests(placed)
 
 

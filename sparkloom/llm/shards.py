@@ -156,11 +156,12 @@ def shard_of(levels: list[dict[int, tuple]], node: int = 0, level: int = 0) -> C
 def write_shards(docs: DataFrame, leaves: int = 24, tolerance: float | None = None) -> str:
     """Writes the documents into shards, a folder of some files for each, and returns the path."""
     facts = document_rows(docs)
-    slim = store.saved(facts.drop("row"), "shard-rows")
-    ends = spans(slim)
-    keys = store.saved(keyed(slim, ends).select("size", *ends), "shard-keys")
-    levels = tree(keys, leaves, tolerance=tolerance)
-    total = slim.agg(F.sum("size")).first()[0] or 0
+    with store.scratch(docs.sparkSession):
+        slim = store.saved(facts.drop("row"), "shard-rows")
+        ends = spans(slim)
+        keys = store.saved(keyed(slim, ends).select("size", *ends), "shard-keys")
+        levels = tree(keys, leaves, tolerance=tolerance)
+        total = keys.agg(F.sum("size")).first()[0] or 0
     files = max(FILES, total // leaves // FILE_BYTES)
     # a task for each file, so that the hottest shard is as many tasks as it has files
     at = F.col("shard") * files + F.pmod(F.xxhash64("place"), F.lit(files)).cast("int")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +32,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, name: str, compression: str = "zstd") -> str:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved within, but for those to keep, are dropped at the end: nothing may read them later."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            drop(spark, path)
+
+
+def write(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> str:
     """Writes a table into the shared folder and returns its path."""
     path = new_path(df.sparkSession, name)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return path
 
 
-def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
     """The table, written and read again: its lineage ends here and its size is known to the planner."""
-    path = write(df, name, compression)
+    path = write(df, name, compression, keep)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ def test_digests_are_of_the_ids_that_are_held(spark):
 def test_query_writes_placed_ids(spark, tmp_path, monkeypatch):
     documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     written, save = {}, store.saved
-    monkeypatch.setattr(store, "saved", lambda df, name, *how: written.setdefault(name, save(df, name, *how)))
+    monkeypatch.setattr(store, "saved", lambda df, name, *how, **keep: written.setdefault(name, save(df, name, *how, **keep)))
     got = queries.op4_best_fit_packing(spark, str(tmp_path))
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert sorted(map(str, got.collect())) == sorted(map(str, written["packed"].drop("ids").collect()))
