@@ -39,7 +39,7 @@ def lexical(nodes: DataFrame, question: str, k: int = 12, any_word: bool = False
     match = (there > 0) if any_word else (there == F.size("q")) & (F.size("q") > 0)
     tf = lambda w: F.size(F.filter("ts", lambda t: t == w)).cast("double")
     # saturated counts, damped by length: the idf of a fixed question's words doesn't change the order of AND hits
-    score = F.aggregate("q", F.lit(0.0), lambda s, w: s + tf(w) * 2.2 / (tf(w) + 1.2 * (0.25 + 0.75 * F.size("ts") / 500)))
+    score = F.aggregate(F.transform("q", tf), F.lit(0.0), lambda s, n: s + n * 2.2 / (n + 1.2 * (0.25 + 0.75 * F.size("ts") / 500)))
     return held.where(match).select("node_id", score.alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
