@@ -38,6 +38,8 @@ from . import store, tokens
 
 WORDS = 5
 PERCENT = 80
+#: Bytes of text of a slice.
+STEP_BYTES = 4 << 20
 #: Odd multipliers of the words of a shingle, from a rule.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"place", i) | 1 for i in range(64)], np.uint64)
 
@@ -159,7 +161,7 @@ def _slices(docs: DataFrame, n: int) -> Iterator:
 
         k = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in tokens.steps(batch, "text", 8 << 20):
+            for part in tokens.steps(batch, "text", STEP_BYTES):
                 sets = shingle_sets(part.column("text"), n)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -215,7 +217,7 @@ def document_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.steps(batch, "text", 8 << 20):
+            for part in tokens.steps(batch, "text", STEP_BYTES):
                 sets = shingle_sets(part.column("text"), n)
                 yield from _packs(part.column("doc_id").to_numpy(), sets, [share(len(x)) for x in sets], bits)
 
