@@ -20,6 +20,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import store, tokens
 
 FRAME = 576
 RATE = 8000
@@ -37,6 +38,8 @@ SEEK_FRAMES = 8
 DECODE_BYTES = 6 << 20
 #: Order of the linear predictors that the encoder fits, and bits of their factors.
 LPC_ORDER, PRECISION = 4, 12
+#: Parts in which whole tables are stored and decoded.
+SLICES = 4
 #: Kinds of subframe that the encoder tells apart: FIXED + order, or these.
 CONSTANT, VERBATIM, LPC = 5, 6, 7
 
@@ -482,6 +485,28 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, f"{schema}media_bytes long, media_sha256 string, blocks {BLOCK_SQL}")
 
 
+def stored_blocks(docs: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Written pcm_blocks() of all rows, decoded from written streams. A slice's streams are dropped once its blocks are
+    written, so that at any time only those of one slice take space beside the blocks; who wants to keep the streams
+    writes as_media().
+
+    Slices are ranges of doc_id between approximate quantiles, which the scan prunes by statistics where rows lie in
+    that order; elsewhere the table is read once a slice. docs is evaluated once a slice and has to give the same rows
+    each time, as a written table does. Rows without doc_id, and all of one doc_id, share a slice. An empty table
+    gives an empty table.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    edges = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / slices for i in range(1, slices)], 0.01)})
+    within = [F.col("doc_id").isNull() | (F.col("doc_id") < edges[0]), *((F.col("doc_id") >= a) & (F.col("doc_id") < b) for a, b in pairwise(edges)), F.col("doc_id") >= edges[-1]] if edges else [F.lit(True)]
+    paths = []
+    for mine in within:
+        with store.scratch(spark):
+            blocks = pcm_blocks(store.saved(as_media(docs.where(mine)), "media", "none"))
+            paths.append(store.write(blocks, "pcm", keep=True))
+    return spark.read.schema(blocks.schema).parquet(*paths)
+
+
 def samples_between(rows: DataFrame, first: int, last: int) -> DataFrame:
     """(doc_id, sample_offset, pcm) of the blocks of written PCM rows that hold samples first to last (not included)."""
     wanted = F.filter("blocks", lambda b: (b["sample_offset"] < last) & (b["sample_offset"] + F.octet_length(b["pcm"]) > first))

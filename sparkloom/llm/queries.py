@@ -55,8 +55,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store.saved(media.as_media(store.table(spark, sf_dir, "documents")), "media", "none")
-    return media.digests(store.saved(media.pcm_blocks(stored), "pcm"))
+    return media.digests(media.stored_blocks(store.table(spark, sf_dir, "documents")))
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

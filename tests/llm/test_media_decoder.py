@@ -160,6 +160,21 @@ def test_written_blocks_are_read_from_an_offset(spark):
     assert media.payload_of(bytes(one["pcm"]))[at : at + 10].decode() == text[20000:20010]
 
 
+@pytest.mark.parametrize("ids", [range(40), [None] * 40, [7] * 40, [i % 3 or None for i in range(40)], [-(2**62), 2**62] * 20, []], ids=["all", "none", "one", "some", "far", "empty"])
+def test_slices_hold_every_row_once(spark, monkeypatch, ids):
+    texts = [None if i % 7 == 0 else f"text {i % 5} " * (i * 40) for i in range(len(ids))]
+    docs = spark.createDataFrame(list(zip(ids, texts, texts)), "doc_id long, text string, media string")
+    kept, dropped = [], []
+    monkeypatch.setattr(store, "write", lambda df, name, *a, write=store.write, **k: (kept.append((name, write(df, name, *a, **k))), kept[-1][1])[1])
+    monkeypatch.setattr(store, "drop", lambda spark, path, drop=store.drop: (dropped.append(path), drop(spark, path)))
+    got = media.digests(media.stored_blocks(docs))
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(got) == order(media.digests(media.pcm_blocks(media.as_media(docs)))) and got.count() == len(ids)
+    assert dropped == [path for name, path in kept if name == "media"] and len(dropped) <= media.SLICES
+    if ids == range(40):
+        assert len(dropped) == media.SLICES
+
+
 @pytest.mark.parametrize("at", [60, 100, -1])
 def test_damage_is_found(at):
     payload = np.random.default_rng(7).choice(np.frombuffer(b"some text of letters", np.uint8), 576 * 3)
