@@ -34,6 +34,33 @@ OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
  q AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM k)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(q.class_id, d.doc_id) AS class_id FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id"""
 
+LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+TERMS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS no, doc_id, {TERMS} AS ts FROM documents),
+ x AS (SELECT count(*) FILTER (len(ts) > 0) AS big_n, sum(len(ts))::BIGINT AS big_l FROM d),
+ m AS (SELECT no, doc_id, 75 + (25 * len(ts) * big_n) // big_l AS m FROM d, x WHERE len(ts) > 0),
+ tf AS (SELECT no, t, count(*) AS tf FROM (SELECT no, unnest(ts) AS t FROM d) GROUP BY 1, 2),
+ w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY 1), x),
+ q AS (SELECT item, item_id, unnest({TERMS}) AS t FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+ s AS (SELECT item, item_id, no, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (no) GROUP BY 1, 2, 3),
+ r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s JOIN m USING (no) WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20"""
+
+OP12 = f"""WITH RECURSIVE p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+ g AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+   FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k) GROUP BY ALL),
+ n AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE k = 1 GROUP BY 1),
+ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 100),
+ cuts AS (SELECT c.lang, c.phrase, c.k, c.a, j, l.f AS l, r.f AS r, CAST((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score, n.n AS n
+   FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN n ON n.lang = c.lang
+   JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:j], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[j + 1:c.k], ' ')),
+ one AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ inner_ AS (SELECT lang, a, unnest([array_to_string(ws[1:k - 1], ' '), array_to_string(ws[2:k], ' ')]) AS phrase FROM c WHERE k > 2),
+ gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase WHERE 100 * i.a >= 100 * c.a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM one
+ WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = one.lang AND gone.phrase = one.phrase) QUALIFY rank <= 2000"""
+
 
 def op1() -> str:
     t = Templates(TEXTS)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, licenses, media, mixing, oracles, packing, shards, store, token_files, tokens, warc, winnowing
+from . import graphs, impacts, jaccard, language, licenses, media, mixing, oracles, packing, phrases, shards, store, token_files, tokens, warc, winnowing
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,22 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprinted(store.table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = store.table(spark, sf_dir, "embeddings")
+    return graphs.nearest(graphs.write_index(vectors), vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(store.table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.ranked(store.table(spark, sf_dir, "documents"), store.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op7_flac, op8_kd_shards, op9_language_id, op10_winnowing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_mix_sources, op4_best_fit_packing, op5_jaccard_join, op6_warc, op7_flac, op8_kd_shards, op9_language_id, op10_winnowing, op11_nearest_vectors, op12_collocations, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": oracles.op1(), "op3_mix_sources": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_warc": oracles.OP6}
+    return {"op1_license_scan": oracles.op1(), "op3_mix_sources": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_warc": oracles.OP6, "op12_collocations": oracles.OP12, "op13_ranked_search": oracles.OP13}
