@@ -37,10 +37,12 @@ def validated(store: DataFrame, n: int = 20) -> DataFrame:
 
 
 def changes(before: DataFrame, now: DataFrame, key: str, value: str = "hash") -> DataFrame:
-    """(key, change): added, changed or removed between two states (key, hash); what is equal isn't listed."""
-    b, n = before.select(F.col(key), F.col(value).alias("old")), now.select(F.col(key), F.col(value).alias("new"))
-    both = b.join(n, key, "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    return both.select(key, F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"))
+    """(key, change): added, changed or removed between two states (key, hash); what is equal isn't listed. A hash may
+    be null: a key is there if its row is."""
+    b = before.select(F.col(key), F.col(value).alias("old"), F.lit(True).alias("was"))
+    n = now.select(F.col(key), F.col(value).alias("new"), F.lit(True).alias("is"))
+    both = b.join(n, key, "full_outer").where(F.col("was").isNull() | F.col("is").isNull() | ~F.col("old").eqNullSafe(F.col("new")))
+    return both.select(key, F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("changed").alias("change"))
 
 
 def without(index: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -21,15 +21,22 @@ RRF_K = 60
 
 
 def dense(nodes: DataFrame, query: list[float], k: int = 12, vector: str = "embedding", node: str = "node_id") -> DataFrame:
-    """(node_id, score): the k nearest by cosine."""
+    """(node_id, score): the k nearest by cosine, from a scan; indexes.Index.dense() gives the same and skips cells."""
     q = F.array(*[F.lit(float(x)) for x in query])
     return nodes.where(F.col(vector).isNotNull()).select(F.col(node).alias("node_id"), cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
+def term_score(n: Column, length: Column) -> Column:
+    """What a word that a text of some length has n times adds to its score: a saturated count, damped by length. Like
+    ranks of full-text engines without corpus statistics, it weighs rare and common words alike."""
+    n = n.cast("double")
+    return n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / 500))
+
+
 def lexical(nodes: DataFrame, question: str, k: int = 12, any_word: bool = False, node: str = "node_id") -> DataFrame:
-    """(node_id, score): nodes with all (or any) words of the question, by BM25-like weight of their counts.
+    """(node_id, score): nodes with all (or any) words of the question, by saturated counts.
 
-    An empty question matches nothing.
+    An empty question matches nothing. This reads every text; indexes.Index.lexical() gives the same from its postings.
     """
     words = F.array_distinct(tokens(F.lit(question)))
     # an index has its tokens already
@@ -37,9 +44,8 @@ def lexical(nodes: DataFrame, question: str, k: int = 12, any_word: bool = False
     held = nodes.select(F.col(node).alias("node_id"), ts.alias("ts")).withColumn("q", words)
     there = F.size(F.array_intersect("q", "ts"))
     match = (there > 0) if any_word else (there == F.size("q")) & (F.size("q") > 0)
-    tf = lambda w: F.size(F.filter("ts", lambda t: t == w)).cast("double")
-    # saturated counts, damped by length: the idf of a fixed question's words doesn't change the order of AND hits
-    score = F.aggregate(F.transform("q", tf), F.lit(0.0), lambda s, n: s + n * 2.2 / (n + 1.2 * (0.25 + 0.75 * F.size("ts") / 500)))
+    tf = lambda w: F.size(F.filter("ts", lambda t: t == w))
+    score = F.aggregate(F.transform("q", tf), F.lit(0.0), lambda s, n: s + term_score(n, F.size("ts")))
     return held.where(match).select("node_id", score.alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
@@ -50,10 +56,21 @@ def ranked(hits: DataFrame, source: str) -> DataFrame:
 
 def fuse(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of hit lists: (node_id, rrf), each list giving 1 / (k + rank)."""
+    return fused(*lists, k=k).select("node_id", "rrf")
+
+
+def fused(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
+    """fuse() with the place of each node, from 1: equal sums go in the order of the lists they stand in, then of their
+    rank there, so hits of the dense list, which is the first, come before those of the lexical one."""
     all_ = ranked(lists[0], "0")
     for i, hits in enumerate(lists[1:], 1):
         all_ = all_.unionByName(ranked(hits, str(i)))
-    return all_.groupBy("node_id").agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"))
+    # summed in the order of the lists, so that equal ranks give equal sums
+    held = all_.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("source", "rank"))).alias("places"))
+    rrf = F.aggregate("places", F.lit(0.0), lambda s, x: s + 1 / (k + x["rank"]))
+    held = held.select("node_id", rrf.alias("rrf"), F.col("places")[0].alias("first"))
+    # a few top k lists
+    return held.select("node_id", "rrf", F.row_number().over(Window.orderBy(F.desc("rrf"), "first")).alias("place"))
 
 
 def overlap_score(question: str) -> Callable[[Column], Column]:
@@ -75,6 +92,13 @@ def retrieve(nodes: DataFrame, question: str, query: list[float], k: int = 12, t
     return rerank(fuse(dense(nodes, query, k), lexical(nodes, question, k, any_word)), nodes, scorer(question), top)
 
 
+def retrieve_indexed(index, question: str, query: list[float], k: int = 12, top: int = 3, scorer: Callable[[str], Callable[[Column], Column]] = overlap_score, any_word: bool = False) -> DataFrame:
+    """retrieve() by an indexes.Index: both searches read what the question needs, and texts of hits alone are scored."""
+    hits = fuse(index.dense(query, k), index.lexical(question, k, any_word))
+    wanted = [r["node_id"] for r in hits.select("node_id").collect()]  # two top k
+    return rerank(hits, index.nodes().where(F.col("node_id").isin(wanted)), scorer(question), top)
+
+
 def chunks(docs: DataFrame, sizes: tuple[int, ...] = (2048, 400), overlap: int = 80) -> DataFrame:
     """(node_id, parent_id, level, doc_id, text): windows of words, those of a level cut from the one above.
 

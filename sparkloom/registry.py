@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text, vectors
-from sparkloom.operators import evaluation, feedback, movement, retrieval
+from sparkloom.operators import evaluation, feedback, indexes, movement, retrieval
 from sparkloom.plans import schema, sqlast, validate
 from sparkloom.sources import tables
 from sparkloom.sources.tables import table, views
@@ -166,6 +166,27 @@ def json_field(spark, sf_dir):
 # --- retrieval -------------------------------------------------------------------------------------------------
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """The stored index of all documents, with the vectors of the same number as theirs."""
+
+    def rows() -> tuple[DataFrame, DataFrame]:
+        docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+        nodes = docs.join(vecs, docs["doc_id"] == vecs["vec_id"], "left").select(F.col("doc_id").alias("node_id"), "text", "embedding")
+        return nodes, docs.select(F.col("doc_id").alias("node_id"), F.sha2("text", 256).alias("hash"))
+
+    return indexes.of_table(spark, sf_dir, "documents", rows)
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """The stored index of all embeddings, which have no text."""
+
+    def rows() -> tuple[DataFrame, DataFrame]:
+        nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.lit("").alias("text"), "embedding")
+        return nodes, nodes.select("node_id", F.xxhash64("embedding").cast("string").alias("hash"))
+
+    return indexes.of_table(spark, sf_dir, "embeddings", rows)
+
+
 def _vector(spark, sf_dir, vec_id: int) -> list[float]:
     row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()
     return list(row["embedding"]) if row else []
@@ -176,7 +197,7 @@ COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBL
 
 @query(f"SELECT a.vec_id AS node_id, round({COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY {COS} DESC, a.vec_id LIMIT 12")
 def cosine_topk(spark, sf_dir):
-    found = retrieval.dense(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), 12, node="vec_id")
+    found = vector_index(spark, sf_dir).dense(_vector(spark, sf_dir, 0), 12)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -216,7 +237,7 @@ LEXICAL = f"SELECT doc_id AS node_id, {_bm25(['the', 'of', 'token'])} AS score F
 
 @query(f"SELECT node_id, round(score, 6) AS score FROM ({LEXICAL})")
 def lexical_rank(spark, sf_dir):
-    found = retrieval.lexical(table(spark, sf_dir, "documents"), QUESTION, 12, node="doc_id")
+    found = text_index(spark, sf_dir).lexical(QUESTION, 12)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -227,8 +248,7 @@ DENSE = f"SELECT a.vec_id AS node_id, {COS} AS score FROM embeddings a, embeddin
   SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) AS rk FROM l UNION ALL SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) FROM d)
  SELECT node_id, round(sum(1 / (60.0 + rk)), 9) AS rrf FROM u GROUP BY node_id""")
 def rrf_fusion(spark, sf_dir):
-    d = retrieval.dense(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), 12, node="vec_id")
-    x = retrieval.lexical(table(spark, sf_dir, "documents"), QUESTION, 12, node="doc_id")
+    d, x = vector_index(spark, sf_dir).dense(_vector(spark, sf_dir, 0), 12), text_index(spark, sf_dir).lexical(QUESTION, 12)
     return retrieval.fuse(d, x).withColumn("rrf", F.round("rrf", 9))
 
 
@@ -247,10 +267,8 @@ FUSED = f"""SELECT node_id FROM ({LEXICAL}) UNION SELECT node_id FROM (SELECT d.
 
 @query(f"SELECT node_id, len(list_intersect(['the', 'of', 'token'], {TOKENS.format('d.text')})) / 3.0 AS score FROM ({FUSED}) h JOIN documents d ON d.doc_id = h.node_id ORDER BY score DESC, node_id LIMIT 3")
 def retrieve_pipeline(spark, sf_dir):
-    docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     # a document without a vector is still found by its words
-    nodes = docs.join(vecs, docs["doc_id"] == vecs["vec_id"], "left").select(F.col("doc_id").alias("node_id"), "text", "embedding")
-    return retrieval.retrieve(nodes, QUESTION, _vector(spark, sf_dir, 0))
+    return retrieval.retrieve_indexed(text_index(spark, sf_dir), QUESTION, _vector(spark, sf_dir, 0))
 
 
 WORDS = "regexp_split_to_array(trim(coalesce(text, ''), chr(9) || chr(10) || chr(13) || ' '), '\\s+')"
@@ -496,7 +514,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return before, docs.where("doc_id % 10 <> 2").select("file_name", F.sha2(edited, 256).alias("hash"))
 
 
-@query(f"SELECT coalesce(b.file_name, n.file_name) AS file_name, CASE WHEN b.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({BEFORE}) b FULL JOIN ({NOW}) n ON b.file_name = n.file_name WHERE b.hash IS DISTINCT FROM n.hash")
+@query(f"SELECT coalesce(b.file_name, n.file_name) AS file_name, CASE WHEN b.file_name IS NULL THEN 'added' WHEN n.file_name IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({BEFORE}) b FULL JOIN ({NOW}) n ON b.file_name = n.file_name WHERE b.hash IS DISTINCT FROM n.hash OR b.file_name IS NULL OR n.file_name IS NULL")
 def index_diff_files(spark, sf_dir):
     before, now = _snapshots(spark, sf_dir)
     return feedback.changes(before, now, "file_name")
