@@ -8,26 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import tokens
+from sparkloom.operators import answers as answers_
 from sparkloom.operators.retrieval import embedded
 from sparkloom.sources import files
 
 
 def upsert(store: DataFrame, answers: DataFrame) -> DataFrame:
-    """store with answers (pergunta, sql_gerado, resposta_final, em) merged by question.
+    """store with answers (pergunta, sql_gerado, resposta_final, em, perhaps pergunta_embedding) merged by question.
 
-    A known question gets the new answer and time, one more use and is pending again; its SQL stays as it was.
+    A known question gets the new answer, time and embedding, one more use for each answer and is pending again; its SQL stays
+    as it was. Several answers to one question are folded in order. answers.Answers does the same on disk.
     """
-    s, a = store.alias("s"), answers.alias("a")
-    both = s.join(a, F.col("s.pergunta") == F.col("a.pergunta"), "full_outer")
-    new, old = F.col("a.pergunta").isNotNull(), F.col("s.pergunta").isNotNull()
-    return both.select(
-        F.coalesce("s.pergunta", "a.pergunta").alias("pergunta"),
-        F.when(old, F.col("s.sql_gerado")).otherwise(F.col("a.sql_gerado")).alias("sql_gerado"),
-        F.when(new, F.col("a.resposta_final")).otherwise(F.col("s.resposta_final")).alias("resposta_final"),
-        F.when(new, "PENDENTE").otherwise(F.col("s.status_validacao")).alias("status_validacao"),
-        F.when(new & old, F.col("s.uso_count") + 1).when(new, F.lit(0)).otherwise(F.col("s.uso_count")).alias("uso_count"),
-        F.when(new, F.col("a.em")).otherwise(F.col("s.data_criacao")).alias("data_criacao"),
-    )
+    bare = "pergunta_embedding" not in store.columns
+    held = store.withColumn("pergunta_embedding", F.lit(None).cast("array<double>")) if bare else store
+    out = answers_.merged(held, answers_.folded(answers))
+    return out.drop("pergunta_embedding") if bare else out
 
 
 def validated(store: DataFrame, n: int = 20) -> DataFrame:

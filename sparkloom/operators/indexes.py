@@ -19,6 +19,7 @@ the least hashes; there are at most CELLS of them, which a search collects.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,10 +90,10 @@ class Index:
         empty = f"`{self.key}` string, hash string"
         if not self.segments:
             return self.spark.createDataFrame([], empty)
-        held = self._table("state", f"{empty}, segment int")
+        held = self._table("state", f"{empty}, segment long")
         last = held.groupBy(self.key).agg(F.max(F.struct("segment", "hash")).alias("last"))
         if self.content["tombs"]:
-            gone = self._table("gone", f"`{self.key}` string, segment int", self.content["tombs"]).groupBy(self.key).agg(F.max("segment").alias("gone"))
+            gone = self._table("gone", f"`{self.key}` string, segment long", self.content["tombs"]).groupBy(self.key).agg(F.max("segment").alias("gone"))
             last = last.join(gone, self.key, "left").where("gone is null or gone <= last.segment")
         return last.select(self.key, "last.hash")
 
@@ -104,7 +105,7 @@ class Index:
         nodes need to hold the nodes of added and changed keys only; others are passed over. Roots (level 0; all
         nodes, if there are no levels) get an embedding if embed is given, and go to the vector table if they have one.
         """
-        number = versions.following(self.spark, self.path)
+        version, number = self._next()
         diff = feedback.changes(self.state(), state, self.key)
         diff.write.mode("overwrite").parquet(f"{self.path}/diff/segment={number}")
         diff = self.spark.read.schema(diff.schema).parquet(f"{self.path}/diff/segment={number}")
@@ -119,7 +120,7 @@ class Index:
             dead = self._live(self._table("nodes")).join(left, self.key, "left_semi")
             dead.select("node_id", F.col("segment").alias("of")).write.mode("overwrite").parquet(f"{self.path}/tombs/segment={number}")
             content["tombs"] = [*self.content["tombs"], number]
-        self._commit(number, content)
+        self._commit(version, content)
         if len(self.segments) > SEGMENTS or self._dead_share() > DEAD:
             self.compact()
         return told
@@ -129,17 +130,24 @@ class Index:
             return 0.0
         return self._tombs().count() / max(1, sum(self.content["rows"].values()))
 
-    def _commit(self, number: int, content: dict) -> None:
-        versions.commit(self.spark, self.path, number, content)
+    def _next(self) -> tuple[int, int]:
+        """The next version, and a segment's number that rises with it and that no other writer has."""
+        version = max(self.version + 1, versions.following(self.spark, self.path))
+        return version, version * 1_000_000 + random.SystemRandom().randrange(1_000_000)
+
+    def _commit(self, version: int, content: dict) -> None:
+        if versions.current(self.spark, self.path)[0] != self.version:
+            raise versions.Conflict(f"version {self.version} of {self.path} isn't the last any more")
+        versions.commit(self.spark, self.path, version, content)
         self.refresh()
 
     def compact(self) -> None:
         """Live nodes, postings and vectors become one segment, with centres of its own; nothing is embedded again."""
-        number = versions.following(self.spark, self.path)
+        version, number = self._next()
         nodes, state, vectors = self.nodes(), self.state(), self._live(self._table("vectors")).select("node_id", "embedding")
         content = self._segment(number, nodes, state, None, vectors)
         content |= {"segments": [number], "tombs": [], "rows": {str(number): content["rows"][str(number)]}}
-        self._commit(number, content)
+        self._commit(version, content)
 
     def _segment(self, number: int, nodes: DataFrame, state: DataFrame, embed, vectors: DataFrame | None = None) -> dict:
         """Writes a segment's tables and returns the manifest that has it besides the others."""
@@ -159,13 +167,13 @@ class Index:
             own = self._vectors(vectors, number)
         schemas = dict(self.content.get("schemas", {}))
         node_type = held.schema["node_id"].dataType.simpleString()
-        schemas["nodes"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", segment int"
-        schemas["tombs"] = f"node_id {node_type}, of int, segment int"
-        schemas["postings"] = f"token string, block long, best double, docs array<struct<node_id:{node_type},n:int,length:int>>, segment int, bucket int"
+        schemas["nodes"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", segment long"
+        schemas["tombs"] = f"node_id {node_type}, of long, segment long"
+        schemas["postings"] = f"token string, block long, best double, docs array<struct<node_id:{node_type},n:int,length:int>>, segment long, bucket int"
         if own is not None:
-            schemas["vectors"] = f"node_id {node_type}, embedding {vectors.schema['embedding'].dataType.simpleString()}, reach double, segment int, cell int"
+            schemas["vectors"] = f"node_id {node_type}, embedding {vectors.schema['embedding'].dataType.simpleString()}, reach double, segment long, cell int"
         elif "vectors" not in schemas:
-            schemas["vectors"] = f"node_id {node_type}, embedding array<double>, reach double, segment int, cell int"
+            schemas["vectors"] = f"node_id {node_type}, embedding array<double>, reach double, segment long, cell int"
         return {
             "segments": [*self.segments, number], "tombs": self.content.get("tombs", []), "schemas": schemas,
             "rows": {**self.content.get("rows", {}), str(number): held.count()}, "centres": {**self.content.get("centres", {}), **({str(number): own} if own is not None else {})},
@@ -267,7 +275,7 @@ class Index:
     def _known_cells(self) -> dict:
         """The cells of all segments with their centres: segments x CELLS at most, kept for the version."""
         if self._cells is None:
-            held = self._table("cells", "cell int, least double, radius double, n long, segment int")
+            held = self._table("cells", "cell int, least double, radius double, n long, segment long")
             centres = {like: self._centres(like) for like in set(self.content["centres"].values())}
             self._cells = {"rows": held.orderBy("segment", "cell").collect(), "centres": centres}
         return self._cells

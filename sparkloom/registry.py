@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text, vectors
-from sparkloom.operators import evaluation, feedback, indexes, movement, retrieval
+from sparkloom.operators import answers, evaluation, feedback, indexes, movement, retrieval
 from sparkloom.plans import schema, sqlast, validate
-from sparkloom.sources import tables
+from sparkloom.sources import tables, versions
 from sparkloom.sources.tables import table, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,6 +502,44 @@ def feedback_top_validated(spark, sf_dir):
     return feedback.validated(_store(spark, sf_dir))
 
 
+#: Every turn of every conversation as an answer to the first turn that its conversation's number picks, so that questions repeat.
+TURNS = """SELECT coalesce(text, '') || CASE WHEN conv_id % 3 = 0 THEN '' ELSE ' ' || CAST(turn % 2 AS VARCHAR(9)) END AS pergunta, 'SELECT ' || conv_id || ' FROM t' || turn AS sql_gerado, 'answer ' || conv_id || '.' || turn AS resposta_final,
+ CAST(conv_id * 1000 + turn AS BIGINT) AS em FROM conversations"""
+EARLY, LATE = f"SELECT * FROM ({TURNS}) WHERE em % 3 <> 0", f"SELECT * FROM ({TURNS}) WHERE em % 3 = 0"
+FOLDED = f"""WITH e AS (SELECT *, 0 AS late FROM ({EARLY}) UNION ALL SELECT *, 1 FROM ({LATE})),
+ o AS (SELECT *, row_number() OVER (PARTITION BY pergunta ORDER BY late, em, sql_gerado, resposta_final) AS first, row_number() OVER (PARTITION BY pergunta ORDER BY late DESC, em DESC, sql_gerado DESC, resposta_final DESC) AS last FROM e),
+ f AS (SELECT pergunta, max(CASE WHEN first = 1 THEN sql_gerado END) AS sql_gerado, max(CASE WHEN last = 1 THEN resposta_final END) AS resposta_final, CAST(count(*) - 1 AS INTEGER) AS uso_count, max(CASE WHEN last = 1 THEN em END) AS data_criacao FROM o GROUP BY 1)"""
+HASHED = "md5(pergunta)"
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> answers.Answers:
+    """A stored table that has taken up all turns in two merges; then every question of an even time is validated."""
+    views(spark, sf_dir, "conversations")
+    store = answers.Answers(spark, versions.new_path(spark, "answers"), "bigint")
+    digest = F.md5("pergunta")
+    vector = F.array(*[F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("double") for i in range(8)])
+    for part in (EARLY, LATE):
+        store.merge(spark.sql(part).withColumn("pergunta_embedding", vector))
+    store.validate(store.rows().where("data_criacao % 2 = 0"))
+    return store
+
+
+@query(f"{FOLDED} SELECT *, CASE WHEN data_criacao % 2 = 0 THEN 'VALIDADO' ELSE 'PENDENTE' END AS status_validacao FROM f")
+def feedback_stored(spark, sf_dir):
+    return _answers(spark, sf_dir).rows().drop("pergunta_embedding")
+
+
+@query(f"""{FOLDED}, v AS (SELECT *, list_transform(range(8), lambda i: CAST(CAST('0x' || substr({HASHED}, CAST(1 + 4 * i AS BIGINT), 4) AS BIGINT) AS DOUBLE)) AS x FROM f WHERE data_criacao % 2 = 0),
+ q AS (SELECT x FROM v ORDER BY data_criacao DESC, pergunta LIMIT 1)
+SELECT pergunta, resposta_final FROM v, q WHERE 1 - list_dot_product(v.x, q.x) / (sqrt(list_dot_product(v.x, v.x)) * sqrt(list_dot_product(q.x, q.x))) < 0.02
+ ORDER BY round(1 - list_dot_product(v.x, q.x) / (sqrt(list_dot_product(v.x, v.x)) * sqrt(list_dot_product(q.x, q.x))), 12), pergunta LIMIT 1""")
+def feedback_cached(spark, sf_dir):
+    """The cache's answer to the latest validated question, from what was stored."""
+    store = _answers(spark, sf_dir)
+    asked = store.rows().where("status_validacao = 'VALIDADO'").orderBy(F.desc("data_criacao"), "pergunta").first()
+    return store.cached(asked["pergunta_embedding"] if asked else [0.0] * 8).select("pergunta", "resposta_final")
+
+
 BEFORE = "SELECT 'doc' || doc_id AS file_name, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 0"
 NOW = "SELECT 'doc' || doc_id AS file_name, sha256(CASE WHEN doc_id % 10 = 1 THEN text || '.' ELSE text END) AS hash FROM documents WHERE doc_id % 10 <> 2"
 

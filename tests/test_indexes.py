@@ -103,6 +103,15 @@ def test_two_writers(spark, tmp_path):
     assert versions.current(spark, path) == (1, {"a": "é"}) and versions.following(spark, path) == 3
 
 
+def test_of_two_syncs_the_second_is_told(spark, tmp_path):
+    index, other = (indexes.Index(spark, f"file://{tmp_path}/i") for _ in range(2))
+    index.sync(*texts(spark, sample(9)))
+    with pytest.raises(versions.Conflict):
+        other.sync(*texts(spark, sample(12)))
+    assert other.refresh().sync(*texts(spark, sample(12))) == {"added": 1}
+    assert sorted(r["node_id"] for r in other.nodes().collect()) == sorted(f"n{i}" for i in range(12))
+
+
 def test_empty_index(spark, tmp_path):
     index = indexes.Index(spark, f"file://{tmp_path}/i")
     assert index.sync(*texts(spark, [])) is None
