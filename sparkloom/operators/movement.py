@@ -35,6 +35,7 @@ COLUMNS = {
     "due_total": "decimal(18,2)", "customer_id": "bigint", "customer": "string", "supplier_id": "bigint", "supplier": "string",
 }
 MONEY = ("net_total", "gross_total", "due_total")
+PAGE = ("movement_id", "movement_date", "net_total", "movement_type", "customer", "supplier")
 
 
 #: The same without the names of customers and suppliers, whose joins the optimizer can't know to be needless.
@@ -116,10 +117,13 @@ def by_type(df: DataFrame) -> DataFrame:
     return df.where("movement_type is not null").groupBy("movement_type").agg(F.count("*").alias("n"))
 
 
+def label(kind: Column) -> Column:
+    return F.when(kind == PURCHASE, "Compra").when(kind == SALE, "Venda").otherwise("Outro")
+
+
 def by_label(df: DataFrame) -> DataFrame:
     """Counts by label; codes without one are added up as Outro."""
-    label = F.when(F.col("movement_type") == PURCHASE, "Compra").when(F.col("movement_type") == SALE, "Venda").otherwise("Outro")
-    return by_type(df).groupBy(label.alias("label")).agg(F.sum("n").alias("n"))
+    return by_type(df).groupBy(label(F.col("movement_type")).alias("label")).agg(F.sum("n").alias("n"))
 
 
 def first_rows(df: DataFrame, n: int = 100) -> DataFrame:
@@ -127,9 +131,15 @@ def first_rows(df: DataFrame, n: int = 100) -> DataFrame:
     return df.select("movement_id", "movement_date", "net_total", "movement_type", "customer", "supplier").orderBy("movement_id").limit(n)
 
 
+def latest() -> list[Column]:
+    """The order of pages."""
+    return [F.desc_nulls_last("movement_date"), F.asc("movement_id")]
+
+
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
-    """One page, latest first, with the total of rows: one pass picks, one that reads no more than it must counts."""
-    ordered = df.select("movement_id", "movement_date", "net_total", "movement_type", "customer", "supplier").orderBy(F.desc_nulls_last("movement_date"), "movement_id")
+    """One page, latest first, with the total of rows: one pass picks, one that reads no more than it must counts. For
+    deep pages see rollup.Pages."""
+    ordered = df.select(*PAGE).orderBy(*latest())
     total = df.agg(F.count("*").alias("total"))
     return ordered.offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))  # one row
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text, vectors
-from sparkloom.operators import answers, evaluation, feedback, indexes, movement, retrieval
+from sparkloom.operators import answers, evaluation, feedback, indexes, movement, retrieval, rollup
 from sparkloom.plans import schema, sqlast, validate
 from sparkloom.sources import tables, versions
 from sparkloom.sources.tables import table, views
@@ -50,8 +50,57 @@ def active_movements(spark, sf_dir):
     return movement.first_rows(movement.active(movement.movement(spark, sf_dir)))
 
 
+_kept: dict[tuple[str, str, str], tuple[list, object]] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, tables_: list[str], build: Callable[[str], object]):
+    """What build(path) has written for some tables; built again only when their files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    source = [versions.fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in tables_]
+    if key not in _kept or _kept[key][0] != source:
+        _kept[key] = (source, build(versions.new_path(spark, name)))
+    return _kept[key][1]
+
+
+VIEW = ["orders", "lineitem", "customer", "supplier"]
+
+
+def dashboard(spark: SparkSession, sf_dir: str) -> rollup.Rollup:
+    """The maintained aggregates of the movement view."""
+
+    def build(path: str) -> rollup.Rollup:
+        found = rollup.Rollup(spark, path, lambda: movement.movement(spark, sf_dir))
+        found.refresh()
+        return found
+
+    return kept(spark, sf_dir, "rollup", VIEW, build)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> rollup.Pages:
+    """Active movements in the order of pages."""
+
+    def build(path: str) -> rollup.Pages:
+        rows = movement.active(movement.movement(spark, sf_dir)).select(*movement.PAGE)
+        return rollup.Pages.write(rows, path, movement.latest(), spark.sparkContext.defaultParallelism)
+
+    return kept(spark, sf_dir, "pages", VIEW, build)
+
+
 @query(f"{M} SELECT {PAGE}, (SELECT count(*) FROM m WHERE status = 'A') AS total FROM m WHERE status = 'A' ORDER BY movement_date DESC NULLS LAST, movement_id LIMIT 50 OFFSET 100")
 def movement_page(spark, sf_dir):
+    return pages(spark, sf_dir).page(3, 50)
+
+
+@query(f"""{M}, a AS (SELECT {PAGE}, count(*) OVER () AS total, row_number() OVER (ORDER BY movement_date DESC NULLS LAST, movement_id) AS at_ FROM m WHERE status = 'A')
+ SELECT {PAGE}, total FROM a WHERE (at_ - 1) // 50 = (total - 1) // 50""")
+def movement_last_page(spark, sf_dir):
+    held = pages(spark, sf_dir)
+    return held.page(-(-held.total // 50), 50)
+
+
+@query(f"{M} SELECT {PAGE}, (SELECT count(*) FROM m WHERE status = 'A') AS total FROM m WHERE status = 'A' ORDER BY movement_date DESC NULLS LAST, movement_id LIMIT 50 OFFSET 100")
+def movement_page_scan(spark, sf_dir):
+    """The page without anything stored."""
     return movement.page(movement.active(movement.movement(spark, sf_dir)), 3, 50)
 
 
@@ -66,13 +115,13 @@ KPIS = f"""{M}, k AS (SELECT
 
 @query(f"{KPIS} SELECT * FROM d")
 def dashboard_kpis(spark, sf_dir):
-    return movement.kpis(movement.active(movement.movement(spark, sf_dir, names=False)))
+    return dashboard(spark, sf_dir).kpis()
 
 
 @query(f"""{KPIS} SELECT {', '.join(f"'R$ ' || translate(format('{{:,.2f}}', {c}), ',.', '.,') AS {c}" for c in ("net_revenue", "gross_revenue", "receivable", "payable"))},
   translate(format('{{:.2f}}%', delinquency), '.', ',') AS delinquency FROM d""")
 def dashboard_kpis_formatted(spark, sf_dir):
-    return movement.formatted_kpis(movement.active(movement.movement(spark, sf_dir, names=False)))
+    return dashboard(spark, sf_dir).formatted_kpis()
 
 
 def _revenue(unit: str, label: str) -> str:
@@ -84,32 +133,32 @@ def _revenue(unit: str, label: str) -> str:
 
 @query(_revenue("day", "%d/%m/%Y"))
 def revenue_by_day(spark, sf_dir):
-    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir, names=False)), "day")
+    return dashboard(spark, sf_dir).revenue_by("day")
 
 
 @query(_revenue("month", "%b %Y"))
 def revenue_by_month(spark, sf_dir):
-    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir, names=False)), "month")
+    return dashboard(spark, sf_dir).revenue_by("month")
 
 
 @query(_revenue("year", "%Y"))
 def revenue_by_year(spark, sf_dir):
-    return movement.revenue_by(movement.active(movement.movement(spark, sf_dir, names=False)), "year")
+    return dashboard(spark, sf_dir).revenue_by("year")
 
 
 @query(f"{M} SELECT customer, CAST(sum(net_total) AS DOUBLE) AS revenue FROM m WHERE status = 'A' AND movement_type = 2 AND customer IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def top_customers(spark, sf_dir):
-    return movement.top_customers(movement.active(movement.movement(spark, sf_dir)))
+    return dashboard(spark, sf_dir).top_customers()
 
 
 @query(f"{M} SELECT movement_type, count(*) AS n FROM m WHERE status = 'A' AND movement_type IS NOT NULL GROUP BY 1")
 def movements_by_type(spark, sf_dir):
-    return movement.by_type(movement.active(movement.movement(spark, sf_dir, names=False)))
+    return dashboard(spark, sf_dir).by_type()
 
 
 @query(f"{M} SELECT CASE movement_type WHEN 1 THEN 'Compra' WHEN 2 THEN 'Venda' ELSE 'Outro' END AS label, count(*) AS n FROM m WHERE status = 'A' GROUP BY 1")
 def movements_by_label(spark, sf_dir):
-    return movement.by_label(movement.active(movement.movement(spark, sf_dir, names=False)))
+    return dashboard(spark, sf_dir).by_label()
 
 
 # half cents go to the even cent
