@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
-from pyspark.sql.types import ArrayType, DoubleType
 
 from sparkloom.functions.text import tokens
 from sparkloom.functions.vectors import cosine, dot, jaccard, norm
+from sparkloom.operators import many
 
 RRF_K = 60
 
@@ -102,30 +100,28 @@ def retrieve_indexed(index, question: str, query: list[float], k: int = 12, top:
 def chunks(docs: DataFrame, sizes: tuple[int, ...] = (2048, 400), overlap: int = 80) -> DataFrame:
     """(node_id, parent_id, level, doc_id, text): windows of words, those of a level cut from the one above.
 
-    Windows are cut before rows are made of them, so no row carries more than its own root; all nodes of a root
-    come from one pass over it. A null text is empty: one root and one leaf below it, of no words.
+    Documents are cut into roots before rows are made of them, so no row carries more than its own root. Below a root only
+    numbers are made into rows, where a node's words start and how many they are; its text is cut out of the root
+    when the row is there. A null text is empty: one root and one leaf below it, of no words.
     """
 
-    def windows(ws: Column, size: int) -> Column:
-        step = size - overlap
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(ws) - overlap) / step).cast("int") - 1))
-        return F.transform(starts, lambda at: F.slice(ws, at * step + 1, F.lit(size)))
-
-    def node(name: Column, parent: Column, level: int, ws: Column) -> Column:
-        return F.struct(name.alias("node_id"), parent.alias("parent_id"), F.lit(level).alias("level"), F.array_join(ws, " ").alias("text"))
-
-    def nodes(ws: Column, name: Column, parent: Column, level: int) -> Column:
-        own = F.array(node(name, parent, level, ws))
-        if level + 1 == len(sizes):
-            return own
-        below = F.transform(windows(ws, sizes[level + 1]), lambda w, n: nodes(w, F.concat_ws(".", name, n.cast("string")), name, level + 1))
-        return F.concat(own, F.flatten(below))
+    def places(start: Column, size: Column, length: int) -> Column:
+        """(n, start, size) of the windows of some length in a run of words."""
+        step = length - overlap
+        last = F.greatest(F.lit(0), F.ceil((size - overlap) / step).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda n: F.struct(n.alias("n"), (start + n * step).alias("start"), F.least(F.lit(length), F.greatest(size - n * step, F.lit(0))).alias("size")))
 
     words = F.split(F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r")), r"\s+")
-    roots = docs.select("doc_id", words.alias("ws")).select("doc_id", F.posexplode(windows(F.col("ws"), sizes[0])).alias("n", "ws"))
+    cut = lambda ws: F.transform(places(F.lit(0), F.size(ws), sizes[0]), lambda w: F.slice(ws, w["start"] + 1, w["size"]))
+    held = docs.select("doc_id", words.alias("ws")).select("doc_id", F.posexplode(cut(F.col("ws"))).alias("n", "ws"))
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), F.col("n").cast("string"))
-    held = roots.select("doc_id", F.explode(nodes(F.col("ws"), name, F.lit(None).cast("string"), 0)).alias("node"))
-    return held.select("node.node_id", "node.parent_id", "node.level", "doc_id", "node.text")
+    at = held.select("doc_id", "ws", name.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("level"), F.lit(0).alias("start"), F.size("ws").alias("size"))
+    for level, length in enumerate(sizes[1:], 1):
+        # a node itself, and what is cut from it if it is of the level above
+        below = F.when(F.col("level") == level - 1, F.transform(places(F.col("start"), F.col("size"), length), lambda w: F.struct(F.concat_ws(".", "node_id", w["n"].cast("string")).alias("node_id"), F.col("node_id").alias("parent_id"), F.lit(level).alias("level"), w["start"].alias("start"), w["size"].alias("size"))))
+        own = F.array(F.struct("node_id", "parent_id", "level", "start", "size"))
+        at = at.select("doc_id", "ws", F.explode(F.concat(own, F.coalesce(below, F.array().cast("array<struct<node_id:string,parent_id:string,level:int,start:int,size:int>>")))).alias("x")).select("doc_id", "ws", "x.*")
+    return at.select("node_id", "parent_id", "level", "doc_id", F.array_join(F.slice("ws", F.col("start") + 1, F.col("size")), " ").alias("text"))
 
 
 def leaves(hits: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:
@@ -165,18 +161,9 @@ def of_class(examples: DataFrame, difficulty: str) -> DataFrame:
 
 
 def embedded(rows: DataFrame, text: str, embed: Callable[[str], list[float]]) -> DataFrame:
-    """rows with an embedding of a text column; a text that the model fails on has none."""
-
-    def batch(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[float] | None:
-            try:
-                return None if t is None else embed(t)
-            except Exception:  # noqa: BLE001  one bad text must not lose the batch
-                return None
-
-        return texts.map(one)
-
-    return rows.withColumn("embedding", F.pandas_udf(batch, ArrayType(DoubleType()), PandasUDFType.SCALAR)(F.col(text)))
+    """rows with an embedding of a text column by a function of one text; a text that it fails on has none. For models
+    that are loaded in workers and take batches see many.embedding()."""
+    return rows.withColumn("embedding", many.embedding(F.col(text), lambda: lambda texts: [embed(t) for t in texts]))
 
 
 def cached_answer(feedback: DataFrame, query: list[float], threshold: float = 0.98) -> DataFrame:

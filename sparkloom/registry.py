@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text, vectors
-from sparkloom.operators import answers, evaluation, feedback, indexes, movement, retrieval, rollup
+from sparkloom.functions import maps, text, vectors
+from sparkloom.operators import answers, evaluation, feedback, indexes, many, movement, retrieval, rollup, trees
 from sparkloom.plans import schema, sqlast, validate
 from sparkloom.sources import tables, versions
 from sparkloom.sources.tables import table, views
@@ -343,6 +343,20 @@ def expand_leaves(spark, sf_dir):
     return retrieval.leaves(hits, nodes).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH RECURSIVE {CHUNKS.removeprefix('WITH ')}, {ROOT_HITS},
+ thirds AS (SELECT doc_id, p, n, k, list_slice(ws, k * 70 + 1, k * 70 + 150) AS ws FROM (SELECT doc_id, p, n, ws, unnest(generate_series(0, greatest(0, CAST(ceil((len(ws) - 80) / 70.0) AS BIGINT) - 1))) AS k FROM leaves)),
+ t AS (SELECT 'd' || doc_id || '.' || n AS id, CAST(NULL AS VARCHAR) AS up FROM roots UNION ALL SELECT 'd' || doc_id || '.' || p || '.' || n, 'd' || doc_id || '.' || p FROM leaves
+   UNION ALL SELECT 'd' || doc_id || '.' || p || '.' || n || '.' || k, 'd' || doc_id || '.' || p || '.' || n FROM thirds WHERE n % 2 = 0),
+ r AS (SELECT node_id AS hit, node_id AS id, score FROM h UNION ALL SELECT r.hit, t.id, r.score FROM r JOIN t ON t.up = r.id)
+SELECT id AS node_id, round(score, 6) AS score FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.up = r.id)""".replace("r AS (SELECT 'd'", "rr AS (SELECT 'd'", 1).replace("FROM r WHERE len(", "FROM rr WHERE len(", 1))
+def expand_tree(spark, sf_dir):
+    """Hits among the roots of a tree of three levels, every second branch of which ends at the second."""
+    nodes = retrieval.chunks(table(spark, sf_dir, "documents"), (2048, 400, 150))
+    nodes = nodes.where("level < 2 or cast(element_at(split(parent_id, '[.]'), -1) as int) % 2 = 0")
+    hits = retrieval.lexical(nodes.where("level = 0"), RERANK_QUESTION, any_word=True)
+    return trees.leaves(hits, trees.numbered(nodes.drop("text"))).withColumn("score", F.round("score", 6))
+
+
 # --- SQL as data -----------------------------------------------------------------------------------------------
 
 #: A small pool of statements: (id, class, question, SQL).
@@ -639,10 +653,32 @@ def fewshot_classification(spark, sf_dir):
     return retrieval.few_shots(held, _vector(spark, sf_dir, 0), None, 3, alpha=1.0).select("id", "dificuldade", F.round("score", 6).alias("score"))
 
 
-@query("SELECT quality, count(*) AS n, CAST(ceil(count(*) * 0.2) AS BIGINT) AS n_test FROM labels GROUP BY quality")
+@query(f"""SELECT item_id, rank, node_id, score FROM (SELECT q.item_id, a.vec_id AS node_id, round({COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.item_id ORDER BY {COS} DESC, a.vec_id) AS INTEGER) AS rank
+ FROM benchmark q JOIN embeddings b ON b.vec_id = q.item_id, embeddings a) WHERE rank <= 4""")
+def fewshot_many(spark, sf_dir):
+    """The four nearest of all vectors for every item, all items at once."""
+    vecs = table(spark, sf_dir, "embeddings")
+    asked = table(spark, sf_dir, "benchmark").select("item_id").join(vecs, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
+    found = many.nearest(vecs, asked, 4, node="vec_id", question="item_id")
+    return found.select("item_id", "rank", F.col("vec_id").alias("node_id"), F.round("score", 6).alias("score"))
+
+
+COUNTS = "SELECT event_type, coalesce(json_extract_string(props, '$.k'), '') AS k, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query(f"""SELECT event_type, count(*) AS n_keys, string_agg(k || ':' || n, ',' ORDER BY k) AS counts, coalesce(max(n) FILTER (k = '7'), 0) AS of_7, CAST(-1 AS BIGINT) AS of_none, string_agg(k || ':' || 2 * n, ',' ORDER BY k) AS twice
+ FROM ({COUNTS}) GROUP BY 1""")
+def event_counters(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    found = maps.counters(events, ["event_type"], "k")
+    c = F.col("counts")
+    return found.select("event_type", F.size(c).cast("long").alias("n_keys"), maps.text(c).alias("counts"), maps.lookup(c, "7", 0).cast("long").alias("of_7"), maps.lookup(c, "none such", -1).cast("long").alias("of_none"), maps.text(maps.merged(c, c)).alias("twice"))
+
+
+@query("""SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY CAST('0x' || substr(md5('42:' || doc_id), 1, 15) AS BIGINT), doc_id) <= ceil(count(*) OVER (PARTITION BY quality) * 0.2)
+ THEN 'test' ELSE 'pool' END AS part FROM labels""")
 def stratified_split(spark, sf_dir):
-    held = evaluation.stratified_split(table(spark, sf_dir, "labels"), "quality", "doc_id")
-    return held.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.when(F.col("part") == "test", 1).otherwise(0)).alias("n_test"))
+    return evaluation.stratified_split(table(spark, sf_dir, "labels"), "quality", "doc_id").select("doc_id", "quality", "part")
 
 
 LINE = "c_custkey || ' | ' || c_name || ' | ' || coalesce(c_mktsegment, '')"
