@@ -1,8 +1,8 @@
 """Phrase collocations by suffix-sigma: count all phrases of up to max_n words in one shuffle of truncated suffixes.
 
 1. Slices of some MiB of text are cut into pieces and words, each with its own dictionary, and written. The words
-   of all dictionaries are counted by (lang, word); words that are frequent enough get a number, and come back to
-   their slices by a join on the slice. A phrase with a rare word is rare, so rare words end suffixes.
+   of all dictionaries are counted by (lang, word); words that are frequent enough get a number. Up to SENT_WORDS of
+   them are sent to all tasks; more come back to their slices by a join. A phrase with a rare word is rare, so rare words end suffixes.
 2. A slice sends, for each place, the numbers of the words from there to the piece's end, max_n at most; equal
    suffixes of a slice are one with a count. They are dealt by their first word (its number stands for language
    and word). A first word that alone would fill more than its part of the buckets is dealt by its second too, and so
@@ -36,13 +36,46 @@ from . import store, words
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Ends of pieces, and what stands between words.
 TABLE = words.kinds(b" \t", b".,;:!?\n\v\f\r")
-STEP_BYTES = 4 << 20
+STEP_BYTES, SLICE_BYTES = 2 << 20, 16 << 20
+#: Places of a slice whose suffixes are sorted at a time.
+PART_ROWS = 500_000
+#: Words with numbers that are collected and broadcast at most.
+SENT_WORDS = 1 << 20
 #: Suffixes that a bucket gets about, and the least number of buckets.
 BUCKET_ROWS, BUCKETS = 1_000_000, 32
 #: Parts in which a language's candidates are ranked first.
 SALTS = 16
 
 
+class _Slice:
+    """What a slice has gathered: chunks of codes with their dictionaries."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.DictionaryArray] = []
+        self.runs: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, w: words.Words, size: int) -> None:
+        self.parts.append(pa.DictionaryArray.from_arrays(pa.array(w.codes, pa.int32()), w.vocabulary))
+        # runs of another chunk are others
+        self.runs.append(words.starts(w.runs)[1:])
+        self.size += size
+
+    def row(self, number: int, lang: str) -> pa.RecordBatch:
+        held = pa.chunked_array(self.parts).unify_dictionaries()
+        vocabulary = held.chunk(0).dictionary
+        codes = [c.indices.to_numpy() for c in held.chunks]
+        counts = np.bincount(np.concatenate(codes), minlength=len(vocabulary))
+        # the commonest words have the least numbers
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(1, len(order) + 1)
+        flat = np.concatenate([np.insert(rank[c], at, np.uint32(0)) for c, at in zip(codes, self.runs)])
+        one = np.array([0, len(vocabulary)], np.int32)
+        columns = [pa.array([number]), pa.array([lang]), pa.ListArray.from_arrays(one, vocabulary.take(pa.array(order))), pa.ListArray.from_arrays(one, pa.array(counts[order], pa.int64())), pa.array([words.packed(flat)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["slice", "lang", "words", "counts", "codes"])
+
+
 def slices(docs: DataFrame) -> DataFrame:
     """(slice, lang, words, counts, codes): the words of a slice's texts in one language, written. codes: numbers
     into words from 1, and 0 where a piece ends."""
@@ -53,20 +86,26 @@ def slices(docs: DataFrame) -> DataFrame:
         from . import tokens
 
         number = TaskContext.get().partitionId() << 32
+        open_: dict[str, _Slice] = {}
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 mine = batch.filter(pc.equal(langs.indices, k))
                 for part in tokens.steps(mine, "text", STEP_BYTES):
                     for w in words.words(part.column("text"), TABLE, STEP_BYTES):
-                        if not len(w.codes):
-                            continue
-                        codes = np.insert(w.codes.astype(np.uint32) + np.uint32(1), words.starts(w.runs)[1:-1], np.uint32(0))
-                        counts = np.bincount(w.codes, minlength=len(w.vocabulary))
-                        one = np.array([0, len(w.vocabulary)], np.int32)
-                        columns = [pa.array([number]), pa.array([lang]), pa.ListArray.from_arrays(one, w.vocabulary), pa.ListArray.from_arrays(one, pa.array(counts, pa.int64())), words.binary(codes, np.array([0, len(codes)]))]
-                        yield pa.RecordBatch.from_arrays(columns, ["slice", "lang", "words", "counts", "codes"])
-                        number += 1
+                        if len(w.codes):
+                            open_.setdefault(lang, _Slice()).add(w, w.size)
+                        # all that is open, in however many languages, is bounded
+                        full = [x for x, s in open_.items() if s.size >= SLICE_BYTES]
+                        if sum(s.size for s in open_.values()) >= 2 * SLICE_BYTES:
+                            full = full or [max(open_, key=lambda x: open_[x].size)]
+                        for x in full:
+                            yield open_.pop(x).row(number, x)
+                            number += 1
+            words.release()
+        for lang, held in open_.items():
+            yield held.row(number, lang)
+            number += 1
 
     held = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     return store.saved(held.mapInArrow(run, "slice long, lang string, words array<string>, counts array<long>, codes binary"), "phrase-slices")
@@ -89,17 +128,18 @@ def vocabulary(cut: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
     return frequent.select((F.col("at").bitwiseAND((1 << 33) - 1) + ahead + 1).cast("long").alias("id"), "lang", "word", "f"), totals
 
 
-def suffixes(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct suffixes of up to n words that start at the places of ids and end before the next 0, those of two
-    words or more, one row each in falling order, and how often each occurs."""
-    padded = np.concatenate([ids, np.zeros(n, ids.dtype)])
-    columns, open_ = [ids], ids != 0
-    for k in range(1, n):
-        word = np.where(open_, padded[k : k + len(ids)], 0)
-        open_ = word != 0
-        columns.append(word)
-    whole = np.stack(columns, 1)
-    return combined(whole[(whole[:, 0] != 0) & (whole[:, 1] != 0)])
+def suffixes(ids: np.ndarray, n: int, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct suffixes of up to n words that start at the places from start to end of ids and end before the
+    next 0, those of two words or more, one row each in falling order, and how often each occurs."""
+    held = ids[start : None if end is None else end + n - 1]
+    size = len(held) if end is None else min(end - start, len(held))
+    padded = np.concatenate([held, np.zeros(n, ids.dtype)])
+    rows = np.empty((size, n), ids.dtype)
+    open_ = np.ones(size, bool)
+    for k in range(n):
+        rows[:, k] = np.where(open_, padded[k : k + size], 0)
+        open_ = rows[:, k] != 0
+    return combined(rows[(rows[:, 0] != 0) & (rows[:, 1] != 0)])
 
 
 def _falling(rows: np.ndarray) -> np.ndarray:
@@ -146,33 +186,62 @@ def counted(cut: DataFrame, known: DataFrame, total: int, max_n: int, min_count:
     buckets = max(BUCKETS, -(-total // BUCKET_ROWS))
     # a word is hot when it has more than a bucket's part of all words: fewer of them than buckets
     hot = np.array([r["id"] for r in known.where(F.col("f") > total // buckets).select("id").collect()], np.uint32)
-    named = cut.select("slice", "lang", F.posexplode("words").alias("code", "word")).join(known.select("id", "lang", "word"), ["lang", "word"]).select("slice", "code", "id")
-    named = store.saved(named, "phrase-numbers")
-
-    def send(mine: pa.Table, numbers: pa.Table) -> pa.Table:
-        codes, _ = words.numbers(mine.column("codes"), np.uint32)
-        if not len(codes) or not numbers.num_rows:
-            return _sent()
-        ids = np.zeros(int(codes.max()) + 1, np.uint32)
-        ids[numbers.column("code").to_numpy() + 1] = numbers.column("id").to_numpy()
-        rows, counts = suffixes(ids[codes], max_n)
-        deep = depth(rows, hot)
-        key = np.zeros(len(rows), np.uint64)
-        for d in range(max_n):
-            key = np.where(d < deep, _mixed(key + rows[:, d] + np.uint64(1)), key)
-        bucket = (_mixed(key) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        at = words.starts(bucket[order])
-        # columns of words, not rows: they compress better
-        whole = [words.binary(rows[order, d], at) for d in range(max_n)]
-        return pa.table([pa.array(bucket[order][at[:-1]]), words.binary(counts[order].astype(np.uint32), at), *whole], ["bucket", "counts", *[f"w{d}" for d in range(max_n)]])
-
-    def _sent() -> pa.Table:
-        return pa.table([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * (max_n + 1)], ["bucket", "counts", *[f"w{d}" for d in range(max_n)]])
+    names = ["bucket", "counts", *[f"w{d}" for d in range(max_n)]]
+
+    def dealt(ids: np.ndarray) -> pa.Table:
+        """What a slice sends: by bucket the columns of its distinct suffixes."""
+        out = [pa.table([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * (max_n + 1)], names)]
+        for start in range(0, len(ids), PART_ROWS):
+            rows, counts = suffixes(ids, max_n, start, start + PART_ROWS)
+            deep = depth(rows, hot)
+            key = np.zeros(len(rows), np.uint64)
+            for d in range(max_n):
+                key = np.where(d < deep, _mixed(key + rows[:, d] + np.uint64(1)), key)
+            bucket = (_mixed(key) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            at = words.starts(bucket[order])
+            # by columns of words, not rows: they compress better
+            columns = [counts[order].astype(np.uint32), *rows[order].T]
+            whole = [pa.array([words.packed(c[s:e]) for s, e in zip(at[:-1], at[1:])], pa.binary()) for c in columns]
+            out.append(pa.table([pa.array(bucket[order][at[:-1]], pa.int32()), *whole], names))
+        words.release()
+        return pa.concat_tables(out)
+
+    schema = f"bucket int, counts binary, {', '.join(f'w{d} binary' for d in range(max_n))}"
+    if known.count() <= SENT_WORDS:
+        table = known.select("lang", "word", "id").toArrow()
+        by_lang = {lang: table.filter(pc.equal(table.column("lang"), lang)) for lang in pc.unique(table.column("lang")).to_pylist()}
+        vocabularies = cut.sparkSession.sparkContext.broadcast({lang: (t.column("word").combine_chunks(), t.column("id").to_numpy()) for lang, t in by_lang.items()})
+
+        def send_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    row = batch.slice(at, 1)
+                    if row.column("lang")[0].as_py() in vocabularies.value:
+                        vocabulary, numbers = vocabularies.value[row.column("lang")[0].as_py()]
+                        place = pc.fill_null(pc.index_in(row.column("words").flatten(), vocabulary), len(vocabulary)).to_numpy()
+                        ids = np.append(numbers, 0).astype(np.uint32)[place]
+                        yield from dealt(np.append(np.uint32(0), ids)[words.unpacked(row.column("codes")[0].as_py())]).to_batches()
+
+        sent = cut.select("lang", "words", "codes").mapInArrow(send_all, schema)
+    else:
+        named = cut.select("slice", "lang", F.posexplode("words").alias("code", "word")).join(known.select("id", "lang", "word"), ["lang", "word"]).select("slice", "code", "id")
+        named = store.saved(named, "phrase-numbers")
+
+        def send(mine: pa.Table, numbers: pa.Table) -> pa.Table:
+            if not mine.num_rows or not numbers.num_rows:
+                return dealt(np.zeros(0, np.uint32))
+            codes = words.unpacked(mine.column("codes")[0].as_py())
+            ids = np.zeros(int(codes.max()) + 1, np.uint32)
+            ids[numbers.column("code").to_numpy() + 1] = numbers.column("id").to_numpy()
+            return dealt(ids[codes])
+
+        sent = cut.select("slice", "codes").groupBy("slice").cogroup(named.groupBy("slice")).applyInArrow(send, schema)
 
     def close(table: pa.Table) -> pa.Table:
-        rows = np.stack([words.numbers(table.column(f"w{d}"), np.uint32)[0] for d in range(max_n)], 1)
-        rows, counts = combined(rows, words.numbers(table.column("counts"), np.uint32)[0].astype(np.int64))
+        columns = [np.concatenate([words.unpacked(x) for x in table.column(c).to_pylist()]) for c in names[1:]]
+        rows, counts = combined(np.stack(columns[1:], 1), columns[0].astype(np.int64))
+        del columns
         out, sizes, totals = [], [], []
         for d, at, n in closed(rows, counts):
             # complete unless all its words are hot, as then other buckets may have some of it
@@ -182,9 +251,9 @@ def counted(cut: DataFrame, known: DataFrame, total: int, max_n: int, min_count:
             totals.append(n[keep])
         ids = np.concatenate(out) if out else np.zeros(0, np.uint32)
         ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
+        words.release()
         return pa.table([pa.ListArray.from_arrays(ends, pa.array(ids, pa.int64())), pa.array(np.concatenate(totals) if totals else [], pa.int64())], ["ids", "a"])
 
-    sent = cut.select("slice", "codes").groupBy("slice").cogroup(named.groupBy("slice")).applyInArrow(send, f"bucket int, counts binary, {', '.join(f'w{d} binary' for d in range(max_n))}")
     found = sent.groupBy("bucket").applyInArrow(close, "ids array<long>, a long")
     whole = found.groupBy("ids").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
     return store.saved(whole, "phrase-counts")

@@ -6,6 +6,7 @@ texts, or within a text at a byte that no word has.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,7 @@ class Words:
     codes: np.ndarray
     rows: np.ndarray
     runs: np.ndarray
+    size: int
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +94,8 @@ def words(texts: pa.Array, table: np.ndarray, size: int = CHUNK_BYTES) -> Iterat
         kept = pa.py_buffer(LOWER[part[real]])
         coded = pa.StringArray.from_buffers(len(places), pa.py_buffer(bounds), kept).dictionary_encode()
         rows = np.searchsorted(offsets, places + at, "right") - 1
-        runs = np.cumsum(kind == BREAK, dtype=np.int64)[places] + rows
-        yield Words(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), rows, runs)
+        runs = np.searchsorted(np.flatnonzero(kind == BREAK), places) + rows
+        yield Words(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), rows, runs, end - at)
         at = end
 
 
@@ -113,12 +115,33 @@ def counts(texts: pa.Array, table: np.ndarray, size: int = CHUNK_BYTES) -> np.nd
     return out
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system; the worker itself lives on beside later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
 def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """values cut at bounds, one run of raw bytes a row."""
     offsets = pa.py_buffer((np.asarray(bounds) * values.itemsize).astype(np.int32))
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit numbers, compressed: their count, then their lower halves and their upper ones."""
+    held = np.ascontiguousarray(values, "<u4").view("<u2").reshape(-1, 2).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(held, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The numbers of packed()."""
+    held = pa.decompress(data[4:], 4 * int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(held, "<u2").reshape(2, -1).T).view("<u4").ravel()
+
+
 def numbers(column: pa.Array | pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
     """All rows' values of a binary column as one array, and where each row's start, with the end."""
     out, sizes = [], []

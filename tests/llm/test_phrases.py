@@ -54,8 +54,16 @@ def test_hot_words_are_dealt_by_more_of_the_suffix(spark, monkeypatch):
     assert run(spark, docs, min_count=20) == brute(docs, 20)
 
 
+def test_more_words_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SENT_WORDS", 3)
+    docs = sample(200, 9)
+    assert run(spark, docs, min_count=20) == brute(docs, 20)
+
+
 def test_small_slices_and_long_pieces(spark, monkeypatch):
     monkeypatch.setattr(phrases, "STEP_BYTES", 300)
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 900)
+    monkeypatch.setattr(phrases, "PART_ROWS", 37)
     docs = sample(60, 6, 400)
     assert run(spark, docs, min_count=20) == brute(docs, 20)
 
