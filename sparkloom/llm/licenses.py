@@ -12,7 +12,9 @@ words stand in matches. Files without a notice of their own take the licence of
 has a licence file: directories, not files, are joined with their ancestors.
 
 Defined results: null and empty texts have no notice; null paths lie in the root; of equally good templates
-and licence files the first by name counts; repeated rows get equal results; an empty table gives an empty table.
+and licence files the first by name counts (so of an SPDX expression of several licences the best, or first, is given);
+repeated rows get equal results; an empty table gives an empty table; what columns files have besides path and
+text, whatever their names, come back in a struct, row.
 """
 
 from __future__ import annotations
@@ -109,6 +111,64 @@ TEXTS = [
     *((name, text.format(kind=kind, n=n, day=day, year=day[-4:])) for name, kind, n, day in GNU_KINDS for text in (GNU, GNU_ONLY, f"{GNU} {GNU_REST}", GNU_HEAD)),
     *((name, f"You should have received a copy of the GNU {kind}General Public License") for name, kind, n, _ in GNU_KINDS if n == "3"),
 ]
+ROOT_FILE = "license found in the LICENSE file in the root directory of this source tree."
+X11_REST = """Except as contained in this notice, the name of the copyright holders shall not be used in advertising or otherwise to
+promote the sale, use or other dealings in this Software without prior written authorization."""
+#: Texts, notices and headers of further licences.
+TEXTS += [
+    ("MIT", f"This source code is licensed under the MIT {ROOT_FILE}"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT."),
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("Apache-2.0", f"This source code is licensed under the Apache 2.0 {ROOT_FILE}"),
+    ("Apache-2.0", "This project is licensed under the terms of the Apache License 2.0."),
+    ("BSD-3-Clause", f"This source code is licensed under the BSD-style {ROOT_FILE}"),
+    ("BSD-3-Clause", "Distributed under the terms of the Modified BSD License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("X11", f"{MIT_GRANT} {MIT_REST} {X11_REST}"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or
+organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use,
+reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to
+permit third-parties to whom the Software is furnished to do so"""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", 'Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT\'S ACCEPTANCE OF THIS AGREEMENT.'),
+    ("MPL-2.0", 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
+    ("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/'),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License."),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the Licence)"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at https://scripts.sil.org/OFL"),
+    ("Artistic-2.0", "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License (2.0)."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004 Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means."""),
+    ("PostgreSQL", """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and
+without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two
+paragraphs appear in all copies."""),
+    ("NCSA", f"{MIT_GRANT} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimers. Neither the names of its contributors may be used to endorse or promote products derived from this Software without specific prior written permission."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("Python-2.0", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2 1. This LICENSE AGREEMENT is between the Python Software Foundation (PSF), and the Individual or Organization (Licensee) accessing and otherwise using this software (Python) in source or binary form and its associated documentation."),
+    ("Ruby", "You can redistribute it and/or modify it under the same terms as Ruby."),
+    ("Artistic-1.0-Perl", "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself."),
+]
 TEXTS += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEXTS)]
 
 
@@ -201,11 +261,13 @@ def covered(found: Column) -> Column:
 
 
 def scanned(files: DataFrame, templates: Templates | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """files (path, text, ...) without text, with dir, own_license, own_score, n_notices and is_license_file."""
+    """(row, path, n_notices, is_license_file, dir, own_license, own_score) of files (path, text, ...); row has the other columns."""
     t = templates or Templates(TEXTS, threshold)
     text = F.coalesce("text", F.lit(""))
     path = F.coalesce("path", F.lit(""))
     wholes = _fixed(t.wholes, "array<array<int>>")
+    others = [F.col(f"`{c}`") for c in files.columns if c not in ("path", "text")]
+    files = files.select(F.struct(*others).alias("row") if others else F.lit(None).cast("struct<>").alias("row"), "path", "text")
     held = files.withColumn("_found", notices(text, t, threshold)).withColumn("_covered", covered(F.col("_found")))
     part = lambda x: F.exists("_found", lambda y: F.array_contains(F.get(wholes, x["template"]), y["template"]) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
     # the best score, then the first name

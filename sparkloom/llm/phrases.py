@@ -112,11 +112,12 @@ def slices(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(cut: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
-    """(id, lang, word, f) of words that occur min_count times, ids from 1 without gaps; (lang, n) of all words."""
+    """(id, lang, word, f) of words that occur min_count times, ids from 1 without gaps, the commonest first, as small
+    numbers compress better; (lang, n) of all words."""
     each = cut.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
     each = store.saved(each, "phrase-words")
     totals = store.saved(each.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
-    frequent = each.where(F.col("f") >= min_count).select(F.monotonically_increasing_id().alias("at"), "lang", "word", "f")
+    frequent = each.where(F.col("f") >= min_count).orderBy(F.desc("f"), "lang", "word").select(F.monotonically_increasing_id().alias("at"), "lang", "word", "f")
     frequent = store.saved(frequent, "phrase-frequent")
     part = F.shiftright("at", 33)
     # as many rows as tasks wrote the table

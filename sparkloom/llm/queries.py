@@ -17,7 +17,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda n: F.coalesce(F.floor(F.col("doc_id") / n).cast("string"), F.lit("none"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), step(1000), step(100), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     files = store.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    return licenses.inherited(licenses.scanned(files)).withColumn("own_score", F.round("own_score", 6))
+    found = licenses.inherited(licenses.scanned(files))
+    return found.select("row.doc_id", *[c for c in found.columns if c != "row"]).withColumn("own_score", F.round("own_score", 6))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

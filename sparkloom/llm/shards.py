@@ -3,9 +3,9 @@
 Coordinates are scaled to the whole table's range; a node that is to become m shards is cut so that the lower
 side gets floor(m / 2) / m of its bytes. The cut is found on a 63-bit key (25 bits of the coordinate, 24 bits of a
 hash of the row, 14 bits of its place in the table, so that any number of equal coordinates and of equal rows can
-be cut) by refining a histogram of 1024 bins: every round sends at most nodes x 1024 sums to the driver. The tree is
-an expression with one case per node, meant for up to some thousands of shards. Rows move once, into their
-shards' files; slots follow from what was written.
+be cut) by refining a histogram of 1024 bins, in which each node's bin is found by its task: a round sends one row per
+node to the driver. Cuts are a small table (a row per node), and rows go down the tree by one broadcast join per level.
+Rows move once, into their shards' files; slots follow from what was written.
 
 Defined results: null text has 8 bytes (an empty document's share), null coordinates count as the least,
 repeated rows are cut like others, an empty table gives an empty table.
@@ -61,29 +61,27 @@ def keyed(rows: DataFrame, ends: dict[str, tuple]) -> DataFrame:
     return rows.withColumns({d: key(d) for d in ends})
 
 
-def _of(node: Column, values: dict) -> Column:
-    """values[node] for the nodes there are: a handful."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), node)
-
-
 def _refined(inner: DataFrame, dims: list[str], cuts: dict[int, dict]) -> dict[int, dict]:
     """cuts (by node: dim, lo, hi, want, below, size) with the key to cut at, and how far off that is. inner has
     the rows of the nodes, with a column shard."""
-    node, open_ = F.col("shard"), dict(cuts)
+    open_ = dict(cuts)
     while open_:
         for c in open_.values():
             c["width"] = (c["hi"] - c["lo"]) // BINS + 1
-        key = F.element_at(F.array(*dims), _of(node, {a: c["dim"] for a, c in open_.items()}))
-        lo, hi, width = (_of(node, {a: c[x] for a, c in open_.items()}) for x in ("lo", "hi", "width"))
-        near = inner.where(node.isin(list(open_))).select(node, "size", key.alias("k"), lo.alias("lo"), hi.alias("hi"), width.alias("width"))
-        near = near.where("k between lo and hi").groupBy("shard", F.expr("(k - lo) div width").alias("bin"))
-        found = near.agg(F.sum("size").alias("size")).collect()
+        rows = [(a, c["dim"], c["lo"], c["hi"], c["width"], float(c["want"] - c["below"])) for a, c in open_.items()]
+        at = inner.sparkSession.createDataFrame(rows, "node int, dim int, lo long, hi long, width long, want double")
+        # a row per node
+        near = inner.join(F.broadcast(at), inner["shard"] == at["node"]).withColumn("k", F.element_at(F.array(*dims), F.col("dim"))).where("k between lo and hi")
+        bins = near.groupBy("node", "want", F.expr("(k - lo) div width").alias("bin")).agg(F.sum("size").alias("size"))
+        listed = bins.groupBy("node", "want").agg(F.array_sort(F.collect_list(F.struct("bin", "size"))).alias("bins"))
+        # the bin in which the sum reaches what is wanted, and what lies before it
+        state = lambda before, bin_, size, done: F.struct(before.alias("before"), bin_.alias("bin"), size.alias("size"), done.alias("done"))
+        step = lambda s, x: F.when(s["done"], s).otherwise(state(s["before"] + s["size"], x["bin"], x["size"], s["before"] + s["size"] + x["size"] >= F.col("want")))
+        start = state(*[F.lit(0).cast("long")] * 3, F.lit(False))
+        found = {r["node"]: r["at"] for r in listed.select("node", F.aggregate("bins", start, step).alias("at")).collect()}
         for a, c in list(open_.items()):
-            b = size = 0
-            for b, size in sorted((r["bin"], r["size"]) for r in found if r["shard"] == a):
-                if c["below"] + size >= c["want"]:
-                    break
-                c["below"] += size
+            before, b, size = found[a][:3] if a in found else (0, 0, 0)
+            c["below"] += before
             c["lo"] += b * c["width"]
             c["hi"] = min(c["hi"], c["lo"] + c["width"] - 1)
             if size <= SLACK * c["size"] or c["width"] == 1:
@@ -128,29 +126,27 @@ def tree(rows: DataFrame, leaves: int, dims: list[str] = DIMENSIONS, tolerance:
         made.append({a: (dims[c["dim"] - 1], c["cut"], a + split[a] // 2) for a, c in cuts.items()})
         if not cuts:
             break
-        rows = store.saved(rows.withColumn("shard", _moved(made[-1])), "shard-level")
+        rows = store.saved(moved(rows, made[-1], dims), "shard-level")
         nodes = {a: m for a, m in nodes.items() if m == 1} | {b: n for a, m in split.items() for b, n in ((a, m // 2), (a + m // 2, m - m // 2))}
     return made
 
 
-def _moved(cuts: dict[int, tuple]) -> Column:
-    """The node of the next level for rows that know theirs."""
-    node, out = F.col("shard"), F.col("shard")
-    for d in sorted({d for d, _, _ in cuts.values()}):
-        mine = {a: c for a, c in cuts.items() if c[0] == d}
-        beyond = node.isin(list(mine)) & (F.col(d) >= _of(node, {a: c[1] for a, c in mine.items()}))
-        out = F.when(beyond, _of(node, {a: c[2] for a, c in mine.items()})).otherwise(out)
-    return out
+def moved(rows: DataFrame, cuts: dict[int, tuple], dims: list[str] = DIMENSIONS) -> DataFrame:
+    """rows (with shard: the node of a level) with that of the next level."""
+    held = [(a, dims.index(d) + 1, cut, right) for a, (d, cut, right) in cuts.items()]
+    # a row per node of the level
+    at = F.broadcast(rows.sparkSession.createDataFrame(held, "_node int, _dim int, _cut long, _right int"))
+    beyond = F.element_at(F.array(*dims), F.col("_dim")) >= F.col("_cut")
+    return rows.join(at, rows["shard"] == at["_node"], "left").withColumn("shard", F.when(beyond, F.col("_right")).otherwise(F.col("shard"))).drop("_node", "_dim", "_cut", "_right")
 
 
-def shard_of(levels: list[dict[int, tuple]], node: int = 0, level: int = 0) -> Column:
-    """The shard that the levels of tree() give a row."""
-    if level == len(levels):
-        return F.lit(node)
-    if node not in levels[level]:
-        return shard_of(levels, node, level + 1)
-    d, cut, right = levels[level][node]
-    return F.when(F.col(d) >= cut, shard_of(levels, right, level + 1)).otherwise(shard_of(levels, node, level + 1))
+def into_shards(rows: DataFrame, levels: list[dict[int, tuple]]) -> DataFrame:
+    """rows of keyed() with the shard that the levels of tree() give them."""
+    rows = rows.withColumn("shard", F.lit(0))
+    for cuts in levels:
+        if cuts:
+            rows = moved(rows, cuts)
+    return rows
 
 
 def write_shards(docs: DataFrame, leaves: int = 24, tolerance: float | None = None) -> str:
@@ -165,7 +161,7 @@ def write_shards(docs: DataFrame, leaves: int = 24, tolerance: float | None = No
     files = max(FILES, total // leaves // FILE_BYTES)
     # a task for each file, so that the hottest shard is as many tasks as it has files
     at = F.col("shard") * files + F.pmod(F.xxhash64("place"), F.lit(files)).cast("int")
-    held = keyed(facts, ends).select("row", "place", shard_of(levels).alias("shard")).select("row", "shard", at.cast("int").alias("file"))
+    held = into_shards(keyed(facts, ends).select("row", "place", *ends), levels).select("row", "shard", at.cast("int").alias("file"))
     path = store.new_path(docs.sparkSession, "shards")
     held.repartitionById(leaves * files, F.col("file")).drop("file").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path

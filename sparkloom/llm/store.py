@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,18 +33,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+#: The paths of the innermost scope of this thread (or other context), if there is one.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables saved within, but for those to keep, are dropped at the end: nothing may read them later."""
     paths: list[str] = []
-    _scopes.append(paths)
+    token = _scope.set(paths)
     try:
         yield
     finally:
-        _scopes.remove(paths)
+        _scope.reset(token)
         for path in paths:
             drop(spark, path)
 
@@ -51,8 +53,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def write(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> str:
     """Writes a table into the shared folder and returns its path."""
     path = new_path(df.sparkSession, name)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    paths = _scope.get()
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.option("compression", compression).parquet(path)
     return path
 

@@ -35,18 +35,23 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 
 
+#: Parts that the pages of one payload are dealt into where they meet its first page_id.
+SALTS = 16
+
+
 def with_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, digest, refers_to): refers_to is null for records that carry their payload.
 
-    Only the first page_ids of payloads that occur twice go into the join, on (page_id, digest), so a payload
-    that a third of the pages share meets no single task.
+    Pages meet the first page_id of their payload by digest and a part of SALTS, and only payloads that occur twice go
+    into the join; what is joined back is keyed by page_id too. So a payload that a third of the pages share meets no single task.
     """
     html = F.coalesce("html", F.lit(""))
     full = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     slim = full.where(F.octet_length("html") >= MIN_BYTES).select("page_id", "digest")
     firsts = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     firsts = store.saved(firsts.drop("n"), "payloads")
-    again = slim.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = slim.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
     again = store.saved(again.select("page_id", "digest", F.col("first").alias("refers_to")), "revisits")
     keyed = again.withColumnsRenamed({"page_id": "p", "digest": "d"})
     return full.join(keyed, full["page_id"].eqNullSafe(keyed["p"]) & (full["digest"] == keyed["d"]), "left").drop("p", "d")
@@ -73,21 +78,26 @@ def info(name: str) -> bytes:
     return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
-    """A WARC/1.1 response or revisit record."""
+def record_id(page_id: int | None, digest: str, place: str) -> str:
+    return f"<urn:page:{page_id}:{digest[:16]}:{place}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None = None, place: str = "", size: int | None = None) -> bytes:
+    """A WARC/1.1 response, or a revisit of the record with the id refers_to, of a payload of some size."""
+    size = len(payload) if size is None else size
     target = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}:{digest[:16]}:{place}>",
+        f"WARC-Record-ID: {record_id(page_id, digest, place)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http;msgtype=response",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}:{digest[:16]}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {refers_to}", f"WARC-Profile: {PROFILE}"]
     body = http if refers_to is not None else http + payload
     return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
 
@@ -112,8 +122,13 @@ def parse(data: bytes) -> dict:
     return out
 
 
+def _place(file: str, offset: int) -> str:
+    return f"{file[:16]}:{offset}"
+
+
 def write_archives(pages: DataFrame, directory: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes rows of with_revisits() as archives into a shared directory and returns their index, saved."""
+    """Writes rows of with_revisits() as archives into a shared directory and returns their index, saved: responses
+    first, then revisits, which know by the index of those which record they refer to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -132,15 +147,26 @@ def write_archives(pages: DataFrame, directory: str, file_bytes: int = FILE_BYTE
                     head = gzip.compress(info(name), 3, mtime=0)
                     sink.write(head)
                     at = len(head)
-                data = gzip.compress(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"], f"{name[:16]}:{at}"), 3, mtime=0)
+                payload = (row.get("html") or "").encode()
+                data = gzip.compress(record(row["page_id"], row["url"], payload, row["digest"], row.get("ref"), _place(name, at), row.get("size")), 3, mtime=0)
                 sink.write(data)
-                index.append((name, at, len(data), row["url"], row["digest"], row["page_id"], "response" if row["refers_to"] is None else "revisit"))
+                index.append((name, at, len(data), row["url"], row["digest"], row["page_id"], "revisit" if row.get("ref") else "response"))
                 at += len(data)
             yield pa.RecordBatch.from_pylist([dict(zip(INDEX_SCHEMA.names, x)) for x in index], schema=INDEX_SCHEMA)
         if sink is not None:
             sink.close()
 
-    return store.saved(pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, INDEX), "warc-index")
+    first = store.saved(pages.where("refers_to is null").select("page_id", "url", "html", "digest").mapInArrow(run, INDEX), "warc-index")
+    again = pages.where("refers_to is not null").select("page_id", "url", F.octet_length("html").alias("size"), "digest", "refers_to")
+    wanted = store.saved(again.select("refers_to", "digest").distinct(), "warc-referred").withColumnsRenamed({"refers_to": "page_id"})
+    places = first.select("page_id", "digest", "file", "offset").join(wanted, ["page_id", "digest"], "left_semi")
+    places = places.groupBy("page_id", "digest").agg(F.min(F.struct("file", "offset")).alias("at"))
+    ref = F.format_string("<urn:page:%d:%s:%s:%d>", "page_id", F.substring("digest", 1, 16), F.substring("at.file", 1, 16), "at.offset")
+    places = places.select(F.col("page_id").alias("refers_to"), "digest", ref.alias("ref"))
+    salted = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = again.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["refers_to", "digest", "salt"])
+    second = store.saved(again.select("page_id", "url", "size", "digest", "ref").mapInArrow(run, INDEX), "warc-index")
+    return first.unionAll(second)
 
 
 INDEX_SCHEMA = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())])

@@ -131,15 +131,15 @@ def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """32-bit numbers, compressed: their count, then their lower halves and their upper ones."""
-    held = np.ascontiguousarray(values, "<u4").view("<u2").reshape(-1, 2).T.tobytes()
+    """32-bit numbers, compressed: their count, then their first bytes, their second ones and so on."""
+    held = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return len(values).to_bytes(4, "little") + pa.compress(held, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     """The numbers of packed()."""
     held = pa.decompress(data[4:], 4 * int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(held, "<u2").reshape(2, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def numbers(column: pa.Array | pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -186,6 +187,13 @@ def test_tree_cuts_the_widest_dimension_at_the_weighted_median(spark):
     assert below <= total / 2 <= below + at
 
 
+def test_a_thousand_shards(spark):
+    rows = spark.range(40000).selectExpr("id AS doc_id", "repeat('x', CAST(id % 90 AS INT)) AS text", "concat('s', id % 7) AS source", "'en' AS lang")
+    began = time.perf_counter()
+    sums = [r["b"] for r in shards.sharded(rows, 1000).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sums) == 1000 and max(sums) / min(sums) < 1.2 and time.perf_counter() - began < 120
+
+
 def test_shards_hold_the_texts(spark, docs):
     path = shards.write_shards(docs, 3)
     held = shards.read_shards(spark, path, docs).select("row.*").collect()
@@ -216,12 +224,15 @@ def test_warc(spark):
 def test_records_of_archives_have_ids_of_their_own(spark, tmp_path):
     pages = spark.createDataFrame([(i % 3 or None, "u", "same html " * 20) for i in range(9)], "page_id long, url string, html string").repartition(2)
     index = warc.write_archives(warc.with_revisits(pages), f"file://{tmp_path}/w")
-    ids = []
+    ids, referred = [], []
     for name in (tmp_path / "w").iterdir():
         records = gzip.decompress(name.read_bytes()).split(b"WARC/1.1\r\n")[1:]
         assert b"WARC-Type: warcinfo" in records[0]
         ids += [re.search(rb"WARC-Record-ID: (\S+)", r)[1] for r in records]
+        referred += [m[1] for r in records if (m := re.search(rb"WARC-Refers-To: (\S+)", r))]
     assert index.count() == 9 and len(ids) == len(set(ids)) == 9 + len(list((tmp_path / "w").iterdir()))
+    # page 1 comes three times: its rows are responses, all else are revisits of one record that is there
+    assert len(referred) == 6 and len(set(referred)) == 1 and set(referred) <= set(ids)
 
 
 def test_directories_as_spark_names_them():

@@ -1,6 +1,7 @@
 """The registered queries against brute force, on a small table with odd rows."""
 
 import hashlib
+import threading
 import zlib
 
 import numpy as np
@@ -94,3 +95,19 @@ def test_scratch_tables_are_dropped(spark):
     assert b.count() == 3 and a.inputFiles() != b.inputFiles()
     with pytest.raises(Exception):
         a.count()
+
+
+def test_scopes_of_threads_are_their_own(spark):
+    held, go = {}, threading.Event()
+
+    def other():
+        go.wait(30)
+        held["theirs"] = store.saved(spark.range(5), "theirs")
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with store.scratch(spark):
+        store.saved(spark.range(3), "mine")
+        go.set()
+        thread.join()
+    assert held["theirs"].count() == 5
