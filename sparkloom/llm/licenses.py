@@ -167,6 +167,12 @@ paragraphs appear in all copies."""),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("Python-2.0", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2 1. This LICENSE AGREEMENT is between the Python Software Foundation (PSF), and the Individual or Organization (Licensee) accessing and otherwise using this software (Python) in source or binary form and its associated documentation."),
     ("Ruby", "You can redistribute it and/or modify it under the same terms as Ruby."),
+    ("AGPL-3.0", "GNU Affero General Public License as published by the Free Software Foundation"),
+    ("LGPL-2.1", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License as published by the Free Software Foundation, either version 3"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("OFL-1.1", "licensed under the SIL Open Font License, Version 1.1"),
     ("Artistic-1.0-Perl", "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself."),
 ]
 TEXTS += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEXTS)]
