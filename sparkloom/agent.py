@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import evaluation, movement, retrieval
+from sparkloom.operators import answers, evaluation, indexes, movement, retrieval, rollup
 from sparkloom.plans import schema, sqlast, validate
-from sparkloom.sources import files
+from sparkloom.sources import files, versions
 
 #: The tools' names.
 FILTER_TOOL, QUERY_TOOL, MANUAL_TOOL = "gerador_script_filtro_bi", "executor_consultas_informativas", "manuais_e_procedimentos"
@@ -42,6 +42,7 @@ class Settings:
     """Feature flags and limits."""
 
     hyde: bool = True
+    hybrid: bool = True
     pruning: bool = True
     classification: bool = True
     self_correction: bool = True
@@ -91,7 +92,7 @@ class Agent:
     def __init__(
         self,
         spark: SparkSession,
-        nodes: DataFrame,
+        nodes: DataFrame | None,
         generate: Callable[[str, list[validate.Attempt], str], str],
         embed: Callable[[str], list[float]] = hashed_vector,
         hypothesise: Callable[[str], str] | None = None,
@@ -107,11 +108,24 @@ class Agent:
         catalog: DataFrame | None = None,
         fks: DataFrame | None = None,
         documents: DataFrame | None = None,
+        index: indexes.Index | None = None,
+        store: answers.Answers | None = None,
+        manuals: indexes.Index | None = None,
+        scorer: Callable[[str], Callable] | None = None,
+        retriever: Callable[[str, str], DataFrame] | None = None,
     ):
         """nodes: (node_id, text, embedding) of tables' schema text, node_id being the table; generate: (question,
         tried, context) to SQL. examples and filter_examples: pools (files.few_shot_pool) for the two tools; feedback:
         validated answers (pergunta, sql). catalog and fks: with them the schema text is pruned to what is linked.
-        documents: chunks with an embedding of each root, for questions on manuals."""
+        documents: chunks with an embedding of each root, for questions on manuals.
+        index and manuals: stored indexes (see sync()) that stand for nodes and documents. store: the table of answers; with it
+        answers are remembered, validated ones are examples, and the cache reads it. scorer: of the rerankers (many.scorer).
+        retriever: (question, guess) to hits (node_id, score) on tables, in place of the whole search."""
+        if store is not None:
+            remember = remember or store.remember(embed)
+            cached = cached or (lambda query: store.cached(query, self.settings.cache_threshold))
+        self.index, self.store, self.manuals, self.retriever = index, store, manuals, retriever
+        self.scorer = scorer or retrieval.overlap_score
         self.spark, self.nodes, self.generate, self.embed = spark, nodes, generate, embed
         self.hypothesise, self.classify, self.select, self.synthesise = hypothesise, classify, select, synthesise
         self.settings, self.remember, self.cached = settings or Settings(), remember, cached
@@ -152,11 +166,12 @@ class Agent:
         if pool is None:
             return ""
         held = retrieval.of_class(pool, level).select("id", "pergunta", "sql")
-        if self.feedback is not None:
-            held = held.unionByName(retrieval.usable(self.feedback.select(F.lit(-1).cast("long").alias("id"), "pergunta", "sql")))
+        feedback = self.feedback if self.feedback is not None else self.store.validated() if self.store is not None else None
+        if feedback is not None:
+            held = held.unionByName(retrieval.usable(feedback.select(F.lit(-1).cast("long").alias("id"), "pergunta", "sql")))
         held = self.with_vectors(held)
         like = None
-        mine = sqlast.skeleton(self.spark, guess) if guess else None
+        mine = sqlast.skeleton(self.spark, guess) if guess and self.settings.hybrid else None
         if mine is not None:
             # a pool is a short file: its statements are parsed on the driver, once
             statements = [(i, r["sql"]) for i, r in enumerate(held.select("sql").distinct().collect())]
@@ -170,24 +185,50 @@ class Agent:
         return text.few_shot_block(best, F.desc("score"), "id", n=self.settings.few_shots)
 
     def guess(self, question: str) -> str:
-        try:
-            return self.hypothesise(question) if self.settings.hyde and self.hypothesise else ""
-        except Exception:  # noqa: BLE001  without a guess the question alone is searched
+        """A hypothetical statement for the question; the question itself where none can be made."""
+        if not (self.settings.hyde and self.hypothesise):
             return ""
-
-    def tables(self, question: str, guess: str) -> DataFrame:
-        """The best tables: dense by the hypothetical statement, words by the question."""
-        return retrieval.retrieve(self.nodes, question, self.embed(f"/* {question} */\n{guess}"), self.settings.top_tables, self.settings.top_k)
+        try:
+            return self.hypothesise(question) or question
+        except Exception:  # noqa: BLE001  the question itself is searched then
+            return question
+
+    def sync(self, nodes: DataFrame, state: DataFrame) -> dict[str, int] | None:
+        """Brings the tables' index to nodes and state, embedding what is new; says what changed."""
+        return self.index.sync(nodes, state, self.embed)
+
+    def known(self) -> DataFrame:
+        """(node_id, text, ...) of the tables."""
+        return self.index.nodes() if self.index is not None else self.nodes
+
+    def hits(self, question: str, guess: str) -> DataFrame:
+        """Tables in question: dense by the hypothetical statement, words by the question, fused."""
+        query, k = self.embed(f"/* {question} */\n{guess}"), self.settings.top_tables
+        if self.index is not None:
+            return retrieval.fuse(self.index.dense(query, k), self.index.lexical(question, k))
+        return retrieval.fuse(retrieval.dense(self.nodes, query, k), retrieval.lexical(self.nodes, question, k))
+
+    def tables(self, question: str, guess: str) -> tuple[list[str], list[str]]:
+        """(the best tables, all in question), by name."""
+        if self.retriever is not None:
+            found = sorted({r["node_id"] for r in self.retriever(question, guess).select("node_id").collect()})
+            return found, found
+        hits = self.hits(question, guess)
+        every = sorted(r["node_id"] for r in hits.select("node_id").collect())  # two top k
+        nodes = self.known().where(F.col("node_id").isin(every)) if every else self.known().limit(0)
+        best = retrieval.rerank(hits, nodes, self.scorer(question), self.settings.top_k)
+        return sorted(r["node_id"] for r in best.select("node_id").collect()), every
 
     def context(self, question: str, guess: str | None = None) -> tuple[str, str, str, dict]:
         """(schema text, the whole schema text, what corrections are told of foreign keys, rates of pruning)."""
         guess = self.guess(question) if guess is None else guess
-        found = self.tables(question, guess).select("node_id")
-        whole = "\n".join(r["text"] for r in self.nodes.join(found, "node_id").orderBy("node_id").select("text").collect())  # top_k rows
+        names, every = self.tables(question, guess)
         if self.catalog is None or self.fks is None:
-            return whole, "", "", {}
-        names = sorted(r["node_id"] for r in found.collect())
-        columns = self.catalog.where(F.col("table_name").isin(names))
+            shown = self.known().where(F.col("node_id").isin(names)) if names else self.known().limit(0)
+            return "\n".join(r["text"] for r in shown.orderBy("node_id").select("text").collect()), "", "", {}  # top_k rows
+        # names of nodes may carry a schema, and case doesn't count
+        of = lambda some: self.catalog.where(schema.bare(F.col("table_name")).isin([n.rpartition(".")[2].lower() for n in some]))
+        columns = of(names)
         whole = "\n".join(r["ddl"] for r in schema.ddl(columns, self.fks, prune=False).orderBy("table_name").collect())
         missing = schema.missing_fks(columns.select("table_name").distinct(), self.fks).orderBy("t1", "t2").collect()
         hint = "".join(f"\nThere is no foreign key between {r['t1']} and {r['t2']}: join them by a shared date or attribute." for r in missing)
@@ -200,18 +241,24 @@ class Agent:
         pruned = schema.ddl(schema.linked(columns, wanted), self.fks).orderBy("table_name")
         kept = pruned.select("ddl", schema.ddl_columns(F.col("ddl")).alias("n")).collect()
         raw = sum(map(len, held.values()))
-        return "\n".join(r["ddl"] for r in kept), whole, hint, evaluation.pruning_rates(len(names), len(names), raw, raw, sum(r["n"] for r in kept))
+        rates = evaluation.pruning_rates(len(every), len(names), of(every).count(), raw, sum(r["n"] for r in kept))
+        return "\n".join(r["ddl"] for r in kept), whole, hint, rates
 
     def manual(self, question: str) -> str:
         """What the documents say: the best leaves below the nearest roots; without documents, the tables' texts."""
-        if self.documents is None:
+        if self.manuals is not None:
+            roots, nodes = self.manuals.dense(self.embed(question), self.settings.top_roots), self.manuals.nodes()
+            best = retrieval.rerank(retrieval.leaves(roots, nodes), nodes, self.scorer(question), self.settings.top_k)
+        elif self.documents is not None:
+            nodes = self.documents
+            best = retrieval.answer_nodes(nodes, question, self.embed(question), self.scorer, k=self.settings.top_roots, top=self.settings.top_k)
+        else:
             return self.context(question)[0]
-        best = retrieval.answer_nodes(self.documents, question, self.embed(question), k=self.settings.top_roots, top=self.settings.top_k)
-        held = best.join(self.documents.select("node_id", "text"), "node_id").orderBy(F.desc("score"), "node_id").select("text")
+        held = best.join(nodes.select("node_id", "text"), "node_id").orderBy(F.desc("score"), "node_id").select("text")
         return "\n\n".join(r["text"] for r in held.collect())  # top_k rows
 
     def ask(self, question: str) -> Response:
-        question = self.spark.range(1).select(text.sanitised(F.lit(question))).first()[0]
+        question = text.without_tokens(question)
         bundle = Bundle(question)
         if self.settings.cache and self.cached:
             hit = self.cached(self.embed(question)).first()
@@ -260,6 +307,7 @@ class Dashboard:
 
     def __init__(self, spark: SparkSession, base_query: str):
         self.spark, self.sql = spark, base_query
+        self._board: tuple[str, rollup.Rollup] | None = None
 
     def refresh(self, response: Response) -> bool:
         """Takes the statement of a filter tool's response; any other leaves the dashboard as it is."""
@@ -271,26 +319,40 @@ class Dashboard:
     def rows(self) -> DataFrame:
         return movement.as_rows(self.spark.sql(self.sql))
 
+    def board(self) -> rollup.Rollup:
+        """The aggregates of the statement's rows, worked out once for a statement: all that is shown adds them up."""
+        if self._board is None or self._board[0] != self.sql:
+            rows = self.rows()
+            # a filter's rows are shown whatever their state
+            made = rollup.Rollup(self.spark, versions.new_path(self.spark, "dashboard"), lambda: rows.withColumn("status", F.lit("A")))
+            made.refresh()
+            self._board = (self.sql, made)
+        return self._board[1]
+
     def kpis(self) -> DataFrame:
-        return movement.formatted_kpis(self.rows())
+        return self.board().formatted_kpis()
 
     def charts(self, unit: str = "month") -> dict[str, DataFrame]:
-        rows = self.rows()
-        return {"revenue": movement.revenue_by(rows, unit), "customers": movement.top_customers(rows), "types": movement.by_label(rows)}
+        held = self.board()
+        return {"revenue": held.revenue_by(unit), "customers": held.top_customers(), "types": held.by_label()}
 
 
 class Movements:
-    """Movements for callers that know no plans: all of them (capped), a page of them, one by id."""
+    """Movements for callers that know no plans: all of them (capped), a page of them, one by id. stored: their pages, if
+    they have been written; deep pages read no more than others then."""
 
-    def __init__(self, rows: DataFrame):
-        self.held = rows
+    def __init__(self, rows: DataFrame, stored: rollup.Pages | None = None):
+        self.held, self.stored = rows, stored
 
     def find_all(self, n: int = 100) -> list[dict]:
         return [r.asDict() for r in movement.first_rows(self.held, n).collect()]
 
     def page(self, number: int, size: int) -> dict:
-        found = movement.page(self.held, number, size).collect()
-        total = found[0]["total"] if found else self.held.count()
+        if self.stored is not None:
+            found, total = self.stored.page(number, size).collect(), self.stored.total
+        else:
+            found = movement.page(self.held, number, size).collect()
+            total = found[0]["total"] if found else self.held.count()
         return movement.envelope(total, number, size) | {"items": [{k: v for k, v in r.asDict().items() if k != "total"} for r in found]}
 
     def find(self, movement_id: int) -> dict | None:

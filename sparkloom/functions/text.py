@@ -33,23 +33,31 @@ def clean_sql(text: Column) -> Column:
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "").otherwise(F.concat(out, F.lit(";")))
 
 
+#: The tokens that prompts must not hold.
+PROMPT_TOKENS = ("[/INST]", "[INST]")
+
+
+def without_tokens(value: str | None) -> str | None:
+    """A text without prompt tokens, also those that form when others are removed, however deep."""
+    while value is not None and "INST]" in value:
+        less = value
+        for token in PROMPT_TOKENS:
+            less = less.replace(token, "")
+        if less == value:
+            break
+        value = less
+    return value
+
+
 @F.pandas_udf(StringType())
-def sanitised(texts: pd.Series) -> pd.Series:
-    """Texts without prompt tokens, also those that form when others are removed, however deep."""
+def _sanitised(texts: pd.Series) -> pd.Series:
+    return texts.map(without_tokens)
 
-    def clean(text: str | None) -> str | None:
-        # one pass: what is kept never ends with a token, so a token can only form at its end
-        kept: list[str] = []
-        for c in text or "":
-            kept.append(c)
-            if c == "]":
-                for token in ("[INST]", "[/INST]"):
-                    if "".join(kept[-len(token) :]) == token:
-                        del kept[-len(token) :]
-                        break
-        return text if text is None else "".join(kept)
 
-    return texts.map(clean)
+def sanitised(value: Column | str) -> Column:
+    """Texts without prompt tokens; only texts that may hold one go through Python."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.when(F.contains(c, F.lit("INST]")), _sanitised(c)).otherwise(c)
 
 
 def table_names(ddl: Column) -> Column:
@@ -124,6 +132,7 @@ def markdown(df: DataFrame, n: int = 10) -> str:
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
 
 
+#: Fixed value: what stands after rows that were left out.
 NOTE = "... (resultado truncado)"
 
 
@@ -141,11 +150,12 @@ def rows_to_text(df: DataFrame, max_chars: int = 3000) -> str:
 
 
 def classification_block(examples: DataFrame, *order: str | Column, n: int = 3) -> str:
-    """Examples (pergunta, dificuldade) as lines for a classifier."""
+    """Examples (pergunta, dificuldade) as lines for a classifier, in a fixed form."""
     rows = examples.orderBy(*order).limit(n).collect()
     return "\n".join(f"- Pergunta: '{r['pergunta']}' | Classificação Correta: {r['dificuldade']}" for r in rows)
 
 
 def few_shot_block(examples: DataFrame, *order: str | Column, n: int = 4) -> str:
+    """Examples (pergunta, sql) as a prompt shows them, in a fixed form."""
     rows = examples.orderBy(*order).limit(n).collect()
     return "\n\n".join(f"Exemplo {i}:\nPergunta: {r['pergunta']}\n{r['sql']}" for i, r in enumerate(rows, 1))

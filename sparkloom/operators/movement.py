@@ -48,11 +48,31 @@ def movement(spark: SparkSession, sf_dir: str, names: bool = True) -> DataFrame:
     return spark.sql(MOVEMENT_SQL if names else NAMELESS_SQL)
 
 
+#: By what other names the view's columns may come, the physical one first.
+ALIASES = {
+    "movement_id": ("vwmo_id_movimento", "id_movimento"), "movement_type": ("vwmo_tp_movimento", "tipo_movimento"), "movement_date": ("vwmo_dt_movimento", "data_movimento"),
+    "status": ("vwmo_lg_situacao", "situacao"), "net_total": ("vwmo_vl_total_liquido", "valor_total_liquido"), "gross_total": ("vwmo_vl_total_bruto", "valor_total_bruto"),
+    "due_total": ("vwmo_vl_total_apagar", "valor_total_a_pagar"), "customer_id": ("vwmo_id_cliente", "id_cliente"), "customer": ("vwmo_ds_cliente", "cliente"),
+    "supplier_id": ("vwmo_id_fornecedor", "id_fornecedor"), "supplier": ("vwmo_ds_fornecedor", "fornecedor"),
+}
+
+
+def renamed(df: DataFrame) -> DataFrame:
+    """df with the logical names of columns, whichever of their names they come by; of several the logical one counts, then
+    the physical one."""
+    held = {c.lower(): c for c in df.columns}
+    found = {name: next((held[a] for a in (name, *aliases) if a in held), None) for name, aliases in ALIASES.items()}
+    used = {a for aliases in ALIASES.values() for a in aliases}
+    rest = [c for c in df.columns if c.lower() not in used and c.lower() not in ALIASES]
+    return df.select(*[F.col(f"`{c}`").alias(name) for name, c in found.items() if c], *[F.col(f"`{c}`") for c in rest])
+
+
 def as_rows(df: DataFrame) -> DataFrame:
-    """df in the logical schema: absent money is 0, other absent columns are null, unknown ones are dropped.
+    """df, by whichever names (see renamed()), in the logical schema: absent money is 0, other absent columns are null, unknown ones are dropped.
 
     movement_id has no default; null money is an error where rows are read, as it isn't optional.
     """
+    df = renamed(df)
     if "movement_id" not in df.columns:
         raise ValueError("movement_id is required")
     out = []

@@ -75,7 +75,24 @@ def missing_fks(tables: DataFrame, fks: DataFrame) -> DataFrame:
     return a.join(b, F.col("t1") < F.col("t2")).join(edge, ["t1", "t2"], "left_anti")
 
 
+def bare(name: Column) -> Column:
+    """A table's name without schema and case."""
+    return F.lower(F.element_at(F.split(name, "\\."), -1))
+
+
 def same_table(a: Column, b: Column) -> Column:
-    """Table names without schema and case."""
-    bare = lambda c: F.lower(F.element_at(F.split(c, "\\."), -1))
+    """Whether two names are of one table, whatever schema and case they have."""
     return bare(a) == bare(b)
+
+
+def filter_ddl(columns: DataFrame, wanted: list[tuple[str, str]] = ()) -> DataFrame:
+    """(table_name, ddl) for the dashboard's filter: linked and pruned columns, without lines of foreign keys."""
+    none = columns.sparkSession.createDataFrame([], "table_name string, column_name string, ref_table string, ref_column string")
+    return ddl(linked(pruned(columns), wanted), none, prune=False)
+
+
+def raw_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(table_name, raw_columns) of tables by name, with or without schema and in any case; 0 of those unknown."""
+    counts = columns.groupBy(bare(F.col("table_name")).alias("bare")).agg(F.count("*").alias("raw_columns"))
+    named = tables.select("table_name", bare(F.col("table_name")).alias("bare"))
+    return named.join(counts, "bare", "left").select("table_name", F.coalesce("raw_columns", F.lit(0)).alias("raw_columns"))

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.plans import sqlast
 
-QUERY_ROOTS = {"UnresolvedWith", "Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "UnresolvedHaving", "SubqueryAlias", "WithWindowDefinition"}
+#: What a statement's plan may stand on or hold besides: anything else at the root is no query.
+QUERY_ROOTS = {
+    "UnresolvedWith", "Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "UnresolvedHaving", "SubqueryAlias", "WithWindowDefinition",
+    "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation", "RepartitionByExpression", "Repartition", "UnresolvedTableValuedFunction", "UnresolvedTableValuedFunctionWithNamedArguments", "Join", "LateralJoin", "Generate", "Pivot", "Sample", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "LocalRelation", "Range",
+}
 
 
 def check(spark: SparkSession, sql: str) -> tuple[bool, str, str]:
