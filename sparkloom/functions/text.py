@@ -149,13 +149,31 @@ def rows_to_text(df: DataFrame, max_chars: int = 3000) -> str:
     return "\n".join(out + [NOTE] * cut)
 
 
+def shots_of(examples: Column) -> Column:
+    """An array of examples (pergunta, sql) as a prompt shows them, in a fixed form."""
+    one = lambda x, i: F.concat(F.lit("Exemplo "), (i + 1).cast("string"), F.lit(":\nPergunta: "), x["pergunta"], F.lit("\n"), x["sql"])
+    return F.array_join(F.transform(examples, one), "\n\n")
+
+
+def classes_of(examples: Column) -> Column:
+    """An array of examples (pergunta, dificuldade) as lines for a classifier, in a fixed form."""
+    return F.array_join(F.transform(examples, lambda x: F.concat(F.lit("- Pergunta: '"), x["pergunta"], F.lit("' | Classificação Correta: "), x["dificuldade"])), "\n")
+
+
+def _block(examples: DataFrame, n: int, block, *columns: str) -> str:
+    """The first n of ordered examples as a block."""
+    rows = [tuple(r[c] for c in columns) for r in examples.limit(n).collect()]
+    if not rows:
+        return ""
+    one = examples.sparkSession.createDataFrame([(rows,)], f"l array<struct<{','.join(f'{c}:string' for c in columns)}>>")
+    return one.select(block(F.col("l"))).first()[0]
+
+
 def classification_block(examples: DataFrame, *order: str | Column, n: int = 3) -> str:
-    """Examples (pergunta, dificuldade) as lines for a classifier, in a fixed form."""
-    rows = examples.orderBy(*order).limit(n).collect()
-    return "\n".join(f"- Pergunta: '{r['pergunta']}' | Classificação Correta: {r['dificuldade']}" for r in rows)
+    """The first n examples (pergunta, dificuldade) as lines for a classifier."""
+    return _block(examples.orderBy(*order), n, classes_of, "pergunta", "dificuldade")
 
 
 def few_shot_block(examples: DataFrame, *order: str | Column, n: int = 4) -> str:
-    """Examples (pergunta, sql) as a prompt shows them, in a fixed form."""
-    rows = examples.orderBy(*order).limit(n).collect()
-    return "\n\n".join(f"Exemplo {i}:\nPergunta: {r['pergunta']}\n{r['sql']}" for i, r in enumerate(rows, 1))
+    """The first n examples (pergunta, sql) as a prompt shows them."""
+    return _block(examples.orderBy(*order), n, shots_of, "pergunta", "sql")

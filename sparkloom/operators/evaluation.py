@@ -264,9 +264,21 @@ def evaluate(spark: SparkSession, ask, cases: list[dict], path: str | None = Non
     return records
 
 
+#: Parts of the names of tables that questions are never made for.
+OWN_TABLES = ("data_", "tb_rag_feedback")
+
+
+def askable(counts: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Of (table_name, row_count) the tables with rows, but those to skip and the index's own."""
+    own = F.lit(False)
+    for part in OWN_TABLES:
+        own = own | F.lower("table_name").contains(part)
+    return counts.where((F.col("row_count") > 0) & ~own & (~F.col("table_name").isin(*skip) if skip else F.lit(True)))
+
+
 def generated_cases(spark: SparkSession, counts: DataFrame, ddls: DataFrame, write, skip: tuple[str, ...] = (), per_table: int = 3) -> list[dict]:
     """Questions that a model writes for each table with rows: write(ddl) gives [{dificuldade, pergunta, sql}]."""
-    wanted = ddls.join(counts.where("row_count > 0").where(~F.col("table_name").isin(*skip) if skip else F.lit(True)), "table_name").orderBy("table_name")
+    wanted = ddls.join(askable(counts, skip), "table_name").orderBy("table_name")
     out: list[dict] = []
     for r in wanted.select("ddl").collect():  # one row per table
         for case in write(r["ddl"])[:per_table]:

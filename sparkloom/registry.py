@@ -359,48 +359,63 @@ def expand_tree(spark, sf_dir):
 
 # --- SQL as data -----------------------------------------------------------------------------------------------
 
-#: A small pool of statements: (id, class, question, SQL).
-POOL = [
-    (1, "EASY", "How many orders are there?", "SELECT COUNT(*) FROM orders"),
-    (2, "NON-NESTED", "Which customers spent more than 10?", "SELECT c.c_name, SUM(o.o_totalprice) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_name HAVING SUM(o.o_totalprice) > 10"),
-    (3, "NESTED", "Who ordered often?", "WITH t AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT c.c_name FROM customer c JOIN t ON t.o_custkey = c.c_custkey WHERE t.n > 3 AND c.c_acctbal BETWEEN 0 AND 100 ORDER BY c.c_name LIMIT 5"),
-    (4, "NESTED", "Suppliers of large lines", "SELECT s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 40)"),
-    (5, "NON-NESTED", "Orders with lines", "SELECT DISTINCT o.o_orderkey, MAX(l.l_quantity) FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'O' GROUP BY o.o_orderkey"),
-    (6, "FILTER_BI", "Active movements", "SELECT * FROM movement WHERE status = 'A' AND NOT customer LIKE '%X%'"),
+#: Forms of statements: (number, class, SQL).
+FORMS = [
+    (1, "EASY", "SELECT COUNT(*) FROM orders"),
+    (2, "NON-NESTED", "SELECT c.c_name, SUM(o.o_totalprice) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_name HAVING SUM(o.o_totalprice) > 10"),
+    (3, "NESTED", "WITH t AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT c.c_name FROM customer c JOIN t ON t.o_custkey = c.c_custkey WHERE t.n > 3 AND c.c_acctbal BETWEEN 0 AND 100 ORDER BY c.c_name LIMIT 5"),
+    (4, "NESTED", "SELECT s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 40)"),
+    (5, "NON-NESTED", "SELECT DISTINCT o.o_orderkey, MAX(l.l_quantity) FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'O' GROUP BY o.o_orderkey"),
+    (6, "FILTER_BI", "SELECT * FROM movement WHERE status = 'A' AND NOT customer LIKE '%X%'"),
 ]
+FORM = "item_id % 6 + 1"
 
 
-def _skeletons(spark: SparkSession) -> DataFrame:
-    return sqlast.skeletons(spark, [(i, q) for i, _, _, q in POOL])
+def _pool(spark: SparkSession, sf_dir: str, *forms: int) -> list[tuple[int, int, str]]:
+    """(item, form, statement): every item of the benchmark as a question, with a statement of the form that its number
+    gives. A pool of examples is what prompts are made of; it is parsed on the driver, a statement at a time."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.expr(FORM).cast("int").alias("form"), F.regexp_replace(F.coalesce("text", F.lit("")), "[*]/", " ").alias("text")).orderBy("item_id")
+    sql = {i: q for i, _, q in FORMS}
+    return [(r["item_id"], r["form"], f"/* {r['text']} */\n{sql[r['form']]}") for r in items.collect() if not forms or r["form"] in forms]
 
 
-SKELETONS = """SELECT * FROM (VALUES
+def _skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqlast.pool_skeletons(spark, [(i, q) for i, _, q in _pool(spark, sf_dir)])
+
+
+OF_FORMS = """SELECT * FROM (VALUES
  (1, ['orders'], 0, false, false, false, false, ['count'], 4), (2, ['customer', 'orders'], 1, true, true, false, false, ['sum'], 19),
  (3, ['customer', 'orders'], 1, true, false, false, true, ['count'], 20), (4, ['lineitem', 'supplier'], 0, false, false, true, false, CAST([] AS VARCHAR[]), 12),
  (5, ['lineitem', 'orders'], 1, true, false, false, false, ['max'], 14), (6, ['movement'], 0, false, false, false, false, CAST([] AS VARCHAR[]), 2))
- AS s(id, tables, n_joins, has_group_by, has_having, has_subquery, has_cte, aggregates, complexity)"""
+ AS s(form, tables, n_joins, has_group_by, has_having, has_subquery, has_cte, aggregates, complexity)"""
+SKELETONS = f"SELECT q.item_id AS id, f.* FROM benchmark q JOIN ({OF_FORMS}) f ON f.form = q.{FORM}"
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, array_to_string(tables, ',') AS tables, n_joins, has_group_by, has_having, has_subquery, has_cte, array_to_string(aggregates, ',') AS aggregates, complexity FROM ({SKELETONS})")
+@query(f"SELECT id, array_to_string(tables, ',') AS tables, n_joins, has_group_by, has_having, has_subquery, has_cte, array_to_string(aggregates, ',') AS aggregates, complexity FROM ({SKELETONS})")
 def sql_skeletons(spark, sf_dir):
-    return _skeletons(spark).select("id", F.array_join("tables", ",").alias("tables"), F.size("join_types").alias("n_joins"), "has_group_by", "has_having", "has_subquery", "has_cte", F.array_join("aggregates", ",").alias("aggregates"), "complexity")
+    return _skeletons(spark, sf_dir).select("id", F.array_join("tables", ",").alias("tables"), F.size("join_types").alias("n_joins"), "has_group_by", "has_having", "has_subquery", "has_cte", F.array_join("aggregates", ",").alias("aggregates"), "complexity")
 
 
 def _jaccard(c: str) -> str:
     return f"(CASE WHEN len(a.{c}) + len(b.{c}) = 0 THEN 1.0 ELSE len(list_intersect(a.{c}, b.{c})) / CAST(len(list_distinct(list_concat(a.{c}, b.{c}))) AS DOUBLE) END)"
 
 
-SIMILARITY = f"""SELECT CAST(a.id AS BIGINT) AS a, CAST(b.id AS BIGINT) AS b, ((CASE WHEN a.has_group_by = b.has_group_by THEN 3 ELSE 0 END) + (CASE WHEN a.has_having = b.has_having THEN 3 ELSE 0 END)
+SCORE = f"""((CASE WHEN a.has_group_by = b.has_group_by THEN 3 ELSE 0 END) + (CASE WHEN a.has_having = b.has_having THEN 3 ELSE 0 END)
  + (CASE WHEN a.has_subquery = b.has_subquery THEN 3 ELSE 0 END) + (CASE WHEN a.has_cte = b.has_cte THEN 2 ELSE 0 END) + (CASE WHEN (a.n_joins > 0) = (b.n_joins > 0) THEN 2 ELSE 0 END)
- + 4 * {_jaccard('tables')} + 2 * {_jaccard('aggregates')} + 1 - abs(a.complexity - b.complexity) / CAST(greatest(a.complexity, b.complexity) AS DOUBLE)) / 20.0 AS score
- FROM ({SKELETONS}) a, ({SKELETONS}) b"""
+ + 4 * {_jaccard('tables')} + 2 * {_jaccard('aggregates')} + 1 - abs(a.complexity - b.complexity) / CAST(greatest(a.complexity, b.complexity) AS DOUBLE)) / 20.0"""
+SIMILARITY = f"SELECT a.id AS a, b.form AS b, {SCORE} AS score FROM ({SKELETONS}) a, ({OF_FORMS}) b"
+
 
+def _forms(spark: SparkSession) -> DataFrame:
+    """The skeletons of the forms: six rows."""
+    return sqlast.pool_skeletons(spark, [(i, q) for i, _, q in FORMS])
 
-@query(f"SELECT a, b, round(score, 6) AS score FROM ({SIMILARITY})")
+
+@query(f"SELECT a, CAST(b AS BIGINT) AS b, round(score, 6) AS score FROM ({SIMILARITY})")
 def skeleton_similarity(spark, sf_dir):
-    s = _skeletons(spark)
-    # the pool is a short literal list
-    return s.alias("a").crossJoin(F.broadcast(s.alias("b"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(sqlast.similarity("a", "b"), 6).alias("score"))
+    """Every item's statement against each form."""
+    pairs = _skeletons(spark, sf_dir).alias("a").crossJoin(F.broadcast(_forms(spark).alias("b")))  # six rows
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(sqlast.similarity("a", "b"), 6).alias("score"))
 
 
 COOCCUR = f"SELECT a.t AS t1, b.t AS t2, count(*) AS n FROM (SELECT id, unnest(tables) AS t FROM ({SKELETONS})) a JOIN (SELECT id, unnest(tables) AS t FROM ({SKELETONS})) b ON a.id = b.id AND a.t <> b.t GROUP BY 1, 2"
@@ -408,40 +423,44 @@ COOCCUR = f"SELECT a.t AS t1, b.t AS t2, count(*) AS n FROM (SELECT id, unnest(t
 
 @query(COOCCUR)
 def table_cooccurrence(spark, sf_dir):
-    return sqlast.cooccurrence(_skeletons(spark))
+    return sqlast.cooccurrence(_skeletons(spark, sf_dir))
+
+
+RELATED = f"SELECT t1, t2, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY t1 ORDER BY n DESC, t2) AS INTEGER) AS rank FROM ({COOCCUR}))"
 
 
-@query(f"SELECT t1, t2, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY t1 ORDER BY n DESC, t2) AS INTEGER) AS rank FROM ({COOCCUR})) WHERE rank <= 3")
+@query(f"{RELATED} WHERE rank <= 3")
 def related_tables(spark, sf_dir):
-    return sqlast.related(sqlast.cooccurrence(_skeletons(spark)))
+    return sqlast.related(sqlast.cooccurrence(_skeletons(spark, sf_dir)))
 
 
-@query("SELECT * FROM (VALUES ('customer'), ('lineitem'), ('orders')) AS t(table_name)")
+@query(f"SELECT 'orders' AS table_name UNION SELECT t2 FROM ({RELATED}) WHERE t1 = 'orders' AND rank <= 2 AND n >= 3")
 def bridge_tables(spark, sf_dir):
-    edges = sqlast.cooccurrence(_skeletons(spark)).withColumn("n", F.col("n") * 3)
-    return spark.createDataFrame([(t,) for t in sqlast.bridges(edges, ["orders"], None)], "table_name string")
+    found = sqlast.bridges(sqlast.cooccurrence(_skeletons(spark, sf_dir)), ["orders"], None)
+    return spark.createDataFrame([(t,) for t in found], "table_name string")
 
 
-@query("SELECT * FROM (VALUES (3, 'customer', 'c_acctbal'), (3, 'customer', 'c_custkey'), (4, 'lineitem', 'l_quantity'), (4, 'supplier', 's_suppkey')) AS t(id, table_name, column_name)")
+@query(f"""SELECT q.item_id AS id, p.table_name, p.column_name FROM benchmark q JOIN (VALUES (2, 'customer', 'c_custkey'), (2, 'orders', 'o_custkey'), (3, 'customer', 'c_acctbal'), (3, 'customer', 'c_custkey'), (4, 'lineitem', 'l_quantity'), (4, 'lineitem', 'l_suppkey'), (4, 'supplier', 's_suppkey'),
+ (5, 'lineitem', 'l_orderkey'), (5, 'orders', 'o_orderkey'), (5, 'orders', 'o_orderstatus')) AS p(form, table_name, column_name) ON p.form = q.{FORM}""")
 def protected_columns(spark, sf_dir):
-    held = {r["table_name"]: set(r["cs"]) for r in tables.catalog_columns(spark, sf_dir, ["customer", "supplier"]).groupBy("table_name").agg(F.collect_set("column_name").alias("cs")).collect()}
-    held["lineitem"] = {"l_quantity"}
-    rows = [(i, t, c) for i, _, _, q in POOL if i in (3, 4) for t, cs in sqlast.protected(spark, q, held).items() for c in cs]
-    return spark.createDataFrame(rows, "id int, table_name string, column_name string")
+    columns = tables.catalog_columns(spark, sf_dir).groupBy("table_name").agg(F.collect_set("column_name").alias("cs"))
+    held = {r["table_name"]: set(r["cs"]) for r in columns.collect()}
+    rows = [(i, t, c) for i, _, q in _pool(spark, sf_dir) for t, cs in sqlast.protected(spark, q, held).items() for c in sorted(cs)]
+    return spark.createDataFrame(rows, "id long, table_name string, column_name string")
 
 
-@query("""SELECT * FROM (VALUES
+@query(f"""SELECT q.item_id AS id, c.* EXCLUDE (form) FROM benchmark q JOIN (VALUES
  (1, 'count(*)', false, 'orders', '', '', '', '', NULL), (2, 'c_name|sum(o_totalprice)', false, 'customer|orders', '', 'c_name', 'sum(o_totalprice) >', '', NULL),
  (3, 'c_name', false, 'customer|t', 'c_acctbal between|n >', '', '', 'c_name', '5'), (4, 's_name', false, 'supplier', 's_suppkey in', '', '', '', NULL),
  (5, 'max(l_quantity)|o_orderkey', true, 'lineitem|orders', 'o_orderstatus =', 'o_orderkey', '', '', NULL), (6, '*', false, 'movement', 'customer not_like|status =', '', '', '', NULL))
- AS c(id, sel, is_distinct, frm, whr, grp, hav, ord, lim)""")
+ AS c(form, sel, is_distinct, frm, whr, grp, hav, ord, lim) ON c.form = q.{FORM}""")
 def em_components(spark, sf_dir):
     rows = []
-    for i, _, _, q in POOL:
+    for i, _, q in _pool(spark, sf_dir):
         c = sqlast.components(spark, q)
         parts = [sorted(c["select"]), c["distinct"], sorted(c["from"]), sorted(map(" ".join, c["where"])), sorted(c["group_by"]), sorted(map(" ".join, c["having"])), list(c["order_by"]), c["limit"]]
         rows.append((i, *["|".join(x) if isinstance(x, list) else x for x in parts]))
-    return spark.createDataFrame(rows, "id int, sel string, is_distinct boolean, frm string, whr string, grp string, hav string, ord string, lim string")
+    return spark.createDataFrame(rows, "id long, sel string, is_distinct boolean, frm string, whr string, grp string, hav string, ord string, lim string")
 
 
 @query("SELECT * FROM (VALUES ('same', 1), ('bag', 0), ('columns', 0), ('broken', 0), ('match', 1), ('differs', 0)) AS t(test, score)")
@@ -460,35 +479,57 @@ def ex_compare(spark, sf_dir):
     return spark.createDataFrame(rows, "test string, score int")
 
 
-@query("SELECT * FROM (VALUES (1, true, ''), (2, false, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'), (3, false, 'TABLE_OR_VIEW_NOT_FOUND'), (4, false, 'PARSE_SYNTAX_ERROR'), (5, false, 'NOT_A_QUERY')) AS t(id, valid, condition)")
+#: Statements by kind, each about an item: what validation says of them.
+KINDS = """(VALUES (0, 'SELECT n_name FROM nation WHERE n_nationkey = #;', true, ''), (1, 'SELECT nme FROM nation WHERE n_nationkey = #', false, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'), (2, 'SELECT # FROM nationz', false, 'TABLE_OR_VIEW_NOT_FOUND'),
+ (3, 'SELECT (# FROM nation', false, 'PARSE_SYNTAX_ERROR'), (4, 'DROP TABLE nation', false, 'NOT_A_QUERY'), (5, 'SELECT /*+ BROADCAST(nation) */ # FROM nation', true, ''), (6, 'VALUES (#)', true, '')) AS k(kind, sql, valid, condition)"""
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
+    views(spark, sf_dir, "nation", "benchmark")
+    return [tuple(r) for r in spark.sql(f"SELECT item_id, replace(sql, '#', CAST(item_id AS STRING)) FROM benchmark JOIN {KINDS} ON kind = item_id % 7 ORDER BY 1").collect()]
+
+
+@query(f"SELECT item_id AS id, valid, condition FROM benchmark JOIN {KINDS} ON kind = item_id % 7")
 def validate_sql(spark, sf_dir):
-    views(spark, sf_dir, "nation")
-    statements = ["SELECT n_name FROM nation;", "SELECT nme FROM nation", "SELECT 1 FROM nationz", "SELECT (1 FROM nation", "DROP TABLE nation"]
-    rows = [(i, *validate.check(spark, q)[:2]) for i, q in enumerate(statements, 1)]
-    return spark.createDataFrame(rows, "id int, valid boolean, condition string")
+    rows = [(i, *validate.check(spark, q)[:2]) for i, q in _kinds(spark, sf_dir)]
+    return spark.createDataFrame(rows, "id long, valid boolean, condition string")
 
 
-@query("SELECT * FROM (VALUES (1, false), (2, true)) AS t(attempt, valid)")
+@query(f"SELECT item_id AS id, CASE WHEN valid THEN 1 ELSE 2 END AS attempts, true AS valid FROM benchmark JOIN {KINDS} ON kind = item_id % 7")
 def self_correct(spark, sf_dir):
-    views(spark, sf_dir, "nation")
-    replies = iter(["SELECT nme FROM nation", "SELECT n_name FROM nation"])
-    done = validate.correct(spark, lambda q, tried, ddl: next(replies), "names?", "nation(n_name)", "nation(n_nationkey, n_name)")
-    return spark.createDataFrame([(i, a.condition == "") for i, a in enumerate(done.attempts, 1)], "attempt int, valid boolean")
+    """Each item's statement as a first reply, and one that is right as the second."""
+    rows = []
+    for i, q in _kinds(spark, sf_dir):
+        done = validate.correct(spark, lambda question, tried, ddl, q=q: "SELECT n_name FROM nation" if tried else q, "names?", "nation(n_name)", "nation(n_nationkey, n_name)")
+        rows.append((i, len(done.attempts), done.valid))
+    return spark.createDataFrame(rows, "id long, attempts int, valid boolean")
 
 
 # --- schema ----------------------------------------------------------------------------------------------------
 
-SMALL = ["region", "nation", "customer", "supplier"]
-CATALOG = """SELECT * FROM (VALUES ('region', 1, 'r_regionkey', 'INT', true, false), ('region', 2, 'r_name', 'STRING', false, false), ('nation', 1, 'n_nationkey', 'INT', true, false), ('nation', 2, 'n_name', 'STRING', false, false),
- ('nation', 3, 'n_regionkey', 'INT', false, true), ('customer', 1, 'c_custkey', 'BIGINT', true, false), ('customer', 2, 'c_name', 'STRING', false, false), ('customer', 3, 'c_nationkey', 'INT', false, true), ('customer', 4, 'c_acctbal', 'DOUBLE', false, false),
- ('customer', 5, 'c_mktsegment', 'STRING', false, false), ('supplier', 1, 's_suppkey', 'BIGINT', true, false), ('supplier', 2, 's_name', 'STRING', false, false), ('supplier', 3, 's_nationkey', 'INT', false, true), ('supplier', 4, 's_acctbal', 'DOUBLE', false, false))
- AS c(table_name, ordinal, column_name, data_type, is_pk, is_fk)"""
-FKS = "SELECT * FROM (VALUES ('nation', 'n_regionkey', 'region', 'r_regionkey'), ('customer', 'c_nationkey', 'nation', 'n_nationkey'), ('supplier', 's_nationkey', 'nation', 'n_nationkey')) AS f(table_name, column_name, ref_table, ref_column)"
+#: The given tables as they are described, for the twins.
+DESCRIBED = """region: r_regionkey INT, r_name STRING; nation: n_nationkey INT, n_name STRING, n_regionkey INT; customer: c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING;
+supplier: s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE; part: p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE;
+orders: o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING;
+lineitem: l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ;
+events: event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING; documents: doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT; embeddings: vec_id BIGINT, embedding ARRAY<FLOAT>, label INT;
+pages: page_id BIGINT, url STRING, html STRING; benchmark: item_id BIGINT, text STRING; labels: doc_id BIGINT, quality INT, toxic INT; conversations: conv_id BIGINT, turn BIGINT, role STRING, text STRING"""
+
+
+def _described() -> list[tuple]:
+    fks = {(t, c) for t, c, _, _ in tables.FOREIGN_KEYS}
+    found = [(t.strip(), i, *c.split()) for t, cs in (x.split(":") for x in DESCRIBED.split(";")) for i, c in enumerate(cs.split(","), 1)]
+    return [(t, i, c, kind, tables.PRIMARY_KEYS.get(t) == c, (t, c) in fks) for t, i, c, kind in found]
+
+
+CATALOG = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c}', '{k}', {str(pk).lower()}, {str(fk).lower()})" for t, i, c, k, pk, fk in _described()) + ") AS c(table_name, ordinal, column_name, data_type, is_pk, is_fk)"
+FKS = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in tables.FOREIGN_KEYS) + ") AS f(table_name, column_name, ref_table, ref_column)"
+KEPT = "(is_pk OR is_fk OR data_type LIKE '%TIME%')"
 
 
 @query(CATALOG)
 def catalog_columns(spark, sf_dir):
-    return tables.catalog_columns(spark, sf_dir, SMALL).select("table_name", "ordinal", "column_name", "data_type", "is_pk", "is_fk")
+    return tables.catalog_columns(spark, sf_dir).select("table_name", "ordinal", "column_name", "data_type", "is_pk", "is_fk")
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in tables.TABLES))
@@ -508,30 +549,34 @@ DDL = f"""SELECT c.table_name, 'CREATE TABLE public.' || c.table_name || ' (' ||
 
 @query(DDL)
 def schema_ddl(spark, sf_dir):
-    return schema.ddl(tables.catalog_columns(spark, sf_dir, SMALL), tables.catalog_fks(spark))
+    return schema.ddl(tables.catalog_columns(spark, sf_dir), tables.catalog_fks(spark))
 
 
-@query(f"SELECT table_name, column_name FROM ({CATALOG}) WHERE is_pk OR is_fk OR (table_name = 'customer' AND column_name = 'c_acctbal')")
+@query(f"SELECT table_name, column_name FROM ({CATALOG}) WHERE {KEPT} OR (table_name = 'customer' AND column_name = 'c_acctbal')")
 def schema_pruned_columns(spark, sf_dir):
-    return schema.linked(schema.pruned(tables.catalog_columns(spark, sf_dir, SMALL)), [("customer", "c_acctbal")]).select("table_name", "column_name")
+    return schema.linked(schema.pruned(tables.catalog_columns(spark, sf_dir)), [("customer", "c_acctbal")]).select("table_name", "column_name")
 
 
-@query("SELECT * FROM (VALUES ('customer', 'region'), ('customer', 'supplier'), ('region', 'supplier')) AS t(t1, t2)")
+@query(f"""WITH t AS (SELECT DISTINCT table_name AS t FROM ({CATALOG})) SELECT a.t AS t1, b.t AS t2 FROM t a JOIN t b ON a.t < b.t
+ WHERE NOT EXISTS (SELECT 1 FROM ({FKS}) f WHERE (f.table_name = a.t AND f.ref_table = b.t) OR (f.table_name = b.t AND f.ref_table = a.t))""")
 def missing_fk_pairs(spark, sf_dir):
-    return schema.missing_fks(spark.createDataFrame([(t,) for t in SMALL], "table_name string"), tables.catalog_fks(spark))
+    return schema.missing_fks(tables.catalog_columns(spark, sf_dir).select("table_name").distinct(), tables.catalog_fks(spark))
 
 
-@query(f"SELECT table_name, count(*) AS raw_columns, count(*) FILTER (is_pk OR is_fk) AS kept_columns, round(1 - count(*) FILTER (is_pk OR is_fk) / CAST(count(*) AS DOUBLE), 4) AS rate FROM ({CATALOG}) GROUP BY 1")
+@query(f"SELECT table_name, count(*) AS raw_columns, count(*) FILTER ({KEPT}) AS kept_columns, round(1 - count(*) FILTER ({KEPT}) / CAST(count(*) AS DOUBLE), 4) AS rate FROM ({CATALOG}) GROUP BY 1")
 def schema_shortening(spark, sf_dir):
-    raw = tables.catalog_columns(spark, sf_dir, SMALL)
-    text_ = schema.ddl(schema.linked(raw), tables.catalog_fks(spark)).select("table_name", schema.ddl_columns(F.col("ddl")).cast("bigint").alias("kept_columns"))
-    counts = raw.groupBy("table_name").agg(F.count("*").alias("raw_columns")).join(text_, "table_name")
-    return counts.withColumn("rate", evaluation.shortening(F.col("raw_columns"), F.col("kept_columns")))
+    raw = tables.catalog_columns(spark, sf_dir)
+    # names of another case and with a schema are of the same tables
+    named = raw.select(F.concat(F.lit("Public."), F.initcap("table_name")).alias("table_name")).distinct()
+    counts = schema.raw_columns(named, raw).select(schema.bare(F.col("table_name")).alias("table_name"), "raw_columns")
+    text_ = schema.filter_ddl(raw).select("table_name", schema.ddl_columns(F.col("ddl")).cast("bigint").alias("kept_columns"))
+    held = counts.join(text_, "table_name", "left").withColumn("kept_columns", F.coalesce("kept_columns", F.lit(0)))
+    return held.withColumn("rate", evaluation.shortening(F.col("raw_columns"), F.col("kept_columns")))
 
 
 @query(f"SELECT table_name, sha256('pruning:true|no_table_comment|' || string_agg(column_name || ':' || data_type || ':None:' || is_pk || ':' || is_fk, '|' ORDER BY ordinal)) AS hash FROM ({CATALOG}) GROUP BY 1".replace("pruning:true", "pruning:True"))
 def schema_hashes(spark, sf_dir):
-    return text.schema_hash(tables.catalog_columns(spark, sf_dir, SMALL))
+    return text.schema_hash(tables.catalog_columns(spark, sf_dir))
 
 
 # --- feedback and index ----------------------------------------------------------------------------------------
@@ -629,8 +674,9 @@ def index_synced_files(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('customer', 'changed'), ('region', 'removed'), ('part', 'added')) AS t(table_name, change)")
 def index_diff_tables(spark, sf_dir):
-    before = text.schema_hash(tables.catalog_columns(spark, sf_dir, ["region", "nation", "customer"]))
-    now = text.schema_hash(tables.catalog_columns(spark, sf_dir, ["nation", "customer", "part"]).where("column_name <> 'c_acctbal'"))
+    known = [t for t in tables.TABLES if t != "part"], [t for t in tables.TABLES if t != "region"]
+    before = text.schema_hash(tables.catalog_columns(spark, sf_dir, known[0]))
+    now = text.schema_hash(tables.catalog_columns(spark, sf_dir, known[1]).where("column_name <> 'c_acctbal'"))
     return feedback.changes(before, now, "table_name")
 
 
@@ -638,17 +684,21 @@ def index_diff_tables(spark, sf_dir):
 
 
 @query(f"""WITH s AS (SELECT a AS id, score FROM ({SIMILARITY}) WHERE b = 2) SELECT id, round(0.5 * {COS} + 0.5 * s.score, 6) AS score
- FROM s JOIN embeddings a ON a.vec_id = s.id, embeddings b WHERE b.vec_id = 0 ORDER BY 2 DESC, 1 LIMIT 4""")
+ FROM s JOIN embeddings a ON a.vec_id = s.id, embeddings b WHERE b.vec_id = 0 ORDER BY 0.5 * {COS} + 0.5 * s.score DESC, 1 LIMIT 4""")
 def fewshot_hybrid(spark, sf_dir):
-    s = _skeletons(spark)
-    scored = s.alias("a").crossJoin(F.broadcast(s.where("id = 2").alias("b"))).select(F.col("a.id").alias("id"), sqlast.similarity("a", "b").alias("struct"))
+    """Items as examples, against a question with the vector 0 and a guess of the second form."""
+    guess = _forms(spark).where("id = 2").alias("b")  # one row
+    scored = _skeletons(spark, sf_dir).alias("a").crossJoin(F.broadcast(guess)).select(F.col("a.id").alias("id"), sqlast.similarity("a", "b").alias("struct"))
     held = scored.join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), "id")
     return retrieval.few_shots(held, _vector(spark, sf_dir, 0), F.col("struct"), 4).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT CAST(p.id AS BIGINT) AS id, p.dificuldade, round({COS}, 6) AS score FROM (VALUES {', '.join(f'({i}, {chr(39)}{d}{chr(39)})' for i, d, _, _ in POOL)}) AS p(id, dificuldade) JOIN embeddings a ON a.vec_id = p.id, embeddings b WHERE b.vec_id = 0 AND p.dificuldade = 'NESTED' ORDER BY 3 DESC, 1 LIMIT 3")
+CLASS_OF = "CASE item_id % 6 + 1 " + " ".join(f"WHEN {i} THEN '{d}'" for i, d, _ in FORMS) + " END"
+
+
+@query(f"SELECT p.item_id AS id, p.dificuldade, round({COS}, 6) AS score FROM (SELECT item_id, {CLASS_OF} AS dificuldade FROM benchmark) p JOIN embeddings a ON a.vec_id = p.item_id, embeddings b WHERE b.vec_id = 0 AND p.dificuldade = 'NESTED' ORDER BY {COS} DESC, 1 LIMIT 3")
 def fewshot_classification(spark, sf_dir):
-    pool = spark.createDataFrame([(i, d) for i, d, _, _ in POOL], "id long, dificuldade string")
+    pool = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.expr(CLASS_OF).alias("dificuldade"))
     held = retrieval.of_class(pool.where("dificuldade is not null"), "NESTED").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), "id")
     return retrieval.few_shots(held, _vector(spark, sf_dir, 0), None, 3, alpha=1.0).select("id", "dificuldade", F.round("score", 6).alias("score"))
 
@@ -755,6 +805,71 @@ def sanitised_prompts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.sanitised(F.expr(PROMPT)).alias("text"))
 
 
+NOTED = "conv_id, turn, coalesce(text, '') || chr(10) || CASE turn % 3 WHEN 0 THEN 'Choice: ' || (conv_id % 9) || '. Reason: of turn ' || turn WHEN 1 THEN 'choice is ' || conv_id ELSE 'none' END AS reply"
+
+
+@query(f"SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(reply, '(?i)Choice\\D*(\\d+)', 1), '') AS INTEGER) AS choice, trim(regexp_extract(reply, '(?is)Reason:\\s*(.*)', 1)) AS reason FROM (SELECT {NOTED} FROM conversations)")
+def selector_replies(spark, sf_dir):
+    """What a selector's free text chooses, and why."""
+    views(spark, sf_dir, "conversations")
+    found = spark.sql(f"SELECT {NOTED} FROM conversations").select("conv_id", "turn", text.choice(F.col("reply")).alias("c"))
+    return found.select("conv_id", "turn", "c.choice", "c.reason")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 0 ELSE 2 END AS n_items, CASE WHEN turn % 4 = 3 THEN NULL ELSE conv_id + turn END AS total, CASE WHEN turn % 4 = 3 THEN NULL ELSE 'q' || turn END AS first FROM conversations")
+def json_replies(spark, sf_dir):
+    """Lists in replies: bare, fenced, fenced with a name, or none."""
+    body = F.format_string('[{"q": "q%d", "n": %d}, {"q": "other", "n": %d}]', "turn", "conv_id", "turn")
+    fence = lambda name: F.concat(F.lit(f"So:\n```{name}\n"), body, F.lit("\n``` and more"))
+    reply = F.when(F.col("turn") % 4 == 0, body).when(F.col("turn") % 4 == 1, fence("json")).when(F.col("turn") % 4 == 2, fence("")).otherwise(F.coalesce("text", F.lit("")))
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.json_list(reply, "struct<q:string,n:long>").alias("l"))
+    total = F.when(F.size("l") > 0, F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    return found.select("conv_id", "turn", F.size("l").alias("n_items"), total.alias("total"), F.get("l", 0)["q"].alias("first"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') AS stamp, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS parsed, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
+def order_dates(spark, sf_dir):
+    """Times as the grid shows them, dates read from text (a third of it is none), years."""
+    written = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.stamp(F.col("o_orderdate")).alias("stamp"), text.parsed_date(written).alias("parsed"), F.year("o_orderdate").alias("year"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'c' || conv_id || ',t' || turn ELSE '' END AS names, CASE WHEN turn % 2 = 0 THEN '' ELSE 'x.c' || conv_id END AS missing FROM conversations")
+def names_in_texts(spark, sf_dir):
+    """Tables that DDL makes, and the column that an error says isn't there."""
+    ddl = F.concat(F.coalesce("text", F.lit("")), F.lit("\nCREATE TABLE public.t"), "turn", F.lit(" (a INT);\ncreate table c"), "conv_id", F.lit("(b INT); CREATE TABLE t"), "turn")
+    error = F.concat(F.lit('ERROR: column "x.c'), "conv_id", F.lit('" does not exist LINE 1: '), F.coalesce("text", F.lit("")))
+    reply = F.when(F.col("turn") % 2 == 0, ddl).otherwise(error)
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("r"))
+    return found.select("conv_id", "turn", F.array_join(text.table_names(F.col("r")), ",").alias("names"), text.missing_name(F.col("r")).alias("missing"))
+
+
+@query("SELECT o_orderkey AS id_movimento, CAST(1 + o_orderkey % 2 AS INTEGER) AS movement_type, CAST(o_orderdate AS DATE) AS movement_date, 'A' AS status, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS net_total, CAST(0 AS DOUBLE) AS gross_total FROM orders")
+def renamed_fields(spark, sf_dir):
+    """Rows by physical names and by logical ones."""
+    o = table(spark, sf_dir, "orders")
+    kind = (1 + F.col("o_orderkey") % 2).cast("int")
+    rows = o.select(F.col("o_orderkey").alias("vwmo_id_movimento"), kind.alias("tipo_movimento"), F.col("o_orderdate").cast("date").alias("VWMO_DT_MOVIMENTO"), F.lit("A").alias("situacao"), F.col("o_totalprice").cast("decimal(18,2)").alias("vwmo_vl_total_liquido"))
+    held = movement.as_rows(rows)
+    return held.select(F.col("movement_id").alias("id_movimento"), "movement_type", "movement_date", "status", F.col("net_total").cast("double").alias("net_total"), F.col("gross_total").cast("double").alias("gross_total"))
+
+
+@query("""WITH b AS (SELECT item_id, floor(item_id / 4) AS block, row_number() OVER (PARTITION BY floor(item_id / 4) ORDER BY item_id) AS i, coalesce(text, '') AS q FROM benchmark)
+SELECT CAST(block AS BIGINT) AS block, string_agg('Exemplo ' || i || ':' || chr(10) || 'Pergunta: ' || q || chr(10) || 'SELECT ' || item_id, chr(10) || chr(10) ORDER BY i) AS shots,
+ string_agg('- Pergunta: ' || chr(39) || q || chr(39) || ' | Classificação Correta: C' || (item_id % 3), chr(10) ORDER BY i) AS classes FROM b GROUP BY 1""")
+def example_blocks(spark, sf_dir):
+    """Blocks of examples as prompts show them, of every four items."""
+    items = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 4).alias("block"), "item_id", F.coalesce("text", F.lit("")).alias("pergunta"), F.concat(F.lit("SELECT "), "item_id").alias("sql"), F.concat(F.lit("C"), F.col("item_id") % 3).alias("dificuldade"))
+    listed = items.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("item_id", "pergunta", "sql", "dificuldade"))).alias("l"))
+    return listed.select("block", text.shots_of(F.col("l")).alias("shots"), text.classes_of(F.col("l")).alias("classes"))
+
+
+@query("SELECT table_name, row_count FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in tables.TABLES) + ") WHERE row_count > 0 AND table_name NOT IN ('labels') AND NOT contains(table_name, 'data_') AND NOT contains(table_name, 'tb_rag_feedback')")
+def tables_to_ask_about(spark, sf_dir):
+    """Tables with rows for which questions are made: none of the index's own, and not those skipped."""
+    return evaluation.askable(tables.row_counts(spark, sf_dir), ("labels",))
+
+
 @query("""SELECT a.vec_id, CAST(len(list_intersect([x, y, z], [x, y, 99])) AS INTEGER) AS common, CAST(len(list_distinct([x, y, z, 99])) AS INTEGER) AS n_union, array_to_string(list_sort([x, y, z]), ',') AS sorted, [x, y, z][2] AS second
  FROM (SELECT vec_id, CAST(vec_id % 3 AS INTEGER) AS x, CAST(vec_id % 5 AS INTEGER) AS y, CAST(label AS INTEGER) AS z FROM embeddings) a""")
 def set_and_array_functions(spark, sf_dir):
