@@ -11,7 +11,8 @@ has no link:
 4. The index has the sets' prefixes by element, with positions and sizes. Each set is first compared with one
    centre, a set it meets in most of its lists; linked ones form stars around centres, and components.
 5. Index lists are then read by block, not by posting: a list whose sets are all of one component is skipped
-   whole, what remains is one entry per star with the range of its positions and sizes, joined by size block.
+   whole, what remains is one entry per star with the range of its positions and sizes. Entries are joined by size block,
+   and one whose position comes too late in its set to reach the threshold with a block's sizes never goes there.
 6. A star's answers follow from its centre's: two centres further apart than the threshold and both radii have
    no linked members (Jaccard distance is a metric), linked centres join the components, and only in between
    are members compared: with the other centre first, and with its members only where that leaves it open.
@@ -325,8 +326,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     block = _size_block(F.col("n"), percent)
     entry = posts.groupBy("token", "star", "component", block.alias("block")).agg(F.min("pos").alias("pos"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     entry = store.saved(entry, "entries")
-    left = entry.select("token", *[F.col(c).alias(f"{c}_a") for c in ("star", "component", "pos", "lo", "hi")], F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    right = entry.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in ("star", "component", "pos", "lo", "hi")])
+    # an entry goes only to blocks of sizes that its position can still reach the threshold with
+    least_of = lambda b: F.pow(F.lit(100 / percent), b) * (1 - 1e-6)
+    reaches = lambda b, s: F.expr(f"(hi{s} - pos{s}) * {100 + percent}") >= (F.col(f"lo{s}") + least_of(b)) * percent
+    left = entry.select("token", *[F.col(c).alias(f"{c}_a") for c in ("star", "component", "pos", "lo", "hi")], F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")).where(reaches(F.col("block"), "_a"))
+    right = entry.where(reaches(F.col("block") - 1, "")).select("token", "block", *[F.col(c).alias(f"{c}_b") for c in ("star", "component", "pos", "lo", "hi")])
 
     def may(lo_a, hi_a, pos_a, lo_b, hi_b, pos_b) -> Column:
         rest = F.least(F.expr(f"{hi_a} - {pos_a}"), F.expr(f"{hi_b} - {pos_b}"))

@@ -32,6 +32,8 @@ from . import tokens
 FEATURES = 1 << 16
 #: Labelled documents per language that are learned from, in expectation.
 SAMPLE = 3000
+#: Labels that are learned at most, the commonest ones.
+MOST_LANGUAGES = 256
 #: Cost of a switch of language between neighbouring words, in nats.
 SWITCH = 12.0
 #: Share of a language's sampled words that a script needs to count as one of its scripts.
@@ -105,7 +107,10 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of labelled rows (doc_id, text, lang)."""
     ship(rows.sparkSession)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    # the commonest labels alone: a column of anything else must not fill the driver
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in common.collect()}
+    rows = rows.where(F.col("lang").isin(list(counts)))
     languages = sorted(counts)
     n = len(languages)
     if not n:

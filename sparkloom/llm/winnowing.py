@@ -121,13 +121,14 @@ def with_next(docs: DataFrame, k: int = K, w: int = W, parts: int | None = None)
 
     Keys alone are dealt into ranges by Spark's own range partitioning; their first keys, one per range, are the
     bounds by which the texts are then shuffled, once. Each range also gets the first document of the range after
-    it, as a row that is only looked at. Rows equal in doc_id and in their first characters share a range.
+    it, as a row that is only looked at. Rows equal in doc_id go by their first characters, then by a hash of the text; only
+    rows equal in doc_id and text share a range.
     """
     spark = docs.sparkSession
     n = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # ascending keys for descending doc_ids, nulls last
-    parts_of_key = {"nameless": F.col("doc_id").isNull().cast("int"), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "lead": F.substring("text", 1, LEAD)}
+    parts_of_key = {"nameless": F.col("doc_id").isNull().cast("int"), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "lead": F.substring("text", 1, LEAD), "mark": F.xxhash64("text")}
     keyed = base.withColumn("key", F.struct(*[c.alias(name) for name, c in parts_of_key.items()]))
     dealt = keyed.select("key").repartitionByRange(n, "key").select("key", F.spark_partition_id().alias("part"))
     firsts = store.saved(dealt.groupBy("part").agg(F.min("key").alias("key")), "range-firsts")
