@@ -9,7 +9,7 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
@@ -88,6 +88,13 @@ def prompt(tool: str, difficulty: str) -> str:
     return RULES.get((kind, difficulty), RULES[kind, ""])
 
 
+def tool_of(question: Column) -> Column:
+    """The tool that the rules give a question."""
+    low = F.lower(question)
+    names = lambda some: F.exists(F.array(*[F.lit(w) for w in some]), lambda w: F.contains(low, w))
+    return F.when(names(FILTER_WORDS), FILTER_TOOL).when(names(MANUAL_WORDS), MANUAL_TOOL).otherwise(QUERY_TOOL)
+
+
 class Agent:
     def __init__(
         self,

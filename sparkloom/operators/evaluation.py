@@ -103,8 +103,8 @@ def exact_match(spark: SparkSession, generated: str, expected: str) -> int:
 
 def valid_efficiency(spark: SparkSession, generated: str, expected: str, ex: int, n: int = 5, limit: float | None = None) -> float:
     """min(sqrt(reference time / generated time), 1) over means of n runs after one to warm up; 0 if ex is 0, or if
-    all runs of a statement take more than limit seconds."""
-    if not ex or not (validate.check(spark, generated)[0] and validate.check(spark, expected)[0]):
+    all runs of a statement take more than limit seconds, or none is made."""
+    if not ex or n < 1 or not (validate.check(spark, generated)[0] and validate.check(spark, expected)[0]):
         return 0.0
 
     def mean(sql: str) -> float:
@@ -260,7 +260,7 @@ def evaluate(spark: SparkSession, ask, cases: list[dict], path: str | None = Non
             }
         )
         if path:
-            files.write_json(records, path)
+            files.write_json(records, path, spark)
     return records
 
 

@@ -87,13 +87,13 @@ class Index:
 
     def state(self) -> DataFrame:
         """(key, hash) of what is indexed."""
-        empty = f"`{self.key}` string, hash string"
         if not self.segments:
-            return self.spark.createDataFrame([], empty)
-        held = self._table("state", f"{empty}, segment long")
+            return self.spark.createDataFrame([], f"`{self.key}` string, hash string")
+        kind = self.content["schemas"]["key"]
+        held = self._table("state", f"{kind}, hash string, segment long")
         last = held.groupBy(self.key).agg(F.max(F.struct("segment", "hash")).alias("last"))
         if self.content["tombs"]:
-            gone = self._table("gone", f"`{self.key}` string, segment long", self.content["tombs"]).groupBy(self.key).agg(F.max("segment").alias("gone"))
+            gone = self._table("gone", f"{kind}, segment long", self.content["tombs"]).groupBy(self.key).agg(F.max("segment").alias("gone"))
             last = last.join(gone, self.key, "left").where("gone is null or gone <= last.segment")
         return last.select(self.key, "last.hash")
 
@@ -106,7 +106,7 @@ class Index:
         nodes, if there are no levels) get an embedding if embed is given, and go to the vector table if they have one.
         """
         version, number = self._next()
-        diff = feedback.changes(self.state(), state, self.key)
+        diff = feedback.changes(self.state() if self.segments else state.select(self.key, "hash").limit(0), state, self.key)
         diff.write.mode("overwrite").parquet(f"{self.path}/diff/segment={number}")
         diff = self.spark.read.schema(diff.schema).parquet(f"{self.path}/diff/segment={number}")
         told = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
@@ -168,6 +168,7 @@ class Index:
         schemas = dict(self.content.get("schemas", {}))
         node_type = held.schema["node_id"].dataType.simpleString()
         schemas["nodes"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", segment long"
+        schemas["key"] = f"`{self.key}` {state.schema[self.key].dataType.simpleString()}"
         schemas["tombs"] = f"node_id {node_type}, of long, segment long"
         schemas["postings"] = f"token string, block long, best double, docs array<struct<node_id:{node_type},n:int,length:int>>, segment long, bucket int"
         if own is not None:

@@ -169,6 +169,12 @@ def envelope(total: int, number: int, size: int) -> dict:
     return {"page": number, "page_size": size, "total": total, "total_pages": pages, "has_next": number < pages, "has_previous": number > 1}
 
 
+def envelope_of(total: Column, number: int, size: int) -> dict[str, Column]:
+    """envelope() of a column of totals."""
+    pages = F.ceil(total / size).cast("long")
+    return {"total_pages": pages, "has_next": F.lit(number) < pages, "has_previous": F.lit(number > 1)}
+
+
 def serialised(df: DataFrame) -> DataFrame:
     """Dates and money as the dashboard's grid shows them."""
     return df.select(*[F.date_format(c, "dd/MM/yyyy").alias(c) if c == "movement_date" else F.bround(c, 2).cast("decimal(18,2)").cast("string").alias(c) if c in MONEY else F.col(c) for c in df.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import maps, text, vectors
 from sparkloom.operators import answers, evaluation, feedback, indexes, many, movement, retrieval, rollup, trees
 from sparkloom.plans import schema, sqlast, validate
-from sparkloom.sources import tables, versions
+from sparkloom.sources import files, tables, versions
 from sparkloom.sources.tables import table, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -878,6 +878,136 @@ def set_and_array_functions(spark, sf_dir):
     return a.select("vec_id", F.size(F.array_intersect("v", other)).alias("common"), F.size(F.array_union("v", F.array(F.lit(99)))).alias("n_union"), F.array_join(F.array_sort("v"), ",").alias("sorted"), F.element_at("v", 2).alias("second"))
 
 
+# --- files and folders, and what is built on them --------------------------------------------------------------
+
+
+@query("""SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'EASY' WHEN 1 THEN 'NESTED' END AS dificuldade, text AS pergunta, CASE WHEN item_id % 2 = 0 THEN 'SELECT ' || item_id ELSE 'SELECT -' || item_id END AS sql
+ FROM benchmark WHERE trim(coalesce(text, '')) <> '' AND item_id % 5 <> 0""")
+def example_pool(spark, sf_dir):
+    """Items written as two JSON pools and read again; those without a statement (every fifth) are no examples."""
+    folder = versions.new_path(spark, "pool")
+    items = table(spark, sf_dir, "benchmark").orderBy("item_id").collect()  # a pool of examples is a short file
+    kinds = {0: "EASY", 1: "NESTED", 2: None}
+
+    def record(i: int, question: str | None) -> dict:
+        sql = " " if i % 5 == 0 else f"SELECT {i}" if i % 2 == 0 else f"SELECT -{i}"
+        # one pool has the statement where it is expected, the other where it was generated
+        return {"id": i, "dificuldade": kinds[i % 3], "pergunta": question} | ({"sql_esperado": sql} if i % 2 == 0 else {"sql_esperado": "", "sql_gerado": sql})
+
+    for part in (0, 1):
+        files.write_json([record(r["item_id"], r["text"]) for r in items if r["item_id"] % 2 == part], f"{folder}/{part}.json", spark)
+    pool = files.few_shot_pool(spark, f"{folder}/0.json", f"{folder}/1.json", f"{folder}/none.json")
+    return retrieval.usable(pool.select("id", "dificuldade", "pergunta", files.example_sql(*files.POOL_ORDER).alias("sql")))
+
+
+@query("SELECT 'item' || item_id || '.txt' AS file_name, coalesce(text, '') AS text FROM benchmark")
+def document_folder(spark, sf_dir):
+    """Items written as files of a folder and read again."""
+    folder = versions.new_path(spark, "folder")
+    for r in table(spark, sf_dir, "benchmark").collect():  # a folder of short manuals
+        files.write_text(spark, r["text"] or "", f"{folder}/item{r['item_id']}.txt")
+    return files.text_files(spark, folder)
+
+
+LATER = "SELECT doc_id AS node_id, CASE WHEN doc_id % 100 = 1 THEN coalesce(text, '') || ' the of token edited' ELSE text END AS text FROM documents WHERE doc_id % 100 <> 2"
+
+
+@query(f"""WITH n AS ({LATER}), t AS (SELECT node_id, {TOKENS.format('text')} AS ts FROM n), h AS (SELECT node_id, {_bm25(['the', 'of', 'token'])} AS score FROM t WHERE list_has_all(ts, ['the', 'of', 'token']) ORDER BY score DESC, node_id LIMIT 12)
+ SELECT 'hit' AS what, node_id, round(score, 6) AS score FROM h UNION ALL SELECT 'node', node_id, 0 FROM n UNION ALL
+ SELECT 'written', count(*) FILTER (doc_id % 100 < 2), 0 FROM documents""")
+def index_kept_up(spark, sf_dir):
+    """An index of documents after some are new, edited or gone (one of a hundred each): its nodes, the best hits of a
+    question, and how many nodes the second segment has."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    states = lambda nodes: nodes.select("node_id", F.sha2("text", 256).alias("hash"))
+    edited = F.when(F.col("node_id") % 100 == 1, F.concat(F.coalesce("text", F.lit("")), F.lit(" the of token edited"))).otherwise(F.col("text"))
+    before, now = docs.where("node_id % 100 <> 0"), docs.where("node_id % 100 <> 2").withColumn("text", edited)
+    index = indexes.Index(spark, versions.new_path(spark, "kept-up"), key="node_id")
+    index.sync(before, states(before))
+    index.sync(now, states(now))
+    hits = index.lexical(QUESTION, 12).select(F.lit("hit").alias("what"), "node_id", F.round("score", 6).alias("score"))
+    nodes = index.nodes().select(F.lit("node").alias("what"), "node_id", F.lit(0.0).alias("score"))
+    written = spark.createDataFrame([("written", index.content["rows"][str(index.segments[-1])], 0.0)], "what string, node_id long, score double")
+    return hits.unionByName(nodes).unionByName(written)
+
+
+@query(f"SELECT table_name, sha256('pruning:True|no_table_comment|' || string_agg(column_name || ':' || data_type || ':None:' || is_pk || ':' || is_fk, '|' ORDER BY ordinal)) AS hash FROM ({CATALOG}) GROUP BY 1")
+def hash_state(spark, sf_dir):
+    """Hashes of all tables' schemas, saved and loaded."""
+    path = versions.new_path(spark, "state")
+    text.schema_hash(tables.catalog_columns(spark, sf_dir)).write.json(path)
+    return files.hash_state(spark, path)
+
+
+@query(f"""SELECT c.table_name, 'CREATE TABLE ' || c.table_name || ' (' || chr(10) || '    ' || cols || coalesce(',' || chr(10) || '    ' || refs, '') || chr(10) || ');' AS ddl FROM
+ (SELECT table_name, string_agg(column_name || ' ' || data_type, ',' || chr(10) || '    ' ORDER BY ordinal) AS cols FROM ({CATALOG}) GROUP BY 1) c
+ LEFT JOIN (SELECT table_name, string_agg('FOREIGN KEY (' || column_name || ') REFERENCES ' || ref_table || '(' || ref_column || ')', ',' || chr(10) || '    ' ORDER BY column_name) AS refs FROM ({FKS}) GROUP BY 1) r ON r.table_name = c.table_name""")
+def simple_schema(spark, sf_dir):
+    return schema.simple_ddl(tables.catalog_columns(spark, sf_dir), tables.catalog_fks(spark))
+
+
+EIGHT = "list_transform(range(8), lambda i: CAST(CAST('0x' || substr(md5({0}), CAST(1 + 4 * i AS BIGINT), 4) AS BIGINT) AS DOUBLE))"
+SOUGHT = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
+
+
+@query(f"""{CHUNKS}, v AS (SELECT 'd' || doc_id || '.' || n AS node_id, {EIGHT.format("array_to_string(ws, ' ')")} AS x FROM roots),
+ h AS (SELECT node_id FROM v ORDER BY list_dot_product(x, {SOUGHT}::DOUBLE[]) / (sqrt(list_dot_product(x, x)) * sqrt(204.0)) DESC, node_id LIMIT 15),
+ l AS (SELECT 'd' || doc_id || '.' || p || '.' || n AS node_id, array_to_string(ws, ' ') AS text FROM leaves WHERE 'd' || doc_id || '.' || p IN (SELECT node_id FROM h))
+SELECT node_id, len(list_intersect(['the', 'of', 'token', 'anstou'], {TOKENS.format('text')})) / 4.0 AS score FROM l ORDER BY score DESC, node_id LIMIT 3""")
+def manual_answers(spark, sf_dir):
+    """The best leaves below the roots nearest to a vector, of all documents as manuals."""
+    nodes = retrieval.chunks(table(spark, sf_dir, "documents"))
+    digest = F.md5("text")
+    vector = F.array(*[F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("double") for i in range(8)])
+    held = nodes.withColumn("embedding", F.when(F.col("level") == 0, vector))
+    return retrieval.answer_nodes(held, RERANK_QUESTION, SOUGHT)
+
+
+@query("""SELECT n_name, count(c_custkey) AS total, CAST(ceil(count(c_custkey) / 7.0) AS BIGINT) AS total_pages, 2 < CAST(ceil(count(c_custkey) / 7.0) AS BIGINT) AS has_next, true AS has_previous
+ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+def page_envelopes(spark, sf_dir):
+    """What a second page of seven customers says of each nation's pages."""
+    views(spark, sf_dir, "nation", "customer")
+    counts = spark.sql("SELECT n_name, count(c_custkey) AS total FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+    e = movement.envelope_of(F.col("total"), 2, 7)
+    return counts.select("n_name", "total", e["total_pages"].alias("total_pages"), e["has_next"].alias("has_next"), e["has_previous"].alias("has_previous"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY o) AS line, t AS text FROM (SELECT 0 AS o, '| r_regionkey | r_name |' AS t UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 2 + r_regionkey, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region)""")
+def markdown_table(spark, sf_dir):
+    lines = text.markdown(table(spark, sf_dir, "region").orderBy("r_regionkey"), 100).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line long, text string")
+
+
+ASKED = "coalesce(text, '') || CASE (conv_id + turn) % 4 WHEN 0 THEN ' in the Dashboard' WHEN 1 THEN ' How to do it' WHEN 2 THEN ' FILTRO' ELSE '' END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN contains(q, 'filtr') OR contains(q, 'dashboard') OR contains(q, 'painel') OR contains(q, 'filter') THEN 'gerador_script_filtro_bi'
+ WHEN contains(q, 'como ') OR contains(q, 'manual') OR contains(q, 'procediment') OR contains(q, 'how do') OR contains(q, 'how to') THEN 'manuais_e_procedimentos' ELSE 'executor_consultas_informativas' END AS tool FROM (SELECT conv_id, turn, lower({ASKED}) AS q FROM conversations)""")
+def routed_questions(spark, sf_dir):
+    """The tool for every turn as a question."""
+    from sparkloom import agent
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", agent.tool_of(F.expr(ASKED)).alias("tool"))
+
+
+GRADED = """(VALUES (0, 'SELECT count(*) AS n FROM nation WHERE n_nationkey < #', 1, 1, 'OK'), (1, 'SELECT count(n_name) AS n FROM nation WHERE n_nationkey < #', 1, 0, 'OK'), (2, 'SELECT -1 AS n FROM nation LIMIT 1', 0, 0, 'ERRO_LOGICO_SQL'),
+ (3, 'SELECT nme FROM nation', 0, 0, 'ERRO_LOGICO_SQL'), (4, ' ', 0, 0, 'FALHA_GERACAO_SQL')) AS g(kind, sql, ex, em, status)"""
+
+
+@query(f"SELECT item_id AS id, ex AS execution_accuracy, em AS exact_match, status AS status_avaliacao FROM benchmark JOIN {GRADED} ON kind = item_id % 5")
+def evaluation_records(spark, sf_dir):
+    """The evaluation of a model that answers every item with a statement of some kind, right or wrong."""
+    from sparkloom import agent
+
+    views(spark, sf_dir, "nation", "benchmark")
+    kinds = spark.sql(f"SELECT item_id, replace(sql, '#', CAST(item_id AS STRING)) AS sql FROM benchmark JOIN {GRADED} ON kind = item_id % 5 ORDER BY 1").collect()
+    replies = {str(r["item_id"]): r["sql"] for r in kinds}
+    cases = [{"id": r["item_id"], "pergunta": str(r["item_id"]), "sql_esperado": f"SELECT count(*) AS n FROM nation WHERE n_nationkey < {r['item_id']}"} for r in kinds]
+    records = evaluation.evaluate(spark, lambda q: agent.Response("a", {"sql": replies[q]}), cases, ves_runs=0)
+    return spark.createDataFrame([(r["id"], r["execution_accuracy"], r["exact_match"], r["status_avaliacao"]) for r in records], "id long, execution_accuracy int, exact_match int, status_avaliacao string")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

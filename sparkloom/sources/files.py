@@ -54,9 +54,23 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(x.getPath().getParent().getParent().getName()) for x in found or [])
 
 
-def write_json(records: list[dict], path: str) -> None:
-    """A small result list, rewritten whole: readable, not escaped."""
-    Path(path).write_text(json.dumps(records, ensure_ascii=False, indent=4), encoding="utf-8")
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file, written over what there was, wherever Spark can write."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def write_json(records: list[dict], path: str, spark: SparkSession | None = None) -> None:
+    """A small result list, rewritten whole: readable, not escaped. With a session the path may be of any store."""
+    text = json.dumps(records, ensure_ascii=False, indent=4)
+    if spark is None:
+        Path(path).write_text(text, encoding="utf-8")
+    else:
+        write_text(spark, text, path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
