@@ -38,8 +38,9 @@ SEEK_FRAMES = 8
 DECODE_BYTES = 6 << 20
 #: Order of the linear predictors that the encoder fits, and bits of their factors.
 LPC_ORDER, PRECISION = 4, 12
-#: Parts in which whole tables are stored and decoded.
-SLICES = 4
+#: Parts in which whole tables are stored and decoded: at least so many, and as many as the planner's size of the table asks
+#: for; more than MOST_SLICES are none, as each is a job of its own.
+SLICES, SLICE_BYTES, MOST_SLICES = 4, 8 << 30, 4096
 #: Kinds of subframe that the encoder tells apart: FIXED + order, or these.
 CONSTANT, VERBATIM, LPC = 5, 6, 7
 
@@ -485,7 +486,13 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, f"{schema}media_bytes long, media_sha256 string, blocks {BLOCK_SQL}")
 
 
-def stored_blocks(docs: DataFrame, slices: int = SLICES) -> DataFrame:
+def slices_of(docs: DataFrame) -> int:
+    """How many slices a table takes, by the size that the planner knows of its files."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_SLICES, max(SLICES, -(-size // SLICE_BYTES)))
+
+
+def stored_blocks(docs: DataFrame, slices: int | None = None) -> DataFrame:
     """Written pcm_blocks() of all rows, decoded from written streams. A slice's streams are dropped once its blocks are
     written, so that at any time only those of one slice take space beside the blocks; who wants to keep the streams
     writes as_media().
@@ -496,8 +503,10 @@ def stored_blocks(docs: DataFrame, slices: int = SLICES) -> DataFrame:
     gives an empty table.
     """
     spark = docs.sparkSession
+    # without a file's size the planner assumes the largest there is
+    slices = slices or (slices_of(docs) if docs.inputFiles() else SLICES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    edges = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / slices for i in range(1, slices)], 0.01)})
+    edges = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / slices for i in range(1, slices)], min(0.01, 0.1 / slices))})
     within = [F.col("doc_id").isNull() | (F.col("doc_id") < edges[0]), *((F.col("doc_id") >= a) & (F.col("doc_id") < b) for a, b in pairwise(edges)), F.col("doc_id") >= edges[-1]] if edges else [F.lit(True)]
     paths = []
     for mine in within:

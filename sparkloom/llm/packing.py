@@ -1,9 +1,9 @@
 """Best-fit packing of token pieces into sequences, by exact-complement hashing.
 
 Pieces are known to the packer by length alone, so the plan is made on a histogram with one entry per length
-(bounded by the capacity), however many pieces there are. The longest length left opens sequences; single,
-pair and triple length sums are looked up for the gap, and a combination that fills it exactly is consumed as
-often as all its counts allow. Where none does, the longest length that fits goes in (best fit) and the smaller
+(bounded by the capacity), however many pieces there are. The longest length left opens sequences; for its gap
+single, pair and triple sums are found by their complements in the array of counts by length (no table of all sums is
+kept), and a combination that fills it exactly is consumed as often as all its counts allow. Where none does, the longest length that fits goes in (best fit) and the smaller
 gap is looked up again. Every step but the last of an opener uses up a length, so the plan has a few times as
 many rows as there are lengths.
 

@@ -175,6 +175,14 @@ def test_slices_hold_every_row_once(spark, monkeypatch, ids):
         assert len(dropped) == media.SLICES
 
 
+def test_slices_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(5000).selectExpr("id AS doc_id", "repeat(string(id), 50) AS text").repartition(2).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert media.slices_of(docs) == media.SLICES
+    monkeypatch.setattr(media, "SLICE_BYTES", 10_000)
+    assert media.slices_of(docs) > media.SLICES
+
+
 @pytest.mark.parametrize("at", [60, 100, -1])
 def test_damage_is_found(at):
     payload = np.random.default_rng(7).choice(np.frombuffer(b"some text of letters", np.uint8), 576 * 3)
