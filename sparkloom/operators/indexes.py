@@ -6,11 +6,11 @@ tombstones for the nodes that they and the removed keys had. The manifest that m
 sources.versions). When tombstones or segments are many, they are compacted into one segment.
 
 Postings: (token, block) rows; a block is a range of BLOCK nodes of a segment, and has those with the token, how often
-and how long they are, and the best score that any of them has for it. They lie in folders by a hash of the token,
-sorted, so a question's plan reads its tokens' folders and row groups. Search adds up the blocks' bounds, scores the
+and how long they are, and the best score that any of them has for it. They lie in folders by a hash of the token, as many as the
+segment's size asks for, sorted, so a question's plan reads its tokens' folders and row groups. Search adds up the blocks' bounds, scores the
 most promising blocks, and then only those whose bound reaches the k-th best score found.
 
-Vectors: unit vectors lie in folders by their nearest centre (cell); cells have radii. By the triangle inequality no
+Vectors: unit vectors lie in folders by their nearest centre (cell), some cells in a folder where a segment is small; cells have radii. By the triangle inequality no
 vector of a cell is nearer to the question than the centre's distance less the radius, so cells beyond the k-th
 distance found are skipped at the scan. Both searches are exact. Centres are fitted on at most SAMPLE vectors, those with
 the least hashes; there are at most CELLS of them, which a search collects.
@@ -34,8 +34,9 @@ from sparkloom.operators.retrieval import embedded, term_score
 from sparkloom.sources import versions
 
 BLOCK = 1024
-BUCKETS = 64
 CELLS, SAMPLE, ROUNDS = 1024, 20_000, 6
+#: Nodes of a segment for each folder of its postings, rows for each folder of its vectors, and folders at most.
+BUCKET_NODES, PART_ROWS, FOLDERS = 20_000, 20_000, 1024
 #: Blocks, or rows of cells, that the first look takes for each wanted hit.
 FIRST_BLOCKS, FIRST_ROWS = 4, 32
 #: Share of dead nodes and number of segments from which a sync compacts.
@@ -146,7 +147,7 @@ class Index:
         version, number = self._next()
         nodes, state, vectors = self.nodes(), self.state(), self._live(self._table("vectors")).select("node_id", "embedding")
         content = self._segment(number, nodes, state, None, vectors)
-        content |= {"segments": [number], "tombs": [], "rows": {str(number): content["rows"][str(number)]}}
+        content |= {"segments": [number], "tombs": []} | {x: {k: v for k, v in content[x].items() if k == str(number)} for x in ("rows", "buckets", "widths", "centres")}
         self._commit(version, content)
 
     def _segment(self, number: int, nodes: DataFrame, state: DataFrame, embed, vectors: DataFrame | None = None) -> dict:
@@ -156,15 +157,17 @@ class Index:
         nodes.select(*plain, F.monotonically_increasing_id().alias("place")).write.mode("overwrite").parquet(at("nodes"))
         state.select(self.key, "hash").write.mode("overwrite").parquet(at("state"))
         held = self.spark.read.parquet(at("nodes"))
-        self._postings(held, number)
+        rows = held.count()
+        buckets = min(FOLDERS, max(1, rows // BUCKET_NODES))
+        self._postings(held, number, buckets)
         if vectors is None:
             vectors = nodes.where("level = 0") if "level" in nodes.columns else nodes
             if "embedding" not in vectors.columns and embed is not None:
                 vectors = embedded(vectors, "text", embed)
-        own = None
+        own, width = None, 1
         if "embedding" in vectors.columns:
             vectors = vectors.where("embedding is not null").select("node_id", "embedding")
-            own = self._vectors(vectors, number)
+            own, width = self._vectors(vectors, number)
         schemas = dict(self.content.get("schemas", {}))
         node_type = held.schema["node_id"].dataType.simpleString()
         schemas["nodes"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", segment long"
@@ -172,29 +175,29 @@ class Index:
         schemas["tombs"] = f"node_id {node_type}, of long, segment long"
         schemas["postings"] = f"token string, block long, best double, docs array<struct<node_id:{node_type},n:int,length:int>>, segment long, bucket int"
         if own is not None:
-            schemas["vectors"] = f"node_id {node_type}, embedding {vectors.schema['embedding'].dataType.simpleString()}, reach double, segment long, cell int"
+            schemas["vectors"] = f"node_id {node_type}, embedding {vectors.schema['embedding'].dataType.simpleString()}, reach double, cell int, segment long, part int"
         elif "vectors" not in schemas:
-            schemas["vectors"] = f"node_id {node_type}, embedding array<double>, reach double, segment long, cell int"
+            schemas["vectors"] = f"node_id {node_type}, embedding array<double>, reach double, cell int, segment long, part int"
         return {
             "segments": [*self.segments, number], "tombs": self.content.get("tombs", []), "schemas": schemas,
-            "rows": {**self.content.get("rows", {}), str(number): held.count()}, "centres": {**self.content.get("centres", {}), **({str(number): own} if own is not None else {})},
+            "rows": {**self.content.get("rows", {}), str(number): rows}, "buckets": {**self.content.get("buckets", {}), str(number): buckets}, "widths": {**self.content.get("widths", {}), str(number): width}, "centres": {**self.content.get("centres", {}), **({str(number): own} if own is not None else {})},
         }
 
-    def _postings(self, held: DataFrame, number: int) -> None:
+    def _postings(self, held: DataFrame, number: int, buckets: int) -> None:
         ts = held.select("node_id", "place", tokens(F.coalesce("text", F.lit(""))).alias("ts"))
         each = ts.select("node_id", "place", F.size("ts").alias("length"), F.explode("ts").alias("token"))
         counts = each.groupBy("node_id", "place", "length", "token").agg(F.count("*").cast("int").alias("n"))
         block = F.floor(F.col("place") / BLOCK).cast("long")
         blocks = counts.groupBy("token", block.alias("block")).agg(F.max(term_score(F.col("n"), F.col("length"))).alias("best"), F.array_sort(F.collect_list(F.struct("node_id", "n", "length"))).alias("docs"))
-        bucketed = blocks.withColumn("bucket", self._bucket(F.col("token")))
+        bucketed = blocks.withColumn("bucket", self._bucket(F.col("token"), buckets))
         bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
 
     @staticmethod
-    def _bucket(token: Column) -> Column:
-        return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+    def _bucket(token: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
-    def _vectors(self, vectors: DataFrame, number: int) -> int:
-        """Writes vectors by cell; says which segment's centres they lie by."""
+    def _vectors(self, vectors: DataFrame, number: int) -> tuple[int, int]:
+        """Writes vectors by cell; says which segment's centres they lie by, and how many cells share a folder."""
         like = self.content.get("centres", {}).get(str(self.segments[-1])) if self.segments else None
         # a segment much larger than what there was gets centres of its own, and so does a compacted one
         if like is None:
@@ -209,13 +212,14 @@ class Index:
             for part in units:
                 yield pd.DataFrame([_nearest(u, centres) for u in part], columns=["cell", "reach"])
 
-        placed = numbered.withColumn("at", near("unit")).select("node_id", "embedding", "at.reach", "at.cell")
+        width = max(1, -(-max(1, len(centres)) // min(FOLDERS, max(1, vectors.count() // PART_ROWS))))
+        placed = numbered.withColumn("at", near("unit")).select("node_id", "embedding", "at.reach", "at.cell", F.floor(F.col("at.cell") / width).cast("int").alias("part"))
         path = f"{self.path}/vectors/segment={number}"
-        placed.hint("rebalance", "cell").sortWithinPartitions("cell", "reach").write.mode("overwrite").partitionBy("cell").parquet(path)
+        placed.hint("rebalance", "part").sortWithinPartitions("part", "cell", "reach").write.mode("overwrite").partitionBy("part").parquet(path)
         kind = vectors.schema["embedding"].dataType.simpleString()
-        held = self.spark.read.schema(f"node_id {node_type}, embedding {kind}, reach double, cell int").parquet(path)
+        held = self.spark.read.schema(f"node_id {node_type}, embedding {kind}, reach double, cell int, part int").parquet(path)
         held.groupBy("cell").agg(F.min("reach").alias("least"), F.max("reach").alias("radius"), F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cells/segment={number}")
-        return like
+        return like, width
 
     def _fit(self, vectors: DataFrame, number: int) -> None:
         """Centres by a few rounds of k-means on the vectors with the least hashes; those of the commonest length."""
@@ -244,12 +248,18 @@ class Index:
 
     def postings(self, words: list[str]) -> DataFrame:
         """The rows of some tokens: their folders, and row groups, are all that is read."""
-        buckets = sorted({r[0] for r in self.spark.createDataFrame([(w,) for w in words], "token string").select(self._bucket(F.col("token"))).collect()})
-        return self._table("postings").where(F.col("bucket").isin(buckets) & F.col("token").isin(words))
+        named = self.spark.createDataFrame([(w,) for w in words], "token string")
+        sizes = sorted(set(self.content["buckets"][str(s)] for s in self.segments))
+        found = named.select([self._bucket(F.col("token"), n).alias(str(n)) for n in sizes]).collect()
+        wanted = F.lit(False)
+        for s in self.segments:
+            n = str(self.content["buckets"][str(s)])
+            wanted = wanted | ((F.col("segment") == s) & F.col("bucket").isin(sorted({r[n] for r in found})))
+        return self._table("postings").where(wanted & F.col("token").isin(words))
 
     def lexical(self, question: str, k: int = 12, any_word: bool = False) -> DataFrame:
         """(node_id, score) of the k best nodes with all (or any) words of the question, as retrieval.lexical()."""
-        words = self.spark.range(1).select(F.array_distinct(tokens(F.lit(question)))).first()[0]
+        words = self.spark.createDataFrame([(question,)], "q string").select(F.array_distinct(tokens(F.col("q")))).first()[0]
         if not words or not self.segments:
             kind = self.content["schemas"]["tombs"].split(",")[0] if self.segments else "node_id string"
             return self.spark.createDataFrame([], f"{kind}, score double")
@@ -303,7 +313,11 @@ class Index:
 
     def _of_cells(self, cells: list[tuple[int, int, float, int]], query: list[float], distance: float) -> DataFrame:
         """(node_id, score) of the vectors of some cells that may lie within a distance."""
-        held = self._table("vectors").where(F.col("cell").isin(sorted({c for _, c, _, _ in cells})))
+        wanted = F.lit(False)
+        for s in {s for s, *_ in cells}:
+            parts = sorted({c // self.content["widths"][str(s)] for t, c, _, _ in cells if t == s})
+            wanted = wanted | ((F.col("segment") == s) & F.col("part").isin(parts))
+        held = self._table("vectors").where(wanted & F.col("cell").isin(sorted({c for _, c, _, _ in cells})))
         by_place = F.create_map(*[F.lit(x) for s, c, d, _ in cells for x in (f"{s}.{c}", d)]) if cells else F.create_map().cast("map<string,double>")
         away = F.try_element_at(by_place, F.concat_ws(".", F.col("segment").cast("string"), F.col("cell").cast("string")))
         near = held.where(away.isNotNull() & ((F.col("cell") < 0) | (F.abs(F.col("reach") - away) <= distance + EPS)))

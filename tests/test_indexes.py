@@ -27,7 +27,10 @@ def pairs(df):
     return [(r[0], round(r[1], 9)) for r in df.collect()]
 
 
-def test_same_hits_as_scans(spark, tmp_path):
+@pytest.mark.parametrize("folders", [1, 30])
+def test_same_hits_as_scans(spark, tmp_path, monkeypatch, folders):
+    monkeypatch.setattr(indexes, "BUCKET_NODES", 400 // folders)
+    monkeypatch.setattr(indexes, "PART_ROWS", 400 // folders)
     rows = sample(400) + [("none", "fx", None, None), ("zero", "fx", "w1 w1", [0.0] * 6), ("odd", "fx", "", [1.0, 2.0])]
     nodes, state = texts(spark, rows)
     index = indexes.Index(spark, f"file://{tmp_path}/i")
@@ -43,14 +46,16 @@ def test_same_hits_as_scans(spark, tmp_path):
     assert len(pairs(index.dense(rows[0][3], 1000))) == 401
 
 
-def test_plans_read_the_tokens_folders(spark, tmp_path):
+def test_plans_read_the_tokens_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(indexes, "BUCKET_NODES", 5)
     nodes, state = texts(spark, sample(60))
     index = indexes.Index(spark, f"file://{tmp_path}/i")
     index.sync(nodes, state)
     files = index.postings(["w1"])
     plan = files._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "In(token" in plan.replace("EqualTo(token", "In(token")
-    assert files.select("token").distinct().count() == 1
+    assert files.select("token").distinct().count() == 1 and len(files.inputFiles()) > 5
+    assert files.select(F.input_file_name()).distinct().count() == 1
 
 
 def test_hundred_questions_on_all_vectors(spark):
