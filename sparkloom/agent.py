@@ -204,6 +204,18 @@ class Agent:
         """Brings the tables' index to nodes and state, embedding what is new; says what changed."""
         return self.index.sync(nodes, state, self.embed)
 
+    def sync_catalog(self) -> dict[str, int] | None:
+        """Brings the tables' index to the catalog: a node for each table whose columns, keys or comments have changed."""
+        nodes = schema.simple_ddl(self.catalog, self.fks).select("table_name", F.col("table_name").alias("node_id"), F.col("ddl").alias("text"))
+        return self.sync(nodes, text.schema_hash(self.catalog, self.settings.pruning))
+
+    def sync_manuals(self, folder: str, sizes: tuple[int, ...] = (2048, 400), overlap: int = 80) -> dict[str, int] | None:
+        """Brings the manuals' index to the files of a folder, of which only new and edited ones are cut and embedded."""
+        found = files.text_files(self.spark, folder)
+        state = found.select("file_name", F.sha2("text", 256).alias("hash"))
+        nodes = retrieval.chunks(found.select(F.col("file_name").alias("doc_id"), "text"), sizes, overlap).withColumnRenamed("doc_id", "file_name")
+        return self.manuals.sync(nodes, state, self.embed)
+
     def known(self) -> DataFrame:
         """(node_id, text, ...) of the tables."""
         return self.index.nodes() if self.index is not None else self.nodes

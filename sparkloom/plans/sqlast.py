@@ -132,13 +132,17 @@ def skeletons(spark: SparkSession, statements: list[tuple[int, str]]) -> DataFra
     return spark.createDataFrame(rows, SKELETON)
 
 
+#: The last pools that were worked out, POOLS at most.
 _pools: dict[tuple, DataFrame] = {}
+POOLS = 16
 
 
 def pool_skeletons(spark: SparkSession, statements: list[tuple[int, str]]) -> DataFrame:
     """skeletons() of a pool, worked out once for the same statements: other pools have their own."""
     key = (spark.sparkContext.applicationId, *statements)
     if key not in _pools:
+        while len(_pools) >= POOLS:
+            del _pools[next(iter(_pools))]
         _pools[key] = skeletons(spark, statements)
     return _pools[key]
 

@@ -85,3 +85,22 @@ def test_more_roots_are_queries(spark):
 def test_names_of_tables(spark):
     df = spark.createDataFrame([("Public.Orders", "orders"), ("a.orders", "b.ORDERS"), ("orders", "order")], "a string, b string")
     assert [r[0] for r in df.select(schema.same_table(F.col("a"), F.col("b"))).collect()] == [True, True, False]
+
+
+def test_indexes_follow_the_catalog_and_a_folder(spark, tmp_path):
+    columns = [("t", 1, "a", "INT", False, True, False, None), ("u", 1, "b", "INT", False, True, False, None)]
+    kind = "table_name string, ordinal int, column_name string, data_type string, nullable boolean, is_pk boolean, is_fk boolean, comment string"
+    fks = spark.createDataFrame([], "table_name string, column_name string, ref_table string, ref_column string")
+    a = agent.Agent(spark, None, lambda *x: "", index=indexes.Index(spark, f"file://{tmp_path}/i", key="table_name"), manuals=indexes.Index(spark, f"file://{tmp_path}/m"), catalog=spark.createDataFrame(columns, kind), fks=fks)
+    assert a.sync_catalog() == {"added": 2} and a.sync_catalog() is None
+    a.catalog = spark.createDataFrame([*columns, ("u", 2, "c", "DATE", True, False, False, "day")], kind)
+    assert a.sync_catalog() == {"changed": 1} and {r["node_id"]: "c DATE -- day" in r["text"] for r in a.known().collect()} == {"t": False, "u": True}
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.txt").write_text("how to close an order: press the button")
+    (folder / "b.txt").write_text("other things")
+    assert a.sync_manuals(f"file://{folder}") == {"added": 2} and a.sync_manuals(f"file://{folder}") is None
+    (folder / "b.txt").write_text("how to close a shop: turn the key")
+    (folder / "a.txt").unlink()
+    assert a.sync_manuals(f"file://{folder}") == {"changed": 1, "removed": 1}
+    assert a.manual("how to close") == "how to close a shop: turn the key"
