@@ -164,7 +164,11 @@ class Agent:
         return self.spark.range(1).select(text.difficulty(F.lit(self.classify(asked)))).first()[0]
 
     def with_vectors(self, rows: DataFrame) -> DataFrame:
-        return retrieval.embedded(rows, "pergunta", self.embed)
+        """rows with the embeddings of their questions; those of stored answers are known."""
+        if self.store is None:
+            return retrieval.embedded(rows, "pergunta", self.embed)
+        known = self.store.rows().select("pergunta", F.col("pergunta_embedding").alias("embedding"))
+        return retrieval.with_embeddings(rows, known, self.embed)
 
     def shots(self, question: str, guess: str, tool: str, level: str) -> str:
         """The examples most like the question, and like the hypothetical statement in structure: of its class, or of
@@ -291,7 +295,7 @@ class Agent:
         bundle.metadata["difficulty"] = level = self.difficulty(question, tool)
         bundle.metadata["hyde_sql"] = guess = self.guess(question)
         known, whole, hint, rates = (self.settings.base_query, "", "", {}) if tool == FILTER_TOOL else self.context(question, guess)
-        bundle.metadata |= rates
+        bundle.metadata |= rates | {"context": known}
         shots = self.shots(question, guess, tool, level)
         rules = f"{prompt(tool, level)}\n{shots}\n" if shots else f"{prompt(tool, level)}\n"
         most = self.settings.attempts if self.settings.self_correction else 1

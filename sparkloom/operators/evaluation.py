@@ -126,9 +126,10 @@ def efficiency(reference: float, generated: float) -> float:
 
 
 def pruning_rates(candidates: int, linked: int, raw_candidates: int, raw_linked: int, kept: int) -> dict[str, float]:
-    """Rates of tables left out, of columns left out of all candidates' and of the linked tables'."""
+    """Rates of tables left out, of columns left out of all candidates' and of the linked tables'; columns before and after."""
     rate = lambda part, whole: round(1 - part / whole, 4) if whole > 0 else 0.0
-    return {"table_pruning_rate": rate(linked, candidates), "schema_shortening_rate": rate(kept, raw_candidates), "column_pruning_rate": rate(kept, raw_linked)}
+    rates = {"table_pruning_rate": rate(linked, candidates), "schema_shortening_rate": rate(kept, raw_candidates), "column_pruning_rate": rate(kept, raw_linked)}
+    return rates | {"schema_cols_original": raw_candidates, "schema_cols_pruned": kept}
 
 
 def shortening(raw: Column, kept: Column) -> Column:
@@ -243,15 +244,21 @@ def evaluate(spark: SparkSession, ask, cases: list[dict], path: str | None = Non
         left = max(0.0, limit - latency)
         ex = execution_accuracy(spark, sql, expected, left) if sql and expected else 0
         row = spark.range(1).select(text.status(F.lit(latency), F.lit(answer), F.lit(sql), F.lit(ex), limit).alias("s")).first()
+        # fixed values: the names of a record's fields
         records.append(
             {
                 "id": case["id"],
                 "pergunta": case["pergunta"],
+                "resposta_esperada": case.get("resposta_esperada"),
+                "contexto_recuperado": metadata.get("context"),
                 "dificuldade": case.get("dificuldade"),
                 "latencia_segundos": round(latency, 3),
                 "execution_accuracy": ex,
                 "exact_match": exact_match(spark, sql, expected) if sql and expected else 0,
                 "valid_efficiency_score": valid_efficiency(spark, sql, expected, ex, ves_runs, limit),
+                "schema_cols_original": metadata.get("schema_cols_original"),
+                "schema_cols_pruned": metadata.get("schema_cols_pruned"),
+                "schema_shortening_rate": metadata.get("schema_shortening_rate"),
                 "selected_tool": metadata.get("tool"),
                 "status_avaliacao": row["s"],
                 "sql_gerado": sql,
@@ -264,6 +271,22 @@ def evaluate(spark: SparkSession, ask, cases: list[dict], path: str | None = Non
     return records
 
 
+def evaluate_file(spark: SparkSession, ask, cases: str, path: str, limit: float = 180.0, ves_runs: int = 5) -> list[dict]:
+    """evaluate() of the questions in a JSON file, which may be in any store; the records go to path."""
+    return evaluate(spark, ask, files.questions(spark, cases), path, limit, ves_runs)
+
+
+def split_file(spark: SparkSession, cases: str, pool: str, test: str, share: float = 0.2, seed: int = 42) -> dict[str, int]:
+    """Splits the questions in a JSON file by class into a pool and a test file; says how many each has."""
+    held = files.questions(spark, cases)
+    rows = spark.createDataFrame([(i, c.get("dificuldade")) for i, c in enumerate(held)], "at long, dificuldade string")
+    part = {r["at"]: r["part"] for r in stratified_split(rows, "dificuldade", "at", share, seed).select("at", "part").collect()}
+    out = {"pool": [c for i, c in enumerate(held) if part[i] == "pool"], "test": [c for i, c in enumerate(held) if part[i] == "test"]}
+    for name, where in (("pool", pool), ("test", test)):
+        files.write_json(out[name], where, spark)
+    return {name: len(some) for name, some in out.items()}
+
+
 #: Parts of the names of tables that questions are never made for.
 OWN_TABLES = ("data_", "tb_rag_feedback")
 

@@ -166,6 +166,13 @@ def embedded(rows: DataFrame, text: str, embed: Callable[[str], list[float]]) ->
     return rows.withColumn("embedding", many.embedding(F.col(text), lambda: lambda texts: [embed(t) for t in texts]))
 
 
+def with_embeddings(examples: DataFrame, known: DataFrame, embed: Callable[[str], list[float]], key: str = "pergunta") -> DataFrame:
+    """examples with the embeddings that are known (key, embedding) for their text; only others are embedded."""
+    one = known.where("embedding is not null").groupBy(key).agg(F.first("embedding").cast("array<double>").alias("embedding"))
+    held = examples.join(one, key, "left")
+    return held.where("embedding is not null").unionByName(embedded(held.where("embedding is null").drop("embedding"), key, embed))
+
+
 def cached_answer(feedback: DataFrame, query: list[float], threshold: float = 0.98) -> DataFrame:
     """The nearest validated question, if it is closer than 1 - threshold."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -30,6 +30,18 @@ def example_sql(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
 
 
+def questions(spark: SparkSession, path: str) -> list[dict]:
+    """The questions of a JSON file (a short file, for a driver's loop), each with its statement under sql_esperado, from
+    wherever it stands, and its place as id where it has none; those without a question are left out."""
+    rows = spark.read.text(path, wholetext=True).collect()
+    out = []
+    for i, case in enumerate(json.loads(rows[0][0]) if rows else [], 1):
+        sql = next((case[k] for k in POOL_ORDER if str(case.get(k) or "").strip()), "")
+        if str(case.get("pergunta") or "").strip():
+            out.append({**case, "id": case.get("id", i), "sql_esperado": sql})
+    return out
+
+
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name, text) of the files right in a folder."""
     files = spark.read.option("recursiveFileLookup", False).format("binaryFile").load(folder)

@@ -62,7 +62,7 @@ def test_rates_count_what_was_left_out(spark):
     fks = spark.createDataFrame([], "table_name string, column_name string, ref_table string, ref_column string")
     a = agent.Agent(spark, nodes, lambda *x: "", embed=lambda t: [1.0, 0.0], catalog=catalog, fks=fks, settings=agent.Settings(top_k=1))
     *_, rates = a.context("words", "")
-    assert rates == {"table_pruning_rate": 0.75, "schema_shortening_rate": round(1 - 1 / 12, 4), "column_pruning_rate": round(1 - 1 / 3, 4)}
+    assert rates == {"table_pruning_rate": 0.75, "schema_shortening_rate": round(1 - 1 / 12, 4), "column_pruning_rate": round(1 - 1 / 3, 4), "schema_cols_original": 12, "schema_cols_pruned": 1}
 
 
 def test_dashboard_is_worked_out_once(spark, monkeypatch):

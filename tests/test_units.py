@@ -339,7 +339,7 @@ def test_small_texts(spark):
     fks = spark.createDataFrame([("t", "b", "u", "c")], "table_name string, column_name string, ref_table string, ref_column string")
     assert schema.simple_ddl(columns, fks).first()["ddl"] == "CREATE TABLE t (\n    a INT -- the key,\n    b TEXT,\n    FOREIGN KEY (b) REFERENCES u(c)\n);\n/* TABLE COMMENT: about */"
     assert sqlast.protected(spark, "SELECT 1 FROM tb_ação x JOIN tb_item i ON x.código = i.k WHERE item_q > 1", {"tb_acao": {"codigo"}, "tb_item": {"k", "item_q"}}) == {"tb_acao": {"codigo"}, "tb_item": {"k", "item_q"}}
-    assert evaluation.pruning_rates(4, 3, 20, 10, 5) == {"table_pruning_rate": 0.25, "schema_shortening_rate": 0.75, "column_pruning_rate": 0.5}
+    assert evaluation.pruning_rates(4, 3, 20, 10, 5) == {"table_pruning_rate": 0.25, "schema_shortening_rate": 0.75, "column_pruning_rate": 0.5, "schema_cols_original": 20, "schema_cols_pruned": 5}
     one = feedback.answered(spark, "q", "SELECT 1", "a").first()
     assert one["em"] is not None
     spark.range(1).createOrReplaceTempView("seen_view")
