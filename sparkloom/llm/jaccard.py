@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store, tokens
+from . import words as words_
 
 WORDS = 5
 PERCENT = 80
@@ -171,7 +172,7 @@ def _slices(docs: DataFrame, n: int) -> Iterator:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *columns], ["slice", "doc_ids", "sizes", "tokens"])
                 k += 1
 
-    return docs.mapInArrow(run, "slice long, doc_ids binary, sizes binary, tokens binary")
+    return docs.mapInArrow(words_.tidied(run), "slice long, doc_ids binary, sizes binary, tokens binary")
 
 
 def _link(a: str, b: str, percent: int) -> tuple[Column, Column]:
@@ -232,9 +233,11 @@ def document_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Da
         sig = _joined(table.column("sigs"), np.int64).reshape(-1, 2)
         none = pa.nulls(len(ids), pa.int64())
         columns = [(ids, doc), (none, size), (none, sig[:, 0]), (none, sig[:, 1]), (shared, settled)]
+        del flat, back, total
+        words_.release()
         return pa.table([pa.chunked_array([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for x, y in columns], ["doc_id", "size", "s1", "s2", "shared"])
 
-    found = known.mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(reduce, "doc_id long, size long, s1 long, s2 long, shared long")
+    found = known.mapInArrow(words_.tidied(run), PACKED).groupBy("bucket").applyInArrow(reduce, "doc_id long, size long, s1 long, s2 long, shared long")
     # rows that repeat a doc_id: the larger set stands for it
     best = F.max(F.when(F.col("size").isNotNull(), F.struct("size", "s1", "s2"))).alias("set")
     held = found.groupBy("doc_id").agg(best, F.sum("shared").alias("shared"))
@@ -271,6 +274,7 @@ def shared_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
         keep = np.flatnonzero(total > 1)
         keep = keep[np.argsort(home[keep], kind="stable")]
         bounds = _runs(home[keep])
+        words_.release()
         return pa.table([pa.array(home[keep][bounds[:-1]], pa.int64()), _binary(flat[keep], bounds), _binary(total[keep], bounds)], ["slice", "tokens", "dfs"])
 
     def gather(mine: pa.Table, counted: pa.Table) -> pa.Table:
@@ -289,9 +293,10 @@ def shared_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
         keep = (lengths >= least_shared(size, percent)) & (size > 0)
         values = flat[order][np.repeat(keep, lengths)].view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(lengths[keep])])
+        words_.release()
         return pa.table([pa.array(doc[keep]), pa.array(size[keep]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))], ["rep", "n", "tokens"])
 
-    dealt = held.select("slice", "tokens").mapInArrow(deal, "bucket int, slice long, tokens binary, counts binary")
+    dealt = held.select("slice", "tokens").mapInArrow(words_.tidied(deal), "bucket int, slice long, tokens binary, counts binary")
     counted = dealt.groupBy("bucket").applyInArrow(count, "slice long, tokens binary, dfs binary")
     return held.groupBy("slice").cogroup(counted.groupBy("slice")).applyInArrow(gather, "rep long, n long, tokens array<long>")
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from sparkloom.shipping import ship
 
 from . import tokens
+from . import words as words_
 
 FEATURES = 1 << 16
 #: Labelled documents per language that are learned from, in expectation.
@@ -134,7 +135,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
         f, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(k, pa.int32()), pa.array(total[f, k], pa.int64())], ["feature", "k", "n"])
 
-    found = drawn.select("text", "lang").mapInArrow(count, "feature int, k int, n long").groupBy("feature", "k").agg(F.sum("n").alias("n")).toPandas()
+    found = drawn.select("text", "lang").mapInArrow(words_.tidied(count), "feature int, k int, n long").groupBy("feature", "k").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((FEATURES + N_SCRIPTS, n))
     total[found.feature.to_numpy(int), found.k.to_numpy(int)] = found.n
     grams, scripts = total[:FEATURES] + 0.1, total[FEATURES:]
@@ -220,7 +221,7 @@ def identified(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names[pred], pa.string()), pa.array(score), spans], ["row", "lang_pred", "score", "spans"])
 
     schema = f"row {docs.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}, lang_pred string, score double, spans {SPANS}"
-    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(words_.tidied(run), schema)
 
 
 def kept(docs: DataFrame, least: float = 0.4, sample: int = SAMPLE) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import store, tokens
+from . import store, tokens, words
 
 CAPACITY = 2048
 
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer
                 yield pa.RecordBatch.from_arrays(out, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.tidied(run), schema)
 
 
 def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -161,7 +161,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = [wide(batch.column(c), lengths) if c == "ids" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(first[k] + key - keys[k], pa.int64()), pa.array(at[k], pa.int64())], names)
 
-    return ranked.mapInArrow(placed, schema)
+    return ranked.mapInArrow(words.tidied(placed), schema)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ texts, or within a text at a byte that no word has.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,6 +124,16 @@ def release() -> None:
         pass
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, of a task's batches, that gives memory back when it is done."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return tidy
+
+
 def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """values cut at bounds, one run of raw bytes a row."""
     offsets = pa.py_buffer((np.asarray(bounds) * values.itemsize).astype(np.int32))
