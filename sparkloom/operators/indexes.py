@@ -38,7 +38,7 @@ CELLS, SAMPLE, ROUNDS = 1024, 20_000, 6
 #: Nodes of a segment for each folder of its postings, rows for each folder of its vectors, and folders at most.
 BUCKET_NODES, PART_ROWS, FOLDERS = 20_000, 20_000, 1024
 #: Blocks, or rows of cells, that the first look takes for each wanted hit.
-FIRST_BLOCKS, FIRST_ROWS = 4, 32
+FIRST_BLOCKS, FIRST_ROWS = 4, 256
 #: Share of dead nodes and number of segments from which a sync compacts.
 DEAD, SEGMENTS = 0.25, 8
 #: Slack of bounds that are worked out in doubles.
@@ -277,6 +277,9 @@ class Index:
             by_word = F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0.0), lambda s, w: s + F.coalesce(F.get(F.filter("parts", lambda p: p["token"] == w), 0)["s"], F.lit(0.0)))
             return self._live(parts.select("segment", "node_id", by_word.alias("score"))).select("node_id", "score")
 
+        if sum(self.content["rows"].values()) <= FIRST_BLOCKS * k * BLOCK:
+            # the first look would take nearly all blocks there are
+            return scored(bounds.select("segment", "block")).orderBy(F.desc("score"), "node_id").limit(k)
         first = bounds.orderBy(F.desc("bound"), "segment", "block").limit(FIRST_BLOCKS * k)
         best = scored(first.select("segment", "block")).orderBy(F.desc("score")).limit(k).agg(F.count("*"), F.min("score")).first()
         # fewer than k were found: any block may have more
@@ -337,6 +340,8 @@ class Index:
             rows += cell[3]
             if rows >= FIRST_ROWS * k:
                 break
+        if len(first) == len(every):
+            return self._of_cells(every, query, 2.0).orderBy(F.desc("score"), "node_id").limit(k)
         # the k-th cosine there bounds the distance of what is sought
         found = self._of_cells(first, query, 2.0).orderBy(F.desc("score")).limit(k).agg(F.count("*"), F.min("score")).first()
         distance = math.sqrt(max(0.0, 2 - 2 * found[1])) + 1e-6 if found[0] == k else 2.0

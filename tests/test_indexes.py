@@ -31,6 +31,11 @@ def pairs(df):
 def test_same_hits_as_scans(spark, tmp_path, monkeypatch, folders):
     monkeypatch.setattr(indexes, "BUCKET_NODES", 400 // folders)
     monkeypatch.setattr(indexes, "PART_ROWS", 400 // folders)
+    if folders > 1:
+        # small blocks and first looks, so that bounds count
+        monkeypatch.setattr(indexes, "BLOCK", 8)
+        monkeypatch.setattr(indexes, "FIRST_BLOCKS", 1)
+        monkeypatch.setattr(indexes, "FIRST_ROWS", 4)
     rows = sample(400) + [("none", "fx", None, None), ("zero", "fx", "w1 w1", [0.0] * 6), ("odd", "fx", "", [1.0, 2.0])]
     nodes, state = texts(spark, rows)
     index = indexes.Index(spark, f"file://{tmp_path}/i")
