@@ -175,6 +175,8 @@ def read_shards(spark: SparkSession, path: str, columns: DataFrame) -> DataFrame
     table = table.select("row", "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     ahead = table.groupBy("shard", "file").agg(F.count("*").alias("n")).select("shard", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    # a row per file, saved, so that the planner knows its size and texts aren't shuffled for it
+    ahead = store.saved(ahead, "shard-files", keep=True)
     return table.join(ahead, ["shard", "file"]).select("row", "shard", (F.col("at") + F.col("ahead")).cast("long").alias("slot"))
 
 
