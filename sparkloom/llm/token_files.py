@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import store, tokens
+from . import store, tokens, words
 
 #: Ids that a block holds at most, unless one document has more.
 BLOCK_IDS = 1 << 18
@@ -71,7 +71,7 @@ def tokenised(docs: DataFrame, end_id: int | None = 2, tokenizer: str | None = N
                 ids, sizes = tokens.with_end(ids, sizes, end_id)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), tokens.as_binary(ids, sizes)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.tidied(run), "doc_id long, ids binary")
 
 
 def frequency_ranks(ids: DataFrame) -> np.ndarray:
@@ -88,7 +88,7 @@ def frequency_ranks(ids: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    found = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = ids.select("ids").mapInArrow(words.tidied(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     size = int(found.id.max()) + 1 if len(found) else 0
     counts = np.zeros(size, np.int64)
     counts[found.id.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
@@ -156,9 +156,9 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
             yield flush()
 
     # coded before it is dealt: what crosses the network is the compact form
-    coded = ids.mapInArrow(encode, "doc_id long, part int, n long, control binary, data binary")
+    coded = ids.mapInArrow(words.tidied(encode), "doc_id long, part int, n long, control binary, data binary")
     dealt = coded.repartitionById(n + nameless, F.col("part")).sortWithinPartitions("doc_id", "n", "control", "data")
-    dealt.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(words.tidied(blocks), BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
     vocabulary = np.argsort(rank).astype(np.uint32)
     spark.createDataFrame([(vocabulary.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}-vocabulary")
     store.drop(spark, raw)
@@ -188,4 +188,4 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 first = row["ids_before"] + row["start"]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(first + ends - sizes, pa.int64()), tokens.as_binary(vocabulary.value[out], sizes)], ["doc_id", "start", "ids"])
 
-    return table.join(offsets, "part").mapInArrow(decode, "doc_id long, start long, ids binary")
+    return table.join(offsets, "part").mapInArrow(words.tidied(decode), "doc_id long, start long, ids binary")
