@@ -5,8 +5,9 @@ compares the state with the index's own and writes one segment with the nodes of
 tombstones for the nodes that they and the removed keys had. The manifest that makes both count is written last (see
 sources.versions). When tombstones or segments are many, they are compacted into one segment.
 
-Postings: (token, block) rows; a block is a range of BLOCK nodes of a segment, and has those with the token, how often
-and how long they are, and the best score that any of them has for it. They lie in folders by a hash of the token, as many as the
+Postings: (token, block) rows; a block is BLOCK nodes of a segment at most, and has those with the token, how often
+and how long they are, and the best score that any of them has for it. A task makes the rows of its own blocks whole, so
+that tokens are shuffled once, as finished rows on their way to their folders. They lie in folders by a hash of the token, as many as the
 segment's size asks for, sorted, so a question's plan reads its tokens' folders and row groups. Search adds up the blocks' bounds, scores the
 most promising blocks, and then only those whose bound reaches the k-th best score found.
 
@@ -24,6 +25,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,21 +104,29 @@ class Index:
 
     # --- keeping it up ---
 
-    def sync(self, nodes: DataFrame, state: DataFrame, embed: Callable[[str], list[float]] | None = None) -> dict[str, int] | None:
+    def sync(self, nodes: DataFrame, state: DataFrame, embed: Callable[[str], list[float]] | None = None, vectors: DataFrame | None = None, same_keys: bool = False) -> dict[str, int] | None:
         """Brings the index to nodes and state; says how many keys were added, changed and removed, None if none was.
 
         nodes need to hold the nodes of added and changed keys only; others are passed over. Roots (level 0; all
         nodes, if there are no levels) get an embedding if embed is given, and go to the vector table if they have one.
+        vectors: (node_id, embedding), where they lie in a table of their own; those of nodes that come are taken.
+        same_keys: nodes are of state's keys alone, so that a first sync, which takes them all, needn't look them up.
         """
         version, number = self._next()
-        diff = feedback.changes(self.state() if self.segments else state.select(self.key, "hash").limit(0), state, self.key)
+        if self.segments:
+            diff = feedback.changes(self.state(), state, self.key)
+        else:
+            diff = state.select(self.key, F.lit("added").alias("change"))
         diff.write.mode("overwrite").parquet(f"{self.path}/diff/segment={number}")
         diff = self.spark.read.schema(diff.schema).parquet(f"{self.path}/diff/segment={number}")
         told = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
         if not told:
             return None
-        fresh = nodes.join(diff.where("change <> 'removed'").select(self.key), self.key, "left_semi")
-        content = self._segment(number, fresh, state.join(diff.where("change <> 'removed'").select(self.key), self.key, "left_semi"), embed)
+        fresh = lambda rows: rows
+        if self.segments or not same_keys:
+            come = diff.where("change <> 'removed'").select(self.key)
+            fresh = lambda rows: rows.join(come, self.key, "left_semi")
+        content = self._segment(number, fresh(nodes), fresh(state), embed, given=vectors)
         if self.segments:
             left = diff.where("change <> 'added'").select(self.key)
             left.write.mode("overwrite").parquet(f"{self.path}/gone/segment={number}")
@@ -150,16 +162,22 @@ class Index:
         content |= {"segments": [number], "tombs": []} | {x: {k: v for k, v in content[x].items() if k == str(number)} for x in ("rows", "buckets", "widths", "centres")}
         self._commit(version, content)
 
-    def _segment(self, number: int, nodes: DataFrame, state: DataFrame, embed, vectors: DataFrame | None = None) -> dict:
-        """Writes a segment's tables and returns the manifest that has it besides the others."""
+    def _segment(self, number: int, nodes: DataFrame, state: DataFrame, embed, vectors: DataFrame | None = None, given: DataFrame | None = None) -> dict:
+        """Writes a segment's tables and returns the manifest that has it besides the others. given: vectors of these
+        nodes and perhaps others."""
         at = lambda name: f"{self.path}/{name}/segment={number}"
         plain = [c for c in nodes.columns if c != "embedding"]
-        nodes.select(*plain, F.monotonically_increasing_id().alias("place")).write.mode("overwrite").parquet(at("nodes"))
+        nodes.select(*plain).write.mode("overwrite").parquet(at("nodes"))
         state.select(self.key, "hash").write.mode("overwrite").parquet(at("state"))
         held = self.spark.read.parquet(at("nodes"))
         rows = held.count()
         buckets = min(FOLDERS, max(1, rows // BUCKET_NODES))
         self._postings(held, number, buckets)
+        if given is not None:
+            # ids go to the vectors, not texts; written, as they are read several times
+            roots = held.where("level = 0") if "level" in held.columns else held
+            given.select("node_id", "embedding").join(roots.select("node_id"), "node_id").write.mode("overwrite").parquet(at("given"))
+            vectors = self.spark.read.parquet(at("given"))
         if vectors is None:
             vectors = nodes.where("level = 0") if "level" in nodes.columns else nodes
             if "embedding" not in vectors.columns and embed is not None:
@@ -184,13 +202,23 @@ class Index:
         }
 
     def _postings(self, held: DataFrame, number: int, buckets: int) -> None:
-        ts = held.select("node_id", "place", tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-        each = ts.select("node_id", "place", F.size("ts").alias("length"), F.explode("ts").alias("token"))
-        counts = each.groupBy("node_id", "place", "length", "token").agg(F.count("*").cast("int").alias("n"))
-        block = F.floor(F.col("place") / BLOCK).cast("long")
-        blocks = counts.groupBy("token", block.alias("block")).agg(F.max(term_score(F.col("n"), F.col("length"))).alias("best"), F.array_sort(F.collect_list(F.struct("node_id", "n", "length"))).alias("docs"))
-        bucketed = blocks.withColumn("bucket", self._bucket(F.col("token"), buckets))
-        bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
+        kind = held.schema["node_id"].dataType.simpleString()
+        size = BLOCK
+
+        def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = TaskContext.get().partitionId() << 33
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    yield _inverted(batch.slice(at, size), block)
+                    block += 1
+
+        ts = held.select("node_id", tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+        # arrays of numbers take less room in shuffle and sort than one of structs
+        blocks = ts.mapInArrow(inverted, f"token string, block long, node_id array<{kind}>, n array<int>, length array<int>")
+        bucketed = blocks.withColumn("bucket", self._bucket(F.col("token"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block")
+        best = F.array_max(F.zip_with("n", "length", term_score))
+        rows = bucketed.select("token", "block", best.alias("best"), F.arrays_zip("node_id", "n", "length").alias("docs"), "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
 
     @staticmethod
     def _bucket(token: Column, buckets: int) -> Column:
@@ -354,6 +382,22 @@ class Index:
         return sum(c[3] for c in self.near_cells(query, distance)) / max(1, sum(c[3] for c in self.near_cells(query, 2.0)))
 
 
+def _inverted(rows: pa.RecordBatch, block: int) -> pa.RecordBatch:
+    """(token, block, node_id, n, length) of the nodes (node_id, ts) of a block: a row for each token."""
+    ts = rows.column("ts")
+    length = pc.list_value_length(ts).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = ts.flatten().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # in order of token and node
+    pair, n = np.unique(code * len(ts) + np.repeat(np.arange(len(ts)), length), return_counts=True)
+    code, node = np.divmod(pair, max(1, len(ts)))
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    ends = pa.array(np.append(first, len(code)), pa.int32())
+    lists = [rows.column("node_id").take(pa.array(node)), pa.array(n, pa.int32()), pa.array(length[node], pa.int32())]
+    columns = [words.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), block), pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in lists)]
+    return pa.RecordBatch.from_arrays(columns, ["token", "block", "node_id", "n", "length"])
+
+
 def _nearest(u: np.ndarray | None, centres: np.ndarray) -> tuple[int, float]:
     """The cell of a unit vector and its distance from the centre; -1: a zero vector, -2: one of another length."""
     if u is None:
@@ -368,16 +412,17 @@ def _nearest(u: np.ndarray | None, centres: np.ndarray) -> tuple[int, float]:
 _opened: dict[tuple[str, str], Index] = {}
 
 
-def of_table(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], tuple[DataFrame, DataFrame]]) -> Index:
+def of_table(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], tuple[DataFrame, DataFrame, DataFrame | None]]) -> Index:
     """The index of a given table, in the shared folder: built on first use, synced when the table's files have changed.
-    rows: gives nodes and state."""
+    rows: gives nodes, their state, and vectors where these lie elsewhere."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
     if key not in _opened:
         _opened[key] = Index(spark, f"{versions.shared_dir(spark)}/sparkloom/index-{key[0]}-{abs(hash(key))}-{name}", key="node_id")
         _opened[key].source = None
     index, source = _opened[key], versions.fingerprint(spark, f"{sf_dir}/{name}.parquet")
     if index.source != source:
-        index.sync(*rows())
+        nodes, state, vectors = rows()
+        index.sync(nodes, state, vectors=vectors, same_keys=True)
         index.source = source
     return index
 

@@ -218,10 +218,10 @@ def json_field(spark, sf_dir):
 def text_index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     """The stored index of all documents, with the vectors of the same number as theirs."""
 
-    def rows() -> tuple[DataFrame, DataFrame]:
+    def rows() -> tuple[DataFrame, DataFrame, DataFrame]:
         docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-        nodes = docs.join(vecs, docs["doc_id"] == vecs["vec_id"], "left").select(F.col("doc_id").alias("node_id"), "text", "embedding")
-        return nodes, docs.select(F.col("doc_id").alias("node_id"), F.sha2("text", 256).alias("hash"))
+        nodes = docs.select(F.col("doc_id").alias("node_id"), "text")
+        return nodes, nodes.select("node_id", F.sha2("text", 256).alias("hash")), vecs.select(F.col("vec_id").alias("node_id"), "embedding")
 
     return indexes.of_table(spark, sf_dir, "documents", rows)
 
@@ -229,9 +229,9 @@ def text_index(spark: SparkSession, sf_dir: str) -> indexes.Index:
 def vector_index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     """The stored index of all embeddings, which have no text."""
 
-    def rows() -> tuple[DataFrame, DataFrame]:
+    def rows() -> tuple[DataFrame, DataFrame, None]:
         nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.lit("").alias("text"), "embedding")
-        return nodes, nodes.select("node_id", F.xxhash64("embedding").cast("string").alias("hash"))
+        return nodes, nodes.select("node_id", F.xxhash64("embedding").cast("string").alias("hash")), None
 
     return indexes.of_table(spark, sf_dir, "embeddings", rows)
 

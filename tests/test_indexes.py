@@ -126,3 +126,28 @@ def test_empty_index(spark, tmp_path):
     index = indexes.Index(spark, f"file://{tmp_path}/i")
     assert index.sync(*texts(spark, [])) is None
     assert index.lexical("w1").collect() == [] and index.dense([1.0]).collect() == []
+
+
+def shuffled(spark, run):
+    """(records, bytes) that stages write to shuffles while run() runs."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    total = lambda: np.array([[x.shuffleWriteRecords(), x.shuffleWriteBytes()] for x in (held.apply(i) for held in [stages()] for i in range(held.size()))] or [[0, 0]]).sum(0)
+    before = total()
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return tuple(int(x) for x in total() - before)
+
+
+def test_tokens_are_shuffled_as_finished_rows(spark, tmp_path):
+    nodes = table(spark, SF, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    state = nodes.select("node_id", F.sha2("text", 256).alias("hash"))
+    index = indexes.Index(spark, f"file://{tmp_path}/i", key="node_id")
+    records, _ = shuffled(spark, lambda: index.sync(nodes, state))
+    held = index._table("postings")
+    rows, entries = held.count(), held.agg(F.sum(F.size("docs"))).first()[0]
+    # a row for each token of a block, not one for each token of a node
+    assert entries > 1.5 * rows and records < rows + 3000
+    assert held.groupBy("segment", "block", "token").count().where("count > 1").isEmpty()
+    assert held.select(F.max(F.size("docs"))).first()[0] <= indexes.BLOCK
