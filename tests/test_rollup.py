@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from sparkloom.operators import movement, rollup
+from sparkloom.sources import tables
 
 SCHEMA = "movement_id long, movement_date date, net_total decimal(18,4), gross_total decimal(18,2), due_total decimal(18,2), movement_type int, customer string, supplier string, status string"
 
@@ -67,3 +68,20 @@ def test_pages(spark, tmp_path):
 
 def test_month_of(spark):
     assert spark.range(1).select(rollup.month_of(F.lit(dt.date(2020, 3, 1))), rollup.month_of(F.lit(None).cast("date"))).first()[:] == (2020 * 12 + 2, 0)
+
+
+def test_lines_are_dealt_before_they_are_added_up(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    tables.views(spark, sf, "orders", "lineitem", "customer", "supplier")
+    whole = sorted(map(tuple, spark.sql(movement.MOVEMENT_SQL).collect()))
+    for size, dealt in ((1 << 30, "REPARTITION_BY_COL"), (3000, "REPARTITION_BY_NUM")):
+        monkeypatch.setattr(movement, "LINE_BYTES", size)
+        df = movement.movement(spark, sf)
+        plan = [x.strip(" :+-*(0123456789)") for x in df._jdf.queryExecution().sparkPlan().toString().splitlines()]
+        # below the sums, with no partial ones under it
+        at = next(i for i, x in enumerate(plan) if dealt in x)
+        assert any("Aggregate" in x for x in plan[:at]) and not any("Aggregate" in x for x in plan[at:])
+        # what it takes is what the view takes
+        assert sorted(map(tuple, df.collect())) == whole
+    n = int(dealt == "REPARTITION_BY_NUM" and movement.lines(spark, sf).rdd.getNumPartitions())
+    assert n == -(-sum(x[1] for x in rollup.versions.fingerprint(spark, f"{sf}/lineitem.parquet")) // 3000) > 4
