@@ -151,3 +151,30 @@ def test_tokens_are_shuffled_as_finished_rows(spark, tmp_path):
     assert entries > 1.5 * rows and records < rows + 3000
     assert held.groupBy("segment", "block", "token").count().where("count > 1").isEmpty()
     assert held.select(F.max(F.size("docs"))).first()[0] <= indexes.BLOCK
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """As where all tables are too large for the planner to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def opaque(spark, n=60):
+    """Nodes with long texts of no tokens, which can't be compressed, their state and vectors."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("!@#$%^&*()[]{}<>?/|~"), 6000))) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, n + 9)], "node_id long, embedding array<double>")
+    return nodes, vectors, lambda x: x.select("node_id", F.sha2("text", 256).alias("hash"))
+
+
+def test_a_first_sync_moves_no_texts(spark, tmp_path, no_broadcasts):
+    nodes, vectors, state = opaque(spark)
+    index = indexes.Index(spark, f"file://{tmp_path}/i", key="node_id")
+    _, size = shuffled(spark, lambda: index.sync(nodes, state(nodes), vectors=vectors, same_keys=True))
+    assert size < 60 * 6000 / 10
+    # all nodes are there, and the vectors of those that have one
+    assert index.nodes().count() == 60 and sorted(r["node_id"] for r in index.vectors().collect()) == list(range(1, 60))
+    assert pairs(index.dense([1.0, 5.0], 3)) == pairs(retrieval.dense(nodes.join(vectors, "node_id"), [1.0, 5.0], 3))
