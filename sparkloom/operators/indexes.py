@@ -43,6 +43,8 @@ CELLS, SAMPLE, ROUNDS = 1024, 20_000, 6
 BUCKET_NODES, PART_ROWS, FOLDERS = 20_000, 20_000, 1024
 #: Blocks, or rows of cells, that the first look takes for each wanted hit.
 FIRST_BLOCKS, FIRST_ROWS = 4, 256
+#: Changed keys that a sync broadcasts at most; more meet the nodes by the planner's choice.
+KEYS = 1 << 18
 #: Share of dead nodes and number of segments from which a sync compacts.
 DEAD, SEGMENTS = 0.25, 8
 #: Slack of bounds that are worked out in doubles.
@@ -125,6 +127,9 @@ class Index:
         fresh = lambda rows: rows
         if self.segments or not same_keys:
             come = diff.where("change <> 'removed'").select(self.key)
+            if sum(n for change, n in told.items() if change != "removed") <= KEYS:
+                # the nodes with their texts stay where they are
+                come = F.broadcast(come)
             fresh = lambda rows: rows.join(come, self.key, "left_semi")
         content = self._segment(number, fresh(nodes), fresh(state), embed, given=vectors)
         if self.segments:

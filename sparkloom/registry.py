@@ -923,8 +923,8 @@ def index_kept_up(spark, sf_dir):
     edited = F.when(F.col("node_id") % 100 == 1, F.concat(F.coalesce("text", F.lit("")), F.lit(" the of token edited"))).otherwise(F.col("text"))
     before, now = docs.where("node_id % 100 <> 0"), docs.where("node_id % 100 <> 2").withColumn("text", edited)
     index = indexes.Index(spark, versions.new_path(spark, "kept-up"), key="node_id")
-    index.sync(before, states(before))
-    index.sync(now, states(now))
+    index.sync(before, states(before), same_keys=True)
+    index.sync(now, states(now), same_keys=True)
     hits = index.lexical(QUESTION, 12).select(F.lit("hit").alias("what"), "node_id", F.round("score", 6).alias("score"))
     nodes = index.nodes().select(F.lit("node").alias("what"), "node_id", F.lit(0.0).alias("score"))
     written = spark.createDataFrame([("written", index.content["rows"][str(index.segments[-1])], 0.0)], "what string, node_id long, score double")

@@ -178,3 +178,17 @@ def test_a_first_sync_moves_no_texts(spark, tmp_path, no_broadcasts):
     # all nodes are there, and the vectors of those that have one
     assert index.nodes().count() == 60 and sorted(r["node_id"] for r in index.vectors().collect()) == list(range(1, 60))
     assert pairs(index.dense([1.0, 5.0], 3)) == pairs(retrieval.dense(nodes.join(vectors, "node_id"), [1.0, 5.0], 3))
+
+
+def test_a_later_sync_moves_no_texts_for_few_changes(spark, tmp_path, no_broadcasts, monkeypatch):
+    nodes, _, state = opaque(spark)
+    index = indexes.Index(spark, f"file://{tmp_path}/i", key="node_id")
+    index.sync(nodes, state(nodes), same_keys=True)
+    later = nodes.where("node_id <> 7").withColumn("text", F.when(F.col("node_id") == 5, F.lit("w1 w2")).otherwise(F.col("text")))
+    _, size = shuffled(spark, lambda: index.sync(later, state(later), same_keys=True))
+    assert size < 60 * 6000 / 10
+    assert pairs(index.lexical("w1", 3)) == pairs(retrieval.lexical(later, "w1", 3)) and index.nodes().count() == 59
+    # more changes than are broadcast
+    monkeypatch.setattr(indexes, "KEYS", 0)
+    assert index.sync(nodes, state(nodes), same_keys=True) == {"added": 1, "changed": 1}
+    assert sorted(map(tuple, index.nodes().collect())) == sorted(map(tuple, nodes.collect()))
