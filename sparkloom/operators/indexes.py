@@ -35,6 +35,7 @@ from sparkloom.functions.text import tokens
 from sparkloom.functions.vectors import cosine
 from sparkloom.operators import feedback
 from sparkloom.operators.retrieval import embedded, term_score
+from sparkloom.shipping import ship
 from sparkloom.sources import versions
 
 BLOCK = 1024
@@ -209,6 +210,7 @@ class Index:
     def _postings(self, held: DataFrame, number: int, buckets: int) -> None:
         kind = held.schema["node_id"].dataType.simpleString()
         size = BLOCK
+        ship(self.spark)
 
         def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = TaskContext.get().partitionId() << 33
