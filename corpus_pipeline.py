@@ -14,6 +14,7 @@ from sparkloom.llm import jaccard, language, mixing, packing, store
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one known language; those without letters, or of which no language has two fifths of the letters, go."""
+    store.small_batches(spark)
     return language.kept(docs)
 
 
@@ -21,6 +22,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of documents linked by shingle Jaccard of 0.8 or more, the one with the smallest doc_id stays. Rows without
     words have no group and stay. Rows that repeat a doc_id, or have none, are documents of their own: of a group
     the first of the smallest doc_id stays, or the first if none has one."""
+    store.small_batches(spark)
     unnamed = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
     if unnamed.isEmpty():
         found = jaccard.classes(docs)
@@ -41,6 +43,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids, sequence and place."""
+    store.small_batches(spark)
     return packing.packed(docs)
 
 

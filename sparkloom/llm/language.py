@@ -194,11 +194,11 @@ def identified(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFra
     step = max(1 << 18, STEP_BYTES * 8 // max(8, len(model.languages)))
     names = np.array([*model.languages, "und"], object)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         n = len(model.languages)
         for batch in batches:
-            for part in tokens.steps(batch, "text", step):
+            for part in tokens.steps(pa.RecordBatch.from_arrays([batch], ["text"]), "text", step):
                 words = words_of(part.column("text"))
                 docs_n = part.num_rows
                 pred, score = np.full(docs_n, n), np.zeros(docs_n)
@@ -218,10 +218,15 @@ def identified(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFra
                     columns = [pa.array(starts - base, pa.int32()), pa.array(ends - base, pa.int32()), pa.array(names[labels[starts]], pa.string())]
                     bounds = np.searchsorted(doc[starts], np.arange(docs_n + 1))
                     spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(columns, ["first", "last", "lang"]))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names[pred], pa.string()), pa.array(score), spans], ["row", "lang_pred", "score", "spans"])
+                yield pa.StructArray.from_arrays([pa.array(names[pred], pa.string()), pa.array(score), spans], ["lang_pred", "score", "spans"])
 
-    schema = f"row {docs.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}, lang_pred string, score double, spans {SPANS}"
-    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(words_.tidied(run), schema)
+    @F.arrow_udf(f"lang_pred string, score double, spans {SPANS}")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from words_.tidied(run)(texts)
+
+    # rows wait in Spark: workers get texts alone and give none back. A filter on the result must not run it twice
+    held_rows = docs.select(F.struct("*").alias("row"), found.asNondeterministic()("text").alias("found"))
+    return held_rows.select("row", "found.lang_pred", "found.score", "found.spans")
 
 
 def kept(docs: DataFrame, least: float = 0.4, sample: int = SAMPLE) -> DataFrame:

@@ -83,3 +83,17 @@ def test_shares_count_letters_and_the_query_is_as_by_hand(spark, tmp_path):
             expected = (model.languages[top], letters[top] / sum(letters))
         assert (got[i]["lang_pred"], got[i]["held_out"]) == (expected[0], held_out) and abs(got[i]["score"] - expected[1]) < 1e-9
     assert abs(got[100]["score"] - 8 / 13) < 1e-9
+
+
+def test_workers_get_texts_alone(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden", "en"), ("der Hund und die Katze", "de"), ("12 34", None), (None, None)] * 8)]
+    # Arrow has no type for such intervals, so a row that went through a worker would fail
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("age", F.expr("make_interval(0, doc_id)"))
+    model = language.fit(language.learning_rows(docs))
+    found = language.identified(docs, model)
+    got = {r["doc_id"]: r for r in found.select("row.*", "lang_pred", "score", "spans").where("lang_pred <> 'und' and score > 0.5").withColumn("age", F.col("age").cast("string")).collect()}
+    assert {i: r["lang_pred"] for i, r in got.items()} == {i: lang for i, _, lang in rows if lang} and got[5]["age"] == "5 months" and got[5]["spans"]
+    plan = found.where("lang_pred <> 'und'").select("spans")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("found(text") == 1
+    kept = language.kept(docs)
+    assert kept.columns == docs.columns and kept.count() == 16
