@@ -2,21 +2,23 @@
 
 The vocabulary of ``word_bpe_49k.json`` drops white space and never merges across it, so a text's ids are
 the ids of its white-space separated words in turn. Words repeat, therefore each distinct word of a batch is
-looked up once, and only words that a worker hasn't met go through the library.
+looked up once, all in one search of arrays, and only words that a worker doesn't remember go through the library.
 """
 
 from __future__ import annotations
 
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries and ids a worker remembers; beyond that it starts anew. Bounds memory, not results.
-CACHE_WORDS = 350_000
-CACHE_IDS = 3_000_000
+#: Entries and ids a worker remembers; beyond that it keeps those in use. Bounds memory, not results.
+CACHE_WORDS = 600_000
+CACHE_IDS = 4_000_000
+#: Bytes of a word that its key has room for; the few longer words are remembered by name.
+KEY_BYTES = 15
 #: Bytes of text that one step works on.
 STEP_BYTES = 2 << 20
 
@@ -35,6 +37,9 @@ KINDS[[9, 10, 11, 12, 13, 32]] = 0
 KINDS[np.r_[97:123, 128:256]] = 1
 KINDS[48:58] = DIGIT
 
+#: The first bytes of eight, by their number.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -68,52 +73,102 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.slots: dict[str, int] = {}
+        # by slot; slot 0 is the empty word, which has no ids
+        self.low, self.high = np.zeros((2, 1 << 14), np.uint64)
+        self.starts, self.sizes, self.uses = np.zeros((3, 1 << 14), np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int32)
-        self.sizes = np.zeros(1 << 14, np.int32)
-        self.n_words = self.n_ids = 0
+        self.n_words, self.n_ids = 1, 0
+        # slots by ascending hash, and those of long words by name
+        self.hashes, self.by_hash = np.zeros(1, np.uint64), np.zeros(1, np.int32)
+        self.long: dict[str, int] = {}
 
     def _piece(self, piece: str) -> list[int]:
-        if piece[0] == "\0":  # a whole word of an odd text
+        if piece[:1] == "\0":  # a whole word of an odd text
             return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
+        if not piece.strip(" \t\n\v\f\r"):
+            return []
         mapped = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
         return [t.id for t in self.model.tokenize(mapped)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _find(self, names: pa.Array, low: np.ndarray, high: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The slots of names, -1 where a name isn't remembered."""
+        at = np.searchsorted(self.hashes, hashed(low, high))
+        slots = self.by_hash[np.minimum(at, len(self.by_hash) - 1)]
+        # the hash only says where to look; keys of short names are equal only if the names are
+        slots[(self.low[slots] != low) | (self.high[slots] != high)] = -1
+        long = np.flatnonzero(lengths > KEY_BYTES)
+        if len(long):
+            slots[long] = [self.long.get(w, -1) for w in names.take(pa.array(long)).to_pylist()]
+        return slots
+
+    def _learn(self, pieces: list[str], low: np.ndarray, high: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The slots that new pieces get."""
         ids = [self._piece(w) for w in pieces]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.n_ids + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n_words + len(pieces) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        at = slice(self.n_words, self.n_words + len(pieces))
-        self.starts[at] = self.n_ids + np.cumsum(sizes) - sizes
-        self.sizes[at] = sizes
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        total, slots = int(sizes.sum()), np.arange(self.n_words, self.n_words + len(ids), dtype=np.int32)
+        self.flat = _room(self.flat, self.n_ids + total)
+        for name in ("low", "high", "starts", "sizes", "uses"):
+            setattr(self, name, _room(getattr(self, name), self.n_words + len(ids)))
+        self.low[slots], self.high[slots], self.sizes[slots], self.uses[slots] = low, high, sizes, 0
+        self.starts[slots] = self.n_ids + np.cumsum(sizes) - sizes
         self.flat[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.slots.update(zip(pieces, range(self.n_words, self.n_words + len(pieces))))
-        self.n_words += len(pieces)
+        self._enter(slots[lengths <= KEY_BYTES])
+        self.long.update((pieces[i], int(slots[i])) for i in np.flatnonzero(lengths > KEY_BYTES).tolist())
+        self.n_words += len(ids)
         self.n_ids += total
+        return slots
+
+    def _enter(self, slots: np.ndarray) -> None:
+        """Makes the slots of short words findable."""
+        hashes = hashed(self.low[slots], self.high[slots])
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.by_hash = np.insert(self.hashes, at, hashes[order]), np.insert(self.by_hash, at, slots[order])
+
+    def _forget(self) -> None:
+        """Keeps the words that more than one step has used since this was last done, the most used ones first and
+        half of what is allowed at most."""
+        held = self.low, self.high, self.starts, self.sizes, self.flat, self.long
+        kept = np.flatnonzero(self.uses[1 : self.n_words] > 1) + 1
+        kept = kept[np.argsort(-self.uses[kept], kind="stable")][: CACHE_WORDS // 2]
+        kept = kept[np.cumsum(self.sizes[kept]) <= CACHE_IDS // 2]
+        self._reset()
+        low, high, starts, sizes, flat, long = held
+        n, total = len(kept) + 1, int(sizes[kept].sum())
+        slots = np.full(len(sizes), -1, np.int32)
+        slots[kept] = np.arange(1, n)
+        for name, values in (("low", low), ("high", high), ("sizes", sizes)):
+            setattr(self, name, _room(getattr(self, name), n))
+            getattr(self, name)[1:n] = values[kept]
+        self.starts, self.uses = _room(self.starts, n), _room(self.uses, n)
+        self.starts[1:n] = np.cumsum(sizes[kept]) - sizes[kept]
+        self.flat = _room(self.flat, total)
+        self.flat[:total] = flat[np.repeat(starts[kept] - self.starts[1:n], sizes[kept]) + np.arange(total)]
+        self.n_words, self.n_ids = n, total
+        self.long = {w: int(slots[i]) for w, i in long.items() if slots[i] > 0}
+        short = np.ones(n, bool)
+        short[[0, *self.long.values()]] = False
+        self._enter(np.flatnonzero(short).astype(np.int32))
 
     def _ids(self, pieces: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in turn, and their number for each text; offsets: each text's first piece."""
+        if not len(pieces):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int32)
         coded = pieces.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary
         if self.n_words > CACHE_WORDS or self.n_ids > CACHE_IDS:
-            self._reset()
-        # slot -1: white space, without ids
-        slots = np.fromiter(map(self.slots.get, names, repeat(-1)), np.int32, len(names))
-        missing = [i for i in np.flatnonzero(slots < 0).tolist() if names[i].strip("\0 \t\n\v\f\r")]
-        if missing:
-            slots[missing] = np.arange(self.n_words, self.n_words + len(missing))
-            self._learn([names[i] for i in missing])
-        sizes, starts = np.where(slots < 0, 0, self.sizes[slots]), self.starts[slots]
+            self._forget()
+        low, high, lengths = keys(names)
+        slots = self._find(names, low, high, lengths)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            slots[missing] = self._learn(names.take(pa.array(missing)).to_pylist(), low[missing], high[missing], lengths[missing])
+        self.uses[slots] += 1
+        sizes, starts = self.sizes[slots], self.starts[slots]
         at = coded.indices.to_numpy()
         sizes, starts = sizes[at], starts[at]
         ends = np.cumsum(sizes, dtype=np.int32)
-        total = int(ends[-1]) if len(ends) else 0
+        total = int(ends[-1])
         starts -= ends
         starts += sizes
         where = np.repeat(starts, sizes)
@@ -137,6 +192,28 @@ class WordEncoder:
         return ids, sizes
 
 
+def keys(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two numbers for each name and its length in bytes: the first KEY_BYTES bytes, then the length in a byte. No
+    two names of up to KEY_BYTES bytes have the same."""
+    offsets = np.frombuffer(names.buffers()[1], np.int32, len(names) + 1, 4 * names.offset)
+    data = names.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    eights = np.ndarray(len(raw) + 9, "<u8", np.concatenate([raw, np.zeros(16, np.uint8)]), strides=(1,))
+    at, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    low = eights[at] & MASKS[np.minimum(lengths, 8)]
+    high = eights[at + 8] & MASKS[np.clip(lengths - 8, 0, KEY_BYTES - 8)]
+    return low, high | lengths.astype(np.uint64) << np.uint64(56), lengths
+
+
+def hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (low ^ high * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """The array, with zeros added so that it has n entries at least."""
+    return held if n <= len(held) else np.concatenate([held, np.zeros(max(len(held), n - len(held)), held.dtype)])
+
+
 def runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Texts cut into runs of letters, of white space and of other characters, and single digits; the number of
     each text's first run. For lower-case text that isn't odd and has no contractions."""
